@@ -1,0 +1 @@
+"""The data model has no streams; see the README."""

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retort.llm import near_dedup
+from retort.llm import near_dedup, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_differencing_packing": packing.query,
     "op4_minhash_near_dedup": near_dedup.query,
+    "op10_rans_token_files": token_files.query,
 }
 
 ORACLES: dict[str, str] = {}

@@ -30,7 +30,7 @@ from retort.llm.scratch import written
 from retort.llm.words import mix, shingle_sets, slices, split_words
 
 #: Buckets with more members than this are compared in tiles.
-TILE_FROM = 256
+TILE_FROM = 64
 #: A side of a tile holds at most so many members and, unless one text is larger, bytes of shingles.
 TILE_ROWS, TILE_BYTES = 1024, 24 << 20
 

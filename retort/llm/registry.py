@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retort.llm import near_dedup, packing, token_files
+from retort.llm import near_dedup, packing, quality_rules, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_differencing_packing": packing.query,
     "op4_minhash_near_dedup": near_dedup.query,
+    "op7_risk_controlled_rules": quality_rules.query,
     "op10_rans_token_files": token_files.query,
 }
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from retort.llm.rans import Model, build_model, decode_block, encode_block
 from retort.llm.scratch import new_path
-from retort.llm.tokens import default_path, encode_ids
+from retort.llm.tokens import default_path, encode_ids, id_type
 
 #: A block closes once it holds so many ids; one long document may make a larger one.
 BLOCK_IDS = 1 << 18
@@ -30,14 +30,14 @@ FILE_BYTES = 64 << 20
 _BLOCKS = "file int, block int, first_doc long, doc_ids array<long>, doc_lengths array<long>, n_ids long, payload binary"
 
 
-def count_ids(coded: DataFrame) -> DataFrame:
+def count_ids(coded: DataFrame, kind: str) -> DataFrame:
     """(id, n): how often each id occurs, summed in each task before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
             for x in batch.column("ids"):
-                more = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+                more = np.bincount(np.frombuffer(x.as_buffer(), kind))
                 if len(more) > len(total):
                     total = np.r_[total, np.zeros(len(more) - len(total), np.int64)]
                 total[: len(more)] += more
@@ -56,10 +56,10 @@ def _model(spark: SparkSession, path: str) -> Model:
     return build_model(counts)
 
 
-def write_token_files(coded: DataFrame, path: str) -> None:
-    """Write (doc_id, ids) rows to ``path``; null doc_ids come first, equal ones in the order of their ids."""
+def write_token_files(coded: DataFrame, path: str, kind: str) -> None:
+    """Write (doc_id, ids as bytes of type ``kind``) rows to ``path``; null doc_ids come first, equal ones in the order of their ids."""
     spark = coded.sparkSession
-    count_ids(coded).coalesce(1).write.parquet(f"{path}/table")
+    count_ids(coded, kind).coalesce(1).write.parquet(f"{path}/table")
     model = spark.sparkContext.broadcast(_model(spark, path))
     total = coded.agg(F.sum(F.length("ids"))).collect()[0][0] or 0
     files = max(1, -(-total // FILE_BYTES), spark.sparkContext.defaultParallelism if total > FILE_BYTES else 1)
@@ -78,7 +78,7 @@ def write_token_files(coded: DataFrame, path: str) -> None:
         for batch in batches:
             for name, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 names.append(name)
-                parts.append(np.frombuffer(x.as_buffer(), "<u4"))
+                parts.append(np.frombuffer(x.as_buffer(), kind))
                 held += len(parts[-1])
                 if held >= BLOCK_IDS:
                     yield close()
@@ -127,10 +127,12 @@ def token_files(docs: DataFrame, path: str, tokenizer_path: str | None = None, e
     with one doc_id are written one after the other; extra columns are not read.
     """
     spark = docs.sparkSession
-    coded = encode_ids(docs, tokenizer_path or default_path(), end_id, id_col, text_col)
+    tokenizer_path = tokenizer_path or default_path()
+    kind = id_type(tokenizer_path)
+    coded = encode_ids(docs, tokenizer_path, end_id, kind, id_col, text_col)
     path_coded = new_path(spark, "coded")
     coded.write.option("compression", "zstd").parquet(path_coded)
-    write_token_files(spark.read.schema(coded.schema).parquet(path_coded), path)
+    write_token_files(spark.read.schema(coded.schema).parquet(path_coded), path, kind)
     return read_token_files(spark, path, with_ids)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +57,8 @@ class Encoder:
         #: Plain lower-case words and marks go to the model straight away.
         self.straight = self.by_word and steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"]
         self.specials = [t["content"] for t in kind.get("added_tokens", [])]
-        self.letters = {i: c for i, c in _byte_letters().items()}
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -67,7 +68,7 @@ class Encoder:
     def _model(self, word: str) -> bytes:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
 
     def _part(self, part: str) -> bytes:
         found = self.new.get(part) or self.old.get(part)
@@ -126,17 +127,20 @@ def with_end(bounds: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarr
     return bounds + np.arange(len(bounds)), np.insert(ids, bounds[1:], np.uint32(end_id))
 
 
-def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): each row's ids with ``end_id`` behind them, as little-endian unsigned 32-bit integers."""
+def id_type(tokenizer_path: str) -> str:
+    """The numpy type that holds every id of a tokenizer: 16 bits where the vocabulary fits, else 32."""
+    return "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "<u4", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids): each row's ids with ``end_id`` behind them, as the bytes of unsigned integers of type ``kind``."""
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 bounds, ids = with_end(*encoder(tokenizer_path).encode(part.column("text")), end_id)
-                offsets, data = pa.array((bounds * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4").tobytes())
+                offsets, data = pa.array((bounds * width).astype(np.int32)), pa.py_buffer(ids.astype(kind).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.Array.from_buffers(pa.binary(), len(part), [None, offsets.buffers()[1], data])], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
-
-
-Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

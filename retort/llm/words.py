@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Characters of text that are worked on at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 12 << 20
 
 _ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retort.llm import near_dedup, packing, quality_rules, token_files
+from retort.llm import licenses, near_dedup, packing, quality_rules, secret_scan, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_differencing_packing": packing.query,
+    "op3_license_digests": licenses.query,
     "op4_minhash_near_dedup": near_dedup.query,
+    "op5_structural_secret_scan": secret_scan.query,
     "op7_risk_controlled_rules": quality_rules.query,
+    "op9_extendible_sharding": sharding.query,
     "op10_rans_token_files": token_files.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_license_digests": licenses.ORACLE,
+    "op9_extendible_sharding": sharding.ORACLE,
+}

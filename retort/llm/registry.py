@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retort.llm import licenses, near_dedup, packing, quality_rules, secret_scan, sharding, token_files
+from retort.llm import decontamination, licenses, near_dedup, packing, quality_rules, secret_scan, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_differencing_packing": packing.query,
@@ -14,11 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": near_dedup.query,
     "op5_structural_secret_scan": secret_scan.query,
     "op7_risk_controlled_rules": quality_rules.query,
+    "op8_seeded_alignment_decontamination": decontamination.query,
     "op9_extendible_sharding": sharding.query,
     "op10_rans_token_files": token_files.query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_license_digests": licenses.ORACLE,
+    "op8_seeded_alignment_decontamination": decontamination.query,
     "op9_extendible_sharding": sharding.ORACLE,
 }

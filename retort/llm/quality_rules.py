@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retort.llm.scratch import written
+
 # The word separators and the symbols that the base statistics count.
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -136,19 +138,23 @@ def holdout_fold() -> str:
     return "crc32(cast(doc_id AS string)) % 2 = 1"
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, error: float = 0.05) -> DataFrame:
-    """The columns of ``docs`` with the base statistics, base_failed, rejected_by and kept.
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, error: float = 0.05, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all, unless given) with the base statistics, base_failed, rejected_by and kept.
 
     base_failed: fewer than 50 words, or more than half of them in repeated three-word
     windows. kept: not base_failed, and rejected by no rule. Documents that base_failed
     take no part in choosing cutoffs. A null or unknown stratum is a stratum of its own,
     where rules without cutoffs reject nothing; so do empty or missing labels. A doc_id
     with several labels counts as good if one says so.
+
+    The statistics are computed once and written to the shared folder with ``columns``;
+    labels are joined with the narrow columns of that table, so no text is shuffled.
     """
+    carried = list(docs.columns) if columns is None else columns
     stats = shares(text_statistics(docs)).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-    truth = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
-    known = docs.select("doc_id", "text", stratum).join(truth.where("good IS NOT NULL"), "doc_id").withColumn("holdout", F.expr(holdout_fold()))
-    known = shares(text_statistics(known)).where("NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)")
+    stats = written(stats.select(*[F.col(f"`{c}`") for c in carried], *STATISTICS, *RULES, "base_failed"), "statistics")
+    truth = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good")).where("good")
+    known = stats.where("NOT base_failed").select("doc_id", stratum, *RULES).join(truth, "doc_id").withColumn("holdout", F.expr(holdout_fold()))
     cutoffs = risk_cutoffs(known.select(stratum, "good", "holdout", *RULES), stratum, risk, error)
     out = apply_cutoffs(stats, cutoffs, stratum)
     return out.withColumn("kept", F.expr("NOT base_failed AND size(rejected_by) = 0")).drop(*RULES, "n_lines", "n_exclaim", "n_upper")
@@ -157,4 +163,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules over all ``documents``, their cutoffs from ``labels``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return quality_rules(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "rejected_by").alias("rejected_by"))
+    return quality_rules(docs, labels, columns=["doc_id", "lang"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "rejected_by").alias("rejected_by"))

@@ -229,6 +229,22 @@ def near_duplicates(
     )
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` but those whose component has a smaller doc_id; of rows with one doc_id one stays.
+
+    Rows are taken away by an anti join with the narrow table of removed ids, so rows
+    without a partner, null ids among them, stay as they are.
+    """
+    found = written(near_duplicates(docs, id_col, text_col, **options), "components")
+    removed = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(removed, F.col(id_col) == F.col("_gone"), "left_anti")
+    repeated = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, F.col(id_col) == F.col("_again"), "left_anti")
+    return once.unionByName(left.join(repeated, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col]))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Four-word shingles of the whole texts of ``documents``, linked from 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, percent=80)

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retort.llm import decontamination, licenses, near_dedup, packing, quality_rules, secret_scan, sharding, token_files
+from retort.llm import decontamination, licenses, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_subword_quality_classifier": quality_classifier.query,
     "op2_differencing_packing": packing.query,
     "op3_license_digests": licenses.query,
     "op4_minhash_near_dedup": near_dedup.query,

@@ -1,13 +1,66 @@
-"""The document pipeline: quality rules, near-dedup, decontamination, secret scans, packing."""
+"""The document pipeline: quality rules, near-dedup, decontamination, secret scans, packing.
+
+Each stage is written as Parquet to the shared folder and read again, so a lost executor
+costs at most one stage. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from retort.llm.decontamination import contaminated
+from retort.llm.near_dedup import without_near_duplicates
+from retort.llm.packing import pack
+from retort.llm.quality_rules import quality_rules
+from retort.llm.scratch import written
+from retort.llm.secret_scan import redact_secrets
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule and the risk-controlled cutoffs keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules(docs, labels).where("kept").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group linked by five-word shingles from 0.8."""
+    return without_near_duplicates(docs, shingle=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy of a benchmark item."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by markers and n_chars counted anew."""
+    return docs.withColumn("text", redact_secrets("text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of at most 4096 ids, with their ids."""
+    return pack(docs, 4096, 2)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", reject_low_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", remove_secrets),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL can express neither the tokenizer nor the packing; tests hold the run against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retort.llm import decontamination, licenses, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, token_files
+from retort.llm import chat_format, decontamination, licenses, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality_classifier": quality_classifier.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_digests": licenses.query,
     "op4_minhash_near_dedup": near_dedup.query,
     "op5_structural_secret_scan": secret_scan.query,
+    "op6_transcript_hmm": chat_format.query,
     "op7_risk_controlled_rules": quality_rules.query,
     "op8_seeded_alignment_decontamination": decontamination.query,
     "op9_extendible_sharding": sharding.query,

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from retort.plans import signal_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(signal_queries.QUERIES)
+ORACLES: dict[str, str] = dict(signal_queries.ORACLES)

@@ -348,7 +348,7 @@ def prominence(values: np.ndarray, peaks: np.ndarray) -> np.ndarray:
 
 def peak_prominences(tics: DataFrame, value: str = "tic") -> DataFrame:
     """(sample_id, scan_idx, tic, prominence) of local maxima at recorded scans; one sample is one group."""
-    peaks = local_maxima(tics, value).join(tics.select("sample_id", "scan_idx"), ["sample_id", "scan_idx"], "left_semi").select("sample_id", F.col("scan_idx").alias("peak"))
+    peaks = local_maxima(tics, value).join(tics.select("sample_id", "scan_idx"), ["sample_id", "scan_idx"], "left_semi").select(F.col("sample_id").alias("_sample"), F.col("scan_idx").alias("peak"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("scan_idx")
@@ -357,4 +357,4 @@ def peak_prominences(tics: DataFrame, value: str = "tic") -> DataFrame:
         return pd.DataFrame({"sample_id": left["sample_id"].iloc[0], "scan_idx": left["scan_idx"].to_numpy()[at], value: v[at], "prominence": prominence(v, at)}) if len(left) and len(at) else pd.DataFrame({"sample_id": [], "scan_idx": [], value: [], "prominence": []})
 
     kind = dict(tics.dtypes)["sample_id"]
-    return tics.select("sample_id", "scan_idx", value).groupBy("sample_id").cogroup(peaks.groupBy("sample_id")).applyInPandas(run, f"sample_id {kind}, scan_idx int, {value} double, prominence double")
+    return tics.select("sample_id", "scan_idx", value).groupBy("sample_id").cogroup(peaks.groupBy("_sample")).applyInPandas(run, f"sample_id {kind}, scan_idx int, {value} double, prominence double")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retort.plans import signal_queries
+from retort.plans import signal_queries, table_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(signal_queries.QUERIES)
-ORACLES: dict[str, str] = dict(signal_queries.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**signal_queries.QUERIES, **table_queries.QUERIES}
+ORACLES: dict[str, str] = {**signal_queries.ORACLES, **table_queries.ORACLES}

@@ -142,6 +142,10 @@ def _chainer(model: np.ndarray):
     return run
 
 
+_MATRIX = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("matrix", pa.list_(pa.float64())), ("opening", pa.list_(pa.float64()))])
+_LINE = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("turn", pa.int64()), ("k", pa.int32()), ("line", pa.string()), ("role", pa.string()), ("state", pa.int32())])
+
+
 def decode(lines: DataFrame, model: np.ndarray) -> DataFrame:
     """Adds ``state`` to the lines: the Viterbi path of each transcript."""
     keys = ["conv_id", "block"]
@@ -152,12 +156,12 @@ def decode(lines: DataFrame, model: np.ndarray) -> DataFrame:
             opening = model[:, 0] + model[:, 1 + STATES + symbols[0]]
             if len(symbols) > 1:
                 opening = (opening[:, None] + transfer(model, symbols[1:])).max(0)
-            yield pa.RecordBatch.from_pylist([{"conv_id": run["conv_id"].iloc[0], "block": run["block"].iloc[0], "matrix": transfer(model, symbols).ravel(), "opening": opening}])
+            yield pa.RecordBatch.from_pylist([{"conv_id": run["conv_id"].iloc[0], "block": run["block"].iloc[0], "matrix": transfer(model, symbols).ravel(), "opening": opening}], _MATRIX)
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, keys):
             path = viterbi(model, run["symbol"].to_numpy(), int(run["enter"].iloc[0]), int(run["leave"].iloc[0]))
-            yield pa.RecordBatch.from_pandas(run[["conv_id", "block", "turn", "k", "line", "role"]].assign(state=path.astype(np.int32)), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(run[["conv_id", "block", "turn", "k", "line", "role"]].assign(state=path.astype(np.int32)), _LINE, preserve_index=False)
 
     long = lines.groupBy("conv_id").agg(F.max("block").alias("most"), F.min("block").alias("least")).where("most > least").select("conv_id")
     dealt = lines.join(long, "conv_id", "left_semi").select("conv_id", "block", "turn", "k", "symbol").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "k")

@@ -30,6 +30,8 @@ DIMENSION = 8
 NGRAMS = (3, 4)
 #: Distances at which equal words make a pair of their own kind.
 ECHOES = 3
+#: Bytes of text that are turned into features at once.
+SLICE_BYTES = 4 << 20
 #: Steps of gradient descent, at least; passes over the sample follow from it.
 STEPS = 24_000
 RATE = 0.5
@@ -92,7 +94,7 @@ def rows_of(f: Features) -> Iterator[np.ndarray]:
 def train(rows: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, n_classes: int = 2, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(bucket weights, bias): the product of learned vectors and softmax weights, by stochastic gradient descent.
 
-    ``rows`` holds (distinct buckets, shares that sum up to 1) of each text. Without rows
+    ``rows`` holds (distinct buckets, their counts) of each text. Without rows
     all weights are 0, which scores every text as undecided.
     """
     random = np.random.default_rng(seed)
@@ -106,7 +108,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, n_clas
         for k in random.permutation(len(rows)):
             rate = RATE * (1 - step / steps)
             step += 1
-            at, share = rows[k]
+            at, share = rows[k][0], rows[k][1] / max(1, int(rows[k][1].sum()))
             hidden = share @ vectors[at] if len(at) else np.zeros(DIMENSION)
             logits = hidden @ weights + bias
             p = np.exp(logits - logits.max())
@@ -129,7 +131,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             counted = [np.unique(r, return_counts=True) for r in rows_of(featurize(part.column("text")))]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("label"), pa.array([c[0].astype("<i4").tobytes() for c in counted], pa.binary()), pa.array([c[1].astype("<i4").tobytes() for c in counted], pa.binary())],
@@ -139,10 +141,7 @@ def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _trainer(sample: pd.DataFrame) -> pd.DataFrame:
     sample = sample.sort_values(["doc_id", "buckets"])
-    rows = []
-    for b, c in zip(sample["buckets"], sample["counts"], strict=True):
-        counts = np.frombuffer(c, "<i4").astype(np.float64)
-        rows.append((np.frombuffer(b, "<i4").astype(np.int64), counts / max(1.0, counts.sum())))
+    rows = [(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for b, c in zip(sample["buckets"], sample["counts"], strict=True)]
     weights, bias = train(rows, sample["label"].to_numpy(np.int64))
     return pd.DataFrame({"weights": [weights.astype("<f8").tobytes()], "bias": [bias.astype("<f8").tobytes()]})
 
@@ -167,7 +166,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean, bias = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 f = featurize(part.column("text"))
                 sums = np.r_[0, np.cumsum(lean[f.word_buckets])]
                 by_word, n_word = np.diff(sums[f.word_bounds]), np.diff(f.word_bounds)

@@ -103,9 +103,9 @@ def survival_map(grams: DataFrame, labels: DataFrame, test: DataFrame, mode: str
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cube": [part["cube"].iloc[0]], "a": [part["a"].to_numpy()], "b": [part["b"].to_numpy()], "dot": [part["dot"].to_numpy()]})
 
-    packed = grams.select("cube", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "dot").groupBy("cube").applyInPandas(pack, "cube int, a array<long>, b array<long>, dot array<double>")
-    held = test.groupBy(F.col("split_id").cast("int").alias("fold")).agg(F.collect_set(F.col("sample_id").cast("long")).alias("held"))
-    names = labels.select(F.struct(F.col("sample_id").cast("long").alias("i"), F.col("label").cast("string").alias("l")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("names"))
+    packed = grams.select("cube", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "dot").groupBy("cube").applyInPandas(pack, "cube int, a array<string>, b array<string>, dot array<double>")
+    held = test.groupBy(F.col("split_id").cast("int").alias("fold")).agg(F.collect_set(F.col("sample_id").cast("string")).alias("held"))
+    names = labels.select(F.struct(F.col("sample_id").cast("string").alias("i"), F.col("label").cast("string").alias("l")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("names"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         first = part.iloc[0]
@@ -113,10 +113,10 @@ def survival_map(grams: DataFrame, labels: DataFrame, test: DataFrame, mode: str
         matrices = {}
         for r in part.itertuples():
             m = np.zeros((len(ids), len(ids)))
-            a, b = np.searchsorted(ids, r.a), np.searchsorted(ids, r.b)
+            a, b = np.searchsorted(ids, np.asarray(r.a, str)), np.searchsorted(ids, np.asarray(r.b, str))
             m[a, b] = m[b, a] = r.dot
             matrices[int(r.cube)] = m
-        inside = np.isin(ids, first["held"])
+        inside = np.isin(ids, np.asarray(first["held"], str))
         rows = greedy(matrices, lab, np.flatnonzero(~inside), np.flatnonzero(inside), mode, steps, folds, alpha, look_ahead)
         return pd.DataFrame([(int(first["fold"]), s, c // 10_000, c % 10_000, i, o) for s, c, i, o in rows], columns=["fold", "step", "rt_bin", "mz_bin", "inner_accuracy", "outer_accuracy"])
 

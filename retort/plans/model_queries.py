@@ -11,8 +11,9 @@ from retort.operators import signals as S
 from retort.operators import splits as P
 from retort.operators import statistics as T
 from retort.operators import survival as V
+from retort.plans import jobs as J
 from retort.session import table
-from retort.sources.adapters import FEATURES, features, scans
+from retort.sources.adapters import FEATURES, SENSORY, features, scans, sensory
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +113,67 @@ def _(spark, d):
     ref = S.closest_to_mean(S.tic(s)).collect()[0].sample_id
     out = A.align_to_reference(s, ref, 200, sigma=2, most=10, tolerance=10)
     return out.groupBy("sample_id").agg(F.first("lag").alias("lag"), F.round(F.sum("intensity"), 4).alias("total"))
+
+
+@query("per_origin_metrics")
+def _(spark, d):
+    lab = _labels(spark, d)
+    origins = lab.select("sample_id", (F.col("sample_id") % 3).alias("origin"))
+    m = J.per_origin(features(spark, d), lab, P.stratified_folds(lab, "label", 5), origins)
+    return m.select("origin", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
+
+
+@query("hold_out_origin")
+def _(spark, d):
+    lab = _labels(spark, d)
+    m = J.hold_out_origin(features(spark, d), lab, lab.select("sample_id", (F.col("sample_id") % 3).alias("origin")))
+    return m.select("origin", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
+
+
+@query("vintage_loo_regression", f"WITH {FEATURES}, x AS (SELECT sample_id, label::DOUBLE AS y, value AS x FROM features WHERE pos = 1 AND sample_id < 200), s AS (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM x), p AS (SELECT y, (sy - y) / (n - 1) + (x - (sx - x) / (n - 1)) * ((sxy - x * y) - (sx - x) * (sy - y) / (n - 1)) / ((sxx - x * x) - (sx - x) * (sx - x) / (n - 1) + 1) AS p FROM x, s) SELECT round(avg(abs(p - y)), 5) AS mae, round(sqrt(avg((p - y) * (p - y))), 5) AS rmse, round(corr(y, p), 4) AS r FROM p")
+def _(spark, d):
+    f = features(spark, d).where("pos = 1 AND sample_id < 200")
+    out = J.vintage_regression(f.select("sample_id", "pos", "value"), f.select("sample_id", F.col("label").alias("value")))
+    return M.regression_metrics(out).select(F.round("mae", 5).alias("mae"), F.round("rmse", 5).alias("rmse"), F.round("r", 4).alias("r"))
+
+
+@query("random_subset_regressions")
+def _(spark, d):
+    f = features(spark, d)
+    m = J.random_subsets(f.select("sample_id", "pos", "value"), f.select("sample_id", F.col("label").alias("value")).distinct(), 40, 5)
+    return m.select("repeat", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2", "r")])
+
+
+@query("sensory_ridge")
+def _(spark, d):
+    """Scores per wine and taster from the wine's embedding and the taster."""
+    s = sensory(spark, d).groupBy("wine", "taster").agg(F.avg("fruity").alias("fruity"), F.avg("citrus").alias("citrus"))
+    rows = s.select(F.concat_ws("/", "wine", "taster").alias("row_id"), "wine", "taster")
+    scores = s.select(F.concat_ws("/", "wine", "taster").alias("row_id"), "fruity", "citrus").unpivot(["row_id"], ["fruity", "citrus"], "attribute", "value")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("sample_id"), "n_name")
+    x = features(spark, d).join(n, "sample_id").select(F.col("n_name").alias("sample_id"), "pos", "value")
+    out = J.sensory_model(x, rows, scores, ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+    m = M.regression_metrics(out, "attribute")
+    return m.select("attribute", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2", "r")])
+
+
+@query("self_versus_group", f"WITH {SENSORY}, m AS (SELECT wine, taster, avg(fruity) AS v FROM sensory GROUP BY ALL), o AS (SELECT a.taster, a.wine, any_value(a.v) AS t, avg(b.v) AS p FROM m a JOIN m b ON a.wine = b.wine AND a.taster <> b.taster GROUP BY 1, 2) SELECT taster, round(1 - sum((p - t) * (p - t)) / (var_pop(t) * count(*)), 4) AS r2_group, round(corr(t, p), 4) AS r FROM o GROUP BY 1")
+def _(spark, d):
+    s = sensory(spark, d).groupBy("wine", "taster").agg(F.avg("fruity").alias("value")).withColumn("attribute", F.lit("fruity"))
+    return J.self_versus_group(s).select("taster", F.round("r2_group", 4).alias("r2_group"), F.round("r", 4).alias("r"))
+
+
+@query("embedding_quality")
+def _(spark, d):
+    q = J.embedding_quality(T.gram(features(spark, d).where("sample_id < 200").select("sample_id", "pos", "value")), _labels(spark, d).where("sample_id < 200"))
+    return q.select(*[F.round(c, 5).alias(c) for c in q.columns])
+
+
+@query("ranked_channel_addition")
+def _(spark, d):
+    """Channels by their own accuracy, added one after the other."""
+    binned, lab = _small(spark, d)
+    g = V.channel_grams(binned)
+    own = V.cell_map(g, lab)
+    sets = J.ranked_channels(own, list(range(41, 48)))
+    return V.score_sets(g, lab, sets).select("k", F.round("accuracy", 6).alias("accuracy"))

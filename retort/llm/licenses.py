@@ -56,6 +56,19 @@ def known_digests(known: DataFrame) -> DataFrame:
     return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"), F.first(F.length("form")).alias("canonical_chars"))
 
 
+#: With more anchors than this, texts are not looked over for them first.
+MOST_ANCHORS = 64
+
+
+def _anchors(known: DataFrame) -> list[str] | None:
+    """A word of each known form that a text must hold, whatever its spelling; None if there is none or they are too many."""
+    changed = sorted({w for _, new in SPELLINGS for w in new.split()})
+    words = F.filter(F.split(canonical(F.col("text")), " "), lambda w: ~w.isin(*changed))
+    longest = known.select(canonical(F.col("text")).alias("form"), F.array_max(F.transform(words, lambda w: F.struct(F.length(w), w.alias("w")))).alias("m")).where("form <> ''")
+    found = [r[0] for r in longest.select("m.w").distinct().limit(MOST_ANCHORS + 1).collect()]
+    return None if len(found) > MOST_ANCHORS or None in found else found
+
+
 def default_known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, T.StructType([T.StructField("license", T.StringType()), T.StructField("text", T.StringType())]))
 
@@ -67,7 +80,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     text. A text of one line or paragraph has no units of that kind besides the document.
     Units are whole, however long; those under half the shortest known form are passed
     over before they are digested, as no spelling lengthens a text that much. The join
-    is left to the optimiser, which knows the sizes of both sides.
+    is left to the optimiser, which knows the sizes of both sides. A text is looked over
+    for the known forms' anchor words first: one without any cannot hold a match.
 
     A null or empty text has no units. Rows with one doc_id are scanned each. An empty
     table of documents or of licences gives an empty result; extra columns are not read.
@@ -75,6 +89,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     digests = known_digests(known)
     shortest = digests.agg(F.min("canonical_chars")).collect()[0][0]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
+    anchors = _anchors(known)
+    if anchors:
+        held = F.lit(False)
+        for a in anchors:
+            held = held | F.contains("_low", F.lit(a))
+        texts = texts.withColumn("_low", F.lower("_text")).where(held).drop("_low")
     if shortest is None:
         texts = texts.limit(0)
     parts = texts.select("doc_id", "_text", F.split("_text", r"\n(?:[ \t\r]*\n)+").alias("_paragraphs"), F.split("_text", "\n").alias("_lines"))

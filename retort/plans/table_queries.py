@@ -70,7 +70,7 @@ def _(spark, d):
     return n.select("o_orderkey", L.bordeaux_label(c).alias("label"), L.bordeaux_label(c, True).alias("year"), L.chateau_letter(c).alias("chateau"), L.from_first_digit(c).alias("tail"), L.alphabetic_prefix(c).alias("prefix"))
 
 
-@query("name_functions", "SELECT doc_id, regexp_replace(substr(text, 1, 30), '[^a-zA-Z0-9_\\-.()+]', '_', 'g') AS safe, CASE WHEN source = 'src1' THEN 'bordeaux' WHEN source = 'src2' THEN 'pinot_noir' END AS kind, CASE WHEN regexp_matches(source, '[0-9]') THEN length(regexp_extract(source, '^[^0-9]*')) ELSE -1 END AS first_at, CASE WHEN regexp_matches(source, '[0-9]') THEN 3 ELSE -1 END AS last_at FROM documents")
+@query("name_functions", "SELECT doc_id, regexp_replace(substr(text, 1, 30), '[^a-zA-Z0-9_\\-.()+]', '_', 'g') AS safe, CASE WHEN source = 'src1' THEN 'bordeaux' WHEN source = 'src2' THEN 'pinot_noir' END AS kind, CASE WHEN regexp_matches(source, '[0-9]') THEN length(regexp_extract(source, '^[^0-9]*'))::INTEGER ELSE -1 END AS first_at, CASE WHEN regexp_matches(source, '[0-9]') THEN 3 ELSE -1 END AS last_at FROM documents")
 def _(spark, d):
     t = table(spark, d, "documents")
     path = F.concat(F.lit("/data/"), F.when(F.col("source") == "src1", "Bordeaux").when(F.col("source") == "src2", "PINOT_NOIR").otherwise("x"))

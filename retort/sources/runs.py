@@ -61,7 +61,7 @@ def read_paired_columns(spark: SparkSession, path: str, header: str = r"^(Tr|Ab)
     named = heads.join(first, F.col("_row") == F.col("_head")).select("col", "_head", F.regexp_extract("cell", header, 1).alias("kind"), F.regexp_extract("cell", header, 2).alias("id"))
     named = named.withColumn("_n", F.row_number().over(Window.partitionBy("kind", "id").orderBy("col"))).withColumn("_m", F.count("*").over(Window.partitionBy("kind", "id")))
     named = named.withColumn("sample_id", F.when(F.lit(average), F.regexp_replace("id", r"-\d+$", "")).when(F.col("_m") > 1, F.concat("id", F.lit("-"), F.col("_n"))).otherwise(F.col("id")))
-    body = cells.join(F.broadcast(named), "col").where("_row > _head").withColumn("v", F.expr("try_cast(cell AS DOUBLE)"))  # one row for each column of a file
+    body = cells.join(named, "col").where("_row > _head").withColumn("v", F.expr("try_cast(cell AS DOUBLE)"))
     pair = body.groupBy("sample_id", "id", "_n", "_row").agg(F.max(F.when(F.col("kind") == "Tr", F.col("v"))).alias("rt"), F.max(F.when(F.col("kind") == "Ab", F.col("v"))).alias("value")).where("rt IS NOT NULL OR value IS NOT NULL")
     k = F.row_number().over(Window.partitionBy("sample_id", "id", "_n").orderBy("_row")) - 1
     out = pair.withColumn("scan_idx", k)

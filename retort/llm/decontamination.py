@@ -32,7 +32,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 def _words(texts: pa.Array) -> Words:
     """Words in lower case and without marks, so that punctuation and case don't count as edits."""
-    return split_words(pc.replace_substring_regex(pc.fill_null(texts, ""), r"[^\pL\pN\s]+", ""), lower=True)
+    return split_words(pc.utf8_lower(pc.replace_substring_regex(pc.fill_null(texts, ""), r"[^\pL\pN\s]+", "")))
 
 
 def _windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,17 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-One pass over the documents notes where a word n-gram of a test item occurs and keeps
-the passage around it. The counts of those n-grams over all documents tell which are
-rare: of every few consecutive n-grams of an item, the rarest that occurs at all is a
-seed. Seeds join passages to items, and each joined pair is aligned word by word. A copy
-that is exact holds all seeds of its item, however common it is; an edited one holds
-some. Test items are taken in blocks of bounded size, of which only the n-gram hashes are
-broadcast.
+"""Benchmark decontamination: word n-gram and rare-word seeds, then Smith-Waterman alignment.
+
+One pass over the documents, in which each task aligns its own texts with the test items.
+Every n-gram of an item that a text holds is a seed. A copy at the limit that shares no
+n-gram has at most n - 1 equal words on end, so it must hold so many words of the item
+that one of the item's few rarest words is among them; those are seeds too. Which words
+are rare is counted in the texts at hand and only sets how many passages are tried.
+Passages that reach as far from a seed as an alignment at the limit can are dropped if
+their words cannot reach the limit in any order, and aligned word by word otherwise. So
+the result is that of aligning every document with every item. Test items are taken in
+blocks of bounded size, which are broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,10 @@ from pyspark.sql import functions as F
 from retort.llm.scratch import written
 from retort.llm.words import Words, slices, split_words, window_hashes
 
-#: n-grams of test items that one block may hold; 8 bytes of each are broadcast.
+#: Words of test items that one block may hold; about 30 bytes of each are broadcast.
 BLOCK_GRAMS = 1 << 21
-#: Of so many consecutive n-grams of an item one becomes a seed.
-SEED_EVERY = 4
+#: Seed hits, and places of alignment tables, that are worked on at once.
+CHUNK = 1 << 20
 #: Alignment scores of a word that is equal, replaced, or missing on one side.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -35,96 +38,177 @@ def _words(texts: pa.Array) -> Words:
     return split_words(pc.utf8_lower(pc.replace_substring_regex(pc.fill_null(texts, ""), r"[^\pL\pN\s]+", "")))
 
 
-def _windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the n-grams that lie within one text."""
-    hashes = window_hashes(words.hashes(), n)
-    ends = np.repeat(words.bounds[1:], np.diff(words.bounds))[: len(hashes)]
-    places = np.flatnonzero(np.arange(len(hashes)) + n <= ends)
-    return hashes[places], places
-
-
-def item_grams(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, words, n_words, grams) of the test items."""
+def item_words(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, words, n_words) of the test items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = _words(part.column("text"))
-                hashes, places = _windows(words, n)
-                owner = np.searchsorted(words.bounds, places, side="right") - 1
-                bounds = np.searchsorted(owner, np.arange(len(part) + 1))
                 names = words.distinct.to_pylist()
                 text = [" ".join(names[c] for c in words.codes[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("item_id"), pa.array(text), pa.array(np.diff(words.bounds)), pa.array([hashes[a:b].view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.list_(pa.int64()))],
-                    ["item_id", "words", "n_words", "grams"],
-                )
-
-    return benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, "item_id long, words string, n_words long, grams array<long>")
-
-
-def _noter(wanted, n: int, reach: int):
-    """Finds n-grams of items in documents: passages of words around hits that lie within reach of each other."""
+                yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array(text, pa.string()), pa.array(np.diff(words.bounds))], ["item_id", "words", "n_words"])
+
+    return benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, "item_id long, words string, n_words long")
+
+
+class Items(NamedTuple):
+    """A block of test items: item i is ``codes[bounds[i]:bounds[i + 1]]``, numbers of words in ``vocabulary``."""
+
+    ids: list[int | None]
+    bounds: np.ndarray
+    codes: np.ndarray
+    vocabulary: pa.Array
+    #: Sorted distinct n-grams, and the items of n-gram g: owners[starts[g]:starts[g + 1]].
+    grams: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
+    #: Least score of a copy, words of a text it may span, and rarest words of which a copy without a common n-gram holds one.
+    least: np.ndarray
+    span: np.ndarray
+    rare: np.ndarray
+
+
+def _listed(keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, starts, items): the distinct items of each key lie together."""
+    order = np.lexsort((items, keys))
+    keys, items = keys[order], items[order]
+    new = np.r_[True, (np.diff(keys.view(np.int64)) != 0) | (np.diff(items) != 0)][: len(keys)]
+    keys, items = keys[new], items[new]
+    found, starts = np.unique(keys, return_index=True)
+    return found, np.r_[starts, len(keys)], items
+
+
+def prepared(rows: list[tuple[int | None, str]], n: int, similarity: float, long_score: int) -> Items:
+    """The items of (item_id, words) rows, each of at least ``n`` words."""
+    texts = split_words(pa.array([w for _, w in rows], pa.string()))
+    bounds, codes = texts.bounds, texts.codes
+    size = np.diff(bounds)
+    ends = np.repeat(bounds[1:], size)
+    hashes = window_hashes(codes.astype(np.uint64), n)
+    at = np.flatnonzero(np.arange(len(hashes)) + n <= ends[: len(hashes)])
+    least = np.maximum(1, np.ceil(np.minimum(MATCH * size * similarity, long_score) - 1e-9)).astype(np.int64)
+    # Of m equal words without n on end at least m / (n - 1) - 1 edits part the stretches, so the score is at most m (2 - 1 / (n - 1)) + 1.
+    few = -(-least // MATCH)
+    if n > 1:
+        few = np.maximum(few, -(-(least - 1) * (n - 1) // (2 * n - 3)))
+    rare = np.maximum(0, size - few + 1) if n > 1 else np.zeros(len(size), np.int64)
+    return Items([i for i, _ in rows], bounds, codes, texts.distinct, *_listed(hashes[at], np.searchsorted(bounds, at, side="right") - 1), least, size + np.maximum(0, MATCH * size - least), rare)
+
+
+def _expanded(places: np.ndarray, key: np.ndarray, starts: np.ndarray, owners: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, items): each place with each item of its key, about ``CHUNK`` at a time."""
+    many = starts[key + 1] - starts[key]
+    for own in np.split(np.arange(len(places)), np.flatnonzero(np.diff(np.cumsum(many) // CHUNK)) + 1):
+        if len(own):
+            each = np.repeat(own, many[own])
+            nth = np.arange(len(each)) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
+            yield places[each], owners[starts[key[each]] + nth]
+
+
+def _seeds(items: Items, n: int, code: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, items): where the texts hold n-grams or rare words of items; ``ends`` is where a place's text ends."""
+    known = code >= 0
+    whole = known[: max(0, len(code) - n + 1)].copy()
+    for k in range(1, n):
+        whole &= known[k : k + len(whole)]
+    place = np.flatnonzero(whole)
+    place = place[place + n <= ends[place]]
+    if len(place) and len(items.grams):
+        hashes = window_hashes(np.maximum(code, 0).astype(np.uint64), n)[place]
+        at = np.minimum(np.searchsorted(items.grams, hashes), len(items.grams) - 1)
+        hit = items.grams[at] == hashes
+        yield from _expanded(place[hit], at[hit], items.starts, items.owners)
+    seen = np.bincount(code[known], minlength=len(items.vocabulary))
+    owner = np.repeat(np.arange(len(items.ids)), np.diff(items.bounds))
+    order = np.lexsort((seen[items.codes], owner))
+    rare = order[np.arange(len(order)) - items.bounds[owner] < items.rare[owner]]
+    words, starts, owners = _listed(items.codes[rare], owner[rare])
+    number = np.full(len(items.vocabulary) + 1, -1)
+    number[words] = np.arange(len(words))
+    place = np.flatnonzero(number[code] >= 0)
+    yield from _expanded(place, number[code[place]], starts, owners)
+
+
+def _best_sum(gains: np.ndarray) -> np.ndarray:
+    """The largest sum of consecutive values of each row, 0 at the least."""
+    sums = np.pad(np.cumsum(gains, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
+    return (sums - np.minimum.accumulate(sums, axis=1)).max(1)
+
+
+def _finder(wanted, n: int):
+    """Aligns documents with items: the best alignment of each passage that reaches the least score of its item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = wanted.value
-        mask = np.uint64((1 << 20) - 1)
-        table = np.zeros(1 << 20, bool)
-        table[(grams & mask).astype(np.int64)] = True
+        items = wanted.value
+        local = np.full(len(items.vocabulary) + 1, -1, np.int32)
         for batch in batches:
             for part in slices(batch, "text"):
-                words = _words(part.column("text"))
-                hashes, places = _windows(words, n)
-                maybe = np.flatnonzero(table[(hashes & mask).astype(np.int64)])
-                at = np.searchsorted(grams, hashes[maybe])
-                maybe = maybe[grams[np.minimum(at, len(grams) - 1)] == hashes[maybe]] if len(grams) else maybe[:0]
-                rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "words", "grams")}
-                if len(maybe):
-                    place, names, ids = places[maybe], words.distinct, part.column("doc_id").to_pylist()
-                    owner = np.searchsorted(words.bounds, place, side="right") - 1
-                    cut = np.flatnonzero((np.diff(owner) > 0) | (np.diff(place) > reach)) + 1
-                    for group in np.split(np.arange(len(place)), cut):
-                        doc, first, last = owner[group[0]], place[group[0]], place[group[-1]]
-                        a, b = max(words.bounds[doc], first - reach), min(words.bounds[doc + 1], last + n + reach)
-                        rows["doc_id"].append(ids[doc])
-                        rows["start"].append(int(a - words.bounds[doc]))
-                        rows["words"].append(" ".join(names.take(pa.array(words.codes[a:b])).to_pylist()))
-                        rows["grams"].append(np.unique(hashes[maybe[group]]).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["start"], pa.int64()), pa.array(rows["words"], pa.string()), pa.array(rows["grams"], pa.list_(pa.int64()))], ["doc_id", "start", "words", "grams"]
-                )
+                words, rows = _words(part.column("text")), []
+                code = pc.fill_null(pc.index_in(words.distinct, value_set=items.vocabulary), -1).to_numpy().astype(np.int64)[words.codes]
+                text = np.repeat(np.arange(len(part)), np.diff(words.bounds))
+                ids = part.column("doc_id").to_pylist()
+                for place, item in _seeds(items, n, code, words.bounds[1:][text]):
+                    order = np.lexsort((place, item))
+                    place, item = place[order], item[order]
+                    span = items.span[item]
+                    new = np.r_[True, (np.diff(item) > 0) | (np.diff(text[place]) != 0) | (np.diff(place) > 2 * span[1:])][: len(place)]
+                    first, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(place)] - 1
+                    begin = np.maximum(words.bounds[text[place[first]]], place[first] - span[first])
+                    end = np.minimum(words.bounds[text[place[first]] + 1], place[last] + span[first])
+                    for own in np.split(np.arange(len(first)), np.flatnonzero(np.diff(item[first])) + 1):
+                        if not len(own):
+                            continue
+                        i = item[first[own[0]]]
+                        mine, inverse = np.unique(items.codes[items.bounds[i] : items.bounds[i + 1]], return_inverse=True)
+                        local[mine] = np.arange(len(mine))
+                        own = own[np.argsort(end[own] - begin[own], kind="stable")]
+                        while len(own):
+                            size = end[own] - begin[own]
+                            some = max(1, int(np.searchsorted(size * np.arange(1, len(own) + 1), CHUNK, side="right")))
+                            now, size, own = own[:some], size[:some], own[some:]
+                            offset = np.arange(size[-1])
+                            at = begin[now][:, None] + offset
+                            passage = np.where(offset < size[:, None], local[code[np.minimum(at, len(code) - 1)]], -1)
+                            held = np.zeros((some, len(mine) + 1), bool)
+                            held[np.arange(some)[:, None], passage] = True
+                            bound = np.minimum(_best_sum(np.where(passage >= 0, MATCH, MISMATCH)), _best_sum(np.where(held[:, inverse], MATCH, MISMATCH)))
+                            left = np.flatnonzero(bound >= items.least[i])
+                            score, stop = align_all(inverse, passage[left])
+                            for k in np.flatnonzero(score >= items.least[i]):
+                                a = begin[now[left[k]]]
+                                rows.append((ids[text[a]], items.ids[i], len(inverse), int(score[k]), int(a - words.bounds[text[a]] + stop[k])))
+                        local[mine] = -1
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["doc_id", "item_id", "item_words", "score", "end_word"])
 
     return run
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
-    """(score, end): the best local alignment of two sequences of word numbers, and where it ends in the passage.
+def align_all(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ends): the best local alignment of word numbers with each row of ``passages``, and where it ends in the row.
 
-    A row of the table is a vector: gaps along the row are a running maximum of the
-    scores raised by their place.
+    Numbers of no word of the item match nothing. A row of each table is a vector: gaps
+    along it are a running maximum of the scores raised by their place.
     """
-    steps = np.arange(len(passage)) * -GAP
-    row, best, end = np.zeros(len(passage), np.int64), 0, 0
-    for word in item:
-        diagonal = np.r_[0, row[:-1]] + np.where(passage == word, MATCH, MISMATCH)
-        row = np.maximum(np.maximum(diagonal, row + GAP), 0)
-        row = np.maximum.accumulate(row + steps) - steps
-        k = int(row.argmax()) if len(row) else 0
-        if len(row) and row[k] > best:
-            best, end = int(row[k]), k + 1
+    steps = np.arange(passages.shape[1], dtype=np.int32) * -GAP
+    row = np.zeros(passages.shape, np.int32)
+    best, end = np.zeros(len(passages), np.int32), np.zeros(len(passages), np.int64)
+    for word in item if passages.size else ():
+        diagonal = np.where(passages == word, np.int32(MATCH), np.int32(MISMATCH))
+        diagonal[:, 1:] += row[:, :-1]
+        row = np.maximum(np.maximum(diagonal, row + np.int32(GAP)), 0)
+        row = np.maximum.accumulate(row + steps, axis=1) - steps
+        k = row.argmax(1)
+        top = row[np.arange(len(row)), k]
+        end = np.where(top > best, k + 1, end)
+        best = np.maximum(best, top)
     return best, end
 
 
-def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        score, ends = [], []
-        for a, b in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist(), strict=True):
-            number = {w: k for k, w in enumerate(dict.fromkeys(a.split(" ")))}
-            best, end = align(np.array([number[w] for w in a.split(" ")]), np.array([number.get(w, -1) for w in b.split(" ")]))
-            score.append(best)
-            ends.append(end)
-        end_word = pc.add(batch.column("start"), pa.array(ends, pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), batch.column("n_words"), pa.array(score, pa.int64()), end_word], ["doc_id", "item_id", "item_words", "score", "end_word"])
+def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
+    """:func:`align_all` for one passage."""
+    best, end = align_all(item, passage[None])
+    return int(best[0]), int(end[0])
 
 
 def contaminated(
@@ -142,24 +226,16 @@ def contaminated(
     give an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    items = written(item_grams(benchmark, n, item_id_col, item_text_col), "items")
-    size = items.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("grams"), F.coalesce(F.max("n_words"), F.lit(0)).alias("words")).collect()[0]
+    items = written(item_words(benchmark, item_id_col, item_text_col).where(F.col("n_words") >= n), "items")
+    size = items.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).collect()[0]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    blocks = max(1, -(-size.grams // BLOCK_GRAMS))
+    blocks = max(1, -(-size.words // BLOCK_GRAMS))
     found = None
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == block)
-        hashes = own.select(F.explode("grams").alias("g")).distinct().toPandas()["g"].to_numpy(np.int64)
-        wanted = spark.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))
-        passages = written(texts.mapInArrow(_noter(wanted, n, size.words + size.words // 2), "doc_id long, start long, words string, grams array<long>"), "passages")
-        hits = passages.select("doc_id", "start", F.explode("grams").alias("gram"))
-        # Rows of one document are merged by task first, so a gram that all documents hold is a short sum.
-        df = hits.groupBy("gram").agg(F.count("*").alias("df"))
-        places = own.select("item_id", F.posexplode("grams").alias("place", "gram")).join(df, "gram")
-        seeds = places.groupBy("item_id", F.expr(f"place div {SEED_EVERY}").alias("stretch")).agg(F.min_by("gram", F.struct("df", "place")).alias("gram")).select("item_id", "gram").distinct()
-        pairs = hits.join(seeds, "gram").select("doc_id", "start", "item_id").distinct()
-        both = pairs.join(passages.select("doc_id", "start", "words"), ["doc_id", "start"]).join(own.select("item_id", "n_words", F.col("words").alias("item")), "item_id")
-        aligned = both.select("doc_id", "start", "words", "item_id", "n_words", "item").mapInArrow(_aligner, "doc_id long, item_id long, item_words long, score long, end_word long")
+        own = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == block).distinct()
+        rows = [(r.item_id, r.words) for r in own.select("item_id", "words").collect()]
+        wanted = spark.sparkContext.broadcast(prepared(rows, n, similarity, long_score))
+        aligned = texts.mapInArrow(_finder(wanted, n), "doc_id long, item_id long, item_words long, score long, end_word long")
         found = aligned if found is None else found.unionByName(aligned)
     best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("item_words", "score", "end_word"), F.struct("score", -F.col("end_word"))).alias("b")).select("doc_id", "item_id", "b.*")
     best = best.withColumn("similarity", F.col("score") / (MATCH * F.col("item_words")))

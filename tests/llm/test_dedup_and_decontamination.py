@@ -117,3 +117,40 @@ def test_empty_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(docs, none).collect() == [] and D.contaminated(docs.limit(0), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).collect() == []
+
+
+def decontaminated_brute(docs, items, similarity=0.5):
+    found = {}
+    for i, t in docs:
+        for j, u in items:
+            a, b = t.split(), u.split()
+            if len(b) >= 3 and (s := align_brute(b, a)) >= similarity * 2 * len(b):
+                found[i, j] = s
+    return found
+
+
+@pytest.mark.parametrize("block", [1 << 21, 60])
+def test_exact_and_edited_copies_as_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK_GRAMS", block)
+    r = random.Random(8)
+    word = lambda: f"v{int(r.paretovariate(0.4)) % 900}"
+    items = [(k, " ".join(word() for _ in range(r.choice((4, 9, 15, 25))))) for k in range(12)] + [(50, " ".join(f"u{k}" for k in range(25)))]
+    docs = [(k, " ".join(word() for _ in range(50))) for k in range(20)]
+    for k, (_, t) in enumerate(items):
+        docs.append((100 + k, t))
+        for e in range(6):
+            w = t.split()
+            for at in r.sample(range(len(w)), min(len(w) - 1, e + 1)):
+                w[at] = r.choice((f"edit{r.randrange(999)}", f"{w[at]} more{r.randrange(999)}", ""))
+            docs.append((1000 + 10 * k + e, " ".join([word() for _ in range(9)] + w + [word() for _ in range(9)])))
+    broken = items[-1][1].split()
+    for at in (5, 13, 20):
+        broken[at] = "other"
+    # No three words on end are left of these two.
+    parted = " ".join(f"{w} x{k}" if k % 2 else w for k, w in enumerate(items[-1][1].split()))
+    thirds = " ".join("y" if k % 3 == 2 else w for k, w in enumerate(items[-1][1].split()))
+    docs += [(300, " ".join(broken)), (301, "a b c " + parted), (302, thirds + " a b")]
+    want = decontaminated_brute(docs, items)
+    assert {(300, 50): 41, (301, 50): 38, (302, 50): 26}.items() <= want.items()
+    got = {(x.doc_id, x.item_id): x.score for x in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want

@@ -14,6 +14,7 @@ borders, after which blocks decode alone. So no transcript has to fit in one tas
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,11 +49,17 @@ def line_symbol(line: Column, before: Column) -> Column:
 
 
 def as_lines(turns: DataFrame) -> DataFrame:
-    """(conv_id, block, turn, k, line, symbol, role): the lines of (conv_id, turn, role, text) rows; a null text is empty."""
+    """(conv_id, block, turn, k, line, symbol, role): the lines of (conv_id, turn, role, text) rows; a null text is empty.
+
+    A row's first line follows the last line of the conversation's row before it, so that
+    the symbols do not show where rows begin; only a conversation's first line has none before.
+    """
     each = turns.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    each = each.select("conv_id", F.expr(f"turn div {BLOCK_TURNS}").alias("block"), "turn", "role", "_lines", F.posexplode("_lines").alias("k", "line"))
-    before = F.when(F.col("k") > 0, F.element_at("_lines", F.col("k")))
-    return each.select("conv_id", "block", "turn", "k", "line", line_symbol(F.col("line"), before).alias("symbol"), "role")
+    each = each.select("conv_id", F.expr(f"turn div {BLOCK_TURNS}").alias("block"), "turn", "role", F.posexplode("_lines").alias("k", "line"))
+    each = each.withColumn("_before", F.expr("lag(line) OVER (PARTITION BY conv_id, block ORDER BY turn, k, line)"))
+    ends = each.groupBy("conv_id", "block").agg(F.max_by("line", F.struct("turn", "k", "line")).alias("_end"))
+    ends = ends.select("conv_id", "block", F.expr("lag(_end) OVER (PARTITION BY conv_id ORDER BY block)").alias("_end"))
+    return each.join(ends, ["conv_id", "block"]).select("conv_id", "block", "turn", "k", "line", line_symbol(F.col("line"), F.coalesce("_before", "_end")).alias("symbol"), "role")
 
 
 def fit(lines: DataFrame) -> np.ndarray:
@@ -195,11 +202,13 @@ def canonical_turns(decoded: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn_no", "role", "n_lines", F.coalesce("n_right", F.lit(0)).alias("n_right"), F.concat(F.lit("<|"), "role", F.lit("|>\n"), content, F.lit("\n<|end|>")).alias("rendered"))
 
 
-def format_chats(turns: DataFrame, model: np.ndarray | None = None) -> DataFrame:
+def format_chats(turns: DataFrame, model: np.ndarray | None = None, folds: int = 1) -> DataFrame:
     """Canonical turns of transcripts given as (conv_id, turn, text[, role]) rows in the order of ``turn``.
 
     What ``turn`` parts need not be a speaker's turn; the model decides where turns begin.
-    Without a ``model`` one is fitted on the rows' roles. Null texts are empty lines,
+    Without a ``model`` one is fitted on the rows' roles; with ``folds`` above 1 each hash
+    fold of conversations is decoded by a model fitted on the other folds, so that
+    ``n_right`` counts on conversations the model has not seen. Null texts are empty lines,
     null or unknown roles are not fitted on, rows with a null conv_id form one transcript
     and a null turn counts as -1. Of repeated (conv_id, turn) rows all lines are kept, in
     the order of their line numbers. An empty table gives an empty result; extra columns
@@ -209,7 +218,13 @@ def format_chats(turns: DataFrame, model: np.ndarray | None = None) -> DataFrame
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), role.alias("role"), "text")
     rows = rows.withColumn("conv_id", F.coalesce("conv_id", F.lit(-(1 << 62))))
     lines = written(as_lines(rows), "lines")
-    out = canonical_turns(decode(lines, fit(lines) if model is None else model))
+    if model is None and folds > 1:
+        fold = F.pmod(F.xxhash64("conv_id"), F.lit(folds))
+        parts = [decode(lines.where(fold == k), fit(lines.where(fold != k))) for k in range(folds)]
+        decoded = reduce(DataFrame.unionByName, parts)
+    else:
+        decoded = decode(lines, fit(lines) if model is None else model)
+    out = canonical_turns(decoded)
     return out.withColumn("conv_id", F.when(F.col("conv_id") != -(1 << 62), F.col("conv_id")))
 
 
@@ -222,5 +237,5 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``conversations`` as transcripts, parsed back into turns."""
-    return format_chats(transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    """All ``conversations`` as transcripts, parsed back into turns by models that were fitted on other conversations."""
+    return format_chats(transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")), folds=2)

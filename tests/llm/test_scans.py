@@ -96,3 +96,27 @@ def test_chats_in_blocks_and_odd_rows(spark, monkeypatch):
     assert sorted(map(str, C.format_chats(turns).collect())) == one
     assert any("<|user|>\\nq?\\n<|end|>" in x for x in one) and any("< |x|>" in x for x in one)
     assert C.format_chats(turns.limit(0)).collect() == []
+
+
+def test_symbols_do_not_show_where_rows_begin(spark, monkeypatch):
+    texts = ["User: why?", "Assistant: so\n\nand so", "plain\n", "after a blank", "more\nlines"]
+    rows = [(c, t, None, x) for c in (1, 2) for t, x in enumerate(texts)] + [(c, 0, None, "\n".join(texts)) for c in (11, 12)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for block in (512, 2):
+        monkeypatch.setattr(C, "BLOCK_TURNS", block)
+        seen = {}
+        for x in sorted(C.as_lines(turns).collect(), key=lambda x: (x.conv_id, x.turn, x.k)):
+            seen.setdefault(x.conv_id, []).append(x.symbol)
+        assert seen[1] == seen[2] == seen[11] == seen[12]
+        assert [x % 2 for x in seen[1]] == [1, 0, 0, 1, 0, 0, 1, 0, 0]
+
+
+def test_folds_are_decoded_by_the_others_model(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(C, "fit", lambda lines, own=C.fit: fitted.append({r.conv_id for r in lines.select("conv_id").distinct().collect()}) or own(lines))
+    decoded = []
+    monkeypatch.setattr(C, "decode", lambda lines, model, own=C.decode: decoded.append({r.conv_id for r in lines.select("conv_id").distinct().collect()}) or own(lines, model))
+    rows = [(c, t, ("user", "assistant")[t % 2], ("User: q?", "Assistant: a long answer\nwith lines")[t % 2]) for c in range(12) for t in range(4)]
+    got = C.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), folds=2).collect()
+    assert len(fitted) == len(decoded) == 2 and set.union(*decoded) == set(range(12)) and all(f and f == set(range(12)) - d for f, d in zip(fitted, decoded, strict=True))
+    assert len(got) == 48 and all(x.n_right == x.n_lines for x in got)

@@ -28,6 +28,8 @@ from retort.llm.words import slices
 
 #: Ids that are packed together, in windows.
 BATCH_WINDOWS = 256
+#: Items from which on a batch is packed as soon as it fills a window, so that short texts don't pile up.
+BATCH_ITEMS = 1 << 16
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -37,42 +39,45 @@ def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
 
     Ties go to the item that comes first. A partition is a vector of loads less its
     smallest one; merging adds one vector to the other reversed. Only imbalances are
-    kept in the heap, and the members of a window are linked lists.
+    kept in the heap, and the members of a window are linked lists. Empty windows come
+    first in a vector and are not stored, and an item alone is not stored at all, so all
+    partitions together hold no more places than there are items.
     """
     n = len(sizes)
     if windows <= 1 or n == 0:
         return np.zeros(n, np.int64)
-    loads: list[np.ndarray | None] = []
-    heads: list[np.ndarray] = []
     after = np.full(n, -1, np.int64)
-    tails: list[np.ndarray] = []
-    heap: list[tuple[int, int]] = []
-    for k, s in enumerate(sizes):
-        load = np.zeros(windows, np.int64)
-        load[-1] = s
-        head = np.full(windows, -1, np.int64)
-        head[-1] = k
-        loads.append(load)
-        heads.append(head)
-        tails.append(head.copy())
-        heap.append((-int(s), k))
+    merged: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # loads, first and last items
+    heap = [(-int(s), k) for k, s in enumerate(sizes)]
     heapq.heapify(heap)
+
+    def taken(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return merged.pop(k, None) or (np.array([sizes[k]], np.int64), np.array([k]), np.array([k]))
+
     while len(heap) > 1:
         _, a = heapq.heappop(heap)
         _, b = heapq.heappop(heap)
-        load = loads[a] + loads[b][::-1]
-        head_b, tail_b = heads[b][::-1], tails[b][::-1]
-        joins = np.flatnonzero((tails[a] >= 0) & (head_b >= 0))
-        after[tails[a][joins]] = head_b[joins]
-        head = np.where(heads[a] >= 0, heads[a], head_b)
-        tail = np.where(tail_b >= 0, tail_b, tails[a])
+        one, other = taken(a), [x[::-1] for x in taken(b)]
+        used = len(one[0]) + len(other[0])
+        if used <= windows:
+            load, head, tail = (np.concatenate([y, x]) for x, y in zip(one, other, strict=True))
+        else:
+            front, back = windows - len(one[0]), windows - len(other[0])
+            (load_a, head_a, tail_a), (load_b, head_b, tail_b) = ([np.pad(x, w, constant_values=0 if k == 0 else -1) for k, x in enumerate(xs)] for xs, w in ((one, (front, 0)), (other, (0, back))))
+            load = load_a + load_b
+            joins = np.flatnonzero((tail_a >= 0) & (head_b >= 0))
+            after[tail_a[joins]] = head_b[joins]
+            head = np.where(head_a >= 0, head_a, head_b)
+            tail = np.where(tail_b >= 0, tail_b, tail_a)
         order = np.argsort(load, kind="stable")
         load = load[order]
-        loads[a], heads[a], tails[a] = load - load[0], head[order], tail[order]
-        loads[b] = None
-        heapq.heappush(heap, (-int(loads[a][-1]), a))
+        if used >= windows:
+            load -= load[0]
+        merged[a] = load, head[order], tail[order]
+        heapq.heappush(heap, (-int(load[-1]), a))
     out = np.zeros(n, np.int64)
-    for w, k in enumerate(heads[heap[0][1]]):
+    heads = taken(heap[0][1])[1]
+    for w, k in enumerate(heads, windows - len(heads)):
         while k >= 0:
             out[k] = w
             k = after[k]
@@ -181,7 +186,7 @@ def pack(
                     begins.append(0)
                     totals.append(int(b - a))
                     held += int(b - a)
-                    if held >= BATCH_WINDOWS * capacity:
+                    if held >= BATCH_WINDOWS * capacity or (len(names) >= BATCH_ITEMS and held >= capacity):
                         yield from packed(False)
         yield from packed(True)
 

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -105,3 +106,20 @@ def test_packed_pieces(spark, coder):
     whole = b"".join(bytes(x.ids) for x in sorted(rows, key=lambda x: x.start) if x.doc_id == 5)
     assert list(np.frombuffer(whole, "<u4")) == plain(coder, TEXTS[5], 2)
     assert P.pack(docs.limit(0)).collect() == []
+
+
+def test_differencing_holds_no_empty_windows():
+    sizes = np.random.default_rng(1).integers(1, 3, 40_000)
+    tracemalloc.start()
+    load = np.bincount(P.difference(sizes, 200), sizes, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert load.max() - load.min() <= 1 and peak < 40e6
+
+
+def test_a_million_empty_texts_in_one_partition(spark):
+    docs = spark.range(0, 10**6, 1, 1).selectExpr("id doc_id", "if(id % 2 = 0, '', null) text")
+    got = P.pack(docs, 4096, 2, with_ids=False).groupBy("sequence_id").agg({"length": "sum", "offset": "max", "doc_id": "count"}).collect()
+    load = [r["sum(length)"] for r in got]
+    assert sum(load) == 10**6 and max(load) <= 4096 and len(load) == -(-(10**6) // 4096)
+    assert all(r["count(doc_id)"] == r["sum(length)"] == r["max(offset)"] + 1 for r in got)

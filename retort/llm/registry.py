@@ -23,6 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_license_digests": licenses.ORACLE,
-    "op8_seeded_alignment_decontamination": decontamination.query,
     "op9_extendible_sharding": sharding.ORACLE,
 }

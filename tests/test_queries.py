@@ -23,7 +23,8 @@ def plain(frame):
     def one(v):
         if v is None or v != v:
             return ""
-        return f"{float(v) + 0.0:.6g}" if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "fiu" else str(v)
+        kind = getattr(getattr(v, "dtype", None), "kind", "")
+        return f"{float(v) + 0.0:.6g}" if isinstance(v, (int, float)) or (kind and kind in "fiu") else str(v)
 
     return sorted(tuple(map(one, r)) for r in frame[sorted(frame.columns)].itertuples(index=False, name=None))
 

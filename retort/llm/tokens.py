@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,12 @@ from retort.llm.words import slices, split_words
 #: Words that a worker remembers at most; the older half goes when there are more.
 REMEMBERED = 400_000
 
-# Letters that lower-casing and canonical composition leave as they are, then marks.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+# Letters that lower-casing and canonical composition leave as they are, and marks that may follow them.
+_PLAIN_LETTERS = "".join(map(chr, (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))))
+_LETTERS = "^[a-zß-öø-ÿ]+$"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Writers of so many ids.
+_PACKERS = [struct.Struct(f"<{n}I") for n in range(32)]
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,31 +73,57 @@ class Encoder:
     def _model(self, word: str) -> bytes:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
-
-    def _part(self, part: str) -> bytes:
-        found = self.new.get(part) or self.old.get(part)
-        if found is None:
-            found = self._model(part)
-        self.new[part] = found
+        ids = [t.id for t in self.model.tokenize(word)]
+        return _PACKERS[len(ids)].pack(*ids) if len(ids) < len(_PACKERS) else np.array(ids, "<u4").tobytes()
+
+    def _known(self, words: list[str], encode: Callable[[str], bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit integers, from memory or by ``encode``."""
+        found = list(map(self.new.get, words))
+        for k, ids in enumerate(found):
+            if ids is None:
+                word = words[k]
+                ids = self.old.get(word)
+                if ids is None:
+                    ids = encode(word)
+                if len(self.new) > REMEMBERED // 2:
+                    self.old, self.new = self.new, {}
+                self.new[word] = found[k] = ids
         return found
 
-    def word(self, word: str) -> bytes:
-        """The ids of one word as little-endian 32-bit integers."""
-        if (found := self.new.get(word)) is not None:
-            return found
-        if (found := self.old.get(word)) is None:
-            plain = _PLAIN.fullmatch(word) if self.straight else None
-            if plain is None or plain[2] and any(s in word for s in self.specials):
-                found = self._slow(word)
-            elif plain[2]:
-                return self._part(plain[1]) + self._part(plain[2])
-            else:
-                found = self._model(word)
-        if len(self.new) > REMEMBERED // 2:
-            self.old, self.new = self.new, {}
-        self.new[word] = found
-        return found
+    def _straight(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(bounds, ids) of words: plain ones as letters, then marks, each part encoded once; others whole."""
+        letters = pc.utf8_rtrim(distinct, _MARKS)
+        size = pc.binary_length(letters)
+        plain = pc.match_substring_regex(letters, _LETTERS)
+        marked = pc.greater(pc.binary_length(distinct), size)
+        for special in self.specials:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(distinct, special)))
+        plain = plain.to_numpy(zero_copy_only=False)
+        marked = marked.to_numpy(zero_copy_only=False) & plain
+        stems = letters.dictionary_encode()
+        stem_of = stems.indices.to_numpy()
+        used = np.unique(stem_of[plain])
+        parts = self._known(stems.dictionary.take(pa.array(used)).to_pylist(), self._model)
+        tails, ends = np.zeros(0, np.int64), pa.array([], pa.string())
+        if marked.any():
+            some = pa.array(marked)
+            coded = pc.utf8_ltrim(distinct.filter(some), _PLAIN_LETTERS).dictionary_encode()
+            tails, ends = coded.indices.to_numpy(), coded.dictionary
+        first_end = len(parts)
+        parts = parts + self._known(ends.to_pylist(), self._model)
+        first_whole = len(parts)
+        parts = parts + self._known(distinct.filter(pa.array(~plain)).to_pylist(), self._slow)
+        # Every word is one or two of the parts.
+        one = np.zeros(len(distinct), np.int64)
+        one[plain] = np.searchsorted(used, stem_of[plain])
+        one[~plain] = first_whole + np.arange(len(parts) - first_whole)
+        two = np.full(len(distinct), -1, np.int64)
+        two[marked] = first_end + tails
+        order = np.stack([one, two], 1).ravel()
+        order = order[order >= 0]
+        bounds, ids = _laid_out(parts, order)
+        n_parts = 1 + (two >= 0)
+        return bounds[np.r_[0, np.cumsum(n_parts)]], ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(bounds, ids): the ids of text i are ``ids[bounds[i]:bounds[i + 1]]``; a null text has none."""
@@ -101,15 +132,28 @@ class Encoder:
             return np.r_[0, np.cumsum([len(e) for e in each])].astype(np.int64), np.concatenate([np.zeros(0, np.uint32), *each])
         fold = self.straight and not any(pc.any(pc.match_substring(texts, s[:2])).as_py() for s in self.specials)
         words = split_words(texts, lower=fold)
-        known = [self.word(w) for w in words.distinct.to_pylist()]
-        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        store, first = np.frombuffer(b"".join(known), "<u4"), np.r_[0, np.cumsum(length)[:-1]].astype(np.int64)
-        n = length[words.codes] if len(known) else np.zeros(0, np.int64)
-        ends = np.r_[0, np.cumsum(n)]
-        if not ends[-1]:
-            return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint32)
-        at = np.repeat(first[words.codes] - ends[:-1], n) + np.arange(ends[-1])
-        return ends[words.bounds], store[at]
+        if self.straight:
+            bounds, store = self._straight(words.distinct)
+        else:
+            bounds, store = _laid_out(self._known(words.distinct.to_pylist(), self._slow), np.arange(len(words.distinct)))
+        begins, ids = _gathered(bounds, store, words.codes)
+        return begins[words.bounds], ids
+
+
+def _gathered(bounds: np.ndarray, store: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``store`` one after the other in the given order, and where each begins."""
+    n = np.diff(bounds)[order] if len(order) else np.zeros(0, np.int64)
+    ends = np.r_[0, np.cumsum(n)]
+    if not ends[-1]:
+        return ends, np.zeros(0, np.uint32)
+    at = np.repeat(bounds[:-1][order] - ends[:-1], n) + np.arange(ends[-1])
+    return ends, store[at]
+
+
+def _laid_out(parts: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_gathered` of parts given as bytes."""
+    length = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    return _gathered(np.r_[0, np.cumsum(length)], np.frombuffer(b"".join(parts), "<u4"), order)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -1,8 +1,8 @@
 """Quality classifier over supervised subword embeddings.
 
-A text is the average of learned vectors of its words, word pairs, word pairs of equal
-words at a distance of one to three (whatever the word), and the character n-grams of
-each word between boundary marks, all hashed into a fixed number of buckets; a softmax over that average gives the class. Vectors and softmax are trained together by
+A text is the average of learned vectors of its words, word pairs, and the character
+n-grams of each word between boundary marks, all hashed into a fixed number of buckets; a
+softmax over that average gives the class. Vectors and softmax are trained together by
 stochastic gradient descent in numpy, in one task, on a bounded sample of labelled rows.
 Scoring reads whole texts in parallel: as average and softmax input are linear, each
 bucket is reduced to one number per class before the model is broadcast, so a text
@@ -28,8 +28,6 @@ BUCKETS = 1 << 16
 DIMENSION = 8
 #: Lengths in bytes of the character n-grams.
 NGRAMS = (3, 4)
-#: Distances at which equal words make a pair of their own kind.
-ECHOES = 3
 #: Bytes of text that are turned into features at once.
 SLICE_BYTES = 4 << 20
 #: Steps of gradient descent, at least; passes over the sample follow from it.
@@ -38,7 +36,7 @@ RATE = 0.5
 
 
 class Features(NamedTuple):
-    """Buckets of some texts' features: by distinct word (its n-grams and itself), and for each place those of its pairs (or -1)."""
+    """Buckets of some texts' features: by distinct word (its n-grams and itself), and for each place that of its pair (or -1)."""
 
     bounds: np.ndarray
     codes: np.ndarray
@@ -69,14 +67,10 @@ def featurize(texts: pa.Array) -> Features:
     order = np.argsort(of, kind="stable")
     bucket = (mix(values[order]) % np.uint64(BUCKETS)).astype(np.int64)
     n = len(words.codes)
-    pairs = np.full((n, 1 + ECHOES), -1, np.int64)
-    left = np.repeat(words.bounds[1:], np.diff(words.bounds)) - np.arange(n)  # words from here to the text's end
+    pairs = np.full(n, -1, np.int64)
     if n > 1:
-        pairs[:-1, 0] = (window_hashes(word_hash, 2) % np.uint64(BUCKETS)).astype(np.int64)
-        pairs[left < 2, 0] = -1
-    for lag in range(1, ECHOES + 1):
-        equal = np.flatnonzero((words.codes[: max(0, n - lag)] == words.codes[lag:]) & (left[: max(0, n - lag)] > lag))
-        pairs[equal, lag] = int(mix(np.array([lag], np.uint64))[0] % np.uint64(BUCKETS))
+        pairs[:-1] = (window_hashes(word_hash, 2) % np.uint64(BUCKETS)).astype(np.int64)
+        pairs[words.bounds[1:][np.diff(words.bounds) > 0] - 1] = -1  # a text's last word has no pair
     return Features(words.bounds, words.codes, np.searchsorted(of[order], np.arange(len(marked) + 1)), bucket, pairs)
 
 
@@ -171,8 +165,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
                 sums = np.r_[0, np.cumsum(lean[f.word_buckets])]
                 by_word, n_word = np.diff(sums[f.word_bounds]), np.diff(f.word_bounds)
                 has_pair = f.pair_buckets >= 0
-                total = np.r_[0, np.cumsum(by_word[f.codes] + np.where(has_pair, lean[f.pair_buckets], 0).sum(1))]
-                n = np.r_[0, np.cumsum(n_word[f.codes] + has_pair.sum(1))]
+                total = np.r_[0, np.cumsum(by_word[f.codes] + np.where(has_pair, lean[f.pair_buckets], 0))]
+                n = np.r_[0, np.cumsum(n_word[f.codes] + has_pair)]
                 mean = np.diff(total[f.bounds]) / np.maximum(1, np.diff(n[f.bounds]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(mean + bias, -60, 60))))], ["doc_id", "score"])
 

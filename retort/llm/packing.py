@@ -5,16 +5,17 @@ ids. What fills whole windows by itself is cut off first. The rests are the item
 multiway differencing: every item starts as a partition of its own, and the two
 partitions with the largest imbalance are merged, the fullest window of one with the
 emptiest of the other, until one partition is left whose windows are nearly equal. The
-window count starts at what capacity asks for. Where a window still exceeds capacity its
-overhang is cut off and fills the gaps of others, which needs few cuts because the
-windows are nearly equal; with ``cut=False`` no document is cut and the window count
-rises until all fit.
+window count starts at what capacity asks for and rises whenever a window exceeds it,
+until all rests fit uncut. With ``cut=True`` the windows that the count rose by are then
+taken apart again, the emptiest ones, and their items fill the gaps of the others, whole
+where they fit and cut where they don't.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,10 @@ from retort.llm.words import slices
 BATCH_WINDOWS = 256
 #: Items from which on a batch is packed as soon as it fills a window, so that short texts don't pile up.
 BATCH_ITEMS = 1 << 16
+#: Ids that the windows of a batch leave free on average, at least, so that not every small gap has to be filled.
+SLACK = 4
+#: A batch leaves at most so many of its last items to the next one, to come close to that.
+LAST_ITEMS = 64
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -85,40 +90,51 @@ def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
 
 
 def fill(sizes: np.ndarray, capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, begin, length); no item is longer than ``capacity``, each of its ids is in one window."""
-    total = int(sizes.sum())
-    count = max(1, -(-total // capacity)) if len(sizes) else 0
-    while count:
+    """Windows of (item, begin, length); no item is longer than ``capacity``, each of its ids is in one window.
+
+    The count rises by as many windows as the overhang fills, at least by one.
+    """
+    if not len(sizes):
+        return []
+    least = count = -(-int(sizes.sum()) // capacity)
+    while True:
         window = difference(sizes, count)
-        over = np.bincount(window, sizes, count).max() - capacity
-        if cut or over <= 0:
+        load = np.bincount(window, sizes, count).astype(np.int64)
+        over = int(np.maximum(0, load - capacity).sum())
+        if not over:
             break
-        count += 1
-    members: list[list[tuple[int, int, int]]] = [[] for _ in range(count)]
-    load = [0] * count
-    hanging: list[tuple[int, int, int]] = []
-    for k in np.argsort(-sizes, kind="stable") if count else []:
-        w, n = int(window[k]), int(sizes[k])
-        fits = min(n, capacity - load[w])
-        if fits:
-            members[w].append((int(k), 0, fits))
-            load[w] += fits
-        if fits < n:
-            hanging.append((int(k), fits, n - fits))
-    gaps = sorted((w for w in range(count) if load[w] < capacity), key=lambda w: (load[w], w))
-    while hanging:
-        k, begin, n = hanging.pop()
-        fit = next((w for w in reversed(gaps) if capacity - load[w] >= n), gaps[-1])
-        part = min(n, capacity - load[fit])
-        members[fit].append((k, begin, part))
-        load[fit] += part
-        if load[fit] == capacity:
-            gaps.remove(fit)
-        if part < n:
-            hanging.append((k, begin + part, n - part))
+        count += -(-over // capacity)
+    full = np.argsort(-load, kind="stable")
+    kept = full[: least if cut else np.count_nonzero(load)]
+    place = np.full(count, -1)
+    place[kept] = np.arange(len(kept))
+    members: list[list[tuple[int, int, int]]] = [[] for _ in kept]
+    for k in np.flatnonzero(place[window] >= 0):
+        members[place[window[k]]].append((int(k), 0, int(sizes[k])))
+    loose = np.flatnonzero(place[window] < 0)
+    gaps = sorted((capacity - int(load[w]), int(place[w])) for w in kept if load[w] < capacity)
+    for k in loose[np.argsort(-sizes[loose], kind="stable")]:
+        begin, left = 0, int(sizes[k])
+        while left:
+            free, w = gaps.pop(min(bisect_left(gaps, (left, -1)), len(gaps) - 1))
+            part = min(free, left)
+            members[w].append((int(k), begin, part))
+            begin, left = begin + part, left - part
+            if part < free:
+                insort(gaps, (free - part, w))
     return members
 
 
+def left_over(sizes: np.ndarray, capacity: int) -> int:
+    """How many of the last items are best left to the next batch: what the others' windows leave free comes closest to SLACK each."""
+    totals = np.cumsum(sizes)[::-1][: min(LAST_ITEMS, len(sizes))]
+    if not len(totals):
+        return 0
+    windows = -(-totals // capacity)
+    free = windows * capacity - totals
+    return int(np.argmin(np.where(free < SLACK * windows, free + capacity, free) / windows))
+
+
 def pack(
     docs: DataFrame, capacity: int = 4096, end_id: int = 2, tokenizer_path: str | None = None, cut: bool = True, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -127,11 +143,11 @@ def pack(
     One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset (gapless within the sequence), and with ``with_ids`` the piece's ids.
     Windows are formed within the input's partitions, so nothing is shuffled; each task
-    leaves at most one window that is not full. With ``cut=False`` documents longer than
-    ``capacity`` are still cut into whole windows and a rest.
+    leaves at most one window that is not nearly full. With ``cut=False`` documents longer
+    than ``capacity`` are still cut into whole windows and a rest.
 
     A null or empty text is its end id alone. Rows with one doc_id are separate
-    documents. An empty table gives an empty result; extra columns are not read.
+    documents; a null doc_id stays null. An empty table gives an empty result; extra columns are not read.
     """
     path = tokenizer_path or default_path()
 
@@ -144,7 +160,7 @@ def pack(
         held = 0
 
         def packed(last: bool) -> Iterator[pa.RecordBatch]:
-            """Cut whole windows off long items, then fill windows; the ids beyond whole windows wait for more."""
+            """Cut whole windows off long items, then fill windows; a few last items may wait for more."""
             nonlocal sequence, names, texts, begins, totals, held
             rows: list[tuple] = []
             whole = [(k, begin, capacity) for k, t in enumerate(texts) for begin in range(0, len(t) // capacity * capacity, capacity)]
@@ -152,15 +168,9 @@ def pack(
             base = np.array([len(t) // capacity * capacity for t in texts], np.int64)
             sizes = np.array([len(t) for t in texts], np.int64) - base
             items = np.flatnonzero(sizes)
-            rest: list[tuple[int, int]] = []
-            spare = 0 if last or not cut else int(sizes.sum()) % capacity
-            while spare:  # what comes last in the batch waits
-                k = items[-1]
-                part = min(spare, int(sizes[k]))
-                sizes[k] -= part
-                rest.append((int(k), int(base[k] + sizes[k])))
-                spare -= part
-                items = items[:-1] if not sizes[k] else items
+            late = 0 if last else left_over(sizes[items], capacity)
+            rest = [(int(k), int(base[k])) for k in items[len(items) - late :]]
+            items = items[: len(items) - late]
             for members in fill(sizes[items], capacity, cut):
                 windows.append([(int(items[k]), int(base[items[k]]) + begin, n) for k, begin, n in members])
             for members in windows:
@@ -170,7 +180,6 @@ def pack(
                     rows.append((names[k], begins[k] + begin, n, zlib.crc32(raw), totals[k], sequence, offset, raw if with_ids else None))
                     offset += n
                 sequence += 1
-            rest.reverse()
             waiting = [(names[k], texts[k][begin:], begins[k] + begin, totals[k]) for k, begin in rest]
             names, texts, begins, totals = ([w[i] for w in waiting] for i in range(4))
             held = sum(len(t) for t in texts)

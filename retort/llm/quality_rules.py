@@ -1,12 +1,14 @@
 """Quality rules whose cutoffs carry a bound on false rejection.
 
-Each rule is a statistic of a whole text. Labelled documents are dealt into two folds:
-the first proposes cutoffs, the second, the holdout, tests them. A rule's cutoff in a
-stratum is accepted if the number of good holdout documents that it would reject is so
-small that, with an exact binomial tail, a true false-rejection rate of ``risk`` or more
-has a probability of at most ``error`` / (number of tests). The correction counts every
-rule, stratum and candidate cutoff, so all accepted cutoffs hold together. Of the
-accepted cutoffs a rule uses the strictest; without one it rejects nothing.
+Each rule is a share taken from a whole text. Labelled documents are dealt into two folds:
+the first proposes, for each stratum, a ladder of cutoff sets from lenient to strict, one
+cutoff for each rule; the second, the holdout, tests the ladder from its lenient end. A
+set is accepted if the number of good holdout documents that *any* of its rules rejects is
+so small that, with an exact binomial tail, a true joint false-rejection rate of ``risk``
+or more has a probability of at most ``error`` / (number of strata). The first set that
+fails ends the stratum's ladder (a fixed sequence, which needs no correction within the
+ladder), so with probability 1 - ``error`` the accepted sets of all strata hold together.
+The strictest accepted set is used; without one no rule rejects anything.
 
 Only DataFrame functions are used. Everything about a text is computed in its own row,
 so texts are never shuffled.
@@ -14,7 +16,7 @@ so texts are never shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retort.llm.scratch import written
@@ -25,33 +27,40 @@ SYMBOLS = "#*$%&|<>"
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaim", "n_upper")
 
-#: Shares of words (or of lines, or of letters) that the rules test; a document is rejected above a cutoff.
+#: Shares from 0 to 1 that the rules test; a document is rejected above a cutoff.
 RULES = {
-    "symbol_share": "n_symbols / n_words",
+    "symbol_share": "n_symbols / word_chars",
     "repeat_share": "n_repeat_words / n_words",
     "duplicate_line_share": "n_dup_lines / greatest(n_lines, 1)",
-    "exclamation_share": "n_exclaim / n_words",
+    "exclamation_share": "n_exclaim / word_chars",
     "upper_share": "n_upper / word_chars",
 }
-#: Quantiles of the good documents in the proposing fold that become candidate cutoffs.
-QUANTILES = (0.99, 0.995, 0.999, 1.0)
+#: Shares are rounded up to one of so many values, which bounds what percentiles have to hold.
+GRID = 10_000
+#: The ladder: so much above the largest share of a good document in the proposing fold, then its quantiles.
+ABOVE = (0.2, 0.1, 0.05, 0.02, 0.0)
+QUANTILES = (0.999, 0.995)
+#: Columns that :func:`quality_rules` adds.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
+_NONE = "\x02"
 
 
-def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_exclaim and n_upper.
+def _row(docs: DataFrame, columns: list[str]) -> Column:
+    """The columns as one struct, so that helper columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
 
-    ``docs`` must not have columns of these names. A null text counts as an empty one.
-    Three-word windows are compared by a 64-bit hash, which within one text of a million
-    words errs with a chance of 3e-8.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.expr(r"filter(split(_text, '[ \\t-\\r]+'), w -> w != '')")
+
+def _fields(columns: list[str]) -> list[Column]:
+    return [F.col("_row").getField(c).alias(c) for c in columns]
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Replaces ``_text`` by the struct ``_s`` of STATISTICS."""
     gone = lambda chars: F.length("_text") - F.length(F.translate("_text", chars, ""))
-    step = docs.withColumn("_text", text).withColumn("_words", words)
+    step = rows.withColumn("_text", F.coalesce("_text", F.lit(""))).withColumn("_words", F.expr(r"filter(split(_text, '[ \\t-\\r]+'), w -> w != '')"))
     step = step.withColumn("n_words", F.size("_words").cast("long"))
     step = step.withColumn("_windows", F.expr("CASE WHEN n_words < 3 THEN array() ELSE transform(sequence(0, int(n_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) END"))
-    step = step.withColumn("_sorted", F.sort_array("_windows"))
-    step = step.withColumn("_again", F.expr("size(_sorted) > size(array_distinct(_sorted))"))
+    step = step.withColumn("_again", F.expr("size(_windows) > size(array_distinct(_windows))"))
     # Windows beside an equal one in the order of (hash, place); a place is covered by itself and the two before it.
     step = step.withColumn("_placed", F.expr("CASE WHEN _again THEN sort_array(transform(_windows, (h, i) -> struct(h, i))) ELSE array() END"))
     step = step.withColumn(
@@ -67,40 +76,62 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.withColumn("n_exclaim", gone("!").cast("long"))
     step = step.withColumn("n_upper", gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"))
     # A generator of one row keeps later filters from being pushed below, which would repeat all of the above in them.
-    one = F.explode(F.array(F.struct(*[F.col(c) for c in STATISTICS]))).alias("_stats")
-    return step.select(*[F.col(f"`{c}`") for c in docs.columns], one).select(*[F.col(f"`{c}`") for c in docs.columns], "_stats.*")
+    own = [c for c in rows.columns if c != "_text"]
+    return step.select(*own, F.explode(F.array(F.struct(*[F.col(c) for c in STATISTICS]))).alias("_s"))
+
+
+def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_exclaim and n_upper.
+
+    They replace columns of ``docs`` that have these names; other columns stay as they
+    are, whatever their names. A null text counts as an empty one. Three-word windows are
+    compared by a 64-bit hash, which within one text of a million words errs with a
+    chance of 3e-8.
+    """
+    carried = [c for c in docs.columns if c not in STATISTICS]
+    rows = docs.select(_row(docs, docs.columns), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    return _counted(rows).select(*_fields(carried), "_s.*")
 
 
 def shares(stats: DataFrame) -> DataFrame:
-    """Adds the rules' statistics; they are 0 for a text without words."""
-    return stats.withColumns({name: F.expr(f"CASE WHEN n_words > 0 THEN {rule} ELSE 0D END") for name, rule in RULES.items()})
+    """Adds the rules' shares, rounded up to the grid; they are 0 for a text without words."""
+    return stats.withColumns({name: F.expr(f"CASE WHEN n_words > 0 THEN ceil({rule} * {GRID}) / {GRID}D ELSE 0D END") for name, rule in RULES.items()})
+
 
+def _lookup(frame: DataFrame, value: str) -> DataFrame:
+    """One row with the map ``_by`` from stratum to ``value``; strata, rules and steps of the ladder bound its size."""
+    return frame.agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("stratum", F.lit(_NONE)), F.col(value)))).alias("_by"))
 
-def _long_form(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES])).alias("_r")).select(*keys, "_r.rule", "_r.value")
 
+def _own(stratum: str) -> Column:
+    return F.element_at("_by", F.coalesce(F.col(stratum), F.lit(_NONE)))
 
-def risk_cutoffs(labelled: DataFrame, stratum: str, risk: float = 0.01, error: float = 0.05) -> DataFrame:
-    """(stratum, rule, cutoff) from (stratum, good, holdout, the rules' statistics).
 
-    ``good`` and ``holdout`` are booleans. The largest number k of false rejections that
-    a stratum with n good holdout documents may have is the largest with
-    P(Bin(n, risk) <= k) <= error / tests; its terms are summed in logarithms, so that
-    large n do not underflow.
+def ladders(proposing: DataFrame) -> DataFrame:
+    """(stratum, ladder) from (stratum, the rules' shares) of good documents: cutoff sets from lenient to strict."""
+    points = ", ".join(map(str, (1.0, *QUANTILES)))
+    held = proposing.groupBy("stratum").agg(*[F.expr(f"percentile({r}, array({points}))").alias(r) for r in RULES])
+    steps = [[F.col(r)[0] + F.lit(x) for r in RULES] for x in ABOVE] + [[F.col(r)[k + 1] for r in RULES] for k in range(len(QUANTILES))]
+    return held.select("stratum", F.array(*[F.array(*step) for step in steps]).alias("ladder"))
+
+
+def risk_cutoffs(labelled: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
+    """(stratum, cutoffs, steps, n, rejected) from (stratum, holdout, the rules' shares) of good documents.
+
+    ``cutoffs`` is the strictest accepted set, in the order of RULES, or null, ``steps``
+    its place on the ladder (0: none), ``n`` the stratum's good holdout documents and
+    ``rejected`` how many of them the set rejects. Only counts by stratum are shuffled.
     """
-    long = _long_form(labelled.where("good").withColumn("stratum", F.col(stratum)), "stratum", "holdout")
-    # Good documents only, counted by value: one row for each (stratum, fold, rule, value).
-    counted = long.groupBy("stratum", "holdout", "rule", "value").agg(F.count("*").alias("n"))
-    proposed = counted.where("NOT holdout").groupBy("stratum", "rule").agg(F.expr(f"array_distinct(percentile(value, array{QUANTILES}, n))").alias("cutoffs"))
-    proposed = proposed.select("stratum", "rule", F.explode("cutoffs").alias("cutoff"))
-    tests = proposed.agg(F.count("*").alias("tests"))
-    tested = (
-        counted.where("holdout").join(proposed, ["stratum", "rule"]).groupBy("stratum", "rule", "cutoff")
-        .agg(F.sum("n").alias("n"), F.sum(F.expr("CASE WHEN value > cutoff THEN n ELSE 0 END")).alias("rejected"))
-    )
-    limit = tested.select("stratum", "n").distinct().crossJoin(tests).withColumn("allowed", F.expr(_largest_allowed(risk, error)))
-    good = tested.join(limit.select("stratum", "n", "allowed"), ["stratum", "n"]).where("rejected <= allowed")
-    return good.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    ladder = written(ladders(labelled.where("NOT holdout")), "ladders")
+    known = labelled.where("holdout").crossJoin(_lookup(ladder, "ladder")).withColumn("_ladder", _own("stratum")).where("_ladder IS NOT NULL")
+    hit = lambda k: F.expr(" OR ".join(f"{r} > _ladder[{k}][{j}]" for j, r in enumerate(RULES))).cast("long")
+    n_steps = len(ABOVE) + len(QUANTILES)
+    tested = known.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[F.sum(hit(k)) for k in range(n_steps)]).alias("counts"))
+    tests = ladder.agg(F.count("*").alias("tests"))
+    limit = tested.crossJoin(tests).withColumn("allowed", F.expr(_largest_allowed(risk, error)))
+    steps = F.expr("aggregate(counts, struct(0 AS steps, true AS on), (s, c) -> struct(s.steps + int(s.on AND c <= allowed) AS steps, s.on AND c <= allowed AS on), s -> s.steps)")
+    found = limit.withColumn("steps", steps).crossJoin(_lookup(ladder, "ladder"))
+    return found.select("stratum", F.when(F.col("steps") > 0, F.get(_own("stratum"), F.col("steps") - 1)).alias("cutoffs"), "steps", "n", F.when(F.col("steps") > 0, F.get("counts", F.col("steps") - 1)).alias("rejected"))
 
 
 def _largest_allowed(risk: float, error: float) -> str:
@@ -122,45 +153,56 @@ def _largest_allowed(risk: float, error: float) -> str:
     )
 
 
-def apply_cutoffs(stats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
-    """Adds ``rejected_by``, the rules that reject a row; ``cutoffs`` has a few rows for each stratum.
-
-    The cutoffs become one map, looked up in place: strata times rules bound its size.
-    """
-    table = cutoffs.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x01", F.coalesce("stratum", F.lit("\x02")), "rule"), F.col("cutoff")))).alias("_cutoffs"))
-    at = lambda r: F.element_at("_cutoffs", F.concat_ws("\x01", F.coalesce(F.col(stratum), F.lit("\x02")), F.lit(r)))
-    hits = [F.when(F.col(r) > at(r), F.lit(r)) for r in RULES]
-    return stats.crossJoin(table).withColumn("rejected_by", F.array_compact(F.array(*hits))).drop("_cutoffs")
+def holdout_fold() -> str:
+    """SQL for the holdout: three quarters of the labelled rows, by crc32 of doc_id."""
+    return "crc32(cast(doc_id AS string)) % 4 <> 0"
 
 
-def holdout_fold() -> str:
-    """SQL for the holdout: labelled rows whose crc32 of doc_id leaves an odd remainder by 4."""
-    return "crc32(cast(doc_id AS string)) % 2 = 1"
+def _judged(docs: DataFrame, labels: DataFrame, stratum: str, risk: float, error: float, columns: list[str]) -> DataFrame:
+    """(_row, _s, base_failed, rejected_by, kept) of every document; ``_row`` holds ``columns``."""
+    rows = docs.select(_row(docs, columns), F.col("doc_id").alias("_id"), F.col(stratum).cast("string").alias("_stratum"), F.col("text").cast("string").alias("_text"))
+    stats = shares(_counted(rows).select("_row", "_id", "_stratum", "_s", "_s.*"))
+    stats = stats.select("_row", "_id", "_stratum", "_s", *RULES, F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words").alias("base_failed"))
+    stats = written(stats, "statistics")
+    truth = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good")).where("good")
+    known = stats.where("NOT base_failed").select(F.col("_id").alias("doc_id"), F.struct(F.col("_stratum").alias("stratum"), *RULES).alias("v")).join(truth, "doc_id")
+    once = known.groupBy("doc_id").agg(F.min("v").alias("v")).select(F.expr(holdout_fold()).alias("holdout"), "v.*")
+    cutoffs = written(risk_cutoffs(written(once, "labelled"), risk, error).where("cutoffs IS NOT NULL"), "cutoffs")
+    hits = [F.when(F.col(r) > F.get(_own("_stratum"), F.lit(j)), F.lit(r)) for j, r in enumerate(RULES)]
+    out = stats.crossJoin(_lookup(cutoffs, "cutoffs")).withColumn("rejected_by", F.array_compact(F.array(*hits)))
+    return out.select("_row", "_s", "base_failed", "rejected_by", F.expr("NOT base_failed AND size(rejected_by) = 0").alias("kept"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, error: float = 0.05, columns: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, error: float = 0.05, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all, unless given) with the base statistics, base_failed, rejected_by and kept.
 
     base_failed: fewer than 50 words, or more than half of them in repeated three-word
     windows. kept: not base_failed, and rejected by no rule. Documents that base_failed
-    take no part in choosing cutoffs. A null or unknown stratum is a stratum of its own,
-    where rules without cutoffs reject nothing; so do empty or missing labels. A doc_id
-    with several labels counts as good if one says so.
+    take no part in choosing cutoffs. In each stratum the rules together reject good
+    documents at a rate below ``risk``, in all strata at once with probability
+    1 - ``error``.
+
+    A null stratum is a stratum of its own; where a stratum has too few labels to prove a
+    set of cutoffs, or none, its rules reject nothing. A doc_id with several labels counts
+    as good if one says so; rows with one doc_id are judged each and count as one labelled
+    document; a null doc_id has no label. Null and empty texts fail the base rule. An
+    empty table gives an empty result. Columns of ``docs`` that have the name of an added
+    one (ADDED) are replaced by it; :func:`kept_documents` leaves all columns alone.
 
     The statistics are computed once and written to the shared folder with ``columns``;
     labels are joined with the narrow columns of that table, so no text is shuffled.
     """
     carried = list(docs.columns) if columns is None else columns
-    stats = shares(text_statistics(docs)).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-    stats = written(stats.select(*[F.col(f"`{c}`") for c in carried], *STATISTICS, *RULES, "base_failed"), "statistics")
-    truth = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good")).where("good")
-    known = stats.where("NOT base_failed").select("doc_id", stratum, *RULES).join(truth, "doc_id").withColumn("holdout", F.expr(holdout_fold()))
-    cutoffs = risk_cutoffs(known.select(stratum, "good", "holdout", *RULES), stratum, risk, error)
-    out = apply_cutoffs(stats, cutoffs, stratum)
-    return out.withColumn("kept", F.expr("NOT base_failed AND size(rejected_by) = 0")).drop(*RULES, "n_lines", "n_exclaim", "n_upper")
+    out = _judged(docs, labels, stratum, risk, error, carried)
+    return out.select(*_fields([c for c in carried if c not in ADDED]), *[F.col("_s").getField(c).alias(c) for c in ADDED[:5]], *ADDED[5:])
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, error: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with their columns as they are."""
+    return _judged(docs, labels, stratum, risk, error, list(docs.columns)).where("kept").select(*_fields(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules over all ``documents``, their cutoffs from ``labels``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return quality_rules(docs, labels, columns=["doc_id", "lang"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "rejected_by").alias("rejected_by"))
+    return quality_rules(docs, labels, columns=["doc_id"]).select("doc_id", *ADDED[:6], "kept", F.concat_ws(",", "rejected_by").alias("rejected_by"))

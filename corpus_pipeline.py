@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from retort.llm.decontamination import contaminated
 from retort.llm.near_dedup import without_near_duplicates
 from retort.llm.packing import pack
-from retort.llm.quality_rules import quality_rules
+from retort.llm.quality_rules import kept_documents
 from retort.llm.scratch import written
 from retort.llm.secret_scan import redact_secrets
 
@@ -22,7 +22,7 @@ from retort.llm.secret_scan import redact_secrets
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the risk-controlled cutoffs keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(docs, labels).where("kept").select(*docs.columns)
+    return kept_documents(docs, labels)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

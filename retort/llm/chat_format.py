@@ -1,7 +1,9 @@
 """Transcripts to canonical chat turns: a hidden Markov model recovers who speaks.
 
-A transcript is lines in order. Each line shows a symbol: its speaker marker, if any, its
-length class, whether it ends in a question mark and whether the line before is blank.
+A transcript is one text of lines in order, given in one row or, as it may be long, in
+several; where rows begin plays no part. Each line shows a symbol: its speaker marker, if
+any, its length class, whether it ends in a question mark and whether the line before is
+blank.
 The hidden state is a role and whether the line opens a turn. Transitions and symbols are
 counted on labelled transcripts; the Viterbi path gives roles and turns, which are
 rendered in one form.
@@ -26,8 +28,8 @@ from retort.llm.scratch import written
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # 2 * role, plus 1 for lines that go on
-#: Turns whose lines are decoded together.
-BLOCK_TURNS = 512
+#: Lines that are decoded together.
+BLOCK_LINES = 1024
 
 # Speaker markers at the start of a line.
 MARKERS = {
@@ -48,18 +50,41 @@ def line_symbol(line: Column, before: Column) -> Column:
     return ((marker * (1 + len(LENGTHS)) + size) * 2 + asks) * 2 + blank
 
 
+def ordered_rows(turns: DataFrame) -> DataFrame:
+    """Rows in the order of each transcript: conv_id, part, role, lines, from (conv_id, turn, role, text), and what stands before.
+
+    Rows are sorted by (conv_id, turn, hash of the text) over all tasks, so that a long
+    transcript spans several parts; ``first`` is the number of its first line within the
+    transcript. ``before`` has the last line, the role and whether it has several lines
+    of the row before it, and is null for a transcript's first row.
+    """
+    rows = turns.select("conv_id", "turn", "role", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_id"))
+    order = ["conv_id", "turn", "_hash", "_id"]
+    rows = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "rows")
+    own = F.struct(F.element_at("lines", -1).alias("line"), "role", (F.size("lines") > 1).alias("long"))
+    parts = rows.groupBy("conv_id", "part").agg(F.sum(F.size("lines")).alias("_lines"), F.max_by(own, F.struct(*order[1:])).alias("_last"))
+    over = "OVER (PARTITION BY conv_id ORDER BY part"
+    parts = parts.select("conv_id", "part", F.expr(f"coalesce(sum(_lines) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_earlier"), F.expr(f"lag(_last) {over})").alias("_above"))
+    over = "OVER (PARTITION BY conv_id, part ORDER BY turn, _hash, _id"
+    rows = rows.withColumn("_own", own).withColumn("_before", F.expr(f"lag(_own) {over})")).withColumn("_inside", F.expr(f"coalesce(sum(size(lines)) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    return rows.join(parts, ["conv_id", "part"]).select("conv_id", "turn", "role", "lines", (F.col("_earlier") + F.col("_inside")).alias("first"), F.coalesce("_before", "_above").alias("before"))
+
+
 def as_lines(turns: DataFrame) -> DataFrame:
-    """(conv_id, block, turn, k, line, symbol, role): the lines of (conv_id, turn, role, text) rows; a null text is empty.
+    """(conv_id, block, n, turn, k, line, symbol, role, before_role, before_inner): the lines of (conv_id, turn, role, text) rows.
 
-    A row's first line follows the last line of the conversation's row before it, so that
-    the symbols do not show where rows begin; only a conversation's first line has none before.
+    ``n`` counts the lines of a transcript, and a block is BLOCK_LINES of them, so neither
+    blocks nor symbols show where rows begin. A line's role is its row's, ``k`` its place
+    there; ``before_role`` and ``before_inner`` tell the row of the line before it and
+    whether that line goes on within its row.
     """
-    each = turns.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    each = each.select("conv_id", F.expr(f"turn div {BLOCK_TURNS}").alias("block"), "turn", "role", F.posexplode("_lines").alias("k", "line"))
-    each = each.withColumn("_before", F.expr("lag(line) OVER (PARTITION BY conv_id, block ORDER BY turn, k, line)"))
-    ends = each.groupBy("conv_id", "block").agg(F.max_by("line", F.struct("turn", "k", "line")).alias("_end"))
-    ends = ends.select("conv_id", "block", F.expr("lag(_end) OVER (PARTITION BY conv_id ORDER BY block)").alias("_end"))
-    return each.join(ends, ["conv_id", "block"]).select("conv_id", "block", "turn", "k", "line", line_symbol(F.col("line"), F.coalesce("_before", "_end")).alias("symbol"), "role")
+    each = ordered_rows(turns).select("conv_id", "first", "turn", "role", "before", "lines", F.posexplode("lines").alias("k", "line"))
+    above = F.when(F.col("k") > 0, F.expr("lines[k - 1]")).otherwise(F.col("before.line"))
+    n = F.col("first") + F.col("k")
+    return each.select(
+        "conv_id", F.floor(n / BLOCK_LINES).cast("long").alias("block"), n.cast("long").alias("n"), "turn", "k", "line", line_symbol(F.col("line"), above).alias("symbol"), "role",
+        F.when(F.col("k") > 0, F.col("role")).otherwise(F.col("before.role")).alias("before_role"), F.when(F.col("k") > 0, F.col("k") > 1).otherwise(F.col("before.long")).alias("before_inner"),
+    )
 
 
 def fit(lines: DataFrame) -> np.ndarray:
@@ -67,24 +92,17 @@ def fit(lines: DataFrame) -> np.ndarray:
 
     ``lines`` has roles. Only counts by state and symbol, a fixed number, reach the driver.
     """
-    role = F.expr("CASE role " + " ".join(f"WHEN '{r}' THEN {k}" for k, r in enumerate(ROLES)) + " END")
-    known = lines.withColumn("_r", role).where("_r IS NOT NULL").withColumn("state", F.col("_r") * 2 + (F.col("k") > 0).cast("int"))
-    seen = np.ones((STATES, SYMBOLS))
-    for r in known.groupBy("state", "symbol").count().collect():
-        seen[r.state, r.symbol] += r["count"]
-    # A turn's lines follow each other; its first follows the last of the turn before it.
-    step = np.ones((STATES, STATES))
-    inner = known.where("k > 0").groupBy("_r", (F.col("k") == 1).alias("second")).count().collect()
-    for r in inner:
-        step[2 * r._r + (0 if r.second else 1), 2 * r._r + 1] += r["count"]
-    turns = known.groupBy("conv_id", "turn").agg(F.first("_r").alias("_r"), F.max("k").alias("last"))
-    follows = turns.alias("a").join(turns.alias("b"), F.expr("a.conv_id = b.conv_id AND a.turn + 1 = b.turn"))
-    for r in follows.groupBy(F.col("a._r").alias("x"), (F.col("a.last") > 0).alias("long"), F.col("b._r").alias("y")).count().collect():
-        step[2 * r.x + int(r.long), 2 * r.y] += r["count"]
+    number = lambda c: F.expr(f"CASE {c} " + " ".join(f"WHEN '{r}' THEN {k}" for k, r in enumerate(ROLES)) + " END")
+    known = lines.select("n", "symbol", (number("role") * 2 + (F.col("k") > 0).cast("int")).alias("state"), (number("before_role") * 2 + F.col("before_inner").cast("int")).alias("old")).where("state IS NOT NULL")
+    seen, step = np.ones((STATES, SYMBOLS)), np.ones((STATES, STATES))
     first = np.full(STATES, 1e-9)
     first[::2] = 1
-    for r in turns.where("turn = 0").groupBy("_r").count().collect():
-        first[2 * r._r] += r["count"]
+    for r in known.groupBy("state", "symbol", "old", (F.col("n") == 0).alias("opening")).count().collect():
+        seen[r.state, r.symbol] += r["count"]
+        if r.opening:
+            first[r.state] += r["count"]
+        elif r.old is not None:
+            step[r.old, r.state] += r["count"]
     return np.log(np.c_[first / first.sum(), step / step.sum(1, keepdims=True), seen / seen.sum(1, keepdims=True)])
 
 
@@ -150,7 +168,7 @@ def _chainer(model: np.ndarray):
 
 
 _MATRIX = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("matrix", pa.list_(pa.float64())), ("opening", pa.list_(pa.float64()))])
-_LINE = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("turn", pa.int64()), ("k", pa.int32()), ("line", pa.string()), ("role", pa.string()), ("state", pa.int32())])
+_LINE = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("line", pa.string()), ("role", pa.string()), ("state", pa.int32())])
 
 
 def decode(lines: DataFrame, model: np.ndarray) -> DataFrame:
@@ -168,26 +186,27 @@ def decode(lines: DataFrame, model: np.ndarray) -> DataFrame:
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, keys):
             path = viterbi(model, run["symbol"].to_numpy(), int(run["enter"].iloc[0]), int(run["leave"].iloc[0]))
-            yield pa.RecordBatch.from_pandas(run[["conv_id", "block", "turn", "k", "line", "role"]].assign(state=path.astype(np.int32)), _LINE, preserve_index=False)
+            yield pa.RecordBatch.from_pandas(run[["conv_id", "block", "n", "line", "role"]].assign(state=path.astype(np.int32)), _LINE, preserve_index=False)
 
     long = lines.groupBy("conv_id").agg(F.max("block").alias("most"), F.min("block").alias("least")).where("most > least").select("conv_id")
-    dealt = lines.join(long, "conv_id", "left_semi").select("conv_id", "block", "turn", "k", "symbol").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "k")
+    dealt = lines.join(long, "conv_id", "left_semi").select("conv_id", "block", "n", "symbol").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "n")
     chain = dealt.mapInArrow(matrices, "conv_id long, block long, matrix array<double>, opening array<double>").groupBy("conv_id").applyInPandas(_chainer(model), "conv_id long, block long, enter long, leave long")
-    placed = lines.join(chain, ["conv_id", "block"], "left").fillna(-1, ["enter", "leave"]).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "k")
-    return placed.mapInArrow(paths, "conv_id long, block long, turn long, k int, line string, role string, state int")
+    placed = lines.select("conv_id", "block", "n", "line", "role", "symbol").join(chain, ["conv_id", "block"], "left").fillna(-1, ["enter", "leave"]).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "n")
+    return placed.mapInArrow(paths, "conv_id long, block long, n long, line string, role string, state int")
 
 
 def canonical_turns(decoded: DataFrame) -> DataFrame:
     """(conv_id, turn_no, role, n_lines, n_right, rendered): turns as recovered, each in canonical form.
 
     ``n_right`` counts the lines whose labelled role is the recovered one. Markers are
-    taken off, and a text's own ``<|`` is parted so that it cannot pass for a tag.
+    taken off, and a text's own ``<|`` is parted so that it cannot pass for a tag. A turn
+    is one row, so it has to fit in one, as any text does.
     """
     decoded = written(decoded, "decoded")
     opens = (F.col("state") % 2 == 0).cast("long")
     blocks = decoded.groupBy("conv_id", "block").agg(F.sum(opens).alias("opened"))
     earlier = blocks.select("conv_id", "block", F.expr("coalesce(sum(opened) OVER (PARTITION BY conv_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("before"))
-    inside = decoded.withColumn("_n", F.expr("sum(bigint(state % 2 = 0)) OVER (PARTITION BY conv_id, block ORDER BY turn, k ROWS UNBOUNDED PRECEDING)"))
+    inside = decoded.withColumn("_n", F.expr("sum(bigint(state % 2 = 0)) OVER (PARTITION BY conv_id, block ORDER BY n ROWS UNBOUNDED PRECEDING)"))
     numbered = inside.join(earlier, ["conv_id", "block"]).withColumn("turn_no", F.greatest(F.lit(0), F.col("before") + F.col("_n") - 1))
     role = F.element_at(F.array(*map(F.lit, ROLES)), (F.expr("state div 2") + 1).cast("int"))
     bare = F.col("line")
@@ -195,8 +214,8 @@ def canonical_turns(decoded: DataFrame) -> DataFrame:
         bare = F.regexp_replace(bare, marker, "")
     clean = F.when(opens == 1, bare).otherwise(F.col("line"))
     turns = numbered.withColumn("said", role).groupBy("conv_id", "turn_no").agg(
-        F.min_by("said", F.struct("turn", "k")).alias("role"), F.count("*").alias("n_lines"), F.sum((F.col("said") == F.col("role")).cast("long")).alias("n_right"),
-        F.array_sort(F.collect_list(F.struct("turn", "k", clean.alias("line")))).alias("_lines"),
+        F.min_by("said", "n").alias("role"), F.count("*").alias("n_lines"), F.sum((F.col("said") == F.col("role")).cast("long")).alias("n_right"),
+        F.array_sort(F.collect_list(F.struct("n", clean.alias("line")))).alias("_lines"),
     )
     content = F.replace(F.array_join(F.transform("_lines", lambda x: x.line), "\n"), F.lit("<|"), F.lit("< |"))
     return turns.select("conv_id", "turn_no", "role", "n_lines", F.coalesce("n_right", F.lit(0)).alias("n_right"), F.concat(F.lit("<|"), "role", F.lit("|>\n"), content, F.lit("\n<|end|>")).alias("rendered"))
@@ -205,14 +224,15 @@ def canonical_turns(decoded: DataFrame) -> DataFrame:
 def format_chats(turns: DataFrame, model: np.ndarray | None = None, folds: int = 1) -> DataFrame:
     """Canonical turns of transcripts given as (conv_id, turn, text[, role]) rows in the order of ``turn``.
 
-    What ``turn`` parts need not be a speaker's turn; the model decides where turns begin.
-    Without a ``model`` one is fitted on the rows' roles; with ``folds`` above 1 each hash
-    fold of conversations is decoded by a model fitted on the other folds, so that
-    ``n_right`` counts on conversations the model has not seen. Null texts are empty lines,
-    null or unknown roles are not fitted on, rows with a null conv_id form one transcript
-    and a null turn counts as -1. Of repeated (conv_id, turn) rows all lines are kept, in
-    the order of their line numbers. An empty table gives an empty result; extra columns
-    are not read.
+    Rows with one conv_id are parts of one text, joined by line breaks; a row need not be
+    a speaker's turn, the model decides where turns begin. Without a ``model`` one is
+    fitted on the rows' roles; with ``folds`` above 1 each hash fold of conversations is
+    decoded by a model fitted on the other folds, so that ``n_right`` counts on
+    conversations the model has not seen. Null texts are empty lines, null or unknown
+    roles are not fitted on, rows with a null conv_id form one transcript and a null turn
+    counts as -1. Of rows with one (conv_id, turn) all lines are kept, row after row, in
+    the order of a hash of their texts. An empty table gives an empty result; extra
+    columns are not read.
     """
     role = F.col("role") if "role" in turns.columns else F.lit(None).cast("string")
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), role.alias("role"), "text")

@@ -92,7 +92,7 @@ def test_chats_in_blocks_and_odd_rows(spark, monkeypatch):
     rows += [(50, 0, "user", None), (None, 0, "user", "User: hi"), (51, None, None, "Assistant: <|x|>")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     one = sorted(map(str, C.format_chats(turns).collect()))
-    monkeypatch.setattr(C, "BLOCK_TURNS", 2)
+    monkeypatch.setattr(C, "BLOCK_LINES", 2)
     assert sorted(map(str, C.format_chats(turns).collect())) == one
     assert any("<|user|>\\nq?\\n<|end|>" in x for x in one) and any("< |x|>" in x for x in one)
     assert C.format_chats(turns.limit(0)).collect() == []
@@ -103,7 +103,7 @@ def test_symbols_do_not_show_where_rows_begin(spark, monkeypatch):
     rows = [(c, t, None, x) for c in (1, 2) for t, x in enumerate(texts)] + [(c, 0, None, "\n".join(texts)) for c in (11, 12)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     for block in (512, 2):
-        monkeypatch.setattr(C, "BLOCK_TURNS", block)
+        monkeypatch.setattr(C, "BLOCK_LINES", block)
         seen = {}
         for x in sorted(C.as_lines(turns).collect(), key=lambda x: (x.conv_id, x.turn, x.k)):
             seen.setdefault(x.conv_id, []).append(x.symbol)

@@ -13,12 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Spellings that licence texts use for one another, applied in this order to lower-case words.
-SPELLINGS = (
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"),
-    ("organisation", "organization"), ("favour", "favor"), ("honour", "honor"), ("fulfil", "fulfill"), ("judgement", "judgment"),
-    ("noncommercial", "non commercial"), ("whilst", "while"), ("wilful", "willful"), ("https", "http"), ("program s", "programs"), ("per cent", "percent"),
-)
+# Spellings that licence texts use for one another; each lower-case word is replaced by the form it is compared in.
+SPELLINGS = {
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sublicence": "sub license", "sublicense": "sub license",
+    "sublicensed": "sub licensed", "acknowledgement": "acknowledgment", "acknowledgements": "acknowledgments", "analogue": "analog", "analyse": "analyze",
+    "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized", "calibre": "caliber", "cancelled": "canceled",
+    "capitalisations": "capitalizations", "catalogue": "catalog", "categorise": "categorize", "centre": "center", "emphasised": "emphasized",
+    "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "honour": "honor", "initialise": "initialize", "judgement": "judgment",
+    "labelling": "labeling", "labour": "labor", "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "noncommercial": "non commercial",
+    "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "percent": "per cent", "practise": "practice",
+    "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while",
+    "wilful": "willful", "wilfull": "willful", "willfull": "willful", "https": "http",
+}
 
 # Known notices and short licence texts.
 KNOWN = (
@@ -44,10 +50,9 @@ KNOWN = (
 def canonical(text: Column) -> Column:
     """The form in which texts are compared; empty for a text of copyright lines and marks alone."""
     text = F.regexp_replace(F.lower(text), r"(?dm)^[^\p{L}\p{N}\n]*(copyright\b|©|\(c\)\s*(copyright\b|\d{4}))[^\n]*$", " ")
-    text = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    for old, new in SPELLINGS:
-        text = F.replace(text, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(text)
+    words = F.split(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " ")
+    table = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(table, w), w)), " ")
 
 
 def known_digests(known: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ MOST_ANCHORS = 64
 
 def _anchors(known: DataFrame) -> list[str] | None:
     """A word of each known form that a text must hold, whatever its spelling; None if there is none or they are too many."""
-    changed = sorted({w for _, new in SPELLINGS for w in new.split()})
+    changed = sorted({w for new in SPELLINGS.values() for w in new.split()})
     words = F.filter(F.split(canonical(F.col("text")), " "), lambda w: ~w.isin(*changed))
     longest = known.select(canonical(F.col("text")).alias("form"), F.array_max(F.transform(words, lambda w: F.struct(F.length(w), w.alias("w")))).alias("m")).where("form <> ''")
     found = [r[0] for r in longest.select("m.w").distinct().limit(MOST_ANCHORS + 1).collect()]
@@ -83,8 +88,10 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     is left to the optimiser, which knows the sizes of both sides. A text is looked over
     for the known forms' anchor words first: one without any cannot hold a match.
 
-    A null or empty text has no units. Rows with one doc_id are scanned each. An empty
-    table of documents or of licences gives an empty result; extra columns are not read.
+    ``known`` is (license, text) of whole texts and notices, such as :func:`read_known`
+    gives. A null or empty text has no units. Rows with one doc_id, and those with a null
+    one, are scanned each. An empty table of documents or of licences gives an empty
+    result; extra columns are not read.
     """
     digests = known_digests(known)
     shortest = digests.agg(F.min("canonical_chars")).collect()[0][0]
@@ -110,6 +117,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     return found.select("doc_id", "unit", "unit_no", "license")
 
 
+def read_known(spark: SparkSession, path: str) -> DataFrame:
+    """(license, text) of a folder of whole licence texts, one file each, named by the licence: ``<license>.txt``."""
+    files = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
+    return files.select(F.regexp_extract(F.url_decode("_file"), r"([^/]+?)(?:\.txt)?$", 1).alias("license"), F.col("value").alias("text"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices and texts in all ``documents``."""
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_known(spark))
@@ -117,10 +130,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical_sql(text: str) -> str:
     text = rf"regexp_replace(lower({text}), '(?m)^[^\p{{L}}\p{{N}}\n]*(copyright\b|©|\(c\)\s*(copyright\b|\d{{4}}))[^\n]*$', ' ', 'g')"
-    text = rf"(' ' || regexp_replace({text}, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ')"
-    for old, new in SPELLINGS:
-        text = f"replace({text}, ' {old} ', ' {new} ')"
-    return f"trim({text})"
+    words = rf"string_split(trim(regexp_replace({text}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+    forms = ", ".join(f"'{old}': '{new}'" for old, new in SPELLINGS.items())
+    return f"list_aggregate(list_transform({words}, lambda w: coalesce(MAP {{{forms}}}[w], w)), 'string_agg', ' ')"
 
 
 _VALUES = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, local runs) a temporary folder is made
-    and recorded in the session, so that one session uses one folder.
+    Where a local session names none (tests) a temporary folder is made and recorded in
+    the session, so that one session uses one folder. On a cluster executors would not
+    share such a folder, so there the setting has to be given.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="retort-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

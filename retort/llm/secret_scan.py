@@ -4,7 +4,9 @@ Three patterns give the base spans. The method adds spans of base64 and hex cand
 whose decoded bytes are a key: a private key in DER, where every nested length must fit
 exactly, an OpenSSH private key with its length-prefixed fields, or a PEM block around
 either; and of signed tokens, whose header must decode to JSON that names an algorithm
-and whose payload must decode too. A candidate that does not parse is not reported.
+and whose payload must decode too. A key may be wrapped into lines of one width, or be
+glued to a prefix of letters that base64 has too. A candidate that does not parse is not
+reported.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _MARKS = ("passw", "secret", "token", "api")
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Za-z][A-Za-z0-9-]*: [^\n]*\n)*)([A-Za-z0-9+/=\s\\]*)-----END \1-----")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])e[wy][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{40,}[ \t\r]*\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_STARTS = re.compile(r"(?=M[A-P]|b3BlbnNzaC)")
 _HEXES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 
 _OPENSSH = b"openssh-key-v1\0"
@@ -52,34 +56,39 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def der_items(data: bytes, begin: int = 0, end: int | None = None) -> list[tuple[int, int, int]]:
+def der_item(data: bytes, begin: int, end: int) -> tuple[int, int, int]:
+    """(tag, begin, end) of the DER value at ``begin``; ValueError if there is none that ends by ``end``."""
+    if begin + 2 > end or data[begin] & 0x1F == 0x1F:
+        raise ValueError("no tag")
+    tag, n, at = data[begin], data[begin + 1], begin + 2
+    if n >= 0x80:
+        wide = n & 0x7F
+        if not 1 <= wide <= 4 or at + wide > end or data[at] == 0:
+            raise ValueError("no length")
+        n, at = int.from_bytes(data[at : at + wide], "big"), at + wide
+        if n < 0x80:
+            raise ValueError("length not minimal")
+    if at + n > end:
+        raise ValueError("length beyond the end")
+    return tag, at, at + n
+
+
+def der_items(data: bytes, begin: int, end: int) -> list[tuple[int, int, int]]:
     """(tag, begin, end) of the DER values that fill data[begin:end] exactly; ValueError if they don't."""
-    end, out = len(data) if end is None else end, []
+    out = []
     while begin < end:
-        if begin + 2 > end or data[begin] & 0x1F == 0x1F:
-            raise ValueError("no tag")
-        tag, n, at = data[begin], data[begin + 1], begin + 2
-        if n >= 0x80:
-            wide = n & 0x7F
-            if not 1 <= wide <= 4 or at + wide > end or data[at] == 0:
-                raise ValueError("no length")
-            n, at = int.from_bytes(data[at : at + wide], "big"), at + wide
-            if n < 0x80:
-                raise ValueError("length not minimal")
-        if at + n > end:
-            raise ValueError("length beyond the end")
-        out.append((tag, at, at + n))
-        begin = at + n
+        out.append(der_item(data, begin, end))
+        begin = out[-1][2]
     return out
 
 
-def private_der(data: bytes) -> bool:
-    """Whether the bytes are one RSA, EC, DSA or wrapped private key with all nested lengths right."""
+def private_der(data: bytes, begin: int = 0) -> bool:
+    """Whether the bytes from ``begin`` on are one RSA, EC, DSA or wrapped private key with all nested lengths right."""
     try:
-        outer = der_items(data)
-        if len(outer) != 1 or outer[0][0] != 0x30:
+        tag, at, end = der_item(data, begin, len(data))
+        if tag != 0x30 or end != len(data):
             return False
-        parts = der_items(data, *outer[0][1:])
+        parts = der_items(data, at, end)
         tags = [t for t, _, _ in parts]
         inner = lambda k: [t for t, _, _ in der_items(data, *parts[k][1:])]
         if tags[:1] == [0x02] and len(tags) in (6, 9) and set(tags) == {0x02}:  # DSA or RSA numbers
@@ -93,11 +102,11 @@ def private_der(data: bytes) -> bool:
         return False
 
 
-def private_ssh(data: bytes) -> bool:
-    """Whether the bytes are an OpenSSH private key: marker, three strings, a count, then public and private parts."""
-    if not data.startswith(_OPENSSH):
+def private_ssh(data: bytes, begin: int = 0) -> bool:
+    """Whether the bytes from ``begin`` on are an OpenSSH private key: marker, three strings, a count, then public and private parts."""
+    if not data.startswith(_OPENSSH, begin):
         return False
-    at, fields = len(_OPENSSH), 0
+    at, fields = begin + len(_OPENSSH), 0
     while at + 4 <= len(data):
         n = int.from_bytes(data[at : at + 4], "big")
         if fields == 3:  # the number of keys
@@ -136,21 +145,64 @@ def signed_token(text: str) -> bool:
         return False
 
 
+def key_start(run: str) -> int:
+    """Where in a base64 run a private key begins that ends with the run; -1 if none does.
+
+    The run is decoded once for each of the four phases, and every start that can begin a
+    key is parsed in place: its outer length alone rules nearly all of them out.
+    """
+    run = run.rstrip("=")
+    decoded: dict[int, bytes] = {}
+    for m in _STARTS.finditer(run):
+        s, phase = m.start(), m.start() % 4
+        if phase not in decoded:
+            decoded[phase] = decode64(run[phase:])
+        data, at = decoded[phase], (s - phase) // 4 * 3
+        if data and (private_der(data, at) or private_ssh(data, at)):
+            return s
+    return -1
+
+
+def _wrapped(m: re.Match) -> Iterator[tuple[int, int, str]]:
+    """(begin, end, joined) of runs of lines of one width, each with the shorter line that ends it."""
+    held: list[re.Match] = []
+    for line in [*re.finditer(r"\S+", m[0]), None]:
+        width = len(held[0][0]) if held else 0
+        if held and (line is None or len(line[0]) > width or len(held[-1][0]) < width):
+            if len(held) > 1:
+                yield m.start() + held[0].start(), m.start() + held[-1].end(), "".join(x[0] for x in held)
+            held = []
+        if line is not None:
+            held.append(line)
+
+
+def _pem_key(head: str, body: str) -> bool:
+    """Whether a PEM block holds a key, or, under headers that say so, whole cipher blocks of one."""
+    data = decode64(re.sub(r"\\[nr]|\s", "", body))
+    if re.search(r"^\s*Proc-Type: 4,ENCRYPTED\s*$", head, re.MULTILINE) and "DEK-Info: " in head:
+        return len(data) >= 64 and len(data) % 8 == 0
+    return private_der(data) or private_ssh(data)
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Spans whose decoded structure shows a key or a signed token."""
     found: list[Span] = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = decode64(re.sub(r"\\[nr]|\s", "", m[2]))
-            if private_der(data) or private_ssh(data):
-                found.append(("pem", *m.span()))
-    if "ey" in text and "." in text:
+        found += [("pem", *m.span()) for m in _PEM.finditer(text) if _pem_key(m[2], m[3])]
+    if "." in text and ("ey" in text or "ew" in text):
         found += [("token", *m.span()) for m in _TOKEN.finditer(text) if signed_token(m[0])]
-    inside = lambda m: any(a <= m.start() and m.end() <= b for k, a, b in found if k == "pem")
-    for m in _BASE64.finditer(text):
-        data = decode64(m[0])
-        if (private_der(data) or private_ssh(data)) and not inside(m):
-            found.append(("key", *m.span()))
+    pems = [(a, b) for k, a, b in found if k == "pem"]
+    inside = lambda a, b: any(x <= a and b <= y for x, y in pems)
+    runs = list(_BASE64.finditer(text))
+    for m in runs:
+        s = key_start(m[0])
+        if s >= 0 and not inside(*m.span()):
+            found.append(("key", m.start() + s, m.end()))
+    for m in _WRAPPED.finditer(text) if len(runs) and "\n" in text else ():
+        for a, b, joined in _wrapped(m):
+            s = key_start(joined)
+            if s == 0 and not inside(a, b):
+                found.append(("key", a, b))
     for m in _HEXES.finditer(text):
         data = bytes.fromhex(m[0])
         if private_der(data) or private_ssh(data):
@@ -196,7 +248,11 @@ def _redact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def find_secrets(text: Column | str) -> Column:
-    """Column of all spans of a text: array of (kind, start, end); a null or empty text has none."""
+    """Column of all spans of a text: array of (kind, start, end) by start; a null or empty text has none.
+
+    A text is scanned whole, however long, and alone, so that repeated rows give equal
+    spans and an empty table gives an empty result; no other column is read.
+    """
     return _find(text)
 
 

@@ -236,13 +236,15 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     without a partner, null ids among them, stay as they are.
     """
     found = written(near_duplicates(docs, id_col, text_col, **options), "components")
-    removed = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(removed, F.col(id_col) == F.col("_gone"), "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
-    if repeated.isEmpty():
+    own = F.col(f"_docs.{id_col}")
+    gone = found.where("NOT kept").select("doc_id").distinct().alias("_gone")
+    left = docs.alias("_docs").join(gone, own == F.col("_gone.doc_id"), "left_anti")
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id").alias("_again")
+    if again.isEmpty():
         return left
-    once = left.join(repeated, F.col(id_col) == F.col("_again"), "left_anti")
-    return once.unionByName(left.join(repeated, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col]))
+    repeated = own == F.col("_again.doc_id")
+    once = left.alias("_docs").join(again, repeated, "left_anti")
+    return once.unionByName(left.alias("_docs").join(again, repeated, "left_semi").dropDuplicates([id_col]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

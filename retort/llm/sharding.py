@@ -48,6 +48,43 @@ def _directory(rows: DataFrame, limit: int) -> DataFrame:
         todo = todo.join(over.select("cell"), F.substring("bits", 1, depth) == F.col("cell"), "left_semi")
 
 
+def _shards(cells: DataFrame, limit: int) -> DataFrame:
+    """(prefix, level, shard_bytes, shard_docs): prefixes that fit the limit and whose parent does not.
+
+    A parent has two children at most, so no key of the join is hot. Cells over the limit,
+    which hold one row, are shards too.
+    """
+    above = cells.select("cell", "depth", "bytes", "n", F.explode(F.expr("sequence(0, depth)")).alias("level"))
+    sums = above.groupBy(F.expr("substr(cell, 1, level)").alias("prefix"), "level").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_docs"), F.max(F.col("level") == F.col("depth")).alias("_cell"))
+    sums = written(sums.withColumn("_fits", (F.col("shard_bytes") <= limit) | F.col("_cell")), "prefixes")
+    full = sums.where("NOT _fits").select(F.col("prefix").alias("_parent"), (F.col("level") + 1).alias("_below"))
+    own = sums.where("_fits").join(full, F.expr("level = _below AND substr(prefix, 1, level - 1) = _parent"), "left").where("level = 0 OR _parent IS NOT NULL")
+    return written(own.select("prefix", "level", "shard_bytes", "shard_docs"), "shards")
+
+
+def _assigned(docs: DataFrame, limit: int, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """(doc_id, _row, o): each row with the struct ``_row`` of the columns in ``carry`` and its shard."""
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    own = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("boolean")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_name"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), own.alias("_row"))
+    rows = rows.withColumn("_number", F.monotonically_increasing_id())
+    rows = written(rows.select("doc_id", "bytes", F.expr(f"concat({_bits('_name')}, {_bits('concat(_name, chr(47), _number)')})").alias("bits"), "_row"), "hashes")
+    cells = _directory(rows.select("bytes", "bits"), limit)
+    shards = _shards(cells, limit)
+    least = shards.agg(F.min("level")).collect()[0][0] or 0
+    below = cells.select("cell", "depth", F.explode(F.expr(f"sequence({least}, depth)")).alias("_at")).withColumn("_part", F.expr("substr(cell, 1, _at)"))
+    owner = below.join(shards, F.expr("_part = prefix AND _at = level")).select("cell", "depth", F.struct("prefix", "level", "shard_bytes", "shard_docs").alias("own"))
+    owner = written(owner, "directory")
+    depths = sorted(r[0] for r in owner.select("depth").distinct().collect())
+    out = rows
+    for d in depths:
+        known = owner.where(F.col("depth") == d).select(F.col("cell").alias(f"_cell{d}"), F.col("own").alias(f"_own{d}"))
+        out = out.join(known, F.substring("bits", 1, d) == F.col(f"_cell{d}"), "left")
+    found = F.coalesce(*[F.col(f"_own{d}") for d in depths]) if depths else F.lit(None).cast("struct<prefix:string,level:int,shard_bytes:bigint,shard_docs:bigint>")
+    return out.select("doc_id", "_row", found.alias("o"))
+
+
 def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, shard, depth, shard_bytes, shard_docs) for each row.
 
@@ -57,31 +94,22 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
     null doc_id is hashed as an empty string. Rows with equal doc_ids may be parted. An
     empty table gives an empty result; other columns are not read.
     """
-    if limit < 1:
-        raise ValueError("limit must be positive")
-    name = F.col(id_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(name, F.lit("")).alias("_name"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    rows = written(rows.select("doc_id", "bytes", F.expr(f"concat({_bits('_name')}, {_bits('concat(_name, chr(47), _row)')})").alias("bits")), "hashes")
-    cells = _directory(rows, limit)
-    above = cells.select("cell", "depth", "bytes", "n", F.explode(F.expr("sequence(0, depth)")).alias("level"))
-    above = above.withColumn("prefix", F.expr("substr(cell, 1, level)"))
-    sums = above.groupBy("prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
-    fits = above.join(sums, "prefix").where((F.col("shard_bytes") <= limit) | (F.col("level") == F.col("depth")))
-    owner = written(fits.groupBy("cell").agg(F.min_by(F.struct("prefix", "level", "shard_bytes", "shard_docs"), "level").alias("own"), F.first("depth").alias("cell_depth")), "directory")
-    depths = sorted(r[0] for r in owner.select("cell_depth").distinct().collect())
-    out = rows
-    for d in depths:
-        known = owner.where(F.col("cell_depth") == d).select(F.col("cell").alias(f"_cell{d}"), F.col("own").alias(f"_own{d}"))
-        out = out.join(known, F.substring("bits", 1, d) == F.col(f"_cell{d}"), "left")
-    own = F.coalesce(*[F.col(f"_own{d}") for d in depths]) if depths else F.lit(None).cast("struct<prefix:string,level:int,shard_bytes:bigint,shard_docs:bigint>")
-    return out.select("doc_id", own.alias("o")).select("doc_id", F.col("o.prefix").alias("shard"), F.col("o.level").alias("depth"), "o.shard_bytes", "o.shard_docs")
+    out = _assigned(docs, limit, id_col, text_col, [])
+    return out.select("doc_id", F.col("o.prefix").alias("shard"), F.col("o.level").alias("depth"), "o.shard_bytes", "o.shard_docs")
 
 
-def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write each shard of ``docs`` as a Parquet folder ``shard=<bits>`` below ``path``; rows must have distinct ids."""
-    owner = assign_shards(docs, limit, id_col, text_col).select(F.col("doc_id").alias("_id"), F.concat(F.lit("b"), "shard").alias("shard"))
-    docs.join(owner, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write each shard of ``docs`` as a Parquet folder ``shard=b<bits>`` below ``path``; returns the partition column's name.
+
+    Every row is written once, rows with equal or null ids too. If ``docs`` has a column
+    named shard, the partition column gets underscores in front.
+    """
+    name = "shard"
+    while name in docs.columns:
+        name = f"_{name}"
+    out = _assigned(docs, limit, id_col, text_col, docs.columns).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], F.concat(F.lit("b"), F.col("o.prefix")).alias(name))
+    out.repartition(name).write.partitionBy(name).parquet(path)
+    return name
 
 
 #: Bytes that a shard of the query holds at most.

@@ -100,3 +100,13 @@ def ranked_focus(weights: DataFrame, k: int, n_bins: int, size: int) -> DataFram
     w = Window.partitionBy("taster", "attribute").orderBy(F.desc(F.abs("weight")), "pos")
     top = weights.withColumn("_r", F.row_number().over(w) - 1).where(F.col("_r") < k)
     return top.groupBy("taster", F.least(F.expr(f"int(pos div {size})"), F.lit(n_bins - 1)).alias("bin")).agg(F.sum(1 / (F.col("_r") + 1)).alias("focus"))
+
+
+def average_by(rows: DataFrame, key: str, value: str, *more: str) -> DataFrame:
+    """(key, more, value): the mean over all rows of a key."""
+    return rows.groupBy(key, *more).agg(F.avg(value).alias(value))
+
+
+def mean_predictions(predictions: DataFrame, *keys: str) -> DataFrame:
+    """(keys, y_true, y_pred, repeats): means over the repeats of (repeat, keys, y_true, y_pred)."""
+    return predictions.groupBy(*keys).agg(F.avg("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred"), F.count_distinct("repeat").alias("repeats"))

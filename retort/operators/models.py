@@ -1,8 +1,8 @@
 """Models fitted per split: ridge in its dual form, PCA, nearest neighbours, discriminants, and Spark ML estimators.
 
-Samples are few next to their features, so ridge and PCA work on the Gram matrix of the
-samples. A split's task holds one n x n matrix; for many samples of few features the
-Spark ML estimators scale with the rows instead.
+These are for samples that are few next to their features: ridge and PCA work on the Gram
+matrix of the samples, and a split's task holds one n x n matrix. For many samples of few
+features ``moments`` has the same models from sums over rows.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def ml_classifier(kind: str):
 
     makers = {
         "lr": lambda: c.LogisticRegression(), "rfc": lambda: c.RandomForestClassifier(seed=0), "dtc": lambda: c.DecisionTreeClassifier(seed=0), "gnb": lambda: c.NaiveBayes(modelType="gaussian"),
-        "gbc": lambda: c.OneVsRest(classifier=c.GBTClassifier(seed=0)), "svm": lambda: c.OneVsRest(classifier=c.LinearSVC()),
+        "gbc": lambda: c.OneVsRest(classifier=c.GBTClassifier(seed=0)), "svm": lambda: c.OneVsRest(classifier=c.LinearSVC(maxIter=20), parallelism=4),
     }
     if kind not in makers:
         raise ValueError(f"unknown classifier {kind}; ridge, knn and lda are fitted by classify_splits")
@@ -187,6 +187,17 @@ def ml_evaluate(vectors: DataFrame, kind: str, held: str) -> DataFrame:
     return fitted.transform(data.where(held)).select("sample_id", F.col("label").cast("int").cast("string").alias("y_true"), F.col("prediction").cast("int").cast("string").alias("y_pred"))
 
 
+def ml_regress(vectors: DataFrame, kind: str, held: str, alpha: float = 1.0, ratio: float = 0.5) -> DataFrame:
+    """(sample_id, y_true, y_pred) of a regressor on the held-out rows of (sample_id, label double, features array, held boolean)."""
+    data = vectors.withColumn("features", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
+    train = data.where(f"NOT {held}")
+    known = train.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("pop"), F.stddev_samp("label").alias("samp")).collect()[0]
+    if not known.n:
+        return vectors.select("sample_id", F.col("label").alias("y_true"), F.lit(None).cast("double").alias("y_pred")).where(held)
+    fitted = ml_regressor(kind, alpha, ratio, known.n, (known["pop"], known.samp or 0.0)).fit(train)
+    return fitted.transform(data.where(held)).select("sample_id", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
+
+
 def kmeans_best(points: DataFrame, columns: list[str], most: int = 9) -> DataFrame:
     """(k, silhouette, best): k-means for k from 2 on, marked at the largest silhouette."""
     from pyspark.ml.clustering import KMeans

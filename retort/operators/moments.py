@@ -136,6 +136,20 @@ def regress(rows: DataFrame, names: list[str], test: DataFrame, alpha: float = 1
     return out.select("split_id", "sample_id", each).select("split_id", "sample_id", "e.attribute", "e.y_true", "e.y_pred")
 
 
+def regress_folds(rows: DataFrame, names: list[str], *keys: str, alpha: float = 1.0) -> DataFrame:
+    """(keys, fold, sample_id, attribute, y_true, y_pred): for each key and ``fold`` of the rows, ridge on the key's other folds.
+
+    Rows with a null fold train only.
+    """
+    whole = sums(rows, *keys).withColumnRenamed("m", "_all")
+    held = sums(rows.where("fold IS NOT NULL"), *keys, "fold").withColumnRenamed("m", "_held").drop("p")
+    train = held.join(whole, list(keys)).select(*keys, "fold", "p", F.zip_with("_all", "_held", lambda a, b: a - b).alias("m"))
+    models = fitted(train, lambda s: ridge_fit(s, alpha), *keys, "fold")
+    out = rows.join(models, [*keys, "fold"]).withColumn("_p", scored(F.col("x"), F.col("weights"), F.col("intercepts")))
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("attribute"), F.col("y").alias("y_true"), F.col("_p").alias("y_pred"))).alias("e")
+    return out.select(*keys, "fold", "sample_id", each).select(*keys, "fold", "sample_id", "e.attribute", "e.y_true", "e.y_pred")
+
+
 def leave_one_out(rows: DataFrame, *keys: str, alpha: float = 1.0) -> DataFrame:
     """(keys, sample_id, y_true, y_pred): ridge on all other rows of the key, in closed form; the first target counts.
 

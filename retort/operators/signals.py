@@ -102,8 +102,8 @@ def cube_mask(binned: DataFrame, cubes: DataFrame, mode: str = "remove") -> Data
 
 def compound_mask(scans: DataFrame, compounds: DataFrame) -> DataFrame:
     """Zero intensities inside any compound's channels and retention window (minutes, both ends in)."""
-    windows = compounds.select(F.explode("mz").alias("mz"), (F.col("rt_start") * 60000).alias("_a"), (F.col("rt_stop") * 60000).alias("_b")).distinct()
-    hit = scans.join(windows, "mz").where("rt_ms BETWEEN _a AND _b").select("sample_id", "scan_idx", "mz").distinct().withColumn("_hit", F.lit(True))
+    windows = compounds.select(F.explode("mz").alias("mz"), F.col("rt_start").alias("_a"), F.col("rt_stop").alias("_b")).distinct()
+    hit = scans.join(windows, "mz").where("rt_ms / 60000 BETWEEN _a AND _b").select("sample_id", "scan_idx", "mz").distinct().withColumn("_hit", F.lit(True))
     out = scans.join(hit, ["sample_id", "scan_idx", "mz"], "left")
     return out.withColumn("intensity", F.when(F.col("_hit"), 0.0).otherwise(F.col("intensity"))).drop("_hit")
 
@@ -163,11 +163,6 @@ def smooth(values: Column, sigma: float) -> Column:
     return F.transform(values, at)
 
 
-def traces(scans: DataFrame, *keys: str, value: str = "intensity") -> DataFrame:
-    """(keys, values): one array per key in the order of scans."""
-    return scans.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("scan_idx", value))), lambda x: x[value]).alias("values"))
-
-
 def standardise(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """z-score within keys by the population deviation; flat signals give 0."""
     w = Window.partitionBy(*keys)

@@ -60,10 +60,11 @@ def train_val_test(samples: DataFrame, label: str, val: float, test: float, seed
     return ranked.select("sample_id", F.when(F.col("_k") <= n_test, "test").when(F.col("_k") <= n_test + n_val, "val").otherwise("train").alias("role"))
 
 
-def group_folds(samples: DataFrame, group: str, folds: int, seed: int = 0) -> DataFrame:
-    """Whole groups are dealt to folds in a seeded order."""
-    groups = samples.select(F.col(group).alias("_g")).distinct()
-    dealt = groups.withColumn("split_id", F.pmod(_draw("_g", seed), F.lit(folds)).cast("int"))
+def group_folds(samples: DataFrame, group: str, folds: int, seed: int = 0, repeats: int = 1) -> DataFrame:
+    """Whole groups are dealt round-robin to folds in a seeded order, so that folds differ by one group at most; split_id counts repeats times folds."""
+    groups = samples.select(F.col(group).alias("_g")).distinct().withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    k = F.row_number().over(Window.partitionBy("_r").orderBy(F.xxhash64("_g", "_r", F.lit(seed)), "_g")) - 1
+    dealt = groups.withColumn("split_id", (F.col("_r") * folds + k % folds).cast("int"))
     return samples.select("sample_id", F.col(group).alias("_g")).join(dealt, "_g").select("split_id", "sample_id")
 
 

@@ -45,9 +45,16 @@ def pairwise_pearson(features: DataFrame) -> DataFrame:
 
 
 def channel_correlations(scans: DataFrame) -> DataFrame:
-    """(a, b, r, n) of channel pairs of one sample; channels are few by nature."""
-    a, b = (scans.select("scan_idx", F.col("mz").alias(x), F.col("intensity").alias(f"_{x}")) for x in "ab")
-    return a.join(b, "scan_idx").where("a <= b").groupBy("a", "b").agg(F.corr("_a", "_b").alias("r"), F.count("*").alias("n"))
+    """(sample_id, a, b, r, n) of channel pairs of each sample; channels are few by nature."""
+    keys = ["sample_id", "scan_idx"]
+    a, b = (scans.select(*keys, F.col("mz").alias(x), F.col("intensity").alias(f"_{x}")) for x in "ab")
+    return a.join(b, keys).where("a <= b").groupBy("sample_id", "a", "b").agg(F.corr("_a", "_b").alias("r"), F.count("*").alias("n"))
+
+
+def profile_correlations(profiles: DataFrame) -> DataFrame:
+    """(a, b, r) of all ordered pairs of (name, pos, value) profiles, a short list, over the positions that both have."""
+    a, b = (profiles.select(F.col("name").alias(x), "pos", F.col("value").alias(f"_{x}")) for x in "ab")
+    return a.join(b, "pos").groupBy("a", "b").agg(F.corr("_a", "_b").alias("r"))
 
 
 def compare_weights(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -95,3 +102,20 @@ def fold_weights(coefs: DataFrame, threshold: float) -> DataFrame:
     m = coefs.groupBy("pos").agg(F.avg("coef").alias("_w"))
     top = m.agg(F.max(F.abs("_w")).alias("_t"))
     return m.crossJoin(top).select("pos", (F.col("_w") / F.col("_t")).alias("weight")).withColumn("strong", F.abs("weight") >= threshold)  # one row
+
+
+def weights_by_bin(coefs: DataFrame, width: int) -> DataFrame:
+    """(bin, weight): mean absolute mean coefficient of each bin of positions, over the largest bin's."""
+    m = coefs.groupBy("pos").agg(F.avg("coef").alias("_w")).groupBy(F.expr(f"int(pos div {width})").alias("bin")).agg(F.avg(F.abs("_w")).alias("_v"))
+    return m.crossJoin(m.agg(F.max("_v").alias("_t"))).select("bin", (F.col("_v") / F.col("_t")).alias("weight"))  # one row
+
+
+def adjusted_rand(labels: DataFrame, x: str, y: str) -> DataFrame:
+    """(adjusted_rand,) of two labellings of the rows, from their contingency counts."""
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    cells = labels.groupBy(x, y).agg(F.count("*").alias("n"))
+    both = cells.agg(pairs("n").alias("both"), F.sum("n").alias("all"))
+    rows, cols = (cells.groupBy(c).agg(F.sum("n").alias("n")).agg(pairs("n").alias(k)) for c, k in ((x, "rows"), (y, "cols")))
+    one = both.crossJoin(rows).crossJoin(cols).withColumn("chance", F.col("rows") * F.col("cols") / (F.col("all") * (F.col("all") - 1) / 2))  # one row each
+    most = (F.col("rows") + F.col("cols")) / 2
+    return one.select(F.when(most == F.col("chance"), 1.0).otherwise((F.col("both") - F.col("chance")) / (most - F.col("chance"))).alias("adjusted_rand"))

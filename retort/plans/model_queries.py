@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from retort.operators import align as A
 from retort.operators import metrics as M
 from retort.operators import models as D
+from retort.operators import moments as X
 from retort.operators import signals as S
 from retort.operators import splits as P
 from retort.operators import statistics as T
@@ -29,6 +30,36 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _rows(spark, d):
+    """Embeddings as rows of features."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("sample_id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+
+
+def _ages(spark, d):
+    """An age for each embedding: the size of the part with its number."""
+    return table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("sample_id"), F.col("p_size").cast("double").alias("age"))
+
+
+def _wines(spark, d):
+    """(wine, x): mean embeddings of the vectors dealt to each nation."""
+    mean = features(spark, d).groupBy((F.col("sample_id") % 25).alias("k"), "pos").agg(F.avg("value").alias("value"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("wine"))
+    return X.wide(mean.withColumnRenamed("k", "sample_id")).withColumnRenamed("sample_id", "k").join(n, "k").select("wine", "x")
+
+
+def _scores(spark, d):
+    """(wine, taster, y): mean fruity and citrus scores."""
+    return sensory(spark, d).groupBy("wine", "taster").agg(F.array(F.avg("fruity"), F.avg("citrus")).alias("y"))
+
+
+TASTERS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+NAMES = ["fruity", "citrus"]
+
+
+def _rounded(df, *keys, digits=4):
+    return df.select(*keys, *[F.round(c, digits).alias(c) for c in df.columns if c not in keys])
+
+
 def _labels(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("sample_id"), F.col("label").cast("string").alias("label"))
 
@@ -44,30 +75,26 @@ for _model in ("ridge", "knn", "lda"):
     def _(spark, d, model=_model):
         """Five stratified folds; metrics of each."""
         lab = _labels(spark, d)
-        out = D.classify_splits(T.gram(features(spark, d)), lab, P.stratified_folds(lab, "label", 5), model)
-        m = M.fold_metrics(out, "split_id")
-        return m.select("split_id", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
+        return _rounded(J.classification_job(_rows(spark, d), lab, P.stratified_folds(lab, "label", 5), model), "split_id", digits=6)
 
 
 @query("ridge_one_feature", f"WITH {FEATURES}, x AS (SELECT sample_id, label::DOUBLE AS y, value AS x, sample_id % 5 AS fold FROM features WHERE pos = 0), t AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, sum((x) * (y)) - count(*) * avg(x) * avg(y) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx FROM (SELECT DISTINCT fold FROM x) f JOIN x ON x.fold <> f.fold GROUP BY 1) SELECT x.fold AS split_id, sample_id, round(y, 6) AS y_true, round(my + (x.x - mx) * sxy / (sxx + 1), 5) AS y_pred FROM x JOIN t USING (fold)")
 def _(spark, d):
-    f = features(spark, d).where("pos = 0")
-    targets = f.select("sample_id", F.lit("label").alias("attribute"), F.col("label").cast("double").alias("value"))
-    test = f.select((F.col("sample_id") % 5).alias("split_id"), "sample_id")
-    out = D.regress_splits(T.gram(f.select("sample_id", "pos", "value")), targets, test)
-    return out.select("split_id", "sample_id", "y_true", F.round("y_pred", 5).alias("y_pred"))
+    rows = _rows(spark, d).select("sample_id", F.slice("x", 1, 1).alias("x")).join(_labels(spark, d), "sample_id").select("sample_id", "x", F.array(F.col("label").cast("double")).alias("y"))
+    test = rows.select((F.col("sample_id") % 5).alias("split_id"), "sample_id")
+    return X.regress(rows, ["label"], test).select("split_id", "sample_id", "y_true", F.round("y_pred", 5).alias("y_pred"))
 
 
 @query("pca_variance", f"WITH {FEATURES}, c AS (SELECT sample_id, pos, value - avg(value) OVER (PARTITION BY pos) AS v FROM features) SELECT round(sum(v * v), 2) AS total FROM c")
 def _(spark, d):
     """All components together hold the whole variance."""
-    return D.pca(T.gram(features(spark, d).select("sample_id", "pos", "value"))).agg(F.round(F.sum(F.col("score") * F.col("score")), 2).alias("total"))
+    return X.pca(_rows(spark, d)).agg(F.round(F.sum(F.col("score") * F.col("score")), 2).alias("total"))
 
 
 @query("kmeans_best_k")
 def _(spark, d):
-    p = D.pca(T.gram(features(spark, d)), components=2).groupBy("sample_id").pivot("component", [0, 1]).agg(F.first("score"))
-    return D.kmeans_best(p.select(F.col("0").alias("x"), F.col("1").alias("y")), ["x", "y"], 5)
+    p = X.pca(_rows(spark, d), components=2).groupBy("sample_id").pivot("component", [0, 1]).agg(F.first("score"))
+    return D.kmeans_best(p.select(F.col("0").alias("x"), F.col("1").alias("y")), ["x", "y"], 9)
 
 
 @query("classify_forest")
@@ -77,9 +104,9 @@ def _(spark, d):
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
-def _small(spark, d):
-    """Forty suppliers of four classes by nation, their scans in 4 x 2 cubes."""
-    s = scans(spark, d).where("sample_id <= 40")
+def _binned(spark, d):
+    """The scans of all suppliers in 4 x 2 cubes, and four classes."""
+    s = scans(spark, d)
     lab = s.select("sample_id").distinct().withColumn("label", F.concat(F.lit("c"), (F.col("sample_id") % 4).cast("string")))
     return S.with_cubes(s, 200, 4, 41, 7, 2), lab
 
@@ -88,20 +115,28 @@ for _mode in ("remove", "add"):
 
     @query(f"survival_{_mode}")
     def _(spark, d, mode=_mode):
-        binned, lab = _small(spark, d)
+        binned, lab = _binned(spark, d)
         out = V.survival_map(V.cube_grams(V.cube_features(binned, "tis")), lab, P.stratified_folds(lab, "label", 3), mode)
         return out.select("fold", "step", "rt_bin", "mz_bin", F.round("inner_accuracy", 6).alias("inner_accuracy"), F.round("outer_accuracy", 6).alias("outer_accuracy"))
 
 
+@query("survival_look_ahead")
+def _(spark, d):
+    """Addition with look-ahead: a cube's score and half of the best gain that a second one brings."""
+    binned, lab = _binned(spark, d)
+    out = V.survival_map(V.cube_grams(V.cube_features(binned, "tis")), lab, P.stratified_folds(lab, "label", 2), "add", steps=3, look_ahead=0.5)
+    return out.select("fold", "step", "rt_bin", "mz_bin", F.round("inner_accuracy", 6).alias("inner_accuracy"), F.round("outer_accuracy", 6).alias("outer_accuracy"))
+
+
 @query("cell_accuracy_map")
 def _(spark, d):
-    binned, lab = _small(spark, d)
+    binned, lab = _binned(spark, d)
     return V.cell_map(V.cube_grams(V.cube_features(binned, "tic")), lab).select("rt_bin", "mz_bin", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("random_channel_sets")
 def _(spark, d):
-    binned, lab = _small(spark, d)
+    binned, lab = _binned(spark, d)
     sets = V.random_sets(spark, list(range(41, 48)), [1, 2, 3], 5)
     return V.score_sets(V.channel_grams(binned), lab, sets).select("set_id", "k", F.array_join(F.transform("channels", lambda c: c.cast("string")), ",").alias("channels"), F.round("accuracy", 6).alias("accuracy"))
 
@@ -119,42 +154,46 @@ def _(spark, d):
 def _(spark, d):
     lab = _labels(spark, d)
     origins = lab.select("sample_id", (F.col("sample_id") % 3).alias("origin"))
-    m = J.per_origin(features(spark, d), lab, P.stratified_folds(lab, "label", 5), origins)
-    return m.select("origin", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
+    return _rounded(J.per_origin(_rows(spark, d), lab, P.stratified_folds(lab, "label", 5), origins), "origin", digits=6)
 
 
 @query("hold_out_origin")
 def _(spark, d):
     lab = _labels(spark, d)
-    m = J.hold_out_origin(features(spark, d), lab, lab.select("sample_id", (F.col("sample_id") % 3).alias("origin")))
-    return m.select("origin", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
+    return _rounded(J.hold_out_origin(_rows(spark, d), lab, lab.select("sample_id", (F.col("sample_id") % 3).alias("origin"))), "origin", digits=6)
 
 
-@query("vintage_loo_regression", f"WITH {FEATURES}, x AS (SELECT sample_id, label::DOUBLE AS y, value AS x FROM features WHERE pos = 1 AND sample_id < 200), s AS (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM x), p AS (SELECT y, (sy - y) / (n - 1) + (x - (sx - x) / (n - 1)) * ((sxy - x * y) - (sx - x) * (sy - y) / (n - 1)) / ((sxx - x * x) - (sx - x) * (sx - x) / (n - 1) + 1) AS p FROM x, s) SELECT round(avg(abs(p - y)), 5) AS mae, round(sqrt(avg((p - y) * (p - y))), 5) AS rmse, round(corr(y, p), 4) AS r FROM p")
+@query(
+    "vintage_loo_regression",
+    f"WITH {FEATURES}, x AS (SELECT sample_id, any_value(label)::DOUBLE AS y, max(value) FILTER (pos = 0) AS a, max(value) FILTER (pos = 1) AS b FROM features GROUP BY 1), c AS (SELECT y, y - avg(y) OVER () AS dy, a - avg(a) OVER () AS da, b - avg(b) OVER () AS db, count(*) OVER () AS n FROM x), s AS (SELECT sum(da * da) + 1 AS aa, sum(db * db) + 1 AS bb, sum(da * db) AS ab, sum(da * dy) AS ay, sum(db * dy) AS by_ FROM c), p AS (SELECT y, dy, (da * (ay * bb - by_ * ab) + db * (by_ * aa - ay * ab)) / (aa * bb - ab * ab) AS fit, 1.0 / n + (da * da * bb - 2 * da * db * ab + db * db * aa) / (aa * bb - ab * ab) AS h FROM c, s), q AS (SELECT y, y - (dy - fit) / (1 - h) AS p FROM p) SELECT round(avg(abs(p - y)), 5) AS mae, round(sqrt(avg((p - y) * (p - y))), 5) AS rmse, round(corr(y, p), 4) AS r FROM q",
+)
 def _(spark, d):
-    f = features(spark, d).where("pos = 1 AND sample_id < 200")
-    out = J.vintage_regression(f.select("sample_id", "pos", "value"), f.select("sample_id", F.col("label").alias("value")))
+    rows = _rows(spark, d).select("sample_id", F.slice("x", 1, 2).alias("x"))
+    out = J.vintage_regression(rows, _labels(spark, d).select("sample_id", F.col("label").cast("double").alias("value")))
     return M.regression_metrics(out).select(F.round("mae", 5).alias("mae"), F.round("rmse", 5).alias("rmse"), F.round("r", 4).alias("r"))
 
 
+@query("vintage_loo_all_features")
+def _(spark, d):
+    out = J.vintage_regression(_rows(spark, d), _labels(spark, d).select("sample_id", F.col("label").cast("double").alias("value")))
+    return out.select("sample_id", "y_true", F.round("y_pred", 6).alias("y_pred"))
+
+
 @query("random_subset_regressions")
 def _(spark, d):
-    f = features(spark, d)
-    m = J.random_subsets(f.select("sample_id", "pos", "value"), f.select("sample_id", F.col("label").alias("value")).distinct(), 40, 5)
+    m = J.random_subsets(_rows(spark, d), _labels(spark, d).select("sample_id", F.col("label").cast("double").alias("value")), 40, 5)
     return m.select("repeat", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2", "r")])
 
 
-@query("sensory_ridge")
-def _(spark, d):
-    """Scores per wine and taster from the wine's embedding and the taster."""
-    s = sensory(spark, d).groupBy("wine", "taster").agg(F.avg("fruity").alias("fruity"), F.avg("citrus").alias("citrus"))
-    rows = s.select(F.concat_ws("/", "wine", "taster").alias("row_id"), "wine", "taster")
-    scores = s.select(F.concat_ws("/", "wine", "taster").alias("row_id"), "fruity", "citrus").unpivot(["row_id"], ["fruity", "citrus"], "attribute", "value")
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("sample_id"), "n_name")
-    x = features(spark, d).join(n, "sample_id").select(F.col("n_name").alias("sample_id"), "pos", "value")
-    out = J.sensory_model(x, rows, scores, ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
-    m = M.regression_metrics(out, "attribute")
-    return m.select("attribute", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2", "r")])
+for _control in ("", "_shuffled", "_constant"):
+
+    @query(f"sensory_ridge{_control}")
+    def _(spark, d, control=_control):
+        """Scores per wine and taster from the wine's embedding and the taster, and two controls."""
+        rows = _scores(spark, d).select(F.concat_ws("/", "wine", "taster").alias("row_id"), "wine", "taster", "y")
+        out = J.sensory_model(_wines(spark, d), rows, NAMES, TASTERS, shuffled=control == "_shuffled", constant=control == "_constant")
+        m = M.regression_metrics(out, "attribute")
+        return m.select("attribute", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2", "r")])
 
 
 @query("self_versus_group", f"WITH {SENSORY}, m AS (SELECT wine, taster, avg(fruity) AS v FROM sensory GROUP BY ALL), o AS (SELECT a.taster, a.wine, any_value(a.v) AS t, avg(b.v) AS p FROM m a JOIN m b ON a.wine = b.wine AND a.taster <> b.taster GROUP BY 1, 2) SELECT taster, round(1 - sum((p - t) * (p - t)) / (var_pop(t) * count(*)), 4) AS r2_group, round(corr(t, p), 4) AS r FROM o GROUP BY 1")
@@ -163,16 +202,94 @@ def _(spark, d):
     return J.self_versus_group(s).select("taster", F.round("r2_group", 4).alias("r2_group"), F.round("r", 4).alias("r"))
 
 
+@query("self_and_group_models")
+def _(spark, d):
+    return _rounded(J.self_and_group_models(_wines(spark, d), _scores(spark, d), NAMES), "taster", "attribute")
+
+
+@query("taster_model_metrics")
+def _(spark, d):
+    return _rounded(J.taster_models(_wines(spark, d), _scores(spark, d), NAMES)[0], "taster", "attribute")
+
+
+@query("taster_model_weights")
+def _(spark, d):
+    return _rounded(J.taster_models(_wines(spark, d), _scores(spark, d), NAMES)[1], "taster", "target", "pos", digits=6)
+
+
+def _profiles(spark, d):
+    """Profiles by customer: mean scores with the taster and the wine as labels."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("taster"), F.col("c_nationkey").cast("string").alias("wine"), F.col("c_acctbal").alias("a"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("sample_id")).agg(F.avg("o_totalprice").alias("b"), F.count("*").alias("n"))
+    return c.join(o, "sample_id").select("sample_id", "taster", "wine", F.array(F.col("a") / 1000, F.col("b") / 1e5, F.col("n") / 10).alias("x"))
+
+
+@query("tasters_from_profiles")
+def _(spark, d):
+    """Stratified folds, as the label is the taster."""
+    p = _profiles(spark, d)
+    lab = p.select("sample_id", F.col("taster").alias("label"))
+    return _rounded(J.profile_labels(p.select("sample_id", "x"), lab, P.stratified_folds(lab, "label", 10, 2), 10)[0], "repeat", digits=6)
+
+
+@query("segments_from_profiles_confusion")
+def _(spark, d):
+    """Folds grouped by wine, as the label is not the taster: the confusion in shares."""
+    p = _profiles(spark, d)
+    lab = p.select("sample_id", F.when(F.col("x")[2] > 1, "many").otherwise("few").alias("label"))
+    return _rounded(J.profile_labels(p.select("sample_id", F.slice("x", 1, 2).alias("x")), lab, P.group_folds(p, "wine", 10, repeats=2), 10)[1], "y_true", "y_pred", digits=6)
+
+
+@query("age_regression")
+def _(spark, d):
+    ages = _ages(spark, d).join(_rows(spark, d).select("sample_id"), "sample_id")
+    m = J.age_regression(_rows(spark, d), ages)
+    return m.select("repeat", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2", "r", "within_5")])
+
+
+@query("age_classes")
+def _(spark, d):
+    ages = _ages(spark, d).join(_rows(spark, d).select("sample_id"), "sample_id")
+    return _rounded(J.age_classes(_rows(spark, d), ages, 10), "repeat", digits=6)
+
+
+@query("pca_classification_repeats")
+def _(spark, d):
+    return _rounded(J.pca_classification(_rows(spark, d), _labels(spark, d)), digits=6)
+
+
+def _vectors(spark, d):
+    """Embeddings with the part's size as a number and a fifth held out."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("sample_id"), F.col("embedding").alias("features"), F.col("label").cast("double").alias("label"), (F.col("vec_id") % 5 == 0).alias("held"))
+    return e
+
+
+for _kind in ("lr", "dtc", "gnb", "svm"):
+
+    @query(f"classify_{_kind}")
+    def _(spark, d, kind=_kind):
+        return _rounded(M.fold_metrics(D.ml_evaluate(_vectors(spark, d), kind, "held")), digits=6)
+
+
+for _kind in ("ridge", "lasso", "elasticnet", "rf", "gbr", "dt"):
+
+    @query(f"regress_{_kind}")
+    def _(spark, d, kind=_kind):
+        m = M.regression_metrics(D.ml_regress(_vectors(spark, d), kind, "held", alpha=0.05 if kind in ("lasso", "elasticnet") else 1.0))
+        return m.select(*[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")])
+
+
 @query("embedding_quality")
 def _(spark, d):
-    q = J.embedding_quality(T.gram(features(spark, d).where("sample_id < 200").select("sample_id", "pos", "value")), _labels(spark, d).where("sample_id < 200"))
-    return q.select(*[F.round(c, 5).alias(c) for c in q.columns])
+    f = features(spark, d)
+    q = J.combined_quality(X.pca(_rows(spark, d), components=1), _labels(spark, d), T.gram(f.select("sample_id", "pos", "value")), 10)
+    return _rounded(q, digits=5)
 
 
 @query("ranked_channel_addition")
 def _(spark, d):
     """Channels by their own accuracy, added one after the other."""
-    binned, lab = _small(spark, d)
+    binned, lab = _binned(spark, d)
     g = V.channel_grams(binned)
     own = V.cell_map(g, lab)
     sets = J.ranked_channels(own, list(range(41, 48)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retort.plans import model_queries, signal_queries, table_queries
+from retort.plans import model_queries, signal_queries, source_queries, table_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**signal_queries.QUERIES, **table_queries.QUERIES, **model_queries.QUERIES}
-ORACLES: dict[str, str] = {**signal_queries.ORACLES, **table_queries.ORACLES, **model_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**signal_queries.QUERIES, **table_queries.QUERIES, **model_queries.QUERIES, **source_queries.QUERIES}
+ORACLES: dict[str, str] = {**signal_queries.ORACLES, **table_queries.ORACLES, **model_queries.ORACLES, **source_queries.ORACLES}

@@ -75,9 +75,10 @@ def _(spark, d):
     return S.valid_rows(table(spark, d, "events").where("event_type IS NOT NULL"), "value").where("value > 10").select("event_id", "value")
 
 
-@query("filter_singletons", "WITH c AS (SELECT p_brand FROM part WHERE p_size = 7 GROUP BY 1 HAVING count(DISTINCT p_type) >= 2) SELECT p_partkey, p_brand FROM part WHERE p_size = 7 AND p_brand IN (SELECT p_brand FROM c)")
+@query("filter_singletons", "WITH n AS (SELECT p_partkey, p_brand || p_size::VARCHAR AS k, p_type FROM part), c AS (SELECT k FROM n GROUP BY 1 HAVING count(DISTINCT p_type) >= 2) SELECT p_partkey, k FROM n WHERE k IN (SELECT k FROM c)")
 def _(spark, d):
-    return S.filter_singletons(table(spark, d, "part").where("p_size = 7"), "p_brand", "p_type").select("p_partkey", "p_brand")
+    n = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.col("p_size").cast("string")).alias("k"), "p_type")
+    return S.filter_singletons(n, "k", "p_type").select("p_partkey", "k")
 
 
 _E7, _E3 = S.linspace_edges(200, 7), S.linspace_edges(7, 3)
@@ -143,17 +144,19 @@ def _(spark, d):
     return S.tic(scans(spark, d)).select("sample_id", "scan_idx", F.round(F.pow("tic", F.lit(1.5)), 4).alias("tic"))
 
 
-@query("merge_renamed", "WITH a AS (SELECT c_custkey::VARCHAR AS sample_id, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey::VARCHAR AS sample_id, c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0) SELECT * FROM a UNION ALL SELECT CASE WHEN sample_id IN (SELECT sample_id FROM a) THEN sample_id || 'b' ELSE sample_id END, v FROM b")
+@query("merge_renamed", "WITH a AS (SELECT c_custkey::VARCHAR AS sample_id, c_acctbal AS v FROM customer), b AS (SELECT p_partkey::VARCHAR AS sample_id, p_retailprice AS v FROM part) SELECT * FROM a UNION ALL SELECT CASE WHEN sample_id IN (SELECT sample_id FROM a) THEN sample_id || 'b' ELSE sample_id END, v FROM b")
 def _(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"), F.col("c_acctbal").alias("v"), "c_custkey")
-    return S.merge_renamed(c.where("c_custkey % 2 = 0").drop("c_custkey"), c.where("c_custkey % 3 = 0").drop("c_custkey"))
+    """Two sources whose names overlap in part."""
+    a = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"), F.col("c_acctbal").alias("v"))
+    b = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("sample_id"), F.col("p_retailprice").alias("v"))
+    return S.merge_renamed(a, b)
 
 
-@query("concat_lists", "WITH a AS (SELECT n_regionkey AS k, list(n_nationkey ORDER BY n_nationkey) AS v FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 1), b AS (SELECT n_regionkey AS k, list(n_nationkey ORDER BY n_nationkey) AS v FROM nation WHERE n_nationkey % 3 = 0 GROUP BY 1), j AS (SELECT coalesce(a.k, b.k) AS k, list_concat(coalesce(a.v, []), coalesce(b.v, [])) AS v FROM a FULL JOIN b USING (k)) SELECT k, array_to_string(v, ',') AS v FROM j")
+@query("concat_lists", "WITH a AS (SELECT n_regionkey AS k, list(n_nationkey ORDER BY n_nationkey) AS v FROM nation GROUP BY 1), b AS (SELECT s_nationkey AS k, list(s_suppkey ORDER BY s_suppkey) AS v FROM supplier GROUP BY 1), j AS (SELECT coalesce(a.k, b.k) AS k, list_concat(coalesce(a.v, []), coalesce(b.v, [])) AS v FROM a FULL JOIN b USING (k)) SELECT k, array_to_string(v, ',') AS v FROM j")
 def _(spark, d):
-    n = table(spark, d, "nation").withColumnRenamed("n_regionkey", "k")
-    part = lambda m: n.where(f"n_nationkey % {m} = 0").groupBy("k").agg(F.array_sort(F.collect_list("n_nationkey")).alias("v"))
-    return S.concat_lists(part(2), part(3), "k", "v").select("k", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("v"))
+    part = lambda t, k, v: table(spark, d, t).groupBy(F.col(k).cast("long").alias("k")).agg(F.array_sort(F.collect_list(F.col(v).cast("long"))).alias("v"))
+    both = S.concat_lists(part("nation", "n_regionkey", "n_nationkey"), part("supplier", "s_nationkey", "s_suppkey"), "k", "v")
+    return both.select("k", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("v"))
 
 
 @query("wide_samples", f'WITH {SCANS} SELECT scan_idx, sum(intensity) FILTER (sample_id = 1) AS "1", sum(intensity) FILTER (sample_id = 2) AS "2", sum(intensity) FILTER (sample_id = 3) AS "3" FROM scans WHERE sample_id IN (1, 2, 3) GROUP BY 1')

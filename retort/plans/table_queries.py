@@ -70,11 +70,11 @@ def _(spark, d):
     return n.select("o_orderkey", L.bordeaux_label(c).alias("label"), L.bordeaux_label(c, True).alias("year"), L.chateau_letter(c).alias("chateau"), L.from_first_digit(c).alias("tail"), L.alphabetic_prefix(c).alias("prefix"))
 
 
-@query("name_functions", "SELECT doc_id, regexp_replace(substr(text, 1, 30), '[^a-zA-Z0-9_\\-.()+]', '_', 'g') AS safe, CASE WHEN source = 'src1' THEN 'bordeaux' WHEN source = 'src2' THEN 'pinot_noir' END AS kind, CASE WHEN regexp_matches(source, '[0-9]') THEN length(regexp_extract(source, '^[^0-9]*'))::INTEGER ELSE -1 END AS first_at, CASE WHEN regexp_matches(source, '[0-9]') THEN 3 ELSE -1 END AS last_at FROM documents")
+@query("name_functions", "SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9_\\-.()+]', '_', 'g') AS safe, CASE WHEN source = 'src1' THEN 'bordeaux' WHEN source = 'src2' THEN 'pinot_noir' END AS kind, CASE WHEN regexp_matches(source, '[0-9]') THEN length(regexp_extract(source, '^[^0-9]*'))::INTEGER ELSE -1 END AS first_at, CASE WHEN regexp_matches(source, '[0-9]') THEN 3 ELSE -1 END AS last_at FROM documents")
 def _(spark, d):
     t = table(spark, d, "documents")
     path = F.concat(F.lit("/data/"), F.when(F.col("source") == "src1", "Bordeaux").when(F.col("source") == "src2", "PINOT_NOIR").otherwise("x"))
-    return t.select("doc_id", L.safe_file_name(F.substring("text", 1, 30)).alias("safe"), L.wine_kind(path).alias("kind"), L.first_number_at(F.col("source")).alias("first_at"), L.last_number_at(F.col("source")).alias("last_at"))
+    return t.select("doc_id", L.safe_file_name(F.col("text")).alias("safe"), L.wine_kind(path).alias("kind"), L.first_number_at(F.col("source")).alias("first_at"), L.last_number_at(F.col("source")).alias("last_at"))
 
 
 @query("age_bins", "WITH r AS (SELECT min(p_retailprice) AS a, max(p_retailprice) AS b FROM part WHERE p_size < 25) SELECT p_partkey, (p_size >= 0)::INTEGER + (p_size >= 5)::INTEGER + (p_size >= 10)::INTEGER + (p_size >= 15)::INTEGER + (p_size >= 20)::INTEGER + (p_size >= 25)::INTEGER + (p_size >= 30)::INTEGER AS age_bin, least(greatest(floor((p_retailprice - a) / (b - a) * 8), 0), 7)::INTEGER AS price_bin FROM part, r")
@@ -121,10 +121,10 @@ def _(spark, d):
 # Joins and set operations
 
 
-@query("labels_to_scores", f"WITH {SENSORY}, l AS (SELECT DISTINCT wine, taster, length(wine) AS label FROM sensory WHERE citrus > 20) SELECT s.o_orderkey, s.wine, s.taster, l.label::INTEGER AS label FROM sensory s JOIN l USING (wine, taster)")
+@query("labels_to_scores", f"WITH {SENSORY}, l AS (SELECT DISTINCT wine, taster, length(wine) AS label FROM sensory) SELECT s.o_orderkey, s.wine, s.taster, l.label::INTEGER AS label FROM sensory s JOIN l USING (wine, taster)")
 def _(spark, d):
     s = sensory(spark, d)
-    lab = s.where("citrus > 20").select("wine", "taster", F.length("wine").alias("label")).dropDuplicates(["wine", "taster"])
+    lab = s.select("wine", "taster", F.length("wine").alias("label")).dropDuplicates(["wine", "taster"])
     return s.join(lab, ["wine", "taster"]).select("o_orderkey", "wine", "taster", "label")
 
 
@@ -143,12 +143,14 @@ def _(spark, d):
     return s.groupBy(F.left(F.col("sample_id").cast("string"), F.lit(1)).alias("wine"), "scan_idx").agg(F.round(F.avg("intensity"), 6).alias("value"))
 
 
-COMPOUNDS = "compounds AS (SELECT p_brand || '/' || p_partkey::VARCHAR AS name, (40 + p_size % 8 + 1)::INTEGER AS mz, (p_partkey % 150) / 600.0 AS rt_start, (p_partkey % 150 + p_size) / 600.0 AS rt_stop FROM part WHERE p_partkey <= 40)"
+#: A compound for each brand: the list stays short while parts grow in number.
+COMPOUNDS = "compounds AS (SELECT p_brand AS name, (41 + sum(p_size) % 8)::INTEGER AS mz, (sum(p_partkey) % 150) / 600.0 AS rt_start, (sum(p_partkey) % 150 + max(p_size)) / 600.0 AS rt_stop FROM part GROUP BY p_brand)"
 
 
 def compounds(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 40")
-    return p.select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("name"), F.array((40 + F.col("p_size") % 8 + 1).cast("int")).alias("mz"), ((F.col("p_partkey") % 150) / 600.0).alias("rt_start"), ((F.col("p_partkey") % 150 + F.col("p_size")) / 600.0).alias("rt_stop"))
+    start = F.sum("p_partkey") % 150
+    own = table(spark, d, "part").groupBy(F.col("p_brand").alias("name"))
+    return own.agg(F.array((41 + F.sum("p_size") % 8).cast("int")).alias("mz"), (start / 600.0).alias("rt_start"), ((start + F.max("p_size")) / 600.0).alias("rt_stop"))
 
 
 INSIDE = f"{SCANS}, {COMPOUNDS}, hit AS (SELECT s.sample_id, c.name, c.mz, s.scan_idx, s.rt_ms, s.intensity FROM scans s JOIN compounds c ON s.mz = c.mz AND s.rt_ms / 60000 >= c.rt_start AND s.rt_ms / 60000 <= c.rt_stop)"
@@ -188,17 +190,18 @@ def _(spark, d):
     return C.nearest_peak(p, p.where("sample_id = 1"), 4)
 
 
-@query("common_samples", "SELECT DISTINCT l_suppkey AS sample_id FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45")
+@query("common_samples", "SELECT DISTINCT l_partkey AS part, l_suppkey AS sample_id FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")
 def _(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 45")
-    part = lambda f: li.where(F.col("l_returnflag") == f).select(F.col("l_suppkey").alias("sample_id"))
+    li = table(spark, d, "lineitem")
+    part = lambda f: li.where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("sample_id"))
     return part("A").intersect(part("R"))
 
 
-@query("remaining_candidates", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("remaining_candidates", "SELECT l_partkey AS part, l_suppkey AS sample_id FROM lineitem EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'N'")
 def _(spark, d):
-    used = table(spark, d, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    return table(spark, d, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
+    """Candidates that no run of one kind has used."""
+    every = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("sample_id"), "l_returnflag")
+    return every.select("part", "sample_id").distinct().join(every.where("l_returnflag = 'N'"), ["part", "sample_id"], "left_anti")
 
 
 @query("one_kind", "SELECT 'pinot_noir/' || r_name AS path FROM region")
@@ -399,16 +402,15 @@ def _(spark, d):
 # Statistics
 
 
-@query("pairwise_pearson", "WITH v AS (SELECT vec_id, embedding[1:64] AS e FROM embeddings WHERE vec_id < 60), f AS (SELECT vec_id, unnest(range(0, 64)) AS p, unnest(e)::DOUBLE AS x FROM v) SELECT a.vec_id AS a, b.vec_id AS b, round(corr(a.x, b.x), 5) AS r FROM f a JOIN f b ON a.p = b.p AND a.vec_id < b.vec_id GROUP BY ALL")
+@query("pairwise_pearson", "WITH v AS (SELECT vec_id, embedding[1:64] AS e FROM embeddings), f AS (SELECT vec_id, unnest(range(0, 64)) AS p, unnest(e)::DOUBLE AS x FROM v) SELECT a.vec_id AS a, b.vec_id AS b, round(corr(a.x, b.x), 5) AS r FROM f a JOIN f b ON a.p = b.p AND a.vec_id < b.vec_id GROUP BY ALL")
 def _(spark, d):
-    f = features(spark, d).where("sample_id < 60")
+    f = features(spark, d)
     return T.pairwise_pearson(f).select("a", "b", F.round("r", 5).alias("r"))
 
 
-@query("channel_correlations", f"WITH {SCANS}, s AS (SELECT scan_idx, mz, intensity FROM scans WHERE sample_id = 1) SELECT a.mz AS a, b.mz AS b, round(corr(a.intensity, b.intensity), 5) AS r FROM s a JOIN s b ON a.scan_idx = b.scan_idx AND a.mz <= b.mz GROUP BY ALL HAVING count(*) > 2")
+@query("channel_correlations", f"WITH {SCANS}, c AS (SELECT a.sample_id, a.mz AS a, b.mz AS b, count(*) AS n, round(corr(a.intensity, b.intensity), 4) AS r FROM scans a JOIN scans b ON a.sample_id = b.sample_id AND a.scan_idx = b.scan_idx AND a.mz <= b.mz GROUP BY ALL) SELECT sample_id, a, b, n, r FROM c WHERE n > 2")
 def _(spark, d):
-    s = scans(spark, d).where("sample_id = 1").select("scan_idx", "mz", "intensity")
-    return T.channel_correlations(s).where("n > 2").select("a", "b", F.round("r", 5).alias("r"))
+    return T.channel_correlations(scans(spark, d)).where("n > 2").select("sample_id", "a", "b", "n", F.round("r", 4).alias("r"))
 
 
 @query("compare_weights", "WITH w AS (SELECT unnest(range(0, 64)) AS pos, unnest((SELECT embedding FROM embeddings WHERE vec_id = 0))::DOUBLE AS x, unnest((SELECT embedding FROM embeddings WHERE vec_id = 1))::DOUBLE AS y) SELECT round(corr(x, y), 5) AS r, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept, round(avg(y - x), 6) AS difference FROM w")
@@ -419,9 +421,9 @@ def _(spark, d):
     return c.select(*[F.round(x, 5).alias(x) for x in ("r", "slope", "intercept")], F.round("difference", 6).alias("difference"))
 
 
-@query("cluster_distances", "WITH f AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 200) , p AS (SELECT least(a.label, b.label) AS g, greatest(a.label, b.label) AS h, sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))) AS dist FROM f a JOIN f b ON a.vec_id < b.vec_id) SELECT g, h, round(avg(dist), 5) AS mean_distance, count(*) AS n FROM p GROUP BY ALL")
+@query("cluster_distances", "WITH f AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT least(a.label, b.label) AS g, greatest(a.label, b.label) AS h, sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))) AS dist FROM f a JOIN f b ON a.vec_id < b.vec_id) SELECT g, h, round(avg(dist), 5) AS mean_distance, count(*) AS n FROM p GROUP BY ALL")
 def _(spark, d):
-    return T.cluster_distances(features(spark, d).where("sample_id < 200")).select("g", "h", F.round("mean_distance", 5).alias("mean_distance"), "n")
+    return T.cluster_distances(features(spark, d)).select("g", "h", F.round("mean_distance", 5).alias("mean_distance"), "n")
 
 
 @query("group_dispersion", "WITH p AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), g AS (SELECT label, avg(x) AS mx, avg(y) AS my, var_samp(x) * 0.4 + 0.001 AS xx, covar_samp(x, y) * 0.4 AS xy, var_samp(y) * 0.4 + 0.001 AS yy FROM p GROUP BY 1) SELECT label, round(mx, 5) AS mx, round(my, 5) AS my, round(xx * yy - xy * xy, 6) AS det, round(greatest(0.1, 1 / (1 + 1.5 * (xx * yy - xy * xy))), 5) AS alpha FROM g")
@@ -472,3 +474,31 @@ def _(spark, d):
     v = features(spark, d).groupBy("pos").agg(F.var_pop("value").alias("v"))
     w = Window.orderBy(F.desc("v"), "pos")  # one row for each feature position
     return v.select(F.row_number().over(w).alias("k"), F.round(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("v").over(Window.partitionBy()), 5).alias("share"))
+
+
+@query("average_by_wine", f"WITH {FEATURES}, {SENSORY}, y AS (SELECT wine, avg(fruity) AS y FROM sensory GROUP BY 1), x AS (SELECT n_name AS wine, pos, avg(value) AS x FROM features JOIN nation ON sample_id % 25 = n_nationkey GROUP BY ALL) SELECT wine, pos, round(x, 6) AS x, round(y, 5) AS y FROM x JOIN y USING (wine)")
+def _(spark, d):
+    """Features and scores of a wine averaged over all of its rows."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey"), F.col("n_name").alias("wine"))
+    f = features(spark, d).withColumn("n_nationkey", F.col("sample_id") % 25).join(n, "n_nationkey")
+    return M.average_by(f, "wine", "value", "pos").join(M.average_by(sensory(spark, d), "wine", "fruity"), "wine").select("wine", "pos", F.round("value", 6).alias("x"), F.round("fruity", 5).alias("y"))
+
+
+@query("mean_predictions", f"WITH {SENSORY} SELECT wine, taster, round(avg(fruity), 5) AS y_true, round(avg(citrus), 5) AS y_pred, count(DISTINCT o_orderkey % 10) AS repeats FROM sensory GROUP BY ALL")
+def _(spark, d):
+    p = sensory(spark, d).select("wine", "taster", (F.col("o_orderkey") % 10).alias("repeat"), F.col("fruity").alias("y_true"), F.col("citrus").alias("y_pred"))
+    return M.mean_predictions(p, "wine", "taster").select("wine", "taster", F.round("y_true", 5).alias("y_true"), F.round("y_pred", 5).alias("y_pred"), "repeats")
+
+
+@query("profile_correlations", "WITH h AS (SELECT l_returnflag || l_linestatus AS name, (l_partkey % 100)::INTEGER AS pos, count(*) AS value FROM lineitem GROUP BY ALL) SELECT a.name AS a, b.name AS b, round(corr(a.value, b.value), 3) AS r FROM h a JOIN h b ON a.pos = b.pos GROUP BY ALL")
+def _(spark, d):
+    """Pearson matrix of histograms, one for each kind of line."""
+    li = table(spark, d, "lineitem")
+    h = li.groupBy(F.concat("l_returnflag", "l_linestatus").alias("name"), (F.col("l_partkey") % 100).cast("int").alias("pos")).agg(F.count("*").alias("value"))
+    return T.profile_correlations(h).select("a", "b", F.round("r", 3).alias("r"))
+
+
+@query("weights_by_bin", f"WITH {FEATURES}, m AS (SELECT pos, avg(value) AS w FROM features GROUP BY 1), b AS (SELECT (pos // 8)::INTEGER AS bin, avg(abs(w)) AS v FROM m GROUP BY 1) SELECT bin, round(v / max(v) OVER (), 6) AS weight FROM b")
+def _(spark, d):
+    c = features(spark, d).select(F.col("sample_id").alias("fold"), "pos", F.col("value").alias("coef"))
+    return T.weights_by_bin(c, 8).select("bin", F.round("weight", 6).alias("weight"))

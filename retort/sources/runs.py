@@ -16,9 +16,10 @@ def read_runs(spark: SparkSession, directory: str, row_start: int = 1, row_end:
 
     Column 0 is the retention time in ms; a file of two columns is a chromatogram, kept
     as channel 0. ``row_start`` data rows are passed over. Scans are numbered in the
-    order of their retention time. Rows whose time is not a number are dropped.
+    order of their retention time. Rows whose time is not a number are dropped. Runs whose
+    headers differ, and so their channels, raise an error.
     """
-    raw = spark.read.option("header", True).csv(f"{directory}/*.D/*.csv").withColumn("_path", F.col("_metadata.file_path"))
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(f"{directory}/*.D/*.csv").withColumn("_path", F.col("_metadata.file_path"))
     names = [c for c in raw.columns if c != "_path"]
     rt, mz = names[0], channel_columns(names[1:]) or names[1:2]
     rows = raw.select(F.regexp_extract(F.url_decode("_path"), r"([^/]+)\.D/[^/]+\.csv$", 1).alias("sample_id"), F.expr(f"try_cast(`{rt}` AS DOUBLE)").alias("rt_ms"), *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) for c in mz]).where("rt_ms IS NOT NULL")
@@ -97,7 +98,10 @@ def sheet_to_vectors(sheet: DataFrame, order: str, pattern: str = r"Ab \S*[_ ]?(
 def read_sensory(spark: SparkSession, path: str) -> DataFrame:
     """Scores per (wine, taster): the first line is passed over, a repeated header row dropped, names made lower case."""
     lines = spark.read.csv(path).withColumn("_row", F.monotonically_increasing_id())
-    head = lines.where("_row > 0").orderBy("_row").limit(1).collect()[0]
+    found = lines.where("_row > 0").orderBy("_row").limit(1).collect()
+    if not found:
+        raise ValueError(f"no header row in {path}")
+    head = found[0]
     names = {c: (head[c] or f"unnamed {c}").strip().lower() for c in lines.columns if c != "_row"}
     keep = [c for c in names if not names[c].startswith("unnamed")]
     body = lines.where((F.col("_row") > head["_row"]) & ~F.lower(F.trim(F.col(keep[0]))).eqNullSafe(names[keep[0]]))
@@ -112,11 +116,17 @@ def read_acquisitions(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def join_datasets(parts: list[DataFrame]) -> DataFrame:
-    """Union in the given order: a sample of several parts is stacked in time and keeps its first origin."""
+    """Union in the given order: a sample of several parts is stacked in time and keeps its first origin.
+
+    Parts whose channels (column mz, if they have it) differ raise an error.
+    """
     out = None
     for k, p in enumerate(parts):
         p = p.withColumn("_d", F.lit(k))
         out = p if out is None else out.unionByName(p)
+    if "mz" in out.columns:
+        kinds = out.groupBy("_d").agg(F.array_sort(F.collect_set("mz")).alias("_c")).agg(F.count_distinct("_c").alias("_kinds"))  # channels are few
+        out = out.crossJoin(kinds).where(F.expr("_kinds <= 1 OR raise_error('data sets of different channels') IS NULL")).drop("_kinds")  # one row
     w = Window.partitionBy("sample_id")
     place = F.dense_rank().over(w.orderBy("_d", "scan_idx")) - 1
     return out.withColumn("origin", F.min("_d").over(w)).withColumn("scan_idx", place.cast("int")).drop("_d")

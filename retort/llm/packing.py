@@ -52,34 +52,33 @@ def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     if windows <= 1 or n == 0:
         return np.zeros(n, np.int64)
     after = np.full(n, -1, np.int64)
-    merged: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # loads, first and last items
+    merged: dict[int, np.ndarray] = {}  # rows: loads, first and last items
     heap = [(-int(s), k) for k, s in enumerate(sizes)]
     heapq.heapify(heap)
 
-    def taken(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return merged.pop(k, None) or (np.array([sizes[k]], np.int64), np.array([k]), np.array([k]))
+    def taken(k: int) -> np.ndarray:
+        found = merged.pop(k, None)
+        return np.array([[sizes[k]], [k], [k]], np.int64) if found is None else found
 
     while len(heap) > 1:
         _, a = heapq.heappop(heap)
         _, b = heapq.heappop(heap)
-        one, other = taken(a), [x[::-1] for x in taken(b)]
-        used = len(one[0]) + len(other[0])
+        one, other = taken(a), taken(b)[:, ::-1]
+        used, end = one.shape[1] + other.shape[1], other.shape[1]
         if used <= windows:
-            load, head, tail = (np.concatenate([y, x]) for x, y in zip(one, other, strict=True))
+            both = np.concatenate([other, one], axis=1)
         else:
-            front, back = windows - len(one[0]), windows - len(other[0])
-            (load_a, head_a, tail_a), (load_b, head_b, tail_b) = ([np.pad(x, w, constant_values=0 if k == 0 else -1) for k, x in enumerate(xs)] for xs, w in ((one, (front, 0)), (other, (0, back))))
-            load = load_a + load_b
-            joins = np.flatnonzero((tail_a >= 0) & (head_b >= 0))
-            after[tail_a[joins]] = head_b[joins]
-            head = np.where(head_a >= 0, head_a, head_b)
-            tail = np.where(tail_b >= 0, tail_b, tail_a)
-        order = np.argsort(load, kind="stable")
-        load = load[order]
+            front = windows - one.shape[1]  # windows from here to ``end`` get items of both
+            met, own = one[:, : end - front], other[:, front:]
+            both = np.empty((3, windows), np.int64)
+            both[:, :front], both[:, end:] = other[:, :front], one[:, end - front :]
+            both[0, front:end], both[1, front:end], both[2, front:end] = met[0] + own[0], met[1], own[2]
+            after[met[2]] = own[1]
+        both = both[:, np.argsort(both[0], kind="stable")]
         if used >= windows:
-            load -= load[0]
-        merged[a] = load, head[order], tail[order]
-        heapq.heappush(heap, (-int(load[-1]), a))
+            both[0] -= both[0, 0]
+        merged[a] = both
+        heapq.heappush(heap, (-int(both[0, -1]), a))
     out = np.zeros(n, np.int64)
     heads = taken(heap[0][1])[1]
     for w, k in enumerate(heads, windows - len(heads)):

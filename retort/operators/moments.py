@@ -34,16 +34,15 @@ def sums(rows: DataFrame, *keys: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
-        p = 0
+        size: dict[tuple, int] = {}  # keys may differ in their number of features
         for frame in frames:
             for key, part in frame.groupby(list(keys), dropna=False, sort=False) if keys else [((), frame)]:
                 x, y = np.array(part["x"].tolist(), float), np.array(part["y"].tolist(), float)
-                p = x.shape[1]
                 z = np.c_[np.ones(len(part)), x, y.reshape(len(part), -1)]
                 key = key if isinstance(key, tuple) else (key,)
-                held[key] = held.get(key, 0) + z.T @ z
+                held[key], size[key] = held.get(key, 0) + z.T @ z, x.shape[1]
         if held:
-            yield pd.DataFrame([(*key, p, m.ravel()) for key, m in held.items()], columns=[*keys, "p", "m"])
+            yield pd.DataFrame([(*key, size[key], m.ravel()) for key, m in held.items()], columns=[*keys, "p", "m"])
 
     y = F.col("y") if "y" in rows.columns else F.array().cast("array<double>")
     parts = rows.select(*keys, "x", y.alias("y")).mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "p int", "m array<double>"]))

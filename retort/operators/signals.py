@@ -353,3 +353,22 @@ def peak_prominences(tics: DataFrame, value: str = "tic") -> DataFrame:
 
     kind = dict(tics.dtypes)["sample_id"]
     return tics.select("sample_id", "scan_idx", value).groupBy("sample_id").cogroup(peaks.groupBy("_sample")).applyInPandas(run, f"sample_id {kind}, scan_idx int, {value} double, prominence double")
+
+
+def weighted_peak_distance(peaks: DataFrame, reference: DataFrame, power: float = 1.0, square: bool = False) -> DataFrame:
+    """(sample_id, distance, n): mean distance of a sample's peaks to the nearest reference peak, weighted by the smaller over the larger prominence.
+
+    ``peaks`` is (sample_id, scan_idx, prominence), ``reference`` (scan_idx, prominence) of
+    one run. The nearest peak is found in one ordered pass over both; ties go to the
+    earlier one. Without reference peaks the result is empty.
+    """
+    ref = reference.select("scan_idx", F.struct("scan_idx", "prominence").alias("_ref"))
+    every = peaks.select("sample_id").distinct().crossJoin(ref)  # samples times one run's peaks
+    both = peaks.select("sample_id", "scan_idx", "prominence").unionByName(every, allowMissingColumns=True)
+    w = Window.partitionBy("sample_id").orderBy("scan_idx", F.col("_ref").isNull())
+    near = both.withColumn("_a", F.last("_ref", True).over(w)).withColumn("_b", F.first("_ref", True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))).where("_ref IS NULL")
+    to = F.when(F.col("_b").isNull() | (F.col("scan_idx") - F.col("_a.scan_idx") <= F.col("_b.scan_idx") - F.col("scan_idx")), F.col("_a")).otherwise(F.col("_b"))
+    at = near.withColumn("_to", to).where("_to IS NOT NULL")
+    weight = F.pow(F.least("prominence", "_to.prominence") / F.greatest("prominence", "_to.prominence"), F.lit(power))
+    away = F.abs(F.col("scan_idx") - F.col("_to.scan_idx"))
+    return at.groupBy("sample_id").agg((F.sum(weight * (away * away if square else away)) / F.sum(weight)).alias("distance"), F.count("*").alias("n"))

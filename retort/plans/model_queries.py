@@ -8,6 +8,7 @@ from retort.operators import align as A
 from retort.operators import metrics as M
 from retort.operators import models as D
 from retort.operators import moments as X
+from retort.operators import selection as G
 from retort.operators import signals as S
 from retort.operators import splits as P
 from retort.operators import statistics as T
@@ -294,3 +295,57 @@ def _(spark, d):
     own = V.cell_map(g, lab)
     sets = J.ranked_channels(own, list(range(41, 48)))
     return V.score_sets(g, lab, sets).select("k", F.round("accuracy", 6).alias("accuracy"))
+
+
+BINS, CHANNELS = 4, 7
+
+
+def _cells(spark, d):
+    """(rows, labels): each supplier's sums by 4 retention bins and 7 channels, bin by bin, and four classes."""
+    binned, lab = _binned(spark, d)
+    place = F.col("rt_bin") * CHANNELS + F.col("mz") - 41
+    sums = binned.groupBy("sample_id", place.cast("int").alias("pos")).agg(F.sum("intensity").cast("double").alias("value"))
+    found = sums.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("_m"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(BINS * CHANNELS - 1)), lambda p: F.coalesce(F.try_element_at("_m", p), F.lit(0.0)))
+    return found.select("sample_id", x.alias("x")), lab
+
+
+def _spectra(spark, d):
+    """(rows, labels): each supplier's summed spectrum."""
+    rows, lab = _cells(spark, d)
+    total = F.transform(F.sequence(F.lit(0), F.lit(CHANNELS - 1)), lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(BINS - 1)), F.lit(0.0), lambda t, b: t + F.get("x", b * CHANNELS + c)))
+    return rows.select("sample_id", total.alias("x")), lab
+
+
+for _mode in ("remove", "add"):
+
+    @query(f"shared_survival_{_mode}")
+    def _(spark, d, mode=_mode):
+        """Cubes of a retention bin and half of the channels, by one cross-validation."""
+        cubes = [[b * CHANNELS + c for c in part] for b in range(BINS) for part in (range(3), range(3, 7))]
+        return _rounded(G.shared_survival(*_cells(spark, d), cubes, mode, drawn=5 if mode == "add" else None), "step", "cube", digits=6)
+
+
+@query("shared_survival_bins")
+def _(spark, d):
+    """Removal of whole retention bins."""
+    return _rounded(G.shared_survival(*_cells(spark, d), [[b * CHANNELS + c for c in range(CHANNELS)] for b in range(BINS)]), "step", "cube", digits=6)
+
+
+@query("nested_channels_add")
+def _(spark, d):
+    """Channels of the summed spectrum, forward."""
+    return _rounded(G.nested_channels(*_spectra(spark, d), CHANNELS, folds=5, least=2), "repeat", "step", "channel", "wins", digits=6)
+
+
+@query("nested_channels_remove")
+def _(spark, d):
+    """Channels of the means over channels by retention bin, backward; three steps."""
+    rows, lab = _cells(spark, d)
+    by_channel = F.transform(F.sequence(F.lit(0), F.lit(BINS * CHANNELS - 1)), lambda p: F.get("x", p % BINS * CHANNELS + F.floor(p / BINS).cast("int")))
+    return _rounded(G.nested_channels(rows.select("sample_id", by_channel.alias("x")), lab, CHANNELS, BINS, "average", "remove", 3, 2, 4, 2), "repeat", "step", "channel", "wins", digits=6)
+
+
+@query("count_map")
+def _(spark, d):
+    return _rounded(G.count_map(*_cells(spark, d), BINS, CHANNELS, [3, 2], [5, 3]), "rt_bins", "mz_channels", digits=6)

@@ -1,18 +1,20 @@
 """Retention-time alignment of chromatograms to a reference run.
 
 Only the reference's chromatogram and peak spectra are sent to the samples; each sample
-is one group. Where smoothing splines would be fitted, the lag curve here is piecewise
+is one row. Where smoothing splines would be fitted, the lag curve here is piecewise
 linear through the matched peaks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retort.operators.signals import gaussian_kernel
+from retort.operators.signals import gaussian_kernel, prominence
 
 
 def smooth_trace(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -83,41 +85,87 @@ def match_peaks(ref_at: np.ndarray, ref_spectra: np.ndarray, at: np.ndarray, spe
     return pairs
 
 
-def align_to_reference(scans: DataFrame, reference_id, n_scans: int, sigma: float = 50, most: int = 100, ref_segments: int = 5, segments: int = 15, tolerance: int = 150, least_r: float = 0.8) -> DataFrame:
-    """Scans with intensities warped onto the reference's retention axis.
+def chain_peaks(ref_at: np.ndarray, ref_weight: np.ndarray, at: np.ndarray, weight: np.ndarray, tolerance: int, neighbours: int = 0) -> list[tuple[int, int]]:
+    """(reference, target) places of a chain of peaks, from (0, 0) on; each link moves all later target peaks by its lag.
+
+    A target peak meets the reference peak nearest to where the chain has moved it, or,
+    with ``neighbours``, that one of so many on either side after which the later peaks
+    lie nearest to reference peaks, weighted by the smaller over the larger prominence.
+    Links outside the tolerance, or that would go backwards, are passed over.
+    """
+
+    def distance(k: int, lag: int) -> float:
+        later = at[k:] + lag
+        near = np.abs(ref_at[None, :] - later[:, None]).argmin(1)
+        low, high = np.minimum(ref_weight[near], weight[k:]), np.maximum(ref_weight[near], weight[k:])
+        w = np.divide(low, high, out=np.zeros(len(later)), where=high > 0)
+        return float((np.abs(ref_at[near] - later) * w).sum() / w.sum()) if w.sum() else np.inf
+
+    chain, lag = [(0, 0)], 0
+    for k, t in enumerate(at if len(ref_at) else []):
+        nearest = int(np.abs(ref_at - (t + lag)).argmin())
+        close = [j for j in range(max(0, nearest - neighbours), min(len(ref_at), nearest + neighbours + 1)) if abs(ref_at[j] - (t + lag)) <= tolerance and ref_at[j] > chain[-1][0] and t > chain[-1][1]]
+        if close:
+            j = min(close, key=lambda j: (distance(k, int(ref_at[j] - t)), abs(ref_at[j] - (t + lag)), j)) if neighbours else close[0]
+            lag = int(ref_at[j] - t)
+            chain.append((int(ref_at[j]), int(t)))
+    return chain
+
+
+def align_to_reference(scans: DataFrame, reference, n_scans: int, sigma: float = 50, most: int = 100, ref_segments: int = 5, segments: int = 15, tolerance: int = 150, least_r: float = 0.8, how: str = "curve", neighbours: int = 0) -> DataFrame:
+    """Scans with intensities warped onto the retention axis of the reference, a sample_id or a table of one.
 
     The whole sample is moved by its global lag, then by the lag curve through matched
-    peaks; with fewer than two matches only the global lag applies. Missing cells count
-    as 0. The result has a row for each scan and channel of the reference's axis.
+    peaks; with fewer than two matches only the global lag applies. With ``how`` chain the
+    stretches between successive matched peaks are scaled to those of the reference
+    instead (``chain_peaks``), and what follows the last one moves by its lag. Missing
+    cells count as 0. The result has a row for each scan and channel of the reference's
+    axis, with the global lag and the lag at the scan.
     """
-    cells = F.array_sort(F.collect_list(F.struct("scan_idx", "mz", "intensity")))
-    ref = scans.where(F.col("sample_id") == reference_id).agg(cells.alias("reference"))
+    if how not in ("curve", "chain"):
+        raise ValueError("how must be curve or chain")
+    sides = ["scan_idx", "mz", "intensity"]
+    lists = [F.col(f"_c.{s}") for s in sides]
+    collected = F.array_sort(F.collect_list(F.struct(*sides))).alias("_c")
+    own = scans.join(F.broadcast(reference.select("sample_id")), "sample_id", "left_semi") if isinstance(reference, DataFrame) else scans.where(F.col("sample_id") == reference)  # one row
+    ref = own.agg(collected).select(*[c.alias(f"ref_{s}") for c, s in zip(lists, sides, strict=True)])
     kind = dict(scans.dtypes)["sample_id"]
 
-    def dense(rows, channels: np.ndarray) -> np.ndarray:
+    def dense(scan: np.ndarray, mz: np.ndarray, value: np.ndarray, channels: np.ndarray) -> np.ndarray:
         m = np.zeros((n_scans, len(channels)))
-        for r in rows:
-            j = np.searchsorted(channels, r["mz"])
-            if r["scan_idx"] < n_scans and j < len(channels) and channels[j] == r["mz"]:
-                m[r["scan_idx"], j] += r["intensity"]
+        inside = (scan >= 0) & (scan < n_scans)
+        np.add.at(m, (scan[inside], np.searchsorted(channels, mz[inside])), value[inside].astype(float))
         return m
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        reference = part["reference"].iloc[0]
-        own = part["cells"].iloc[0]
-        channels = np.unique([r["mz"] for r in [*reference, *own]])
-        a, b = dense(reference, channels), dense(own, channels)
+    def moved(m: np.ndarray, to: np.ndarray) -> np.ndarray:
+        at = np.arange(n_scans)
+        return np.stack([np.interp(to, at, c) for c in m.T], 1)
+
+    def warp(row) -> pd.DataFrame:
+        channels = np.unique(np.r_[row.ref_mz, row.mz])
+        a, b = dense(row.ref_scan_idx, row.ref_mz, row.ref_intensity, channels), dense(row.scan_idx, row.mz, row.intensity, channels)
         x, y = a.sum(1), b.sum(1)
         lag = best_lag(smooth_trace(x, sigma)[: max(2, n_scans // 3)], smooth_trace(y, sigma)[: max(2, n_scans // 3)], most)
         at = np.arange(n_scans)
-        b = np.stack([np.interp(at + lag, at, c) for c in b.T], 1)
-        p, q = segment_peaks(x, ref_segments), segment_peaks(b.sum(1), segments)
-        pairs = match_peaks(p, a[p], q, b[q], tolerance, least_r)
-        if len(pairs) >= 2:
-            knots = np.array(pairs)
+        b = moved(b, at + lag)
+        y = b.sum(1)
+        p, q = segment_peaks(x, ref_segments), segment_peaks(y, segments)
+        shift = np.zeros(n_scans)
+        if how == "curve":
+            pairs = match_peaks(p, a[p], q, b[q], tolerance, least_r)
+            if len(pairs) >= 2:
+                knots = np.array(pairs)
+                shift = np.interp(at, knots[:, 0], knots[:, 1] - knots[:, 0])
+        else:
+            knots = np.array(chain_peaks(p, prominence(x, p), q, prominence(y, q), tolerance, neighbours))
             shift = np.interp(at, knots[:, 0], knots[:, 1] - knots[:, 0])
-            b = np.stack([np.interp(at + shift, at, c) for c in b.T], 1)
-        return pd.DataFrame({"sample_id": part["sample_id"].iloc[0], "scan_idx": np.repeat(at, len(channels)), "mz": np.tile(channels, n_scans), "intensity": b.ravel(), "lag": lag})
+        b = moved(b, at + shift)
+        return pd.DataFrame({"sample_id": row.sample_id, "scan_idx": np.repeat(at, len(channels)), "mz": np.tile(channels, n_scans), "intensity": b.ravel(), "lag": lag, "scan_lag": np.repeat(lag + shift, len(channels))})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                yield warp(row)
 
-    each = scans.groupBy("sample_id").agg(cells.alias("cells")).crossJoin(ref)  # one row
-    return each.groupBy("sample_id").applyInPandas(run, f"sample_id {kind}, scan_idx int, mz int, intensity double, lag int")
+    each = scans.groupBy("sample_id").agg(collected).select("sample_id", *[c.alias(s) for c, s in zip(lists, sides, strict=True)]).crossJoin(ref)  # one row
+    return each.mapInPandas(run, f"sample_id {kind}, scan_idx int, mz int, intensity double, lag int, scan_lag double")

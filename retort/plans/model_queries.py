@@ -142,13 +142,14 @@ def _(spark, d):
     return V.score_sets(V.channel_grams(binned), lab, sets).select("set_id", "k", F.array_join(F.transform("channels", lambda c: c.cast("string")), ",").alias("channels"), F.round("accuracy", 6).alias("accuracy"))
 
 
-@query("align_to_reference")
-def _(spark, d):
-    """Every sample warped onto the run closest to the mean."""
-    s = scans(spark, d)
-    ref = S.closest_to_mean(S.tic(s)).collect()[0].sample_id
-    out = A.align_to_reference(s, ref, 200, sigma=2, most=10, tolerance=10)
-    return out.groupBy("sample_id").agg(F.first("lag").alias("lag"), F.round(F.sum("intensity"), 4).alias("total"))
+for _how, _near in (("", 0), ("_chain", 0), ("_chain_scan", 2)):
+
+    @query(f"align_to_reference{_how}")
+    def _(spark, d, how=_how, near=_near):
+        """Every sample warped onto the run closest to the mean, by a lag curve or by chains of peaks."""
+        s = scans(spark, d)
+        out = A.align_to_reference(s, S.closest_to_mean(S.tic(s)), 200, sigma=2, most=10, tolerance=10, how="chain" if how else "curve", neighbours=near)
+        return out.groupBy("sample_id").agg(F.first("lag").alias("lag"), F.round(F.sum("intensity"), 4).alias("total"), F.round(F.max(F.abs("scan_lag")), 4).alias("largest_lag"))
 
 
 @query("per_origin_metrics")

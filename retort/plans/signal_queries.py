@@ -269,14 +269,14 @@ def _(spark, d):
     return join_datasets([part("O"), part("F")]).select("sample_id", "scan_idx", "origin", "v")
 
 
-WITH_MEAN = PEAKS.replace(TIC, TIC.replace("tic AS", "own AS") + ", tic AS (SELECT * FROM own UNION ALL SELECT 0, scan_idx, avg(tic) FROM own GROUP BY scan_idx)")
+WITH_MEAN = PEAKS.replace(TIC, TIC.replace("tic AS", "own AS") + ", tic AS (SELECT * FROM own UNION ALL SELECT -1, scan_idx, avg(tic) FROM own GROUP BY scan_idx)")
 PROMINENCES = "b AS (SELECT p.sample_id, p.scan_idx, p.tic, coalesce(max(t.scan_idx) FILTER (t.scan_idx < p.scan_idx AND t.tic > p.tic), -1) AS lo, coalesce(min(t.scan_idx) FILTER (t.scan_idx > p.scan_idx AND t.tic > p.tic), 1000) AS hi FROM peaks p JOIN tic t USING (sample_id) GROUP BY ALL HAVING bool_or(t.scan_idx = p.scan_idx)), h AS (SELECT b.sample_id, b.scan_idx, b.tic, min(t.tic) FILTER (t.scan_idx > lo AND t.scan_idx <= b.scan_idx) AS x, min(t.tic) FILTER (t.scan_idx >= b.scan_idx AND t.scan_idx < hi) AS y FROM b JOIN tic t USING (sample_id) GROUP BY ALL), prominences AS (SELECT sample_id, scan_idx, (tic - greatest(x, y))::DOUBLE AS prominence FROM h)"
 
 
-@query("weighted_peak_distance", f"WITH {WITH_MEAN}, {PROMINENCES}, near AS (SELECT p.sample_id, p.scan_idx, p.prominence AS u, r.prominence AS v, abs(p.scan_idx - r.scan_idx) AS d, row_number() OVER (PARTITION BY p.sample_id, p.scan_idx ORDER BY abs(p.scan_idx - r.scan_idx), r.scan_idx) AS k FROM prominences p JOIN prominences r ON r.sample_id = 0 AND p.sample_id <> 0) SELECT sample_id, round(sum(least(u, v) / greatest(u, v) * d) / sum(least(u, v) / greatest(u, v)), 6) AS distance, count(*) AS n FROM near WHERE k = 1 GROUP BY 1")
+@query("weighted_peak_distance", f"WITH {WITH_MEAN}, {PROMINENCES}, near AS (SELECT p.sample_id, p.scan_idx, p.prominence AS u, r.prominence AS v, abs(p.scan_idx - r.scan_idx) AS d, row_number() OVER (PARTITION BY p.sample_id, p.scan_idx ORDER BY abs(p.scan_idx - r.scan_idx), r.scan_idx) AS k FROM prominences p JOIN prominences r ON r.sample_id = -1 AND p.sample_id <> -1) SELECT sample_id, round(sum(least(u, v) / greatest(u, v) * d) / sum(least(u, v) / greatest(u, v)), 6) AS distance, count(*) AS n FROM near WHERE k = 1 GROUP BY 1")
 def _(spark, d):
     """Peaks of each sample against those of the mean chromatogram."""
     tics = S.tic(scans(spark, d))
-    mean = tics.groupBy("scan_idx").agg(F.avg("tic").alias("tic")).select(F.lit(0).cast("long").alias("sample_id"), "scan_idx", "tic")
+    mean = tics.groupBy("scan_idx").agg(F.avg("tic").alias("tic")).select(F.lit(-1).cast("long").alias("sample_id"), "scan_idx", "tic")
     out = S.weighted_peak_distance(S.peak_prominences(tics), S.peak_prominences(mean))
     return out.select("sample_id", *_r("distance"), "n")

@@ -189,8 +189,8 @@ def classify(rows: DataFrame, labels: DataFrame, test: DataFrame, model: str = "
     return scores.select("split_id", "sample_id", F.col("label").alias("y_true"), F.element_at("classes", F.array_position("_s", F.array_max("_s")).cast("int")).alias("y_pred"))
 
 
-def nearest(named: DataFrame, test: DataFrame, neighbours: int = 3) -> DataFrame:
-    """(split_id, sample_id, y_true, y_pred): majority of the nearest training rows, ties to the class that sorts first.
+def nearest_rows(named: DataFrame, test: DataFrame, neighbours: int) -> DataFrame:
+    """(split_id, sample_id, y_true, t): the labels (t.vote) of the nearest training rows of each test row, as a short array.
 
     Rows are dealt to blocks by hash; each pair of blocks is a tile that returns the best
     few of each test row only, so distances are never stored. Rows at one distance count
@@ -223,13 +223,24 @@ def nearest(named: DataFrame, test: DataFrame, neighbours: int = 3) -> DataFrame
                             out.append((split, a["sample_id"].iloc[t], a["label"].iloc[t], float(d[t, j]), b["sample_id"].iloc[j], b["label"].iloc[j]))
         return pd.DataFrame(out, columns=["split_id", "sample_id", "y_true", "distance", "other", "vote"])
 
-    near = sent.groupBy("_r", "_c").applyInPandas(run, f"split_id {split_kind}, sample_id {kinds['sample_id']}, y_true string, distance double, other {kinds['sample_id']}, vote string")
-    top = near.groupBy("split_id", "sample_id", "y_true").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other", "vote"))), 1, neighbours).alias("_t"))
-    votes = top.select("split_id", "sample_id", "y_true", F.explode("_t").alias("t")).groupBy("split_id", "sample_id", "y_true", "t.vote").count()
+    near = sent.groupBy("_r", "_c").applyInPandas(run, f"split_id {split_kind}, sample_id {kinds['sample_id']}, y_true {kinds['label']}, distance double, other {kinds['sample_id']}, vote {kinds['label']}")
+    return near.groupBy("split_id", "sample_id", "y_true").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other", "vote"))), 1, neighbours).alias("t"))
+
+
+def nearest(named: DataFrame, test: DataFrame, neighbours: int = 3) -> DataFrame:
+    """(split_id, sample_id, y_true, y_pred): majority of the nearest training rows, ties to the class that sorts first."""
+    votes = nearest_rows(named, test, neighbours).select("split_id", "sample_id", "y_true", F.explode("t").alias("t")).groupBy("split_id", "sample_id", "y_true", "t.vote").count()
     first = votes.groupBy("split_id", "sample_id", "y_true").agg(F.min(F.struct((-F.col("count")).alias("n"), "vote")).alias("v"))
     return first.select("split_id", "sample_id", "y_true", F.col("v.vote").alias("y_pred"))
 
 
+def nearest_mean(rows: DataFrame, values: DataFrame, test: DataFrame, neighbours: int = 5) -> DataFrame:
+    """(split_id, sample_id, y_true, y_pred): the mean value of the nearest training rows; ``values`` is (sample_id, value)."""
+    named = rows.join(values.select("sample_id", F.col("value").cast("double").alias("label")), "sample_id").select("sample_id", "x", "label")
+    mean = F.aggregate("t", F.lit(0.0), lambda a, t: a + t.vote) / F.size("t")
+    return nearest_rows(named, test, neighbours).select("split_id", "sample_id", "y_true", mean.alias("y_pred"))
+
+
 def pca(rows: DataFrame, components: int | None = None, variance: float | None = None) -> DataFrame:
     """(sample_id, component, score) of all rows on the principal axes of their covariance."""
 

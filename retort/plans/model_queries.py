@@ -281,6 +281,14 @@ for _kind in ("ridge", "lasso", "elasticnet", "rf", "gbr", "dt"):
         return m.select(*[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")])
 
 
+@query("regress_knn", f"WITH {FEATURES}, d AS (SELECT t.sample_id, o.sample_id AS other, sum((t.value - o.value) * (t.value - o.value)) AS d FROM features t JOIN features o ON t.pos = o.pos AND t.sample_id % 5 <> o.sample_id % 5 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d, other) AS k FROM d), v AS (SELECT vec_id AS i, label::DOUBLE AS v FROM embeddings) SELECT k.sample_id, round(any_value(t.v), 6) AS y_true, round(avg(o.v), 6) AS y_pred FROM k JOIN v t ON t.i = k.sample_id JOIN v o ON o.i = k.other WHERE k.k <= 5 GROUP BY 1")
+def _(spark, d):
+    """The mean label of the five nearest vectors outside a vector's fold."""
+    rows = _rows(spark, d)
+    test = rows.select((F.col("sample_id") % 5).alias("split_id"), "sample_id")
+    return X.nearest_mean(rows, _labels(spark, d).withColumnRenamed("label", "value"), test).select("sample_id", F.round("y_true", 6).alias("y_true"), F.round("y_pred", 6).alias("y_pred"))
+
+
 @query("embedding_quality")
 def _(spark, d):
     f = features(spark, d)

@@ -54,6 +54,34 @@ def window_lags(reference: np.ndarray, target: np.ndarray, size: int, most: int,
     return np.array(out)
 
 
+def lag_profile(tics: DataFrame, reference: DataFrame, n_scans: int, size: int, most: int, how: str = "corr", sigma: float = 0) -> DataFrame:
+    """(sample_id, window, lag): where each window of the reference's chromatogram lies best in each sample (``window_lags``).
+
+    ``tics`` is (sample_id, scan_idx, tic), ``reference`` a table of one sample_id. Missing
+    scans count as 0, scans from ``n_scans`` on are left out, and with ``sigma`` both
+    traces are smoothed first. Each sample is one row beside the reference's short trace.
+    """
+    trace = F.collect_list(F.struct("scan_idx", F.col("tic").cast("double").alias("tic"))).alias("_t")
+    inside = tics.where(F.col("scan_idx").between(0, n_scans - 1))
+    ref = inside.join(F.broadcast(reference.select("sample_id")), "sample_id", "left_semi").agg(trace).select(F.col("_t").alias("_ref"))  # one row
+    kind = dict(tics.dtypes)["sample_id"]
+
+    def dense(cells) -> np.ndarray:
+        x = np.zeros(n_scans)
+        for cell in cells:
+            x[cell["scan_idx"]] += cell["tic"] or 0
+        return smooth_trace(x, sigma) if sigma else x
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                lags = window_lags(dense(row[2]), dense(row[1]), size, most, how)
+                yield pd.DataFrame({"sample_id": row[0], "window": np.arange(len(lags), dtype=np.int32), "lag": lags.astype(np.int32)})
+
+    each = inside.groupBy("sample_id").agg(trace).crossJoin(ref)
+    return each.mapInPandas(run, f"sample_id {kind}, window int, lag int")
+
+
 def segment_peaks(x: np.ndarray, segments: int) -> np.ndarray:
     """The tallest strict local maximum of each equal segment; segments without one are passed over."""
     inner = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:])) + 1

@@ -154,7 +154,7 @@ def ml_classifier(kind: str):
 
     makers = {
         "lr": lambda: c.LogisticRegression(), "rfc": lambda: c.RandomForestClassifier(seed=0), "dtc": lambda: c.DecisionTreeClassifier(seed=0), "gnb": lambda: c.NaiveBayes(modelType="gaussian"),
-        "gbc": lambda: c.OneVsRest(classifier=c.GBTClassifier(seed=0)), "svm": lambda: c.OneVsRest(classifier=c.LinearSVC(maxIter=20), parallelism=4),
+        "gbc": lambda: c.OneVsRest(classifier=c.GBTClassifier(seed=0), parallelism=4), "svm": lambda: c.OneVsRest(classifier=c.LinearSVC(maxIter=20), parallelism=4),
     }
     if kind not in makers:
         raise ValueError(f"unknown classifier {kind}; ridge, knn and lda are fitted by classify_splits")

@@ -15,7 +15,7 @@ from retort.operators import statistics as T
 from retort.operators import survival as V
 from retort.plans import jobs as J
 from retort.session import table
-from retort.sources.adapters import FEATURES, SENSORY, features, scans, sensory
+from retort.sources.adapters import FEATURES, SCANS, SENSORY, features, scans, sensory
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +79,31 @@ for _model in ("ridge", "knn", "lda"):
         return _rounded(J.classification_job(_rows(spark, d), lab, P.stratified_folds(lab, "label", 5), model), "split_id", digits=6)
 
 
+@query("knn_predictions", f"WITH {FEATURES}, d AS (SELECT t.sample_id, o.sample_id AS other, sum((t.value - o.value) * (t.value - o.value)) AS d FROM features t JOIN features o ON t.pos = o.pos AND t.sample_id % 5 <> o.sample_id % 5 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d, other) AS k FROM d), v AS (SELECT vec_id AS i, label::VARCHAR AS v FROM embeddings), n AS (SELECT k.sample_id, v.v, count(*) AS n FROM k JOIN v ON v.i = k.other WHERE k.k <= 3 GROUP BY 1, 2) SELECT sample_id % 5 AS split_id, sample_id, any_value(t.v) AS y_true, first(n.v ORDER BY n.n DESC, n.v) AS y_pred FROM n JOIN v t ON t.i = n.sample_id GROUP BY ALL")
+def _(spark, d):
+    """Majority of the three nearest vectors outside a vector's fold."""
+    rows = _rows(spark, d)
+    return X.classify(rows, _labels(spark, d), rows.select((F.col("sample_id") % 5).alias("split_id"), "sample_id"), "knn")
+
+
+#: Two features by sample, the training rows of each fold (all others), and their sums.
+_TWO = FEATURES + ", x AS (SELECT sample_id, any_value(label)::VARCHAR AS label, max(value) FILTER (pos = 0) AS a, max(value) FILTER (pos = 1) AS b, sample_id % 5 AS split_id FROM features GROUP BY sample_id), t AS (SELECT f.split_id, x.label, a, b FROM (SELECT DISTINCT split_id FROM x) f JOIN x ON x.split_id <> f.split_id), m AS (SELECT split_id, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) * count(*) + 1 AS aa, var_pop(b) * count(*) + 1 AS bb, covar_pop(a, b) * count(*) AS ab FROM t GROUP BY 1)"
+_BEST = "SELECT x.split_id, sample_id, any_value(x.label) AS y_true, first(s.label ORDER BY {score} DESC, s.label) AS y_pred FROM x JOIN s USING (split_id) GROUP BY ALL"
+
+#: One-versus-rest ridge with penalty 1: the weights of each class from two normal equations.
+_RIDGE = f"WITH {_TWO}, c AS (SELECT split_id, label, any_value(n) AS n, any_value(ma) AS ma, any_value(mb) AS mb, any_value(aa) AS aa, any_value(bb) AS bb, any_value(ab) AS ab, count(*) AS own, sum(a - ma) AS ay, sum(b - mb) AS b_y FROM t JOIN m USING (split_id) GROUP BY 1, 2), s AS (SELECT split_id, label, (ay * bb - b_y * ab) / (aa * bb - ab * ab) AS wa, (b_y * aa - ay * ab) / (aa * bb - ab * ab) AS wb, own / n - wa * ma - wb * mb AS w0 FROM c) " + _BEST.format(score="s.wa * x.a + s.wb * x.b + s.w0")
+#: Linear discriminants: class means, the pooled covariance and class shares.
+_LDA = f"WITH {_TWO}, c AS (SELECT split_id, label, count(*) AS own, avg(a) AS ca, avg(b) AS cb, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, covar_pop(a, b) * count(*) AS ab FROM t GROUP BY 1, 2), p AS (SELECT split_id, sum(own) AS n, sum(aa) / (sum(own) - count(*)) AS aa, sum(bb) / (sum(own) - count(*)) AS bb, sum(ab) / (sum(own) - count(*)) AS ab FROM c GROUP BY 1), s AS (SELECT split_id, label, (p.bb * ca - p.ab * cb) / (p.aa * p.bb - p.ab * p.ab) AS wa, (p.aa * cb - p.ab * ca) / (p.aa * p.bb - p.ab * p.ab) AS wb, ln(own / n) - (wa * ca + wb * cb) / 2 AS w0 FROM c JOIN p USING (split_id)) " + _BEST.format(score="s.wa * x.a + s.wb * x.b + s.w0")
+
+for _model, _sql in (("ridge", _RIDGE), ("lda", _LDA)):
+
+    @query(f"{_model}_predictions_two_features", _sql)
+    def _(spark, d, model=_model):
+        """Classes of all vectors from their first two features, each fold from the others."""
+        rows = _rows(spark, d).select("sample_id", F.slice("x", 1, 2).alias("x"))
+        return X.classify(rows, _labels(spark, d), rows.select((F.col("sample_id") % 5).alias("split_id"), "sample_id"), model, variance=1.0)
+
+
 @query("ridge_one_feature", f"WITH {FEATURES}, x AS (SELECT sample_id, label::DOUBLE AS y, value AS x, sample_id % 5 AS fold FROM features WHERE pos = 0), t AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, sum((x) * (y)) - count(*) * avg(x) * avg(y) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx FROM (SELECT DISTINCT fold FROM x) f JOIN x ON x.fold <> f.fold GROUP BY 1) SELECT x.fold AS split_id, sample_id, round(y, 6) AS y_true, round(my + (x.x - mx) * sxy / (sxx + 1), 5) AS y_pred FROM x JOIN t USING (fold)")
 def _(spark, d):
     rows = _rows(spark, d).select("sample_id", F.slice("x", 1, 1).alias("x")).join(_labels(spark, d), "sample_id").select("sample_id", "x", F.array(F.col("label").cast("double")).alias("y"))
@@ -152,6 +177,23 @@ for _how, _near in (("", 0), ("_chain", 0), ("_chain_scan", 2)):
         return out.groupBy("sample_id").agg(F.first("lag").alias("lag"), F.round(F.sum("intensity"), 4).alias("total"), F.round(F.max(F.abs("scan_lag")), 4).alias("largest_lag"))
 
 
+_SCORE = {"corr": "sum(x.z * y.z)", "l1": "-sum(abs(x.z - y.z))", "l2": "-sqrt(sum((x.z - y.z) * (x.z - y.z)))", "mse": "-avg((x.z - y.z) * (x.z - y.z))"}
+_SIDE = "SELECT sample_id, lo, k, CASE WHEN stddev_pop(tic) OVER (PARTITION BY sample_id, lo) > 0 THEN (tic - avg(tic) OVER (PARTITION BY sample_id, lo)) / stddev_pop(tic) OVER (PARTITION BY sample_id, lo) ELSE 0 END AS z FROM (SELECT sample_id, lo, scan_idx - lo AS k, tic FROM trace, (SELECT unnest(range(0, 181)) AS lo) WHERE scan_idx - lo BETWEEN 0 AND 19)"
+
+for _how in _SCORE:
+
+    @query(
+        f"lag_profile_{_how}",
+        f"WITH {SCANS}, tic AS (SELECT sample_id, scan_idx, sum(intensity) AS tic FROM scans GROUP BY ALL), trace AS (SELECT s.sample_id, r.scan_idx, coalesce(t.tic, 0)::DOUBLE AS tic FROM (SELECT DISTINCT sample_id FROM tic) s CROSS JOIN (SELECT unnest(range(0, 200)) AS scan_idx) r LEFT JOIN tic t USING (sample_id, scan_idx)), side AS ({_SIDE}), "
+        f"d AS (SELECT y.sample_id, x.lo // 20 AS w, y.lo - x.lo AS lag, round({_SCORE[_how]}, 9) AS score FROM side x JOIN side y ON x.k = y.k AND x.sample_id = (SELECT min(sample_id) FROM tic) AND x.lo % 20 = 0 AND abs(y.lo - x.lo) <= 5 GROUP BY 1, 2, 3) "
+        "SELECT sample_id, w::INTEGER AS window, lag::INTEGER AS lag FROM d QUALIFY row_number() OVER (PARTITION BY sample_id, w ORDER BY score DESC, abs(lag), lag) = 1",
+    )
+    def _(spark, d, how=_how):
+        """Lags of windows of 20 scans against the run with the smallest id."""
+        tics = S.tic(scans(spark, d))
+        return A.lag_profile(tics, tics.agg(F.min("sample_id").alias("sample_id")), 200, 20, 5, how)
+
+
 @query("per_origin_metrics")
 def _(spark, d):
     lab = _labels(spark, d)
@@ -273,6 +315,19 @@ for _kind in ("lr", "dtc", "gnb", "svm"):
         return _rounded(M.fold_metrics(D.ml_evaluate(_vectors(spark, d), kind, "held")), digits=6)
 
 
+@query("gnb_predictions", f"WITH {FEATURES}, t AS (SELECT label, pos, value FROM features WHERE sample_id % 5 <> 0), e AS (SELECT 1e-9 * max(v) AS e FROM (SELECT var_pop(value) AS v FROM t GROUP BY pos)), s AS (SELECT label, pos, avg(value) AS mean, var_pop(value) + any_value(e) AS var FROM t, e GROUP BY 1, 2), c AS (SELECT label, ln(count(*)) AS prior FROM t WHERE pos = 0 GROUP BY 1), p AS (SELECT f.sample_id, f.label AS own, s.label, any_value(prior) - 0.5 * sum(ln(var) + (value - mean) * (value - mean) / var) AS score FROM features f JOIN s USING (pos) JOIN c ON c.label = s.label WHERE f.sample_id % 5 = 0 GROUP BY 1, 2, 3) SELECT sample_id, own::INTEGER::VARCHAR AS y_true, first(label ORDER BY score DESC, label)::INTEGER::VARCHAR AS y_pred FROM p GROUP BY 1, 2")
+def _(spark, d):
+    """Gaussian naive Bayes on the held-out fifth, row by row."""
+    return D.ml_evaluate(_vectors(spark, d), "gnb", "held")
+
+
+@query("classify_gbc")
+def _(spark, d):
+    """Boosted trees for even and odd labels."""
+    few = _vectors(spark, d).withColumn("label", F.col("label") % 2)
+    return _rounded(M.fold_metrics(D.ml_evaluate(few, "gbc", "held")), digits=6)
+
+
 for _kind in ("ridge", "lasso", "elasticnet", "rf", "gbr", "dt"):
 
     @query(f"regress_{_kind}")

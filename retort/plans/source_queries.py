@@ -72,3 +72,63 @@ def _(spark, d):
     path = shared_path(spark, "results")
     R.write_results(table(spark, d, "customer").select("c_mktsegment", "c_acctbal"), path, form="csv")
     return spark.read.option("header", True).csv(path).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum(F.col("c_acctbal").cast("double")), 2).alias("total"))
+
+
+#: Totals by channel and scan, with the place among the channel's scans.
+TOTALS = SCANS + ", totals AS (SELECT mz, scan_idx, (row_number() OVER (PARTITION BY mz ORDER BY scan_idx) - 1)::INTEGER AS k, scan_idx * 100.0::DOUBLE AS rt, sum(intensity) AS v FROM scans GROUP BY mz, scan_idx)"
+
+
+def _totals(spark, d):
+    """(scan_idx, a column for each channel): totals over all samples."""
+    return scans(spark, d).groupBy("scan_idx").pivot("mz", CHANNELS).agg(F.sum("intensity"))
+
+
+def _export(spark, d, name: str, heads: list[list[str]]) -> str:
+    """A headerless export with a retention time and a total for each channel, under the given lines; it has as many rows as scans."""
+    path = shared_path(spark, name)
+    n = 2 * len(CHANNELS)
+    cells = [c for mz in CHANNELS for c in (F.when(F.col(str(mz)).isNotNull(), F.col("scan_idx") * 100.0), F.col(str(mz)))]
+    body = _totals(spark, d).select(F.col("scan_idx").alias("_k"), *[c.cast("string").alias(f"c{k}") for k, c in enumerate(cells)])
+    first = spark.createDataFrame([(k - len(heads), *h, *[None] * (n - len(h))) for k, h in enumerate(heads)], "_k int, " + ", ".join(f"c{k} string" for k in range(n)))
+    first.unionByName(body).coalesce(1).sortWithinPartitions("_k").drop("_k").write.csv(path)  # one file, as such exports are
+    return path
+
+
+@query("read_paired_columns", f"WITH {TOTALS} SELECT 'W' || (mz // 2)::VARCHAR || CASE WHEN mz = 41 THEN '' ELSE '-' || (1 + mz % 2)::VARCHAR END AS sample_id, k AS scan_idx, rt, v AS value FROM totals")
+def _(spark, d):
+    """Channels of one name are numbered; the line before the header is passed over."""
+    path = _export(spark, d, "paired", [["x"], [f"{kind} Bois W{mz // 2}" for mz in CHANNELS for kind in ("Tr", "Ab")]])
+    return R.read_paired_columns(spark, path)
+
+
+@query("read_paired_columns_average", f"WITH {TOTALS} SELECT 'W' || (mz // 2)::VARCHAR AS sample_id, k AS scan_idx, round(avg(rt), 4) AS rt, round(avg(v), 4) AS value FROM totals GROUP BY 1, 2")
+def _(spark, d):
+    """Channels whose names differ in a final number are averaged."""
+    path = _export(spark, d, "paired", [[f"{kind} Bois W{mz // 2}-{1 + mz % 2}" for mz in CHANNELS for kind in ("Tr", "Ab")]])
+    return R.read_paired_columns(spark, path, average=True).select("sample_id", "scan_idx", F.round("rt", 4).alias("rt"), F.round("value", 4).alias("value"))
+
+
+@query("read_alternating_columns", f"WITH {TOTALS} SELECT 'V' || (mz // 2)::VARCHAR || CASE WHEN mz = 41 THEN '' ELSE '-' || (1 + mz % 2)::VARCHAR END AS sample_id, k AS scan_idx, rt, v AS value FROM totals")
+def _(spark, d):
+    path = _export(spark, d, "alternating", [[c for mz in CHANNELS for c in (f"V{mz // 2}", None)]])
+    return R.read_alternating_columns(spark, path)
+
+
+@query("sheet_to_vectors", f"WITH {TOTALS}, r AS (SELECT scan_idx, (row_number() OVER (ORDER BY scan_idx) - 1)::INTEGER AS pos FROM (SELECT DISTINCT scan_idx FROM totals)) SELECT CASE WHEN c.mz = 47 THEN 'peak AREA 47' ELSE 'D20' || c.mz::VARCHAR END AS sample_id, r.pos, t.v AS value FROM r CROSS JOIN (SELECT unnest(range(41, 48)) AS mz) c LEFT JOIN totals t ON t.mz = c.mz AND t.scan_idx = r.scan_idx")
+def _(spark, d):
+    """Columns named by sample or as areas become vectors; the others are left out."""
+    wide = _totals(spark, d)
+    named = wide.select("scan_idx", F.lit(0.0).alias("other"), *[F.col(str(mz)).alias(f"Ab Bois_D20{mz}" if mz < 47 else "peak AREA 47") for mz in CHANNELS])
+    return R.sheet_to_vectors(named, "scan_idx").select("sample_id", F.posexplode("values").alias("pos", "value"))
+
+
+@query("read_acquisitions", "SELECT n_nationkey::VARCHAR AS sample_id, strftime(max(o_orderdate), '%Y-%m-%d') AS acquired FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def _(spark, d):
+    """A sample_info file for each nation, with its last order's date as the time of acquisition."""
+    path = shared_path(spark, "acquisitions")
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    last = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("day"))
+    xml = last.select(F.concat(F.col("c_nationkey").cast("string"), F.lit(".D")).alias("run"), F.format_string("<a><DisplayName>AcqTime</DisplayName><Value>%sT08:00:00+01:00</Value></a>", "day").alias("value"))
+    xml.repartition("run").write.partitionBy("run").text(path)
+    found = R.read_acquisitions(spark, f"{path}/*/*.txt")
+    return found.select(F.regexp_replace("sample_id", "^run=", "").alias("sample_id"), F.date_format("acquired", "yyyy-MM-dd").alias("acquired"))

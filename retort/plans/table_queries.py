@@ -70,6 +70,15 @@ def _(spark, d):
     return n.select("o_orderkey", L.bordeaux_label(c).alias("label"), L.bordeaux_label(c, True).alias("year"), L.chateau_letter(c).alias("chateau"), L.from_first_digit(c).alias("tail"), L.alphabetic_prefix(c).alias("prefix"))
 
 
+@query("split_labels", "SELECT o_orderkey, o_clerk AS by_name, nullif(regexp_extract(o_clerk, '.[0-9]{4}'), '') AS by_year, left(o_clerk, 1) AS press, nullif(regexp_extract(o_clerk, '[0-9]{4}'), '') AS bordeaux_year, o_clerk AS pinot FROM (SELECT o_orderkey, substr('ABC', (o_orderkey % 3)::INTEGER + 1, 1) || CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE year(o_orderdate)::VARCHAR END || '-1' AS o_clerk FROM orders)")
+def _(spark, d):
+    """Labels by which names are split, by name or year, and by the kind of wine."""
+    name = F.concat(F.substring(F.lit("ABC"), (F.col("o_orderkey") % 3 + 1).cast("int"), 1), F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise(F.year("o_orderdate").cast("string")), F.lit("-1"))
+    n = table(spark, d, "orders").select("o_orderkey", name.alias("s"))
+    kinds = {"press": ("press_wines", False), "bordeaux_year": ("bordeaux", True), "pinot": ("pinot_noir", False)}
+    return n.select("o_orderkey", L.bordeaux_split_label(F.col("s")).alias("by_name"), L.bordeaux_split_label(F.col("s"), True).alias("by_year"), *[L.strategy_label(F.col("s"), k, y).alias(c) for c, (k, y) in kinds.items()])
+
+
 @query("name_functions", "SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9_\\-.()+]', '_', 'g') AS safe, CASE WHEN source = 'src1' THEN 'bordeaux' WHEN source = 'src2' THEN 'pinot_noir' END AS kind, CASE WHEN regexp_matches(source, '[0-9]') THEN length(regexp_extract(source, '^[^0-9]*'))::INTEGER ELSE -1 END AS first_at, CASE WHEN regexp_matches(source, '[0-9]') THEN 3 ELSE -1 END AS last_at FROM documents")
 def _(spark, d):
     t = table(spark, d, "documents")

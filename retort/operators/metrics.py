@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retort.operators.signals import smooth
+
 
 def confusion(predictions: DataFrame, *keys: str) -> DataFrame:
     return predictions.groupBy(*keys, "y_true", "y_pred").agg(F.count("*").alias("n"))
@@ -102,6 +104,13 @@ def ranked_focus(weights: DataFrame, k: int, n_bins: int, size: int) -> DataFram
     return top.groupBy("taster", F.least(F.expr(f"int(pos div {size})"), F.lit(n_bins - 1)).alias("bin")).agg(F.sum(1 / (F.col("_r") + 1)).alias("focus"))
 
 
+def smoothed_focus(focus: DataFrame, n_bins: int, sigma: float, *keys: str) -> DataFrame:
+    """(keys, bin, focus): the focus summed over everything but the keys, bins without any as 0, smoothed along the bins."""
+    total = focus.groupBy(*keys, "bin").agg(F.sum("focus").alias("focus")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "focus"))).alias("_m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0)))
+    return total.select(*keys, F.posexplode(smooth(every, sigma)).alias("bin", "focus"))
+
+
 def average_by(rows: DataFrame, key: str, value: str, *more: str) -> DataFrame:
     """(key, more, value): the mean over all rows of a key."""
     return rows.groupBy(key, *more).agg(F.avg(value).alias(value))

@@ -44,6 +44,31 @@ def pairwise_pearson(features: DataFrame) -> DataFrame:
     return gram(centred.select("sample_id", "pos", "value")).where("a < b").withColumnRenamed("dot", "r")
 
 
+def pearson_summary(features: DataFrame) -> DataFrame:
+    """(mean, std, n): mean and population deviation of r over all pairs of samples; samples of unlike lengths raise an error.
+
+    The sum of r over all pairs comes from the sum of the standardised rows; the sum of its
+    squares from their products by position, so no pair of samples is ever formed. The
+    positions are few next to the samples here; rows without variance count as r = 0.
+    """
+    w = Window.partitionBy("sample_id")
+    centred = features.withColumn("_c", F.col("value") - F.avg("value").over(w)).withColumn("_q", F.sum(F.col("_c") * F.col("_c")).over(w))
+    unit = centred.select("sample_id", "pos", F.when(F.col("_q") > 0, F.col("_c") / F.sqrt("_q")).otherwise(0.0).alias("value"))
+    rows = unit.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_v"))
+    rows = rows.select("sample_id", F.transform("_v", lambda e: e.value).alias("v"))
+    lengths = rows.agg(F.count_distinct(F.size("v")).alias("_kinds"))
+    same = rows.crossJoin(lengths).where(F.expr("_kinds <= 1 OR raise_error('samples of unlike lengths') IS NULL"))  # one row
+    norm = same.select(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x).alias("q"))
+    n = norm.agg(F.count("*").alias("n"), F.sum("q").alias("q"), F.sum(F.col("q") * F.col("q")).alias("qq"))
+    by_pos = same.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("total"))
+    products = same.select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("m"))
+    squares = products.agg(F.sum(F.col("m") * F.col("m")).alias("squares"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    found = n.crossJoin(by_pos).crossJoin(squares).where("n > 1")  # one row each
+    mean, square = (F.col("total") - F.col("q")) / 2 / pairs, (F.col("squares") - F.col("qq")) / 2 / pairs
+    return found.select(mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("std"), pairs.cast("long").alias("n"))
+
+
 def channel_correlations(scans: DataFrame) -> DataFrame:
     """(sample_id, a, b, r, n) of channel pairs of each sample; channels are few by nature."""
     keys = ["sample_id", "scan_idx"]
@@ -73,6 +98,16 @@ def cluster_distances(features: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("_la", "_lb").alias("g"), F.greatest("_la", "_lb").alias("h")).agg(F.avg("_d").alias("mean_distance"), F.count("*").alias("n"))
 
 
+def cluster_spread(distances: DataFrame, without: list | None = None) -> DataFrame:
+    """(within, between, between_std, n_pairs) of (g, h, mean_distance): the mean of the groups' own mean distances, and mean and deviation over pairs of groups.
+
+    Groups in ``without`` take no part.
+    """
+    kept = distances.where(~(F.col("g").isin(without) | F.col("h").isin(without))) if without else distances
+    own, apart = F.when(F.col("g") == F.col("h"), F.col("mean_distance")), F.when(F.col("g") != F.col("h"), F.col("mean_distance"))
+    return kept.agg(F.avg(own).alias("within"), F.avg(apart).alias("between"), F.stddev_pop(apart).alias("between_std"), F.count(apart).alias("n_pairs"))
+
+
 def group_dispersion(points: DataFrame, group: str, x: str = "x", y: str = "y") -> DataFrame:
     """Mean, shrunken covariance (0.4 of it plus 1e-3 on the diagonal), its determinant, and the opacity that follows."""
     g = points.groupBy(group).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), (F.var_samp(x) * 0.4 + 1e-3).alias("xx"), (F.covar_samp(x, y) * 0.4).alias("xy"), (F.var_samp(y) * 0.4 + 1e-3).alias("yy"))

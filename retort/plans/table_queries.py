@@ -408,9 +408,45 @@ def _(spark, d):
     return M.ranked_focus(w, 15, 10, 20).select("taster", "bin", F.round("focus", 6).alias("focus"))
 
 
+_KERNEL = S.gaussian_kernel(1.0)
+_FOCUS = "WITH w AS (SELECT l_suppkey % 7 AS taster, l_returnflag AS attribute, l_partkey % 200 AS pos, sum(l_quantity) - 25 * count(*) AS weight FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY taster, attribute ORDER BY abs(weight) DESC, pos) - 1 AS r FROM w) SELECT taster, least(pos // 20, 9)::INTEGER AS bin, round(sum(1 / (r + 1)), 6) AS focus FROM k WHERE r < 15 GROUP BY ALL"
+
+
+@query(
+    "focus_map_smoothed",
+    f"WITH f AS ({_FOCUS}), b AS (SELECT r.bin, coalesce(sum(f.focus), 0) AS v FROM (SELECT unnest(range(0, 10)) AS bin) r LEFT JOIN f ON f.bin = r.bin GROUP BY 1), "
+    f"i AS (SELECT b.bin, t, w, (b.bin + t - {len(_KERNEL) // 2} + 20) % 20 AS q FROM b CROSS JOIN (SELECT unnest(range(0, {len(_KERNEL)})) AS t, unnest({_KERNEL}) AS w)) "
+    "SELECT i.bin::INTEGER AS bin, round(sum(w * v), 4) AS focus FROM i JOIN b ON b.bin = CASE WHEN q < 10 THEN q ELSE 19 - q END GROUP BY 1",
+)
+def _(spark, d):
+    """The focus of all tasters together."""
+    w = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("taster"), F.col("l_returnflag").alias("attribute"), (F.col("l_partkey") % 200).alias("pos")).agg((F.sum("l_quantity") - 25 * F.count("*")).alias("weight"))
+    return M.smoothed_focus(M.ranked_focus(w, 15, 10, 20), 10, 1.0).select("bin", F.round("focus", 4).alias("focus"))
+
+
+@query("scale_scans_by_channel", f"WITH {SCANS} SELECT sample_id, mz, scan_idx AS pos, round((intensity - avg(intensity) OVER w) / CASE WHEN stddev_pop(intensity) OVER w > 0 THEN stddev_pop(intensity) OVER w ELSE 1 END, 5) AS value FROM scans WINDOW w AS (PARTITION BY mz, scan_idx)")
+def _(spark, d):
+    """Each channel's scans are scaled on their own."""
+    f = scans(spark, d).select("sample_id", "mz", F.col("scan_idx").alias("pos"), F.col("intensity").alias("value"))
+    return Z.apply_scaler(f, Z.fit_scaler(f, "standard", "mz"), "mz").select("sample_id", "mz", "pos", F.round("value", 5).alias("value"))
+
+
 # Statistics
 
 
+@query("pearson_summary", f"WITH {FEATURES}, r AS (SELECT corr(a.value, b.value) AS r FROM features a JOIN features b ON a.pos = b.pos AND a.sample_id < b.sample_id GROUP BY a.sample_id, b.sample_id) SELECT round(avg(r), 5) AS mean, round(stddev_pop(r), 5) AS std, count(*) AS n FROM r")
+def _(spark, d):
+    """Mean and deviation over all pairs, without forming them."""
+    return T.pearson_summary(features(spark, d)).select(F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), "n")
+
+
+@query("cluster_spread", "WITH p AS (SELECT least(a.label, b.label) AS g, greatest(a.label, b.label) AS h, sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), m AS (SELECT g, h, avg(dist) AS m FROM p GROUP BY ALL) SELECT round(avg(m) FILTER (g = h), 5) AS within, round(avg(m) FILTER (g <> h), 5) AS between, round(stddev_pop(m) FILTER (g <> h), 5) AS between_std, count(*) FILTER (g <> h) AS n_pairs FROM m WHERE g <> 0 AND h <> 0")
+def _(spark, d):
+    """Distances within and between labels, one label left out."""
+    out = T.cluster_spread(T.cluster_distances(features(spark, d)), [0])
+    return out.select(*[F.round(c, 5).alias(c) for c in ("within", "between", "between_std")], "n_pairs")
+
+
 @query("pairwise_pearson", "WITH v AS (SELECT vec_id, embedding[1:64] AS e FROM embeddings), f AS (SELECT vec_id, unnest(range(0, 64)) AS p, unnest(e)::DOUBLE AS x FROM v) SELECT a.vec_id AS a, b.vec_id AS b, round(corr(a.x, b.x), 5) AS r FROM f a JOIN f b ON a.p = b.p AND a.vec_id < b.vec_id GROUP BY ALL")
 def _(spark, d):
     f = features(spark, d)

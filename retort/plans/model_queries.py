@@ -207,6 +207,15 @@ def _(spark, d):
     return _rounded(J.hold_out_origin(_rows(spark, d), lab, lab.select("sample_id", (F.col("sample_id") % 3).alias("origin"))), "origin", digits=6)
 
 
+@query("hold_out_origin_two_features", f"WITH p AS ({_RIDGE.replace('sample_id % 5', 'sample_id % 3')}), c AS (SELECT split_id, y_true, count(*) AS n, sum((y_true = y_pred)::INTEGER) AS hits FROM p GROUP BY 1, 2) SELECT split_id AS origin, round(sum(hits) / sum(n), 6) AS accuracy, round(avg(hits / n), 6) AS balanced_accuracy FROM c GROUP BY 1")
+def _(spark, d):
+    """Each origin's vectors classified by ridge on the first two features of the others."""
+    lab = _labels(spark, d)
+    rows = _rows(spark, d).select("sample_id", F.slice("x", 1, 2).alias("x"))
+    out = J.hold_out_origin(rows, lab, lab.select("sample_id", (F.col("sample_id") % 3).alias("origin")))
+    return out.select(F.col("origin").cast("long").alias("origin"), F.round("accuracy", 6).alias("accuracy"), F.round("balanced_accuracy", 6).alias("balanced_accuracy"))
+
+
 @query(
     "vintage_loo_regression",
     f"WITH {FEATURES}, x AS (SELECT sample_id, any_value(label)::DOUBLE AS y, max(value) FILTER (pos = 0) AS a, max(value) FILTER (pos = 1) AS b FROM features GROUP BY 1), c AS (SELECT y, y - avg(y) OVER () AS dy, a - avg(a) OVER () AS da, b - avg(b) OVER () AS db, count(*) OVER () AS n FROM x), s AS (SELECT sum(da * da) + 1 AS aa, sum(db * db) + 1 AS bb, sum(da * db) AS ab, sum(da * dy) AS ay, sum(db * dy) AS by_ FROM c), p AS (SELECT y, dy, (da * (ay * bb - by_ * ab) + db * (by_ * aa - ay * ab)) / (aa * bb - ab * ab) AS fit, 1.0 / n + (da * da * bb - 2 * da * db * ab + db * db * aa) / (aa * bb - ab * ab) AS h FROM c, s), q AS (SELECT y, y - (dy - fit) / (1 - h) AS p FROM p) SELECT round(avg(abs(p - y)), 5) AS mae, round(sqrt(avg((p - y) * (p - y))), 5) AS rmse, round(corr(y, p), 4) AS r FROM q",
@@ -336,6 +345,13 @@ for _kind in ("ridge", "lasso", "elasticnet", "rf", "gbr", "dt"):
         return m.select(*[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")])
 
 
+@query("regress_ridge_two_features", f"WITH {FEATURES}, x AS (SELECT sample_id, any_value(label)::DOUBLE AS y, max(value) FILTER (pos = 0) AS a, max(value) FILTER (pos = 1) AS b FROM features GROUP BY 1), m AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) * count(*) + 1 AS aa, var_pop(b) * count(*) + 1 AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS b_y FROM x WHERE sample_id % 5 <> 0) SELECT sample_id, y AS y_true, round(my + ((a - ma) * (ay * bb - b_y * ab) + (b - mb) * (b_y * aa - ay * ab)) / (aa * bb - ab * ab), 4) AS y_pred FROM x, m WHERE sample_id % 5 = 0")
+def _(spark, d):
+    """Labels as numbers from the first two features, the penalty converted for the estimator."""
+    few = _vectors(spark, d).withColumn("features", F.slice("features", 1, 2))
+    return D.ml_regress(few, "ridge", "held", alpha=1.0).select("sample_id", "y_true", F.round("y_pred", 4).alias("y_pred"))
+
+
 @query("regress_knn", f"WITH {FEATURES}, d AS (SELECT t.sample_id, o.sample_id AS other, sum((t.value - o.value) * (t.value - o.value)) AS d FROM features t JOIN features o ON t.pos = o.pos AND t.sample_id % 5 <> o.sample_id % 5 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d, other) AS k FROM d), v AS (SELECT vec_id AS i, label::DOUBLE AS v FROM embeddings) SELECT k.sample_id, round(any_value(t.v), 6) AS y_true, round(avg(o.v), 6) AS y_pred FROM k JOIN v t ON t.i = k.sample_id JOIN v o ON o.i = k.other WHERE k.k <= 5 GROUP BY 1")
 def _(spark, d):
     """The mean label of the five nearest vectors outside a vector's fold."""

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retort.operators.moments import sums, wide
+
 #: Feature positions and samples of one block of the Gram product.
 BLOCK, SAMPLE_BLOCK = 4096, 1024
 
@@ -47,26 +49,23 @@ def pairwise_pearson(features: DataFrame) -> DataFrame:
 def pearson_summary(features: DataFrame) -> DataFrame:
     """(mean, std, n): mean and population deviation of r over all pairs of samples; samples of unlike lengths raise an error.
 
-    The sum of r over all pairs comes from the sum of the standardised rows; the sum of its
-    squares from their products by position, so no pair of samples is ever formed. The
-    positions are few next to the samples here; rows without variance count as r = 0.
+    Sums over the standardised rows and over their products by position hold all pairs, so
+    no pair of samples is ever formed; the matrix of sums has the square of the positions.
+    Rows without variance count as r = 0. Fewer than two samples give no row.
     """
     w = Window.partitionBy("sample_id")
     centred = features.withColumn("_c", F.col("value") - F.avg("value").over(w)).withColumn("_q", F.sum(F.col("_c") * F.col("_c")).over(w))
     unit = centred.select("sample_id", "pos", F.when(F.col("_q") > 0, F.col("_c") / F.sqrt("_q")).otherwise(0.0).alias("value"))
-    rows = unit.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_v"))
-    rows = rows.select("sample_id", F.transform("_v", lambda e: e.value).alias("v"))
-    lengths = rows.agg(F.count_distinct(F.size("v")).alias("_kinds"))
+    rows = wide(unit)
+    lengths = rows.agg(F.count_distinct(F.size("x")).alias("_kinds"))
     same = rows.crossJoin(lengths).where(F.expr("_kinds <= 1 OR raise_error('samples of unlike lengths') IS NULL"))  # one row
-    norm = same.select(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x).alias("q"))
-    n = norm.agg(F.count("*").alias("n"), F.sum("q").alias("q"), F.sum(F.col("q") * F.col("q")).alias("qq"))
-    by_pos = same.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("total"))
-    products = same.select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("m"))
-    squares = products.agg(F.sum(F.col("m") * F.col("m")).alias("squares"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    found = n.crossJoin(by_pos).crossJoin(squares).where("n > 1")  # one row each
-    mean, square = (F.col("total") - F.col("q")) / 2 / pairs, (F.col("squares") - F.col("qq")) / 2 / pairs
-    return found.select(mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("std"), pairs.cast("long").alias("n"))
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x)
+    diagonal = F.aggregate(F.sequence(F.lit(1), F.col("p")), F.lit(0.0), lambda t, k: t + F.get("m", k * (F.col("p") + 2)))
+    found = sums(same.select("sample_id", "x")).select(F.get("m", F.lit(0)).alias("n"), square(F.slice("m", F.lit(2), F.col("p"))).alias("total"), square(F.col("m")).alias("all"), diagonal.alias("own"))
+    found = found.where("n > 1").withColumn("pairs", F.col("n") * (F.col("n") - 1) / 2)
+    mean = (F.col("total") - F.col("own")) / 2 / F.col("pairs")
+    squares = (F.col("all") - F.col("n") * F.col("n") - 2 * F.col("total") - F.col("own")) / 2 / F.col("pairs")
+    return found.select(mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), squares - mean * mean)).alias("std"), F.col("pairs").cast("long").alias("n"))
 
 
 def channel_correlations(scans: DataFrame) -> DataFrame:

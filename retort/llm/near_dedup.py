@@ -54,11 +54,12 @@ def _sketcher(n: int, coordinates: int, lower: bool) -> Callable[[Iterator[pa.Re
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_key"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signatures), pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "digest", "signature"],
+                    ["doc_id", "text_key", "n_shingles", "digest", "signature"],
                 )
 
     return run
@@ -194,6 +195,22 @@ def _tiles(rest: DataFrame, sets: DataFrame, percent: int, matches: int) -> Data
     return tiles.groupBy("element", "row", "col").applyInPandas(_tiler(percent, matches), "a binary, b binary")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, coordinates: int, matches: int, lower: bool) -> DataFrame:
+    """Each row's doc_id, text_key (the text's MD5), n_shingles, and its component as digest and as smallest doc_id."""
+    if not 0 < matches <= coordinates <= len(_KEYS):
+        raise ValueError("0 < matches <= coordinates <= 64 is needed")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = texts.withColumn("text_key", F.unhex(F.md5("text")))
+    sketch = written(keyed.mapInArrow(_sketcher(shingle, coordinates, lower), "doc_id long, text_key binary, n_shingles long, digest binary, signature array<long>"), "sketch")
+    edges = links(texts, sketch, shingle, percent, coordinates, matches, lower)
+    own = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
+    reach = connected_components(edges, "a", "b").select(F.col("node").alias("digest"), "component")
+    grouped = own.join(reach, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    owner = grouped.join(least, "component").select("digest", "component", "component_id")
+    return sketch.select("doc_id", "text_key", "n_shingles", "digest").join(owner, "digest", "left")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, coordinates: int = 16, matches: int = 4, lower: bool = True
 ) -> DataFrame:
@@ -207,44 +224,44 @@ def near_duplicates(
     unseen with a chance of 3e-7, one of 0.85 with 5e-9; what is seen is confirmed on
     full sets.
 
-    Null or wordless texts are linked with nothing, not even with each other. Rows
-    with the same doc_id are one document, and each of them is returned. A null
-    doc_id is linked with nothing; its component_id is null and kept is true. An
-    empty table gives an empty result; other columns are not read.
+    A row is a document: rows that share a doc_id are linked by their texts only, so
+    that unlike texts under one doc_id may be in unlike components. Null or wordless
+    texts are linked with nothing, not even with each other. A null doc_id is linked
+    with nothing; its component_id is null and kept is true. An empty table gives an
+    empty result; other columns are not read.
     """
-    if not 0 < matches <= coordinates <= len(_KEYS):
-        raise ValueError("0 < matches <= coordinates <= 64 is needed")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = written(texts.mapInArrow(_sketcher(shingle, coordinates, lower), "doc_id long, n_shingles long, digest binary, signature array<long>"), "sketch")
-    edges = links(texts, sketch, shingle, percent, coordinates, matches, lower)
-    own = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    reach = connected_components(edges, "a", "b").select(F.col("node").alias("digest"), "component")
-    grouped = own.join(reach, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    owner = grouped.join(least, "component").select("digest", "component_id")
-    return (
-        sketch.select("doc_id", "n_shingles", "digest").join(owner, "digest", "left")
-        .withColumn("component_id", F.expr("CASE WHEN doc_id IS NOT NULL THEN if(n_shingles > 0, component_id, doc_id) END"))
-        .select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
-    )
-
+    found = _classes(docs, id_col, text_col, shingle, percent, coordinates, matches, lower)
+    found = found.withColumn("component_id", F.expr("CASE WHEN doc_id IS NOT NULL THEN if(n_shingles > 0, component_id, doc_id) END"))
+    return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` but those whose component has a smaller doc_id; of rows with one doc_id one stays.
 
-    Rows are taken away by an anti join with the narrow table of removed ids, so rows
-    without a partner, null ids among them, stay as they are.
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, coordinates: int = 16, matches: int = 4, lower: bool = True
+) -> DataFrame:
+    """The rows of ``docs`` with one row for each component: that of the smallest doc_id, then of the smallest MD5 of the text.
+
+    Every text of ``docs`` is thus near to one that stays, also where unlike texts share
+    a doc_id. Rows of one doc_id and text come down to one: the least by the hash of all
+    columns, so that a rerun keeps the same. Rows without words or with a null doc_id
+    are linked with nothing; of those that share doc_id and text, too, one stays, but
+    null ids all stay. Rows are taken away by an anti join with the narrow table of
+    removed (doc_id, text) keys.
     """
-    found = written(near_duplicates(docs, id_col, text_col, **options), "components")
-    own = F.col(f"_docs.{id_col}")
-    gone = found.where("NOT kept").select("doc_id").distinct().alias("_gone")
-    left = docs.alias("_docs").join(gone, own == F.col("_gone.doc_id"), "left_anti")
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id").alias("_again")
+    found = written(_classes(docs, id_col, text_col, shingle, percent, coordinates, matches, lower).where("doc_id IS NOT NULL"), "components")
+    own = [F.col(f"_docs.{id_col}").cast("long") == F.col("_k.doc_id"), F.unhex(F.md5(F.col(f"_docs.{text_col}"))).eqNullSafe(F.col("_k.text_key"))]
+    linked = found.where("n_shingles > 0")
+    first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("_f"))
+    gone = linked.join(first, "component").where("NOT (doc_id = _f.doc_id AND text_key = _f.text_key)").select("doc_id", "text_key").distinct().alias("_k")
+    left = docs.alias("_docs").join(gone, own, "left_anti")
+    again = written(found.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "again")
     if again.isEmpty():
         return left
-    repeated = own == F.col("_again.doc_id")
-    once = left.alias("_docs").join(again, repeated, "left_anti")
-    return once.unionByName(left.alias("_docs").join(again, repeated, "left_semi").dropDuplicates([id_col]))
+    parted = left.alias("_docs").join(again.alias("_k"), own, "left_anti")
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    repeated = left.alias("_docs").join(again.alias("_k"), own, "left_semi").toDF(*names)
+    keys = [F.col(names[docs.columns.index(c)]) for c in (id_col, text_col)]
+    once = repeated.groupBy(*[k.alias(f"_g{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*names), F.xxhash64(F.to_json(F.struct(*names)))).alias("_r"))
+    return parted.unionByName(once.select(*[F.col("_r").getField(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

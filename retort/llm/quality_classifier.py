@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retort.llm.scratch import written
 from retort.llm.words import mix, slices, split_words, window_hashes
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of doc_id.
@@ -117,10 +118,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, n_clas
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out fold; only their ids are broadcast, a bounded number."""
+    """At most ``rows`` labelled rows outside the held-out fold: for each chosen doc_id one, that of the smallest hash of its text.
+
+    Only the chosen ids are broadcast, a bounded number. Repeated rows of an id are told
+    apart by a narrow table first, so that copies cost no shuffle of texts.
+    """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 3 <> 1").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "chosen")
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
+    least = written(own.groupBy("doc_id").agg(F.min("key").alias("key")), "least")
+    # one row of at most ``rows`` for each id; equal texts of one id are one row
+    return own.join(F.broadcast(least), ["doc_id", "key"]).groupBy("doc_id").agg(F.first("text").alias("text"), F.first("label").alias("label"))
 
 
 def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,10 +33,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _MARKS = ("passw", "secret", "token", "api")
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Za-z][A-Za-z0-9-]*: [^\n]*\n)*)([A-Za-z0-9+/=\s\\]*)-----END \1-----")
+# A match starts at the start of a run and gives nothing back that it need not, so each pattern reads a text in linear time.
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,8}PRIVATE KEY)-----((?:\s*+[A-Za-z][A-Za-z0-9-]*+: (?:(?!-----BEGIN )[^\n])*+\n)*+)([A-Za-z0-9+/=\s\\]*+)-----END \1-----")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])e[wy][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{40,}[ \t\r]*\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}+[ \t\r]*+\n[ \t]*+)+[A-Za-z0-9+/_-]++={0,2}")
 _STARTS = re.compile(r"(?=M[A-P]|b3BlbnNzaC)")
 _HEXES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 

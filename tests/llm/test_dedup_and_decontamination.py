@@ -70,6 +70,22 @@ def test_odd_rows(spark):
     assert N.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_unlike_texts_under_one_id_are_not_lost(spark):
+    one, two, near = "a b c d e f g h", "p q r s t u v w", "p q r s t u v w x"
+    rows = [(3, one), (5, one), (5, two), (7, two), (7, two), (9, near), (9, "k l m n o p"), (11, ""), (11, ""), (11, None), (None, one)]
+    random.Random(1).shuffle(rows)
+    docs = spark.createDataFrame([(i, t, f"l{k}", "y") for k, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+    got = sorted(((x.doc_id, x.component_id, x.kept) for x in N.near_duplicates(docs).collect() if x.doc_id), key=str)
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (7, 5, False), (9, 5, False), (9, 9, True), (11, 11, True), (11, 11, True), (11, 11, True)], key=str)
+    left = sorted(((x.doc_id, x.text) for x in N.without_near_duplicates(docs).collect()), key=str)
+    assert left == sorted([(3, one), (5, two), (9, "k l m n o p"), (11, ""), (11, None), (None, one)], key=str)
+
+
+def test_two_near_texts_of_one_id_leave_one(spark):
+    docs = spark.createDataFrame([(4, "a b c d e f g h i j k l m", "", ""), (4, "a b c d e f g h i j k l m n", "", ""), (8, "a b c d e f g h i j k l m", "", "")], SCHEMA)
+    assert [x.doc_id for x in N.without_near_duplicates(docs).collect()] == [4]
+
+
 def test_components_of_a_chain(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

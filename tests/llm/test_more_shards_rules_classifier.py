@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -133,3 +134,11 @@ def test_classifier_on_empty_tables_and_repeated_rows(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 0)], "doc_id long, quality int")
     assert Q.score(docs, Q.fit(docs, labels)).count() == 4
     assert Q.score(docs.limit(0), Q.fit(docs.limit(0), labels)).collect() == []
+
+
+def test_many_rows_of_one_labelled_id_are_one_training_row(spark):
+    docs = spark.range(10_000).select(F.lit(6).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 5000).alias("text")).unionByName(spark.createDataFrame([(7, "a b"), (7, None), (8, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, 1) for k in (6, 7, 8, 9)], "doc_id long, quality int")
+    got = sorted((r.doc_id, r.text) for r in Q._sample(docs, labels, 100).collect())
+    known = {k for k in (6, 7, 8) if zlib.crc32(str(k).encode()) % 3 != 1}
+    assert known and [i for i, _ in got] == sorted(known)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import textwrap
 
 import pytest
@@ -47,6 +48,24 @@ def test_a_very_long_run_is_read_in_linear_time():
     assert S.secret_spans("MIIE" * 500_000) == [] and S.secret_spans("b3BlbnNzaC" * 100_000) == []
 
 
+@pytest.mark.parametrize("text", [
+    "x\n" + "A" * 10**6 + " word", "ab" * 10**6 + "\n", ("A" * 64 + "\n") * 15_000 + "-", "A" * 10**6 + "\n" + "A" * 10**6, "-----BEGIN " + "A" * 10**6,
+    "-----BEGIN PRIVATE KEY-----\nA: " * 30_000, ("-----BEGIN PRIVATE KEY-----\n" + "A" * 40 + "\n") * 15_000, "token" + " " * 10**6, "ey" * 500_000 + ".", "password=" * 100_000,
+    "\n" * 10**6 + "M", "AKIA" * 250_000, "a" * 10**6 + "\n", "eyJ." * 250_000,
+])
+def test_every_pattern_is_linear(text):
+    began = time.perf_counter()
+    S.secret_spans("x\n" + text)
+    assert time.perf_counter() - began < 5
+
+
+def test_wrapped_lines_after_a_run_without_a_break():
+    key = base64.b64encode(rsa()).decode()
+    wrapped = "\n".join(key[k : k + 64] for k in range(0, len(key), 64))
+    text = "A" * 50 + " x\n" + wrapped + "\nend of it"
+    assert ("key", text.index(wrapped[:60]), text.index("\nend")) in S.secret_spans(text)
+
+
 def plain_spans(text):
     """The contract's patterns, word for word, and each substring of a base64 run that is a key up to the run's end."""
     out = [("assign", *m.span()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m.group(2)) >= 6]

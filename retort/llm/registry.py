@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retort.llm import chat_format, decontamination, licenses, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, token_files
+from retort.llm import (
+    chat_format, decontamination, divergence_audit, importance_resampling, licenses, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, token_counts, token_files,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality_classifier": quality_classifier.query,
@@ -19,9 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_seeded_alignment_decontamination": decontamination.query,
     "op9_extendible_sharding": sharding.query,
     "op10_rans_token_files": token_files.query,
+    "op11_digest_cached_token_counts": token_counts.query,
+    "op12_segment_importance_resampling": importance_resampling.query,
+    "op13_digest_divergence_audit": divergence_audit.query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_license_digests": licenses.ORACLE,
     "op9_extendible_sharding": sharding.ORACLE,
+    "op13_digest_divergence_audit": divergence_audit.ORACLE,
 }

@@ -52,6 +52,8 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         steps = [s["type"] for s in (kind.get("normalizer") or {}).get("normalizers", [])]

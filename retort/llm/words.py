@@ -64,6 +64,21 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(bounds, coded.indices.to_numpy().astype(np.int64), coded.dictionary)
 
 
+def byte_table(kept: str) -> bytes:
+    """A table for :func:`translated`: A-Z become a-z, bytes from 0x80 on and the characters of ``kept`` stay, all else is a space."""
+    own = {ord(c): ord(c) for c in kept} | {c: c + 32 for c in range(0x41, 0x5B)}
+    return bytes(b if b >= 0x80 else own.get(b, 0x20) for b in range(256))
+
+
+def translated(texts: pa.Array, table: bytes) -> pa.Array:
+    """Texts with every byte mapped by a table of 256 that leaves bytes from 0x80 on as they are; a null text is empty."""
+    texts = pc.fill_null(texts, "")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    mapped = memoryview(data)[ends[0] : ends[-1]].tobytes().translate(table) if data is not None else b""
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).astype(np.int32).tobytes()), pa.py_buffer(mapped))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

@@ -70,6 +70,11 @@ def regression_metrics(pairs: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def fit_line(pairs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, slope, intercept): the least-squares line of y_pred on y_true."""
+    return pairs.groupBy(*keys).agg(F.regr_slope("y_pred", "y_true").alias("slope"), F.regr_intercept("y_pred", "y_true").alias("intercept"))
+
+
 def mode_per(df: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value per key and its share; ties to the smallest."""
     c = df.groupBy(key, value).count()

@@ -1,10 +1,12 @@
-"""Models of many samples with few features, from sums over the rows.
-
-A table of rows is (sample_id, x array<double>[, y array<double>]). With z = (1, x, y) the
-matrix of sums of z z' has a fixed size, adds up over rows and is taken in one pass. A
-split's training sums are all sums less those of its test rows, so no row is sent to a
-split that trains on it; leave-one-out needs the whole table's sums only. Fits happen on
-these small matrices, one task for each split, and predictions in the rows' own tasks.
+"""Models of many samples with few features, from mergeable moments of the rows.
+
+A table of rows is (sample_id, x array<double>[, y array<double>]). Each task merges the
+moments of its rows (number, means, products about the means) and emits one matrix for
+each key; the matrices are moved to one common centre, near the means, where they add up
+without cancelling, whatever the offset of a feature. A split's training moments are all
+moments less those of its test rows, so no row is sent to a split that trains on it, and
+scaling a model by its training rows is a change of units of that small matrix. Fits
+happen on these matrices, one task for each split, predictions in the rows' own tasks.
 """
 
 from __future__ import annotations
@@ -16,8 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retort.sources.shared import stored
+
 #: Rows of one side of a neighbour search tile.
 TILE_ROWS = 2048
+#: Rows that one task scores beside a leave-one-out model, and numbers of its batch of systems.
+LOO_ROWS, LOO_CELLS = 4096, 1 << 22
 
 
 def wide(features: DataFrame) -> DataFrame:
@@ -25,56 +31,126 @@ def wide(features: DataFrame) -> DataFrame:
     return features.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_x")).select("sample_id", F.transform("_x", lambda e: e.value.cast("double")).alias("x"))
 
 
-def sums(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, p, m): ``m`` is the matrix of sums of z z', row by row, for each key; ``p`` the number of features.
+def _merged(a: tuple, b: tuple) -> tuple:
+    """The moments (n, means, products about the means) of two sets of rows together."""
+    n = a[0] + b[0]
+    gap = b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
 
-    A task emits one matrix for each key it has met; places are then summed apart.
-    """
+
+def _key_schema(rows: DataFrame, keys: tuple[str, ...]) -> str:
     kinds = dict(rows.dtypes)
+    return "".join(f"`{k}` {kinds[k]}, " for k in keys)
+
+
+def parts(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, p, n, mean, products), written: the moments of (x, y) of each key that a task has met; ``p`` features come first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
+        held: dict[tuple, tuple] = {}
         size: dict[tuple, int] = {}  # keys may differ in their number of features
         for frame in frames:
             for key, part in frame.groupby(list(keys), dropna=False, sort=False) if keys else [((), frame)]:
-                x, y = np.array(part["x"].tolist(), float), np.array(part["y"].tolist(), float)
-                z = np.c_[np.ones(len(part)), x, y.reshape(len(part), -1)]
-                key = key if isinstance(key, tuple) else (key,)
-                held[key], size[key] = held.get(key, 0) + z.T @ z, x.shape[1]
+                if len(part):
+                    x, y = np.array(part["x"].tolist(), float), np.array(part["y"].tolist(), float)
+                    z = np.c_[x, y.reshape(len(part), -1)]
+                    mean = z.mean(0)
+                    own = (len(part), mean, (z - mean).T @ (z - mean))
+                    key = key if isinstance(key, tuple) else (key,)
+                    held[key], size[key] = _merged(held[key], own) if key in held else own, x.shape[1]
         if held:
-            yield pd.DataFrame([(*key, size[key], m.ravel()) for key, m in held.items()], columns=[*keys, "p", "m"])
+            yield pd.DataFrame([(*key, size[key], float(n), mean, m.ravel()) for key, (n, mean, m) in held.items()], columns=[*keys, "p", "n", "mean", "products"])
 
     y = F.col("y") if "y" in rows.columns else F.array().cast("array<double>")
-    parts = rows.select(*keys, "x", y.alias("y")).mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "p int", "m array<double>"]))
-    added = parts.select(*keys, "p", F.posexplode("m").alias("_k", "_v")).groupBy(*keys, "p", "_k").agg(F.sum("_v").alias("_v"))
-    return added.groupBy(*keys, "p").agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_m")).select(*keys, "p", F.transform("_m", lambda e: e["_v"]).alias("m"))
+    return stored(rows.select(*keys, "x", y.alias("y")).mapInPandas(run, _key_schema(rows, keys) + "p int, n double, mean array<double>, products array<double>"), "moments")
+
+
+def sums(rows: DataFrame, *keys: str, centre: DataFrame | str | None = None) -> DataFrame:
+    """(keys, p, c, m): ``m`` is the matrix of sums of z z' with z = (1, x - c, y - c), row by row, for each key.
+
+    ``c`` is one vector for all keys of ``p`` features: the mean of all rows, that of
+    another table of sums given as ``centre``, or zero. Matrices of one centre add up.
+    """
+    own = parts(rows, *keys)
+    if isinstance(centre, DataFrame):
+        middle = centre.select("p", "c").distinct()
+    elif centre == "zero":
+        middle = own.select("p", F.transform("mean", lambda v: F.lit(0.0)).alias("c")).distinct()
+    else:
+        each = own.select("p", "n", F.posexplode("mean").alias("_k", "_v")).groupBy("p", "_k").agg((F.sum(F.col("n") * F.col("_v")) / F.sum("n")).alias("_v"))
+        middle = each.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_c")).select("p", F.transform("_c", lambda e: e["_v"]).alias("c"))
+
+    def move(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for n, mean, products, c in zip(frame["n"], frame["mean"], frame["products"], frame["c"], strict=True):
+                gap = np.asarray(mean) - np.asarray(c)
+                full = np.empty((len(gap) + 1, len(gap) + 1))
+                full[0, 0], full[0, 1:], full[1:, 0] = n, n * gap, n * gap
+                full[1:, 1:] = np.asarray(products).reshape(len(gap), -1) + n * np.outer(gap, gap)
+                out.append(full.ravel())
+            yield frame[[*keys, "p"]].assign(m=out)
+
+    moved = own.join(F.broadcast(middle), "p").mapInPandas(move, _key_schema(rows, keys) + "p int, m array<double>")  # one centre for each number of features
+    added = moved.select(*keys, "p", F.posexplode("m").alias("_k", "_v")).groupBy(*keys, "p", "_k").agg(F.sum("_v").alias("_v"))
+    whole = added.groupBy(*keys, "p").agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_m")).select(*keys, "p", F.transform("_m", lambda e: e["_v"]).alias("m"))
+    return whole.join(F.broadcast(middle), "p").select(*keys, "p", "c", "m")
+
+
+def without(whole: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
+    """Sums of the rows of ``whole`` but those of ``held``, which have the same centre; ``keys`` are those of ``whole``."""
+    left = held.drop("p", "c").withColumnRenamed("m", "_held")
+    joined = left.join(whole.withColumnRenamed("m", "_all"), list(keys)) if keys else left.crossJoin(whole.withColumnRenamed("m", "_all"))  # one row of all sums
+    return joined.withColumn("m", F.zip_with("_all", "_held", lambda a, b: a - b)).drop("_all", "_held")
 
 
 def training_sums(rows: DataFrame, test: DataFrame) -> DataFrame:
-    """(split_id, p, m) of the rows that each split does not test."""
-    whole = sums(rows).select("p", F.col("m").alias("_all"))
-    held = sums(rows.join(test, "sample_id"), "split_id").select("split_id", F.col("m").alias("_held"))
-    return held.crossJoin(whole).select("split_id", "p", F.zip_with("_all", "_held", lambda a, b: a - b).alias("m"))  # one row of all sums
+    """(split_id, p, c, m) of the rows that each split does not test."""
+    whole = sums(rows)
+    return without(whole, sums(rows.join(test, "sample_id"), "split_id", centre=whole))
 
 
 class Sums:
-    """The parts of one matrix of sums: n, means, and centred products."""
+    """The parts of one matrix of sums about ``c``: n, means, and products about the means.
 
-    def __init__(self, p: int, m) -> None:
+    ``by`` are the units of the features: 1, or their deviations after ``scaled``.
+    """
+
+    def __init__(self, p: int, m, c=None) -> None:
         size = int(round(np.sqrt(len(m))))
         full = np.asarray(m, float).reshape(size, size)
+        c = np.zeros(size - 1) if c is None else np.asarray(c, float)
         self.n = full[0, 0]
-        mean = full[0] / max(self.n, 1)
-        centred = full - np.outer(mean, mean) * self.n
-        self.x_mean, self.y_mean = mean[1 : 1 + p], mean[1 + p :]
-        self.xx, self.xy = centred[1 : 1 + p, 1 : 1 + p], centred[1 : 1 + p, 1 + p :]
-        self.y_sum, self.x_of_y = full[0, 1 + p :], full[1 : 1 + p, 1 + p :]
+        near = full[0] / max(self.n, 1)
+        centred = full - np.outer(near, near) * self.n
+        self.x_mean, self.y_mean = c[:p] + near[1 : 1 + p], c[p:] + near[1 + p :]
+        self.xx, self.xy, self.yy = centred[1 : 1 + p, 1 : 1 + p], centred[1 : 1 + p, 1 + p :], centred[1 + p :, 1 + p :]
+        self.y_sum = self.n * self.y_mean
+        self.by = np.ones(p)
+
+    def scaled(self, scale: str | None) -> Sums:
+        """The same with features in units of their population deviations; constant features keep theirs."""
+        if scale is None:
+            return self
+        if scale != "standard":
+            raise ValueError("scale must be standard or None")
+        out = object.__new__(Sums)
+        out.__dict__ |= self.__dict__
+        deviation = np.sqrt(np.maximum(np.diag(self.xx), 0) / max(self.n, 1))
+        # what rounding leaves of a constant counts as constant
+        out.by = np.where(deviation > 1e-13 * (1 + np.abs(self.x_mean)), deviation, 1.0)
+        out.xx, out.xy = self.xx / np.outer(out.by, out.by), self.xy / out.by[:, None]
+        return out
+
+    def unscaled(self, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and intercepts on the features from those on (x - mean) / by."""
+        w = w / self.by[:, None]
+        return w, b - self.x_mean @ w
 
 
 def ridge_fit(s: Sums, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """(weights, intercepts) of ridge with an intercept that is not penalised; a column for each target."""
-    w = np.linalg.solve(s.xx + alpha * np.eye(len(s.xx)), s.xy)
-    return w, s.y_mean - s.x_mean @ w
+    return s.unscaled(np.linalg.solve(s.xx + alpha * np.eye(len(s.xx)), s.xy), s.y_mean)
 
 
 def class_ridge_fit(s: Sums, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -101,24 +177,26 @@ def class_lda_fit(s: Sums, variance: float = 0.97) -> tuple[np.ndarray, np.ndarr
     v, _ = axes(s, variance=variance)
     known = s.y_sum > 0.5
     count = np.where(known, s.y_sum, 1)
-    means = (s.x_of_y / count - s.x_mean[:, None]).T @ v
+    means = (s.xy / count).T @ v  # of the classes, from the mean of all rows
     between = (means * np.where(known, s.y_sum, 0)[:, None]).T @ means
     inverse = np.linalg.pinv((v.T @ s.xx @ v - between) / max(1, s.n - known.sum()))
-    w = v @ inverse @ means.T
-    b = -0.5 * np.einsum("ij,jk,ik->i", means, inverse, means) + np.log(count / s.n) - s.x_mean @ w
+    b = -0.5 * np.einsum("ij,jk,ik->i", means, inverse, means) + np.log(count / s.n)
+    w, b = s.unscaled(v @ inverse @ means.T, b)
     return w, np.where(known, b, -np.inf)
 
 
-def fitted(train: DataFrame, fit: Callable[[Sums], tuple[np.ndarray, np.ndarray]], *keys: str) -> DataFrame:
-    """(keys, weights, intercepts): a linear model for each row of sums; weights has a list for each target."""
-    kinds = dict(train.dtypes)
+def fitted(train: DataFrame, fit: Callable[[Sums], tuple[np.ndarray, np.ndarray]], *keys: str, scale: str | None = None) -> DataFrame:
+    """(keys, weights, intercepts): a linear model for each row of sums; weights has a list for each target.
 
+    With ``scale`` standard the model is fitted on features in units of the deviations of
+    these sums, which are those of the training rows alone, and brought back to x.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            models = [fit(Sums(int(p), m)) for p, m in zip(frame["p"], frame["m"], strict=True)]
+            models = [fit(Sums(int(p), m, c).scaled(scale)) for p, m, c in zip(frame["p"], frame["m"], frame["c"], strict=True)]
             yield frame[list(keys)].assign(weights=[list(w.T) for w, _ in models], intercepts=[b for _, b in models])
 
-    return train.mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "weights array<array<double>>", "intercepts array<double>"]))
+    return train.mapInPandas(run, _key_schema(train, keys) + "weights array<array<double>>, intercepts array<double>")
 
 
 def scored(x: Column, weights: Column, intercepts: Column) -> Column:
@@ -127,48 +205,84 @@ def scored(x: Column, weights: Column, intercepts: Column) -> Column:
     return F.zip_with(dot, intercepts, lambda a, b: a + b)
 
 
-def regress(rows: DataFrame, names: list[str], test: DataFrame, alpha: float = 1.0) -> DataFrame:
+def regress(rows: DataFrame, names: list[str], test: DataFrame, alpha: float = 1.0, scale: str | None = None) -> DataFrame:
     """(split_id, sample_id, attribute, y_true, y_pred) of multi-target ridge; ``y`` holds the values of ``names``."""
-    models = fitted(training_sums(rows, test), lambda s: ridge_fit(s, alpha), "split_id")
+    models = fitted(training_sums(rows, test), lambda s: ridge_fit(s, alpha), "split_id", scale=scale)
     out = rows.join(test, "sample_id").join(models, "split_id").withColumn("_p", scored(F.col("x"), F.col("weights"), F.col("intercepts")))
     each = F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("attribute"), F.col("y").alias("y_true"), F.col("_p").alias("y_pred"))).alias("e")
     return out.select("split_id", "sample_id", each).select("split_id", "sample_id", "e.attribute", "e.y_true", "e.y_pred")
 
 
-def regress_folds(rows: DataFrame, names: list[str], *keys: str, alpha: float = 1.0) -> DataFrame:
+def regress_folds(rows: DataFrame, names: list[str], *keys: str, alpha: float = 1.0, scale: str | None = None) -> DataFrame:
     """(keys, fold, sample_id, attribute, y_true, y_pred): for each key and ``fold`` of the rows, ridge on the key's other folds.
 
     Rows with a null fold train only.
     """
-    whole = sums(rows, *keys).withColumnRenamed("m", "_all")
-    held = sums(rows.where("fold IS NOT NULL"), *keys, "fold").withColumnRenamed("m", "_held").drop("p")
-    train = held.join(whole, list(keys)).select(*keys, "fold", "p", F.zip_with("_all", "_held", lambda a, b: a - b).alias("m"))
-    models = fitted(train, lambda s: ridge_fit(s, alpha), *keys, "fold")
+    whole = sums(rows, *keys)
+    train = without(whole, sums(rows.where("fold IS NOT NULL"), *keys, "fold", centre=whole), *keys)
+    models = fitted(train, lambda s: ridge_fit(s, alpha), *keys, "fold", scale=scale)
     out = rows.join(models, [*keys, "fold"]).withColumn("_p", scored(F.col("x"), F.col("weights"), F.col("intercepts")))
     each = F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("attribute"), F.col("y").alias("y_true"), F.col("_p").alias("y_pred"))).alias("e")
     return out.select(*keys, "fold", "sample_id", each).select(*keys, "fold", "sample_id", "e.attribute", "e.y_true", "e.y_pred")
 
 
-def leave_one_out(rows: DataFrame, *keys: str, alpha: float = 1.0) -> DataFrame:
-    """(keys, sample_id, y_true, y_pred): ridge on all other rows of the key, in closed form; the first target counts.
+def loo_fit(s: Sums, x: np.ndarray, y: np.ndarray, alpha: float, scale: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(predictions, weights in the model's units) of ridge without each of the given rows, which are among those of the sums.
 
-    A row's residual without itself is its residual divided by one less its leverage.
+    In unscaled units a row's residual without itself is its residual over one less its
+    leverage, and the weights follow from one inverse. With scaling each row has its own
+    units, so its moments are taken off and the system is solved again.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            p, y = [], frame["y"].map(lambda v: v[0]).to_numpy(float)
-            for x, own, size, m in zip(frame["x"], y, frame["p"], frame["m"], strict=True):
-                s = Sums(int(size), m)
-                d = np.asarray(x) - s.x_mean
-                solved = np.linalg.solve(s.xx + alpha * np.eye(len(d)), np.c_[s.xy[:, :1], d])
-                leverage = 1 / s.n + d @ solved[:, 1]
-                p.append(own - (own - s.y_mean[0] - d @ solved[:, 0]) / (1 - leverage) if s.n > 1 else np.nan)
-            yield frame[[*keys, "sample_id"]].assign(y_true=y, y_pred=p)
-
-    kinds = dict(rows.dtypes)
-    whole = sums(rows, *keys)
-    joined = rows.join(F.broadcast(whole), list(keys)) if keys else rows.crossJoin(whole)  # a matrix for each key, which are few
-    return joined.select(*keys, "sample_id", "x", "y", "p", "m").mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"sample_id {kinds['sample_id']}", "y_true double", "y_pred double"]))
+    d, e = x - s.x_mean, y - s.y_mean[0]
+    if s.n <= 1:
+        return np.full(len(x), np.nan), np.full(x.shape, np.nan)
+    if scale is None:
+        inverse = np.linalg.inv(s.xx + alpha * np.eye(len(s.xx)))
+        w, moved = inverse @ s.xy[:, 0], d @ inverse
+        with np.errstate(divide="ignore", invalid="ignore"):
+            off = (e - d @ w) / (1 - 1 / s.n - (moved * d).sum(1))
+        return y - off, w - moved * off[:, None]
+    left, out, weights = s.n - 1, np.empty(len(x)), np.empty(x.shape)
+    less = s.n / left
+    step = max(1, LOO_CELLS // max(1, s.xx.size))
+    for a in range(0, len(x), step):
+        dk, ek = d[a : a + step], e[a : a + step]
+        xx = s.xx - less * dk[:, :, None] * dk[:, None, :]
+        variance = np.maximum(np.diagonal(xx, axis1=1, axis2=2), 0) / left
+        by = np.where(np.sqrt(variance) > 1e-13 * (1 + np.abs(s.x_mean)), np.sqrt(variance), 1.0)
+        xy = s.xy[:, 0] - less * dk * ek[:, None]
+        w = np.linalg.solve(xx + alpha * np.eye(len(s.xx)) * (by**2)[:, None, :], xy[:, :, None])[:, :, 0]
+        out[a : a + step] = s.y_mean[0] - ek / left + less * (dk * w).sum(1)
+        weights[a : a + step] = w * by
+    return out, weights
+
+
+def leave_one_out(rows: DataFrame, *keys: str, alpha: float = 1.0, scale: str | None = None, coefficients: bool = False) -> DataFrame:
+    """(keys, sample_id, y_true, y_pred[, weights]): ridge on all other rows of the key; the first target counts.
+
+    ``weights`` are each fold's, on the scaled features where they are scaled. A key's
+    rows are dealt to groups of about LOO_ROWS; each group meets the key's matrix once.
+    """
+    whole = stored(sums(rows, *keys).withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.get("m", F.lit(0)) / LOO_ROWS)).cast("int")), "loo-sums")
+    few = whole.select(*keys, "_salts")
+    dealt = rows.join(few, list(keys)) if keys else rows.crossJoin(F.broadcast(few))  # one row
+    dealt = dealt.select(*keys, F.pmod(F.xxhash64("sample_id"), F.col("_salts")).cast("int").alias("_salt"), "sample_id", "x", F.get("y", F.lit(0)).alias("y"))
+    models = whole.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select(*keys, "_salt", "p", "c", "m")
+
+    def run(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        y = own["y"].to_numpy(float)
+        out = own[[*keys, "sample_id"]].assign(y_true=y)
+        if len(own):
+            told, weights = loo_fit(Sums(int(model["p"].iloc[0]), model["m"].iloc[0], model["c"].iloc[0]), np.array(own["x"].tolist(), float), y, alpha, scale)
+            out["y_pred"] = told
+            if coefficients:
+                out["weights"] = list(weights)
+        else:
+            out = out.assign(y_pred=y, **({"weights": y} if coefficients else {}))
+        return out
+
+    schema = _key_schema(rows, keys) + f"sample_id {dict(rows.dtypes)['sample_id']}, y_true double, y_pred double" + (", weights array<double>" if coefficients else "")
+    return dealt.groupBy(*keys, "_salt").cogroup(models.groupBy(*keys, "_salt")).applyInPandas(run, schema)
 
 
 def with_classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -178,20 +292,64 @@ def with_classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return named.crossJoin(classes).withColumn("y", F.transform("classes", lambda c: (c == F.col("label")).cast("double")))  # one row
 
 
-def classify(rows: DataFrame, labels: DataFrame, test: DataFrame, model: str = "ridge", alpha: float = 1.0, variance: float = 0.97) -> DataFrame:
-    """(split_id, sample_id, y_true, y_pred) of ridge, discriminants or 3 nearest neighbours for each split."""
+def classify(rows: DataFrame, labels: DataFrame, test: DataFrame, model: str = "ridge", alpha: float = 1.0, variance: float = 0.97, scale: str | None = None) -> DataFrame:
+    """(split_id, sample_id, y_true, y_pred) of ridge, discriminants or 3 nearest neighbours for each split; ``scale`` as in :func:`fitted`."""
     named = with_classes(rows, labels)
     if model == "knn":
-        return nearest(named.select("sample_id", "x", "label"), test)
+        return nearest(named.select("sample_id", "x", "label"), test, scales=None if scale is None else units(named, test, scale))
     fit = {"ridge": lambda s: class_ridge_fit(s, alpha), "lda": lambda s: class_lda_fit(s, variance)}[model]
-    models = fitted(training_sums(named.select("sample_id", "x", "y"), test), fit, "split_id")
+    models = fitted(training_sums(named.select("sample_id", "x", "y"), test), fit, "split_id", scale=scale)
     scores = named.join(test, "sample_id").join(models, "split_id").withColumn("_s", scored(F.col("x"), F.col("weights"), F.col("intercepts")))
     return scores.select("split_id", "sample_id", F.col("label").alias("y_true"), F.element_at("classes", F.array_position("_s", F.array_max("_s")).cast("int")).alias("y_pred"))
 
 
-def nearest_rows(named: DataFrame, test: DataFrame, neighbours: int) -> DataFrame:
+def hold_out(rows: DataFrame, labels: DataFrame, test: DataFrame, model: str = "ridge", scale: str | None = "standard", alpha: float = 1.0, variance: float = 0.97) -> DataFrame:
+    """:func:`classify` for splits that share no row, each told after its rows are scaled by their own means and deviations.
+
+    A model is fitted on the training rows in units of their own moments; the split's test
+    rows come with theirs, so that an offset or a gain of the split's source drops out.
+    """
+    named = with_classes(rows, labels)
+    fit = {"ridge": lambda s: class_ridge_fit(s, alpha), "lda": lambda s: class_lda_fit(s, variance)}[model]
+    whole = sums(named.select("sample_id", "x", "y"))
+    held = stored(sums(named.select("sample_id", "x", "y").join(test, "sample_id"), "split_id", centre=whole), "held")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = [Sums(int(p), m, c).scaled(scale) for p, m, c in zip(frame["p"], frame["_own"], frame["c"], strict=True)]
+            models = []
+            for p, m, c in zip(frame["p"], frame["m"], frame["c"], strict=True):
+                s = Sums(int(p), m, c).scaled(scale)
+                w, b = fit(s)
+                models.append((w * s.by[:, None], b + s.x_mean @ w))  # on (x - mean) / by
+            yield frame[["split_id"]].assign(
+                weights=[list((w / t.by[:, None]).T) for (w, _), t in zip(models, own, strict=True)],
+                intercepts=[b - (t.x_mean / t.by) @ w for (w, b), t in zip(models, own, strict=True)],
+            )
+
+    train = without(whole, held).join(held.select("split_id", F.col("m").alias("_own")), "split_id")
+    models = train.mapInPandas(run, _key_schema(train, ("split_id",)) + "weights array<array<double>>, intercepts array<double>")
+    scores = named.join(test, "sample_id").join(models, "split_id").withColumn("_s", scored(F.col("x"), F.col("weights"), F.col("intercepts")))
+    return scores.select("split_id", "sample_id", F.col("label").alias("y_true"), F.element_at("classes", F.array_position("_s", F.array_max("_s")).cast("int")).alias("y_pred"))
+
+
+def units(rows: DataFrame, test: DataFrame, scale: str | None = "standard") -> DataFrame:
+    """(split_id, by): the deviation of each feature over the training rows of each split."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[["split_id"]].assign(by=[Sums(int(p), m, c).scaled(scale).by for p, m, c in zip(frame["p"], frame["m"], frame["c"], strict=True)])
+
+    train = training_sums(rows.select("sample_id", "x"), test)
+    return train.mapInPandas(run, _key_schema(train, ("split_id",)) + "by array<double>")
+
+
+def nearest_rows(named: DataFrame, test: DataFrame, neighbours: int, scales: DataFrame | None = None) -> DataFrame:
     """(split_id, sample_id, y_true, t): the labels (t.vote) of the nearest training rows of each test row, as a short array.
 
+    ``scales`` (split_id, by) are the units of each split's features; a split's tiles are
+    then its own. A tile picks the best few of all training rows of a split at once.
+
     Rows are dealt to blocks by hash; each pair of blocks is a tile that returns the best
     few of each test row only, so distances are never stored. Rows at one distance count
     in the order of their ids.
@@ -200,36 +358,55 @@ def nearest_rows(named: DataFrame, test: DataFrame, neighbours: int) -> DataFram
     held = test.groupBy("sample_id").agg(F.array_sort(F.collect_set("split_id")).alias("splits"))
     every = test.select("split_id").distinct().agg(F.collect_list("split_id").alias("every"))
     blocks = named.agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("_n"))
-    dealt = named.join(held, "sample_id", "left").crossJoin(every).crossJoin(blocks)  # a row each
+    dealt = named.join(held, "sample_id", "left").crossJoin(blocks)  # a row each
+    if scales is None:
+        dealt = dealt.crossJoin(every).withColumn("_s", F.lit(None).cast(split_kind))  # one row
+    else:
+        own = scales.select(F.col("split_id").alias("_s"), "by")
+        dealt = dealt.crossJoin(own).withColumn("x", F.zip_with("x", "by", lambda a, b: a / b)).withColumn("every", F.array("_s")).drop("by")  # splits times samples: each has its own units
     dealt = dealt.withColumn("_g", F.pmod(F.xxhash64("sample_id"), F.greatest("_n", F.lit(1))).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.greatest("_n", F.lit(1)) - 1))
-    base = ["sample_id", "x", "label", "splits", "every"]
-    sent = dealt.where("splits IS NOT NULL").select(*base, F.col("_g").alias("_r"), each.alias("_c"), F.lit(True).alias("_test")).unionByName(dealt.select(*base, each.alias("_r"), F.col("_g").alias("_c"), F.lit(False).alias("_test")))
+    base = ["_s", "sample_id", "x", "label", "splits", "every"]
+    tested = F.size(F.array_intersect("splits", "every")) > 0
+    sent = dealt.where(tested).select(*base, F.col("_g").alias("_r"), each.alias("_c"), F.lit(True).alias("_test")).unionByName(dealt.select(*base, each.alias("_r"), F.col("_g").alias("_c"), F.lit(False).alias("_test")))
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         a, b = tile[tile["_test"]], tile[~tile["_test"]].sort_values("sample_id")
-        out = []
+        found = []
         if len(a) and len(b):
             x, y = np.array(a["x"].tolist()), np.array(b["x"].tolist())
+            middle = y.mean(0)
+            x, y = x - middle, y - middle
             d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
-            own = [set(s) if s is not None else set() for s in b["splits"]]
+            tests_of, own = ([set(s) if s is not None else set() for s in t["splits"]] for t in (a, b))
+            a_id, a_label, b_id, b_label = a["sample_id"].to_numpy(), a["label"].to_numpy(), b["sample_id"].to_numpy(), b["label"].to_numpy()
             for split in a["every"].iloc[0]:
-                tests = np.flatnonzero([split in s for s in a["splits"]])
+                tests = np.flatnonzero([split in s for s in tests_of])
                 train = np.flatnonzero([split not in s for s in own])
                 if len(tests) and len(train):
-                    best = np.argsort(d[np.ix_(tests, train)], axis=1, kind="stable")[:, :neighbours]
-                    for k, t in enumerate(tests):
-                        for j in train[best[k]]:
-                            out.append((split, a["sample_id"].iloc[t], a["label"].iloc[t], float(d[t, j]), b["sample_id"].iloc[j], b["label"].iloc[j]))
-        return pd.DataFrame(out, columns=["split_id", "sample_id", "y_true", "distance", "other", "vote"])
-
-    near = sent.groupBy("_r", "_c").applyInPandas(run, f"split_id {split_kind}, sample_id {kinds['sample_id']}, y_true {kinds['label']}, distance double, other {kinds['sample_id']}, vote {kinds['label']}")
+                    dist = d[np.ix_(tests, train)]
+                    k = min(neighbours, len(train))
+                    # all rows at the k-th distance come along, so that ties are cut by id
+                    edge = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
+                    t, j = np.nonzero(dist <= edge)
+                    order = np.lexsort((j, dist[t, j], t))
+                    t, j = t[order], j[order]
+                    first = np.r_[0, np.flatnonzero(np.diff(t)) + 1]
+                    place = np.arange(len(t)) - np.repeat(first, np.diff(np.r_[first, len(t)]))
+                    t, j = t[place < k], j[place < k]
+                    found.append((np.full(len(t), split), a_id[tests[t]], a_label[tests[t]], dist[t, j], b_id[train[j]], b_label[train[j]]))
+        columns = ["split_id", "sample_id", "y_true", "distance", "other", "vote"]
+        if not found:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+        return pd.DataFrame({c: np.concatenate([f[k] for f in found]) for k, c in enumerate(columns)})
+
+    near = sent.groupBy("_s", "_r", "_c").applyInPandas(run, f"split_id {split_kind}, sample_id {kinds['sample_id']}, y_true {kinds['label']}, distance double, other {kinds['sample_id']}, vote {kinds['label']}")
     return near.groupBy("split_id", "sample_id", "y_true").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other", "vote"))), 1, neighbours).alias("t"))
 
 
-def nearest(named: DataFrame, test: DataFrame, neighbours: int = 3) -> DataFrame:
+def nearest(named: DataFrame, test: DataFrame, neighbours: int = 3, scales: DataFrame | None = None) -> DataFrame:
     """(split_id, sample_id, y_true, y_pred): majority of the nearest training rows, ties to the class that sorts first."""
-    votes = nearest_rows(named, test, neighbours).select("split_id", "sample_id", "y_true", F.explode("t").alias("t")).groupBy("split_id", "sample_id", "y_true", "t.vote").count()
+    votes = nearest_rows(named, test, neighbours, scales).select("split_id", "sample_id", "y_true", F.explode("t").alias("t")).groupBy("split_id", "sample_id", "y_true", "t.vote").count()
     first = votes.groupBy("split_id", "sample_id", "y_true").agg(F.min(F.struct((-F.col("count")).alias("n"), "vote")).alias("v"))
     return first.select("split_id", "sample_id", "y_true", F.col("v.vote").alias("y_pred"))
 
@@ -241,13 +418,13 @@ def nearest_mean(rows: DataFrame, values: DataFrame, test: DataFrame, neighbours
     return nearest_rows(named, test, neighbours).select("split_id", "sample_id", "y_true", mean.alias("y_pred"))
 
 
-def pca(rows: DataFrame, components: int | None = None, variance: float | None = None) -> DataFrame:
-    """(sample_id, component, score) of all rows on the principal axes of their covariance."""
+def pca(rows: DataFrame, components: int | None = None, variance: float | None = None, scale: str | None = None) -> DataFrame:
+    """(sample_id, component, score) of all rows on the principal axes of their covariance, or of their correlation if scaled."""
 
     def fit(s: Sums) -> tuple[np.ndarray, np.ndarray]:
         v, _ = axes(s, components, variance)
-        return v, -s.x_mean @ v
+        return s.unscaled(v, np.zeros(v.shape[1]))
 
-    model = fitted(sums(rows), fit)
+    model = fitted(sums(rows), fit, scale=scale)
     out = rows.crossJoin(model).select("sample_id", F.posexplode(scored(F.col("x"), F.col("weights"), F.col("intercepts"))).alias("component", "score"))  # one row
     return out

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from retort.operators import moments as X
 from retort.operators import splits as P
-from retort.sources.shared import shared_path
+from retort.sources.shared import stored
 
 SET_SCHEMA = "group int, candidate int, places array<array<int>>"
 
@@ -46,7 +46,7 @@ def standardised(rows: DataFrame, train: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [X.Sums(int(p), m) for p, m in zip(frame["p"], frame["m"], strict=True)]
+            found = [X.Sums(int(p), m, c) for p, m, c in zip(frame["p"], frame["m"], frame["c"], strict=True)]
             # by-products of rounding count as constant
             spread = [np.sqrt(np.maximum(np.diag(s.xx), 0) / max(s.n, 1)) for s in found]
             yield frame[["group"]].assign(_mean=[s.x_mean for s in found], _by=[np.where(d > 1e-9 * (1 + np.abs(s.x_mean)), 1 / np.maximum(d, 1e-300), 0.0) for s, d in zip(found, spread, strict=True)])
@@ -56,13 +56,6 @@ def standardised(rows: DataFrame, train: DataFrame) -> DataFrame:
     return rows.join(scale, "group").withColumn("x", moved).drop("_mean", "_by")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read again, so that steps do not repeat its work."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def folded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tests, sums) of rows (group, fold, x, y, label, classes): rows that a fold tests, and the sums of all its group's other rows.
 
@@ -72,10 +65,10 @@ def folded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = stored(rows, "selection-rows")
     tests = kept.where("fold IS NOT NULL")
     whole = X.sums(kept.where("trains"), "group").withColumnRenamed("m", "_all")
-    held = X.sums(tests, "group", "fold").select("group", "fold", F.col("m").alias("_held"))
+    held = X.sums(tests, "group", "fold", centre=whole).select("group", "fold", F.col("m").alias("_held"))
     # a fold whose rows are not among the training rows (an outer test) leaves the sums whole
     left = F.when(F.col("fold") < 0, F.col("_all")).otherwise(F.zip_with("_all", "_held", lambda a, b: a - b))
-    return tests, stored(held.join(whole, "group").select("group", "fold", "p", left.alias("m")), "selection-sums")
+    return tests, stored(held.join(whole, "group").select("group", "fold", "p", "c", left.alias("m")), "selection-sums")
 
 
 def candidate_scores(tests: DataFrame, sums: DataFrame, sets: list[tuple[int, int, list[list[int]]]], alpha: float = 1.0) -> DataFrame:
@@ -84,7 +77,7 @@ def candidate_scores(tests: DataFrame, sums: DataFrame, sets: list[tuple[int, in
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            models = [subset_ridge(X.Sums(int(p), m), [list(q) for q in places], alpha) for p, m, places in zip(frame["p"], frame["m"], frame["places"], strict=True)]
+            models = [subset_ridge(X.Sums(int(p), m, c), [list(q) for q in places], alpha) for p, m, c, places in zip(frame["p"], frame["m"], frame["c"], frame["places"], strict=True)]
             yield frame[["group", "fold", "candidate"]].assign(weights=[list(w.T) for w, _ in models], intercepts=[b for _, b in models])
 
     fits = sums.join(F.broadcast(wanted), "group").mapInPandas(run, "group int, fold int, candidate int, weights array<array<double>>, intercepts array<double>")

@@ -61,7 +61,7 @@ def pearson_summary(features: DataFrame) -> DataFrame:
     same = rows.crossJoin(lengths).where(F.expr("_kinds <= 1 OR raise_error('samples of unlike lengths') IS NULL"))  # one row
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x)
     diagonal = F.aggregate(F.sequence(F.lit(1), F.col("p")), F.lit(0.0), lambda t, k: t + F.get("m", k * (F.col("p") + 2)))
-    found = sums(same.select("sample_id", "x")).select(F.get("m", F.lit(0)).alias("n"), square(F.slice("m", F.lit(2), F.col("p"))).alias("total"), square(F.col("m")).alias("all"), diagonal.alias("own"))
+    found = sums(same.select("sample_id", "x"), centre="zero").select(F.get("m", F.lit(0)).alias("n"), square(F.slice("m", F.lit(2), F.col("p"))).alias("total"), square(F.col("m")).alias("all"), diagonal.alias("own"))
     found = found.where("n > 1").withColumn("pairs", F.col("n") * (F.col("n") - 1) / 2)
     mean = (F.col("total") - F.col("own")) / 2 / F.col("pairs")
     squares = (F.col("all") - F.col("n") * F.col("n") - 2 * F.col("total") - F.col("own")) / 2 / F.col("pairs")

@@ -14,20 +14,25 @@ from retort.operators import splits as P
 from retort.operators import statistics as T
 
 
-def classification_job(rows: DataFrame, labels: DataFrame, test: DataFrame, model: str = "ridge") -> DataFrame:
-    """Metrics of each split: fit and predict per split, metrics in SQL."""
-    return M.fold_metrics(X.classify(rows, labels, test, model), "split_id")
+def classification_job(rows: DataFrame, labels: DataFrame, test: DataFrame, model: str = "ridge", scale: str | None = None) -> DataFrame:
+    """Metrics of each split: scaled by its training rows, fitted and told per split, metrics in SQL."""
+    return M.fold_metrics(X.classify(rows, labels, test, model, scale=scale), "split_id")
 
 
-def per_origin(rows: DataFrame, labels: DataFrame, test: DataFrame, origins: DataFrame, model: str = "ridge") -> DataFrame:
+def per_origin(rows: DataFrame, labels: DataFrame, test: DataFrame, origins: DataFrame, model: str = "ridge", scale: str | None = None) -> DataFrame:
     """Metrics of a pooled model for each origin (sample_id, origin) of its test rows."""
-    return M.fold_metrics(X.classify(rows, labels, test, model).join(origins, "sample_id"), "origin")
+    return M.fold_metrics(X.classify(rows, labels, test, model, scale=scale).join(origins, "sample_id"), "origin")
 
 
-def hold_out_origin(rows: DataFrame, labels: DataFrame, origins: DataFrame, model: str = "ridge") -> DataFrame:
-    """For each origin: trained on all others, tested on it."""
+def hold_out_origin(rows: DataFrame, labels: DataFrame, origins: DataFrame, model: str = "ridge", scale: str | None = None, by_itself: bool = False) -> DataFrame:
+    """For each origin: trained on all others, tested on it.
+
+    With ``by_itself`` each origin's features are in units of its own deviations, about
+    its own means: the side that is tested is scaled by its own statistics, not by those
+    of the origins that the model has seen.
+    """
     test = origins.select(F.col("origin").cast("string").alias("split_id"), "sample_id")
-    return classification_job(rows, labels, test, model).withColumnRenamed("split_id", "origin")
+    return M.fold_metrics(X.hold_out(rows, labels, test, model, scale) if by_itself else X.classify(rows, labels, test, model, scale=scale), "split_id").withColumnRenamed("split_id", "origin")
 
 
 def with_targets(rows: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
@@ -35,16 +40,32 @@ def with_targets(rows: DataFrame, values: DataFrame, *columns: str) -> DataFrame
     return rows.join(values.select("sample_id", F.array(*[F.col(c).cast("double") for c in columns]).alias("y")), "sample_id")
 
 
-def vintage_regression(rows: DataFrame, years: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """Leave-one-out predictions (sample_id, y_true, y_pred) of a number by ridge; ``years`` is (sample_id, value)."""
-    return X.leave_one_out(with_targets(rows, years, "value"), alpha=alpha)
+def vintage_regression(rows: DataFrame, years: DataFrame, alpha: float = 1.0, scale: str | None = None, coefficients: bool = False) -> DataFrame:
+    """Leave-one-out predictions (sample_id, y_true, y_pred[, weights]) of a number by ridge; ``years`` is (sample_id, value).
+
+    With ``scale`` standard every fold is scaled by its own training rows; ``weights`` are
+    then the fold's coefficients on the scaled features.
+    """
+    return X.leave_one_out(with_targets(rows, years, "value"), alpha=alpha, scale=scale, coefficients=coefficients)
+
+
+def vintage_report(told: DataFrame) -> DataFrame:
+    """One row of leave-one-out predictions: the regression metrics, the shares within 1 to 5, and the line of told on true."""
+    return M.regression_metrics(told).crossJoin(M.fit_line(told))  # one row each
+
+
+def fold_coefficients(told: DataFrame) -> DataFrame:
+    """(pos, mean, std, agree): each feature's coefficient over the folds of leave-one-out, and the share of folds with the mean's sign."""
+    each = told.select(F.posexplode("weights").alias("pos", "w"))
+    g = each.groupBy("pos").agg(F.avg("w").alias("mean"), F.stddev_pop("w").alias("std"), F.avg(F.signum("w")).alias("_sign"))
+    return g.select("pos", "mean", "std", ((1 + F.col("_sign") * F.signum("mean")) / 2).alias("agree"))
 
 
-def random_subsets(rows: DataFrame, years: DataFrame, size: int, repeats: int, seed: int = 0, alpha: float = 1.0) -> DataFrame:
+def random_subsets(rows: DataFrame, years: DataFrame, size: int, repeats: int, seed: int = 0, alpha: float = 1.0, scale: str | None = None) -> DataFrame:
     """Regression metrics (mae, rmse, r2, r) by repeat of leave-one-out within random subsets of one size, all in one job."""
     order = Window.partitionBy("repeat").orderBy(F.xxhash64("sample_id", "repeat", F.lit(seed)), "sample_id")
     drawn = years.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= size)
-    return M.regression_metrics(X.leave_one_out(with_targets(rows, years, "value").join(drawn.select("sample_id", "repeat"), "sample_id"), "repeat", alpha=alpha), "repeat")
+    return M.regression_metrics(X.leave_one_out(with_targets(rows, years, "value").join(drawn.select("sample_id", "repeat"), "sample_id"), "repeat", alpha=alpha, scale=scale), "repeat")
 
 
 def one_hot(taster: Column, tasters: list[str], constant: bool = False) -> Column:

@@ -104,6 +104,71 @@ for _model, _sql in (("ridge", _RIDGE), ("lda", _LDA)):
         return X.classify(rows, _labels(spark, d), rows.select((F.col("sample_id") % 5).alias("split_id"), "sample_id"), model, variance=1.0)
 
 
+#: The same two features, in units of their deviations over the training rows of each fold.
+_SCALED = _TWO.replace("var_pop(a) * count(*) + 1 AS aa, var_pop(b) * count(*) + 1 AS bb, covar_pop(a, b) * count(*) AS ab", "stddev_pop(a) AS da, stddev_pop(b) AS db, count(*) + 1.0 AS aa, count(*) + 1.0 AS bb, corr(a, b) * count(*) AS ab")
+_RIDGE_SCALED = f"WITH {_SCALED}, c AS (SELECT split_id, label, any_value(n) AS n, any_value(ma) AS ma, any_value(mb) AS mb, any_value(da) AS da, any_value(db) AS db, any_value(aa) AS aa, any_value(bb) AS bb, any_value(ab) AS ab, count(*) AS own, sum((a - ma) / da) AS ay, sum((b - mb) / db) AS b_y FROM t JOIN m USING (split_id) GROUP BY 1, 2), s AS (SELECT split_id, label, (ay * bb - b_y * ab) / (aa * bb - ab * ab) / da AS wa, (b_y * aa - ay * ab) / (aa * bb - ab * ab) / db AS wb, own / n - (ay * bb - b_y * ab) / (aa * bb - ab * ab) / da * ma - (b_y * aa - ay * ab) / (aa * bb - ab * ab) / db * mb AS w0 FROM c) " + _BEST.format(score="s.wa * x.a + s.wb * x.b + s.w0")
+
+
+def _stretched(spark, d):
+    """The first two features of all vectors, one of them far from 0 and in a thousandfold unit."""
+    return _rows(spark, d).select("sample_id", F.array(F.col("x")[0], F.col("x")[1] * 1000.0 + 1e6).alias("x"))
+
+
+@query("ridge_scaled_two_features", _RIDGE_SCALED.replace("max(value) FILTER (pos = 1) AS b", "max(value) FILTER (pos = 1) * 1000 + 1000000 AS b"))
+def _(spark, d):
+    """Classes from two features of unlike units, scaled by the training rows of each fold."""
+    rows = _stretched(spark, d)
+    return X.classify(rows, _labels(spark, d), rows.select((F.col("sample_id") % 5).alias("split_id"), "sample_id"), scale="standard")
+
+
+for _model in ("ridge", "lda", "knn"):
+
+    @query(f"classify_{_model}_scaled")
+    def _(spark, d, model=_model):
+        """Five stratified folds on all features, scaled by the training rows of each."""
+        lab = _labels(spark, d)
+        return _rounded(J.classification_job(_rows(spark, d), lab, P.stratified_folds(lab, "label", 5), model, scale="standard"), "split_id", digits=6)
+
+
+@query("knn_predictions_scaled", f"WITH {FEATURES}, u AS (SELECT f.split_id, pos, stddev_pop(value) AS by FROM (SELECT DISTINCT sample_id % 5 AS split_id FROM features) f JOIN features t ON t.sample_id % 5 <> f.split_id GROUP BY ALL), d AS (SELECT t.sample_id, o.sample_id AS other, sum((t.value - o.value) * (t.value - o.value) / (u.by * u.by)) AS d FROM features t JOIN u ON u.split_id = t.sample_id % 5 AND u.pos = t.pos JOIN features o ON t.pos = o.pos AND t.sample_id % 5 <> o.sample_id % 5 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d, other) AS k FROM d), v AS (SELECT vec_id AS i, label::VARCHAR AS v FROM embeddings), n AS (SELECT k.sample_id, v.v, count(*) AS n FROM k JOIN v ON v.i = k.other WHERE k.k <= 3 GROUP BY 1, 2) SELECT sample_id % 5 AS split_id, sample_id, any_value(t.v) AS y_true, first(n.v ORDER BY n.n DESC, n.v) AS y_pred FROM n JOIN v t ON t.i = n.sample_id GROUP BY ALL")
+def _(spark, d):
+    """Majority of the three nearest vectors outside a vector's fold, in the units of the others."""
+    rows = _rows(spark, d)
+    return X.classify(rows, _labels(spark, d), rows.select((F.col("sample_id") % 5).alias("split_id"), "sample_id"), "knn", scale="standard")
+
+
+#: Leave-one-out with scaling: each row's system from the sums less the row, in its own units.
+_LOO_SCALED = f"WITH {FEATURES}, x AS (SELECT sample_id, any_value(label)::DOUBLE AS y, max(value) FILTER (pos = 0) AS a, max(value) FILTER (pos = 1) * 1000 + 1000000 AS b FROM features GROUP BY 1), c AS (SELECT sample_id, y, avg(y) OVER () AS my, y - avg(y) OVER () AS dy, a - avg(a) OVER () AS da, b - avg(b) OVER () AS db, count(*) OVER ()::DOUBLE AS n FROM x), s AS (SELECT sum(da * da) AS aa, sum(db * db) AS bb, sum(da * db) AS ab, sum(da * dy) AS ay, sum(db * dy) AS b_y FROM c), r AS (SELECT sample_id, y, my, dy, da, db, n, n / (n - 1) AS f, aa - n / (n - 1) * da * da AS aa, bb - n / (n - 1) * db * db AS bb, ab - n / (n - 1) * da * db AS ab, ay - n / (n - 1) * da * dy AS ay, b_y - n / (n - 1) * db * dy AS b_y FROM c, s), v AS (SELECT *, aa * (1 + 1 / (n - 1)) AS ra, bb * (1 + 1 / (n - 1)) AS rb FROM r), w AS (SELECT *, (ay * rb - b_y * ab) / (ra * rb - ab * ab) AS wa, (b_y * ra - ay * ab) / (ra * rb - ab * ab) AS wb FROM v), p AS (SELECT sample_id, y AS y_true, my - dy / (n - 1) + f * (da * wa + db * wb) AS y_pred, wa * sqrt(aa / (n - 1)) AS ka, wb * sqrt(bb / (n - 1)) AS kb FROM w) "
+
+
+def _loo_scaled(spark, d):
+    return J.vintage_regression(_stretched(spark, d), _labels(spark, d).select("sample_id", F.col("label").cast("double").alias("value")), scale="standard", coefficients=True)
+
+
+@query("vintage_loo_scaled", _LOO_SCALED + "SELECT sample_id, y_true, round(y_pred, 5) AS y_pred, round(ka, 5) AS coef_a, round(kb, 5) AS coef_b FROM p")
+def _(spark, d):
+    """Leave-one-out predictions and coefficients, every fold scaled by its own training rows."""
+    return _loo_scaled(spark, d).select("sample_id", "y_true", F.round("y_pred", 5).alias("y_pred"), F.round(F.col("weights")[0], 5).alias("coef_a"), F.round(F.col("weights")[1], 5).alias("coef_b"))
+
+
+@query("vintage_loo_report", _LOO_SCALED + "SELECT round(avg(abs(y_pred - y_true)), 5) AS mae, round(corr(y_true, y_pred), 4) AS r, round(regr_slope(y_pred, y_true), 5) AS slope, round(regr_intercept(y_pred, y_true), 5) AS intercept, round(avg((abs(y_pred - y_true) <= 2)::INTEGER), 6) AS within_2 FROM p")
+def _(spark, d):
+    r = J.vintage_report(_loo_scaled(spark, d))
+    return r.select(*[F.round(c, n).alias(c) for c, n in (("mae", 5), ("r", 4), ("slope", 5), ("intercept", 5), ("within_2", 6))])
+
+
+@query("vintage_loo_coefficients", _LOO_SCALED + "SELECT pos, round(avg(w), 6) AS mean, round(stddev_pop(w), 6) AS std, round(avg((sign(w) = sign(m))::INTEGER), 6) AS agree FROM (SELECT pos, w, avg(w) OVER (PARTITION BY pos) AS m FROM (SELECT 0 AS pos, ka AS w FROM p UNION ALL SELECT 1, kb FROM p)) GROUP BY pos")
+def _(spark, d):
+    return _rounded(J.fold_coefficients(_loo_scaled(spark, d)), "pos", digits=6)
+
+
+@query("vintage_loo_scaled_all_features")
+def _(spark, d):
+    """The coefficients of all features over the folds of scaled leave-one-out."""
+    told = J.vintage_regression(_rows(spark, d), _labels(spark, d).select("sample_id", F.col("label").cast("double").alias("value")), scale="standard", coefficients=True)
+    return _rounded(J.fold_coefficients(told), "pos", digits=6)
+
+
 @query("ridge_one_feature", f"WITH {FEATURES}, x AS (SELECT sample_id, label::DOUBLE AS y, value AS x, sample_id % 5 AS fold FROM features WHERE pos = 0), t AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, sum((x) * (y)) - count(*) * avg(x) * avg(y) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx FROM (SELECT DISTINCT fold FROM x) f JOIN x ON x.fold <> f.fold GROUP BY 1) SELECT x.fold AS split_id, sample_id, round(y, 6) AS y_true, round(my + (x.x - mx) * sxy / (sxx + 1), 5) AS y_pred FROM x JOIN t USING (fold)")
 def _(spark, d):
     rows = _rows(spark, d).select("sample_id", F.slice("x", 1, 1).alias("x")).join(_labels(spark, d), "sample_id").select("sample_id", "x", F.array(F.col("label").cast("double")).alias("y"))
@@ -216,6 +281,19 @@ def _(spark, d):
     return out.select(F.col("origin").cast("long").alias("origin"), F.round("accuracy", 6).alias("accuracy"), F.round("balanced_accuracy", 6).alias("balanced_accuracy"))
 
 
+#: An origin's own means and deviations beside those of all others.
+_ITSELF = f"WITH {_SCALED.replace('sample_id % 5', 'sample_id % 3')}, o AS (SELECT split_id, avg(a) AS oa, avg(b) AS ob, stddev_pop(a) AS ua, stddev_pop(b) AS ub FROM x GROUP BY 1), c AS (SELECT split_id, label, any_value(n) AS n, any_value(aa) AS aa, any_value(bb) AS bb, any_value(ab) AS ab, count(*) AS own, sum((a - ma) / da) AS ay, sum((b - mb) / db) AS b_y FROM t JOIN m USING (split_id) GROUP BY 1, 2), s AS (SELECT split_id, label, (ay * bb - b_y * ab) / (aa * bb - ab * ab) AS wa, (b_y * aa - ay * ab) / (aa * bb - ab * ab) AS wb, own / n AS w0 FROM c) SELECT x.split_id, sample_id, any_value(x.label) AS y_true, first(s.label ORDER BY s.wa * (x.a - o.oa) / o.ua + s.wb * (x.b - o.ob) / o.ub + s.w0 DESC, s.label) AS y_pred FROM x JOIN s USING (split_id) JOIN o USING (split_id) GROUP BY ALL"
+
+
+@query("hold_out_origin_scaled_by_itself", f"WITH p AS ({_ITSELF}), c AS (SELECT split_id, y_true, count(*) AS n, sum((y_true = y_pred)::INTEGER) AS hits FROM p GROUP BY 1, 2) SELECT split_id AS origin, round(sum(hits) / sum(n), 6) AS accuracy, round(avg(hits / n), 6) AS balanced_accuracy FROM c GROUP BY 1")
+def _(spark, d):
+    """Each origin's vectors, in units of their own deviations, by ridge on the scaled features of the others."""
+    lab = _labels(spark, d)
+    rows = _rows(spark, d).select("sample_id", F.slice("x", 1, 2).alias("x"))
+    out = J.hold_out_origin(rows, lab, lab.select("sample_id", (F.col("sample_id") % 3).alias("origin")), scale="standard", by_itself=True)
+    return out.select(F.col("origin").cast("long").alias("origin"), F.round("accuracy", 6).alias("accuracy"), F.round("balanced_accuracy", 6).alias("balanced_accuracy"))
+
+
 @query(
     "vintage_loo_regression",
     f"WITH {FEATURES}, x AS (SELECT sample_id, any_value(label)::DOUBLE AS y, max(value) FILTER (pos = 0) AS a, max(value) FILTER (pos = 1) AS b FROM features GROUP BY 1), c AS (SELECT y, y - avg(y) OVER () AS dy, a - avg(a) OVER () AS da, b - avg(b) OVER () AS db, count(*) OVER () AS n FROM x), s AS (SELECT sum(da * da) + 1 AS aa, sum(db * db) + 1 AS bb, sum(da * db) AS ab, sum(da * dy) AS ay, sum(db * dy) AS by_ FROM c), p AS (SELECT y, dy, (da * (ay * bb - by_ * ab) + db * (by_ * aa - ay * ab)) / (aa * bb - ab * ab) AS fit, 1.0 / n + (da * da * bb - 2 * da * db * ab + db * db * aa) / (aa * bb - ab * ab) AS h FROM c, s), q AS (SELECT y, y - (dy - fit) / (1 - h) AS p FROM p) SELECT round(avg(abs(p - y)), 5) AS mae, round(sqrt(avg((p - y) * (p - y))), 5) AS rmse, round(corr(y, p), 4) AS r FROM q",

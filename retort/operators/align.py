@@ -1,8 +1,8 @@
 """Retention-time alignment of chromatograms to a reference run.
 
 Only the reference's chromatogram and peak spectra are sent to the samples; each sample
-is one row. Where smoothing splines would be fitted, the lag curve here is piecewise
-linear through the matched peaks.
+is one row. The lag curve through matched peaks is piecewise linear, or a smoothing
+spline whose bound is chosen by what the warped chromatogram loses to the reference.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retort.operators.signals import gaussian_kernel, prominence
+from retort.operators.spline import SmoothingSpline, best_smoothing
 
 
 def smooth_trace(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -54,6 +55,124 @@ def window_lags(reference: np.ndarray, target: np.ndarray, size: int, most: int,
     return np.array(out)
 
 
+def scaled_trace(x: np.ndarray, scale: float) -> np.ndarray:
+    """The trace resampled to ``scale`` times its length, the ends kept."""
+    return np.interp(np.linspace(0, len(x) - 1, int(len(x) * scale)), np.arange(len(x)), x)
+
+
+def cross_correlation(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """The sums over t of x[t + lag] * y[t] for the lags -most to most, by one product of transforms."""
+    size = 1 << (len(x) + len(y) + most).bit_length()
+    c = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
+    return c[np.arange(-most, most + 1) % size]
+
+
+def scale_and_lag(reference: np.ndarray, target: np.ndarray, most: int, scales: list[float]) -> tuple[float, int, float]:
+    """(scale, lag, score): the stretch of the target, and the scans by which it then has to move, that agree best with the reference.
+
+    ``score`` is the plain cross-correlation, rounded to 9 digits; ties go to the first
+    scale, then to the smallest lag.
+    """
+    best = (-np.inf, 0.0, 0)
+    for scale in scales:
+        c = np.round(cross_correlation(reference, scaled_trace(target, scale), most), 9)
+        k = int(np.argmax(c))
+        if c[k] > best[0]:
+            best = (float(c[k]), scale, k - most)
+    return best[1], best[2], best[0]
+
+
+def leading_lag(reference: np.ndarray, target: np.ndarray, sigma: float, most: int, share: int = 3) -> tuple[int, float]:
+    """(lag, score) by the mean-centred leading parts of the smoothed traces: the best lag of all, then brought into -most to most."""
+    n = min(len(reference), len(target)) // share
+    x, y = (smooth_trace(t, sigma)[:n] if sigma else t[:n] for t in (reference, target))
+    c = np.round(cross_correlation(x - x.mean(), y - y.mean(), n - 1), 9)
+    k = int(np.argmax(c))
+    return int(np.clip(k - (n - 1), -most, most)), float(c[k])
+
+
+def global_lag(tics: DataFrame, reference: DataFrame, n_scans: int, most: int = 300, scales: list[float] | None = None, how: str = "scale", sigma: float = 0.0) -> DataFrame:
+    """(sample_id, scale, lag, score) of each sample's chromatogram against that of the reference, a table of one sample_id.
+
+    With ``how`` scale the stretches in ``scales`` are tried with all lags from -most to
+    most (:func:`scale_and_lag`); with leading the mean-centred first thirds of the traces
+    are compared at every lag and the best lag is cut to ``most`` (:func:`leading_lag`,
+    scale 1). Traces are smoothed first if ``sigma`` is given. Missing scans count as 0,
+    scans outside 0 to n_scans - 1 are left out. A sample is one row beside the
+    reference's trace, and a lag search is one product of Fourier transforms.
+    """
+    if how not in ("scale", "leading"):
+        raise ValueError("how must be scale or leading")
+    trace = F.collect_list(F.struct("scan_idx", F.col("tic").cast("double").alias("tic"))).alias("_t")
+    inside = tics.where(F.col("scan_idx").between(0, n_scans - 1))
+    ref = inside.join(F.broadcast(reference.select("sample_id")), "sample_id", "left_semi").agg(trace).select(F.col("_t").alias("_ref"))  # one row
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                x, y = (np.zeros(n_scans) for _ in range(2))
+                for t, cells in ((x, row[2]), (y, row[1])):
+                    for cell in cells:
+                        t[cell["scan_idx"]] += cell["tic"] or 0
+                if how == "leading":
+                    lag, score = leading_lag(x, y, sigma, most)
+                    out.append((row[0], 1.0, lag, score))
+                else:
+                    x, y = (smooth_trace(t, sigma) if sigma else t for t in (x, y))
+                    out.append((row[0], *scale_and_lag(x, y, most, scales or [1.0])))
+            yield pd.DataFrame(out, columns=["sample_id", "scale", "lag", "score"])
+
+    each = inside.groupBy("sample_id").agg(trace).crossJoin(ref)
+    return each.mapInPandas(run, f"sample_id {dict(tics.dtypes)['sample_id']}, scale double, lag int, score double")
+
+
+def peak_candidates(peaks: DataFrame, reference: DataFrame, scans: DataFrame, tolerance: int) -> DataFrame:
+    """(sample_id, ref_at, own_at, r): peaks of samples within the tolerance of a peak of the reference, and the correlation of their spectra.
+
+    ``peaks`` is (sample_id, scan_idx), ``reference`` (scan_idx), the reference's peaks with
+    their spectra (scan_idx, mz, intensity). Peaks meet by stretches of the tolerance, an
+    equi join. r is over all channels of the table, missing cells as 0; a flat spectrum
+    has none and its pairs are left out.
+    """
+    channels = scans.agg(F.count_distinct("mz").alias("_m"))
+    spectrum = lambda t, *keys: t.groupBy(*keys, "mz").agg(F.sum("intensity").alias("v"))
+    own = spectrum(scans.join(peaks.select("sample_id", "scan_idx").distinct(), ["sample_id", "scan_idx"], "left_semi"), "sample_id", "scan_idx")
+    ref = spectrum(reference, "scan_idx").withColumnRenamed("scan_idx", "ref_at")
+    width = max(1, tolerance)
+    near = reference.select(F.col("scan_idx").alias("ref_at")).distinct().withColumn("_s", F.explode(F.expr(f"sequence(ref_at div {width} - 1, ref_at div {width} + 1)")))
+    pairs = peaks.select("sample_id", F.col("scan_idx").alias("own_at"), F.expr(f"scan_idx div {width}").alias("_s")).distinct().join(near, "_s").where(F.abs(F.col("own_at") - F.col("ref_at")) <= tolerance).drop("_s")
+    total = lambda t, *keys: t.groupBy(*keys).agg(F.sum("v").alias("_sum"), F.sum(F.col("v") * F.col("v")).alias("_square"))
+    a = total(ref, "ref_at").toDF("ref_at", "_a", "_aa")
+    b = total(own, "sample_id", "scan_idx").toDF("sample_id", "own_at", "_b", "_bb")
+    both = pairs.join(ref.withColumnRenamed("v", "_x"), "ref_at").join(own.withColumnRenamed("scan_idx", "own_at").withColumnRenamed("v", "_y"), ["sample_id", "own_at", "mz"]).groupBy("sample_id", "ref_at", "own_at").agg(F.sum(F.col("_x") * F.col("_y")).alias("_ab"))
+    full = pairs.join(a, "ref_at").join(b, ["sample_id", "own_at"]).join(both, ["sample_id", "ref_at", "own_at"], "left").crossJoin(channels)  # one number
+    norm = F.sqrt((F.col("_m") * F.col("_aa") - F.col("_a") * F.col("_a")) * (F.col("_m") * F.col("_bb") - F.col("_b") * F.col("_b")))
+    r = (F.col("_m") * F.coalesce("_ab", F.lit(0.0)) - F.col("_a") * F.col("_b")) / norm
+    return full.where(norm > 0).select("sample_id", "ref_at", "own_at", r.alias("r"))
+
+
+def matched_peaks(candidates: DataFrame, least_r: float) -> DataFrame:
+    """(sample_id, ref_at, own_at, r) of the candidates that match: reference peaks in order each take the best correlated peak after the last one taken.
+
+    r is rounded to 12 digits, has to be above ``least_r``, and ties go to the earlier
+    peak. A sample's candidates are one array, folded from left to right.
+    """
+    kind = dict(candidates.dtypes)["own_at"]
+    one = F.struct(F.round("r", 12).alias("r"), (-F.col("own_at")).cast(kind).alias("back"))
+    by_ref = candidates.where(F.col("r") > least_r).groupBy("sample_id", "ref_at").agg(F.collect_list(one).alias("found"))
+    listed = by_ref.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("ref_at", "found"))).alias("refs"))
+    empty = F.expr(f"named_struct('last', cast(-1 AS {kind}), 'taken', cast(array() AS array<struct<ref_at: {dict(candidates.dtypes)['ref_at']}, own_at: {kind}, r: double>>))")
+
+    def take(state, ref):
+        best = F.array_max(F.filter(ref["found"], lambda c: -c["back"] > state["last"]))
+        new = F.struct((-best["back"]).cast(kind).alias("last"), F.concat(state["taken"], F.array(F.struct(ref["ref_at"].alias("ref_at"), (-best["back"]).cast(kind).alias("own_at"), best["r"].alias("r")))).alias("taken"))
+        return F.when(best.isNull(), state).otherwise(new)
+
+    folded = listed.select("sample_id", F.explode(F.aggregate("refs", empty, take, lambda s: s["taken"])).alias("t"))
+    return folded.select("sample_id", "t.ref_at", "t.own_at", "t.r")
+
+
 def lag_profile(tics: DataFrame, reference: DataFrame, n_scans: int, size: int, most: int, how: str = "corr", sigma: float = 0) -> DataFrame:
     """(sample_id, window, lag): where each window of the reference's chromatogram lies best in each sample (``window_lags``).
 
@@ -140,18 +259,32 @@ def chain_peaks(ref_at: np.ndarray, ref_weight: np.ndarray, at: np.ndarray, weig
     return chain
 
 
-def align_to_reference(scans: DataFrame, reference, n_scans: int, sigma: float = 50, most: int = 100, ref_segments: int = 5, segments: int = 15, tolerance: int = 150, least_r: float = 0.8, how: str = "curve", neighbours: int = 0) -> DataFrame:
+def _unit_range(x: np.ndarray) -> np.ndarray:
+    return (x - x.min()) / (x.max() - x.min()) if x.max() > x.min() else x * 0
+
+
+def spline_shift(reference: np.ndarray, target: np.ndarray, knots: np.ndarray, degree: int) -> np.ndarray:
+    """The shift at each scan of the reference from matched (reference, target) places, by the spline that warps the target best."""
+    at = np.arange(len(reference))
+    x, y = _unit_range(reference), _unit_range(target)
+    loss = lambda s: float(((np.interp(at + s(at), at, y) - x) ** 2).mean())
+    return best_smoothing(SmoothingSpline(knots[:, 0], knots[:, 1] - knots[:, 0], 0.0, degree), loss)(at)
+
+
+def align_to_reference(scans: DataFrame, reference, n_scans: int, sigma: float = 50, most: int = 100, ref_segments: int = 5, segments: int = 15, tolerance: int = 150, least_r: float = 0.8, how: str = "curve", neighbours: int = 0, degree: int = 3) -> DataFrame:
     """Scans with intensities warped onto the retention axis of the reference, a sample_id or a table of one.
 
     The whole sample is moved by its global lag, then by the lag curve through matched
-    peaks; with fewer than two matches only the global lag applies. With ``how`` chain the
+    peaks; with fewer than two matches only the global lag applies. With ``how`` smooth the
+    curve is a smoothing spline of the degree, whose bound gives the warped chromatogram
+    the least squared distance from the reference, both from 0 to 1. With ``how`` chain the
     stretches between successive matched peaks are scaled to those of the reference
     instead (``chain_peaks``), and what follows the last one moves by its lag. Missing
     cells count as 0. The result has a row for each scan and channel of the reference's
     axis, with the global lag and the lag at the scan.
     """
-    if how not in ("curve", "chain"):
-        raise ValueError("how must be curve or chain")
+    if how not in ("curve", "smooth", "chain"):
+        raise ValueError("how must be curve, smooth or chain")
     sides = ["scan_idx", "mz", "intensity"]
     lists = [F.col(f"_c.{s}") for s in sides]
     collected = F.array_sort(F.collect_list(F.struct(*sides))).alias("_c")
@@ -179,11 +312,11 @@ def align_to_reference(scans: DataFrame, reference, n_scans: int, sigma: float =
         y = b.sum(1)
         p, q = segment_peaks(x, ref_segments), segment_peaks(y, segments)
         shift = np.zeros(n_scans)
-        if how == "curve":
+        if how != "chain":
             pairs = match_peaks(p, a[p], q, b[q], tolerance, least_r)
             if len(pairs) >= 2:
                 knots = np.array(pairs)
-                shift = np.interp(at, knots[:, 0], knots[:, 1] - knots[:, 0])
+                shift = np.interp(at, knots[:, 0], knots[:, 1] - knots[:, 0]) if how == "curve" else spline_shift(x, y, knots, degree)
         else:
             knots = np.array(chain_peaks(p, prominence(x, p), q, prominence(y, q), tolerance, neighbours))
             shift = np.interp(at, knots[:, 0], knots[:, 1] - knots[:, 0])

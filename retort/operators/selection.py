@@ -20,7 +20,8 @@ from retort.operators import moments as X
 from retort.operators import splits as P
 from retort.sources.shared import stored
 
-SET_SCHEMA = "group int, candidate int, places array<array<int>>"
+#: Test rows of one task, and sets that it scores.
+BLOCK_ROWS, CHUNK = 4096, 256
 
 
 def channel_places(chosen: list[int], width: int = 1, how: str = "concat") -> list[list[int]]:
@@ -64,26 +65,47 @@ def folded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     kept = stored(rows, "selection-rows")
     tests = kept.where("fold IS NOT NULL")
+    largest = tests.groupBy("group", "fold").count().agg(F.max("count")).collect()[0][0] or 1  # one number
+    blocks = -(-largest // BLOCK_ROWS)
+    tests = tests.withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int"))
     whole = X.sums(kept.where("trains"), "group").withColumnRenamed("m", "_all")
     held = X.sums(tests, "group", "fold", centre=whole).select("group", "fold", F.col("m").alias("_held"))
     # a fold whose rows are not among the training rows (an outer test) leaves the sums whole
     left = F.when(F.col("fold") < 0, F.col("_all")).otherwise(F.zip_with("_all", "_held", lambda a, b: a - b))
-    return tests, stored(held.join(whole, "group").select("group", "fold", "p", "c", left.alias("m")), "selection-sums")
+    return tests, stored(held.join(whole, "group").select("group", "fold", "p", "c", left.alias("m"), F.lit(blocks).alias("blocks")), "selection-sums")
 
 
 def candidate_scores(tests: DataFrame, sums: DataFrame, sets: list[tuple[int, int, list[list[int]]]], alpha: float = 1.0) -> DataFrame:
-    """(group, candidate, fold, score): balanced accuracy over each fold's test rows of each set (group, candidate, places)."""
-    wanted = tests.sparkSession.createDataFrame(sets, SET_SCHEMA)
+    """(group, candidate, fold, score): balanced accuracy over each fold's test rows of each set (group, candidate, places).
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            models = [subset_ridge(X.Sums(int(p), m, c), [list(q) for q in places], alpha) for p, m, c, places in zip(frame["p"], frame["m"], frame["c"], frame["places"], strict=True)]
-            yield frame[["group", "fold", "candidate"]].assign(weights=[list(w.T) for w, _ in models], intercepts=[b for _, b in models])
-
-    fits = sums.join(F.broadcast(wanted), "group").mapInPandas(run, "group int, fold int, candidate int, weights array<array<double>>, intercepts array<double>")
-    told = tests.join(fits, ["group", "fold"]).withColumn("_s", X.scored(F.col("x"), F.col("weights"), F.col("intercepts")))
-    right = F.element_at("classes", F.array_position("_s", F.array_max("_s")).cast("int")) == F.col("label")
-    return told.groupBy("group", "candidate", "fold", "label").agg(F.avg(right.cast("double")).alias("_r")).groupBy("group", "candidate", "fold").agg(F.avg("_r").alias("score"))
+    A task has a block of a fold's test rows, the fold's sums and a chunk of the sets; it
+    fits each set and returns hits by class, so no row is joined to a model.
+    """
+    wanted = tests.sparkSession.createDataFrame([(g, k // CHUNK, c, places) for k, (g, c, places) in enumerate(sets)], "group int, chunk int, candidate int, places array<array<int>>")
+    chunks = wanted.groupBy("group", "chunk").agg(F.collect_list(F.struct("candidate", "places")).alias("sets"))
+    every = tests.sparkSession.createDataFrame(sorted({(g, k // CHUNK) for k, (g, _, _) in enumerate(sets)}), "group int, chunk int")
+    own = tests.join(F.broadcast(every), "group").select("group", "fold", "block", "chunk", "x", "label", "classes")
+    models = sums.join(F.broadcast(chunks), "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def run(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        columns = ["group", "candidate", "fold", "label", "hits", "n"]
+        if not len(rows) or not len(model):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+        m = model.iloc[0]
+        s, x = X.Sums(int(m["p"]), m["m"], m["c"]), np.array(rows["x"].tolist(), float)
+        classes = np.array(list(rows["classes"].iloc[0]), object)
+        label, place = np.unique(rows["label"].to_numpy(object), return_inverse=True)
+        n, out = np.bincount(place), []
+        for one in m["sets"]:
+            w, b = subset_ridge(s, [list(q) for q in one["places"]], alpha)
+            right = classes[(x @ w + b).argmax(1)] == label[place]
+            out.append(pd.DataFrame({"group": int(m["group"]), "candidate": int(one["candidate"]), "fold": int(m["fold"]), "label": label, "hits": np.bincount(place, right).astype(np.int64), "n": n}))
+        return pd.concat(out)[columns]
+
+    keys = ["group", "fold", "block", "chunk"]
+    hits = own.groupBy(*keys).cogroup(models.groupBy(*keys)).applyInPandas(run, "group int, candidate int, fold int, label string, hits long, n long")
+    each = hits.groupBy("group", "candidate", "fold", "label").agg((F.sum("hits") / F.sum("n")).alias("_r"))
+    return each.groupBy("group", "candidate", "fold").agg(F.avg("_r").alias("score"))
 
 
 def best_mean(scores: DataFrame) -> DataFrame:
@@ -137,6 +159,85 @@ def shared_survival(rows: DataFrame, labels: DataFrame, cubes: list[list[int]],
     return rows.sparkSession.createDataFrame([(r["step"], r["candidate"], r["score"]) for r in out], "step int, cube int, accuracy double")
 
 
+def wide_cubes(features: DataFrame) -> tuple[DataFrame, dict[int, list[int]]]:
+    """(rows, places): (sample_id, x) of (sample_id, cube, pos, value), missing values as 0, and each cube's places in ``x``.
+
+    The positions of all cubes are features of one model, so their number is that of the
+    columns of a matrix that fits in a task; only their names come to the driver.
+    """
+    names = [tuple(r) for r in features.select("cube", "pos").distinct().orderBy("cube", "pos").collect()]
+    at = features.sparkSession.createDataFrame([(c, p, k) for k, (c, p) in enumerate(names)], "cube int, pos long, _k int")
+    each = features.join(F.broadcast(at), ["cube", "pos"]).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("_k", F.col("value").cast("double")))).alias("_m"))
+    places: dict[int, list[int]] = {}
+    for k, (c, _) in enumerate(names):
+        places.setdefault(c, []).append(k)
+    x = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0.0)))
+    return each.select("sample_id", x.alias("x")), places
+
+
+def _inner(named: DataFrame, test: DataFrame, folds: int) -> DataFrame:
+    """Rows of all outer folds: fold -1 is the outer test, the others are dealt to inner folds class by class in the order of their ids."""
+    splits = test.select(F.col("split_id").cast("int").alias("group")).distinct()
+    outer = test.select(F.col("split_id").cast("int").alias("group"), "sample_id", F.lit(-1).alias("fold"))
+    each = named.crossJoin(F.broadcast(splits)).join(outer, ["group", "sample_id"], "left")  # splits times samples: each split deals its rows anew
+    order = Window.partitionBy("group", F.col("fold").isNull(), "label").orderBy(F.col("sample_id").cast("string"))
+    dealt = each.withColumn("trains", F.col("fold").isNull()).withColumn("_k", F.row_number().over(order) - 1)
+    return dealt.select("group", F.coalesce("fold", F.col("_k") % folds).cast("int").alias("fold"), "trains", "sample_id", "x", "y", "label", "classes")
+
+
+def survival(rows: DataFrame, labels: DataFrame, test: DataFrame, cubes: dict[int, list[int]], mode: str = "remove", count: int | None = None, folds: int = 3, alpha: float = 1.0, look_ahead: float = 0.0) -> DataFrame:
+    """(fold, step, cube, inner_accuracy, outer_accuracy): leak-free greedy removal or addition of cubes for each outer fold.
+
+    ``cubes`` names the places of each cube. Cubes are chosen by cross-validation within
+    the outer fold's training rows; ``outer_accuracy`` is that of the chosen cubes on the
+    rows of ``test``. With ``look_ahead`` a cube's score gains so much of the best gain
+    that a second one would bring. One job a step for all folds; ties to the smallest cube.
+    """
+    named = X.with_classes(rows, labels)
+    tests, sums = folded(_inner(named, test, folds))
+    inner_tests, inner_sums, outer_tests, outer_sums = tests.where("fold >= 0"), sums.where("fold >= 0"), tests.where("fold < 0"), sums.where("fold < 0")
+    groups = sorted(r[0] for r in test.select(F.col("split_id").cast("int")).distinct().collect())
+    names = sorted(cubes)
+    n_classes = labels.select("label").distinct().count()
+    at = lambda own: [[p] for c in sorted(own) for p in cubes[c]]
+    sign = -1 if mode == "remove" else 1
+    chosen = {g: list(names) if mode == "remove" else [] for g in groups}
+    steps_of, ends = [], []
+    for step in range(min(len(names), len(names) if count is None else count)):
+        left = {g: sorted(own) if mode == "remove" else [c for c in names if c not in own] for g, own in chosen.items()}
+        changed = lambda own, *by: [c for c in own if c not in by] if mode == "remove" else [*own, *by]
+        trials = {(g, k, k): changed(chosen[g], c) for g in groups for k, c in enumerate(names) if c in left[g]}
+        if look_ahead:
+            trials |= {(g, j, k): changed(chosen[g], names[j], names[k]) for g in groups for j in range(len(names)) for k in range(len(names)) if j != k and names[j] in left[g] and names[k] in left[g]}
+        sets = [(g, j * len(names) + k, at(own)) for (g, j, k), own in trials.items() if own]
+        mean = candidate_scores(inner_tests, inner_sums, sets, alpha).groupBy("group", "candidate").agg(F.avg("score").alias("score")) if sets else None
+        told = {(r["group"], *divmod(r["candidate"], len(names))): r["score"] for r in mean.collect()} if sets else {}  # candidates times folds, which are few
+        told |= {t: 1 / n_classes for t, own in trials.items() if not own}
+        for g in groups:
+            def score(k: int, g: int = g) -> float:
+                more = max([told[g, k, j] - told[g, k, k] for j in range(len(names)) if j != k and (g, k, j) in told], default=0.0) if look_ahead else 0.0
+                return round(told[g, k, k] + look_ahead * more, 12)
+
+            best = max((k for k, c in enumerate(names) if c in left[g]), key=lambda k: (score(k), -k))
+            chosen[g] = changed(chosen[g], names[best])
+            steps_of.append((g, step, names[best], float(score(best))))
+            if chosen[g]:
+                ends.append((g, step, at(chosen[g])))
+    outer = candidate_scores(outer_tests, outer_sums, ends, alpha).select(F.col("group").alias("fold"), F.col("candidate").alias("step"), F.col("score").alias("outer_accuracy"))
+    found = rows.sparkSession.createDataFrame(steps_of, "fold int, step int, cube int, inner_accuracy double")
+    return found.join(outer, ["fold", "step"], "left").withColumn("outer_accuracy", F.coalesce("outer_accuracy", F.lit(1 / n_classes)))
+
+
+def set_scores(rows: DataFrame, labels: DataFrame, sets: list[tuple[int, list[int]]], folds: int = 3, alpha: float = 1.0) -> DataFrame:
+    """(set_id, accuracy): cross-validated balanced accuracy of each set of places, all in one job; each class is dealt to folds in the order of ids."""
+    named = X.with_classes(rows, labels)
+    order = Window.partitionBy("label").orderBy(F.col("sample_id").cast("string"))
+    dealt = named.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int")).withColumn("group", F.lit(0)).withColumn("trains", F.lit(True))
+    tests, sums = folded(dealt.select("group", "fold", "trains", "sample_id", "x", "y", "label", "classes"))
+    scores = candidate_scores(tests, sums, [(0, k, [[p] for p in places]) for k, places in sets], alpha)
+    return scores.groupBy(F.col("candidate").alias("set_id")).agg(F.avg("score").alias("accuracy"))
+
+
 def by_signal(baseline: dict[int, float], least: int) -> Callable[[DataFrame], DataFrame]:
     """The winner by gain over noise, (mean - baseline) / (deviation + 1e-8), among candidates that win in at least so many folds; where none does, among all."""
 

@@ -87,14 +87,75 @@ def compare_weights(x: DataFrame, y: DataFrame) -> DataFrame:
     return j.agg(F.corr("_x", "_y").alias("r"), F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), F.avg(F.col("_y") - F.col("_x")).alias("difference"))
 
 
+def distance_sums(rows: DataFrame, labels: DataFrame, tile: int = SAMPLE_BLOCK) -> DataFrame:
+    """(sample_id, label, other, d, n): the sum of Euclidean distances of each sample to the other samples of each label.
+
+    ``rows`` is (sample_id, x). Samples are dealt to blocks by hash; a pair of blocks is a
+    tile, which returns a sum for each of its samples and labels, so no pair is stored.
+    """
+    kinds = dict(rows.dtypes)
+    named = rows.join(labels.select("sample_id", F.col("label").cast("string").alias("label")), "sample_id").select("sample_id", "x", "label")
+    n = named.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / tile)).cast("int").alias("_n"))
+    dealt = named.crossJoin(n).withColumn("_g", F.pmod(F.xxhash64("sample_id"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))  # one row
+    sent = dealt.select("sample_id", "x", "label", F.least("_g", "_o").alias("_r"), F.greatest("_g", "_o").alias("_c"), (F.col("_g") > F.col("_o")).alias("_right"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        right = part["_right"].to_numpy(bool)
+        diagonal = part["_r"].iloc[0] == part["_c"].iloc[0]
+        x = np.array(part["x"].tolist(), float)
+        x = x - x.mean(0)
+        names, code = np.unique(part["label"].to_numpy(object), return_inverse=True)
+        a, b = np.flatnonzero(~right), np.flatnonzero(~right if diagonal else right)
+        q = (x * x).sum(1)
+        d = np.sqrt(np.maximum(q[a][:, None] + q[b][None] - 2 * x[a] @ x[b].T, 0))
+        if diagonal:
+            np.fill_diagonal(d, 0)
+        one = np.eye(len(names))
+        ids, label, out = part["sample_id"].to_numpy(), names[code], []
+        for own, other, m in ((a, b, d),) if diagonal else ((a, b, d), (b, a, d.T)):
+            if not len(own) or not len(other):
+                continue
+            total, count = m @ one[code[other]], np.tile(np.bincount(code[other], minlength=len(names)), (len(own), 1))
+            if diagonal:
+                count[np.arange(len(own)), code[own]] -= 1
+            i, k = np.nonzero(count)
+            out.append((ids[own[i]], label[own[i]], names[k], total[i, k], count[i, k]))
+        columns = ["sample_id", "label", "other", "d", "n"]
+        if not out:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+        return pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(columns)})
+
+    sums_ = sent.groupBy("_r", "_c").applyInPandas(run, f"sample_id {kinds['sample_id']}, label string, other string, d double, n long")
+    return sums_.groupBy("sample_id", "label", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+
+
 def cluster_distances(features: DataFrame) -> DataFrame:
-    """(g, h, mean_distance, n): mean Euclidean distance of pairs within and between labels, from Gram products."""
-    g = gram(features.select("sample_id", "pos", "value"))
-    norm = g.where("a = b").select(F.col("a").alias("_i"), F.col("dot").alias("_q"))
-    lab = features.select(F.col("sample_id").alias("_i"), "label").distinct().join(norm, "_i")
-    a, b = (lab.select(F.col("_i").alias(x), F.col("label").alias(f"_l{x}"), F.col("_q").alias(f"_q{x}")) for x in "ab")
-    pairs = g.where("a < b").join(a, "a").join(b, "b").withColumn("_d", F.sqrt(F.greatest(F.lit(0.0), F.col("_qa") + F.col("_qb") - 2 * F.col("dot"))))
-    return pairs.groupBy(F.least("_la", "_lb").alias("g"), F.greatest("_la", "_lb").alias("h")).agg(F.avg("_d").alias("mean_distance"), F.count("*").alias("n"))
+    """(g, h, mean_distance, n): mean Euclidean distance of pairs within and between labels, from sums by sample and label."""
+    kind = dict(features.dtypes)["label"]
+    to = distance_sums(wide(features), features.select("sample_id", "label").distinct())
+    ends = to.select(F.col("label").cast(kind).alias("_a"), F.col("other").cast(kind).alias("_b"), "d", "n")
+    both = ends.groupBy(F.least("_a", "_b").alias("g"), F.greatest("_a", "_b").alias("h")).agg((F.sum("d") / F.sum("n")).alias("mean_distance"), F.sum("n").alias("_n"))
+    return both.select("g", "h", "mean_distance", F.expr("_n div 2").alias("n"))  # every pair is counted from both ends
+
+
+def silhouette(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(silhouette,) of labelled rows; samples that are alone in their label count as 0."""
+    to = distance_sums(rows, labels)
+    own, apart = F.when(F.col("label") == F.col("other"), F.col("d") / F.col("n")), F.when(F.col("label") != F.col("other"), F.col("d") / F.col("n"))
+    per = to.groupBy("sample_id").agg(F.max(own).alias("own"), F.min(apart).alias("apart"))
+    top = F.greatest("own", "apart")
+    return per.agg(F.avg(F.when(F.col("own").isNull() | (top == 0), 0.0).otherwise((F.col("apart") - F.col("own")) / top)).alias("silhouette"))
+
+
+def calinski_harabasz(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(calinski_harabasz,) of labelled rows, from the centred moments of each label: no pairs are formed."""
+    named = rows.join(labels.select("sample_id", "label"), "sample_id")
+    trace = F.aggregate(F.sequence(F.lit(1), F.col("p")), F.lit(0.0), lambda t, k: t + F.get("m", k * (F.col("p") + 2)) - F.get("m", k) * F.get("m", k) / F.get("m", F.lit(0)))
+    spread = lambda t: t.select(F.get("m", F.lit(0)).alias("n"), trace.alias("w"))
+    within = spread(sums(named, "label")).agg(F.sum("w").alias("within"), F.count("*").alias("k"))
+    total = spread(sums(named)).select(F.col("w").alias("total"), "n")
+    ch = ((F.col("total") - F.col("within")) / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
+    return within.crossJoin(total).select(ch.alias("calinski_harabasz"))  # one row each
 
 
 def cluster_spread(distances: DataFrame, without: list | None = None) -> DataFrame:

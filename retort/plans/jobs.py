@@ -175,32 +175,19 @@ def pca_classification(rows: DataFrame, labels: DataFrame, repeats: int = 20, va
     return M.fold_metrics(out, "split_id").agg(F.avg("accuracy").alias("mean"), (2 * F.stddev_pop("accuracy")).alias("spread"), F.count("*").alias("repeats"))
 
 
-def combined_quality(points: DataFrame, labels: DataFrame, gram: DataFrame, bins: int) -> DataFrame:
+def combined_quality(points: DataFrame, labels: DataFrame, rows: DataFrame, bins: int) -> DataFrame:
     """embedding_quality with the adjusted Rand index of labels against an equal-width cut of the first component, and the mean of all three brought to 0 to 1."""
     ends = points.agg(F.min("score").alias("_a"), F.max("score").alias("_b"))
     cut = points.crossJoin(ends).select("sample_id", F.least(F.lit(bins - 1), F.floor((F.col("score") - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins)).alias("cut"))  # one row
     rand = T.adjusted_rand(cut.join(labels, "sample_id"), "label", "cut")
-    q = embedding_quality(gram, labels).crossJoin(rand)  # one row each
+    q = embedding_quality(rows, labels).crossJoin(rand)  # one row each
     ch = F.col("calinski_harabasz")
     return q.withColumn("combined", ((F.col("silhouette") + 1) / 2 + ch / (1 + ch) + (F.col("adjusted_rand") + 1) / 2) / 3)
 
 
-def embedding_quality(gram: DataFrame, labels: DataFrame) -> DataFrame:
-    """(silhouette, calinski_harabasz) of labelled samples, from Gram products alone."""
-    norm = gram.where("a = b").select(F.col("a").alias("i"), F.col("dot").alias("q"))
-    full = gram.select("a", "b", "dot").unionByName(gram.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "dot"))
-    lab = labels.select(F.col("sample_id").alias("i"), F.col("label").alias("l")).join(norm, "i")
-    x, y = (lab.select(F.col("i").alias(c), F.col("l").alias(f"l{c}"), F.col("q").alias(f"q{c}")) for c in "ab")
-    d = full.join(x, "a").join(y, "b").withColumn("d2", F.greatest(F.lit(0.0), F.col("qa") + F.col("qb") - 2 * F.col("dot")))
-    to = d.groupBy("a", "la", "lb").agg(F.sum(F.sqrt("d2")).alias("s"), F.count("*").alias("n"))
-    per = to.groupBy("a", "la").agg(
-        F.max(F.when(F.col("la") == F.col("lb"), F.col("s") / F.greatest(F.lit(1), F.col("n") - 1))).alias("own"), F.max(F.when(F.col("la") == F.col("lb"), F.col("n"))).alias("size"), F.min(F.when(F.col("la") != F.col("lb"), F.col("s") / F.col("n"))).alias("other")
-    )
-    sil = per.agg(F.avg(F.when(F.col("size") > 1, (F.col("other") - F.col("own")) / F.greatest("other", "own")).otherwise(0.0)).alias("silhouette"))
-    within = d.where("la = lb").groupBy("la").agg((F.sum("d2") / 2).alias("w"), F.countDistinct("a").alias("n")).agg(F.sum(F.col("w") / F.col("n")).alias("within"), F.count("*").alias("k"))
-    total = d.agg((F.sum("d2") / 2 / F.count_distinct("a")).alias("total"), F.count_distinct("a").alias("n"))
-    ch = within.crossJoin(total).select((((F.col("total") - F.col("within")) / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
-    return sil.crossJoin(ch)  # one row each
+def embedding_quality(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(silhouette, calinski_harabasz) of labelled rows (sample_id, x), without pairs of samples."""
+    return T.silhouette(rows, labels).crossJoin(T.calinski_harabasz(rows, labels))  # one row each
 
 
 def ranked_channels(scored: DataFrame, channels: list[int]) -> DataFrame:

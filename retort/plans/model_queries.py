@@ -14,6 +14,7 @@ from retort.operators import splits as P
 from retort.operators import statistics as T
 from retort.operators import survival as V
 from retort.plans import jobs as J
+from retort.plans.signal_queries import PEAKS
 from retort.session import table
 from retort.sources.adapters import FEATURES, SCANS, SENSORY, features, scans, sensory
 
@@ -202,46 +203,104 @@ def _binned(spark, d):
     return S.with_cubes(s, 200, 4, 41, 7, 2), lab
 
 
+def _survived(out):
+    return out.select("fold", "step", F.expr("cube div 10000").cast("int").alias("rt_bin"), (F.col("cube") % 10_000).alias("mz_bin"), F.round("inner_accuracy", 6).alias("inner_accuracy"), F.round("outer_accuracy", 6).alias("outer_accuracy"))
+
+
 for _mode in ("remove", "add"):
 
     @query(f"survival_{_mode}")
     def _(spark, d, mode=_mode):
         binned, lab = _binned(spark, d)
-        out = V.survival_map(V.cube_grams(V.cube_features(binned, "tis")), lab, P.stratified_folds(lab, "label", 3), mode)
-        return out.select("fold", "step", "rt_bin", "mz_bin", F.round("inner_accuracy", 6).alias("inner_accuracy"), F.round("outer_accuracy", 6).alias("outer_accuracy"))
+        rows, cubes = G.wide_cubes(V.cube_features(binned, "tis"))
+        return _survived(G.survival(rows, lab, P.stratified_folds(lab, "label", 3), cubes, mode))
 
 
 @query("survival_look_ahead")
 def _(spark, d):
     """Addition with look-ahead: a cube's score and half of the best gain that a second one brings."""
     binned, lab = _binned(spark, d)
-    out = V.survival_map(V.cube_grams(V.cube_features(binned, "tis")), lab, P.stratified_folds(lab, "label", 2), "add", steps=3, look_ahead=0.5)
-    return out.select("fold", "step", "rt_bin", "mz_bin", F.round("inner_accuracy", 6).alias("inner_accuracy"), F.round("outer_accuracy", 6).alias("outer_accuracy"))
+    rows, cubes = G.wide_cubes(V.cube_features(binned, "tis"))
+    return _survived(G.survival(rows, lab, P.stratified_folds(lab, "label", 2), cubes, "add", count=3, look_ahead=0.5))
 
 
 @query("cell_accuracy_map")
 def _(spark, d):
+    """Each cube's chromatogram on its own."""
     binned, lab = _binned(spark, d)
-    return V.cell_map(V.cube_grams(V.cube_features(binned, "tic")), lab).select("rt_bin", "mz_bin", F.round("accuracy", 6).alias("accuracy"))
+    rows, cubes = G.wide_cubes(V.cube_features(binned, "tic"))
+    out = G.set_scores(rows, lab, sorted(cubes.items()))
+    return out.select(F.expr("set_id div 10000").cast("int").alias("rt_bin"), (F.col("set_id") % 10_000).alias("mz_bin"), F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("random_channel_sets")
 def _(spark, d):
-    binned, lab = _binned(spark, d)
-    sets = V.random_sets(spark, list(range(41, 48)), [1, 2, 3], 5)
-    return V.score_sets(V.channel_grams(binned), lab, sets).select("set_id", "k", F.array_join(F.transform("channels", lambda c: c.cast("string")), ",").alias("channels"), F.round("accuracy", 6).alias("accuracy"))
+    """500 random sets of each of 32 sizes, with the features of all vectors as channels."""
+    sets = V.random_sets(spark, list(range(64)), list(range(1, 33)), 500)
+    scored = G.set_scores(_rows(spark, d), _labels(spark, d), [(r.set_id, list(r.channels)) for r in sets.collect()])  # the list of sets is fixed by sizes and draws
+    return sets.join(scored.withColumn("set_id", F.col("set_id").cast("long")), "set_id").select("set_id", "k", F.array_join(F.transform("channels", lambda c: c.cast("string")), ",").alias("channels"), F.round("accuracy", 6).alias("accuracy"))
 
 
-for _how, _near in (("", 0), ("_chain", 0), ("_chain_scan", 2)):
+for _how, _near in (("", 0), ("_smooth", 0), ("_chain", 0), ("_chain_scan", 2)):
 
     @query(f"align_to_reference{_how}")
     def _(spark, d, how=_how, near=_near):
         """Every sample warped onto the run closest to the mean, by a lag curve or by chains of peaks."""
         s = scans(spark, d)
-        out = A.align_to_reference(s, S.closest_to_mean(S.tic(s)), 200, sigma=2, most=10, tolerance=10, how="chain" if how else "curve", neighbours=near)
+        out = A.align_to_reference(s, S.closest_to_mean(S.tic(s)), 200, sigma=2, most=10, tolerance=10, how="chain" if "chain" in how else how[1:] or "curve", neighbours=near)
         return out.groupBy("sample_id").agg(F.first("lag").alias("lag"), F.round(F.sum("intensity"), 4).alias("total"), F.round(F.max(F.abs("scan_lag")), 4).alias("largest_lag"))
 
 
+_TRACES = f"WITH {SCANS}, tic AS (SELECT sample_id, scan_idx, sum(intensity) AS tic FROM scans WHERE scan_idx BETWEEN 0 AND 199 GROUP BY ALL), trace AS (SELECT s.sample_id, r.scan_idx, coalesce(t.tic, 0)::DOUBLE AS tic FROM (SELECT DISTINCT sample_id FROM tic) s CROSS JOIN (SELECT unnest(range(0, 200)) AS scan_idx) r LEFT JOIN tic t USING (sample_id, scan_idx)), ref AS (SELECT scan_idx, tic FROM trace WHERE sample_id = (SELECT min(sample_id) FROM tic))"
+
+
+@query("global_lag", _TRACES + ", c AS (SELECT y.sample_id, (x.scan_idx - y.scan_idx)::INTEGER AS lag, round(sum(x.tic * y.tic), 4) AS score FROM ref x JOIN trace y ON abs(x.scan_idx - y.scan_idx) <= 60 GROUP BY ALL) SELECT sample_id, 1.0::DOUBLE AS scale, lag, score FROM c QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, lag) = 1")
+def _(spark, d):
+    """The lag of the largest cross-correlation with the run of the smallest id."""
+    tics = S.tic(scans(spark, d))
+    out = A.global_lag(tics, tics.agg(F.min("sample_id").alias("sample_id")), 200, 60)
+    return out.select("sample_id", "scale", "lag", F.round("score", 4).alias("score"))
+
+
+@query("global_lag_scales")
+def _(spark, d):
+    """The same over five stretches of each run."""
+    tics = S.tic(scans(spark, d))
+    return _rounded(A.global_lag(tics, tics.agg(F.min("sample_id").alias("sample_id")), 200, 60, [0.96, 0.98, 1.0, 1.02, 1.04]), "sample_id", "lag")
+
+
+@query("global_lag_leading", _TRACES + ", p AS (SELECT sample_id, scan_idx, tic - avg(tic) OVER (PARTITION BY sample_id) AS v FROM trace WHERE scan_idx < 66), r AS (SELECT scan_idx, tic - avg(tic) OVER () AS v FROM ref WHERE scan_idx < 66), c AS (SELECT p.sample_id, (r.scan_idx - p.scan_idx)::INTEGER AS lag, round(sum(r.v * p.v), 4) AS score FROM r CROSS JOIN p GROUP BY ALL) SELECT sample_id, greatest(-20, least(20, lag))::INTEGER AS lag, score FROM c QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, lag) = 1")
+def _(spark, d):
+    """The lag of the mean-centred first thirds, cut to 20 scans."""
+    tics = S.tic(scans(spark, d))
+    out = A.global_lag(tics, tics.agg(F.min("sample_id").alias("sample_id")), 200, 20, how="leading")
+    return out.select("sample_id", "lag", F.round("score", 4).alias("score"))
+
+
+#: The local maxima of each trace, and how their spectra go with those of the first run's.
+_PEAKS = f"WITH {PEAKS}, k AS (SELECT sample_id, scan_idx FROM peaks), first AS (SELECT min(sample_id) AS i FROM scans), mz AS (SELECT DISTINCT mz FROM scans), p AS (SELECT b.sample_id, a.scan_idx AS ref_at, b.scan_idx AS own_at FROM k a JOIN first ON a.sample_id = first.i JOIN k b ON abs(a.scan_idx - b.scan_idx) <= 3), v AS (SELECT p.sample_id, ref_at, own_at, coalesce(x.intensity, 0) AS x, coalesce(y.intensity, 0) AS y FROM p CROSS JOIN mz CROSS JOIN first LEFT JOIN scans x ON x.sample_id = first.i AND x.scan_idx = ref_at AND x.mz = mz.mz LEFT JOIN scans y ON y.sample_id = p.sample_id AND y.scan_idx = own_at AND y.mz = mz.mz), c AS (SELECT sample_id, ref_at, own_at, corr(x, y) AS r, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM v GROUP BY ALL HAVING stddev_pop(x) > 0 AND stddev_pop(y) > 0)"
+
+
+def _peak_candidates(spark, d):
+    s = scans(spark, d)
+    peaks = S.local_maxima(S.tic(s)).select("sample_id", "scan_idx")
+    first = s.agg(F.min("sample_id").alias("sample_id"))
+    own = s.join(peaks, ["sample_id", "scan_idx"], "left_semi").join(F.broadcast(first), "sample_id", "left_semi")
+    return A.peak_candidates(peaks, own.select("scan_idx", "mz", "intensity"), s, 3)
+
+
+@query("peak_candidates", _PEAKS + " SELECT sample_id, ref_at, own_at, round(r, 6) AS r FROM c")
+def _(spark, d):
+    """Peaks of all runs near peaks of the run with the smallest id, and how alike their spectra are."""
+    return _peak_candidates(spark, d).select("sample_id", "ref_at", "own_at", F.round("r", 6).alias("r"))
+
+
+@query("matched_peaks", _PEAKS.replace("WITH ", "WITH RECURSIVE ", 1) + ", o AS (SELECT sample_id, ref_at, own_at, round(r, 12) AS r, dense_rank() OVER (PARTITION BY sample_id ORDER BY ref_at) AS k FROM c WHERE r > 0.2), f AS (SELECT sample_id, 0::BIGINT AS k, -1 AS last, -1 AS ref_at, NULL::DOUBLE AS r, FALSE AS took FROM (SELECT DISTINCT sample_id FROM o) UNION ALL SELECT f.sample_id, f.k + 1, coalesce(b.b.own_at, f.last), coalesce(b.b.ref_at, f.ref_at), b.b.r, b.b IS NOT NULL FROM f LEFT JOIN LATERAL (SELECT max_by({'ref_at': o.ref_at, 'own_at': o.own_at, 'r': o.r}, {'r': o.r, 'back': -o.own_at}) AS b FROM o WHERE o.sample_id = f.sample_id AND o.k = f.k + 1 AND o.own_at > f.last) b ON TRUE WHERE f.k < (SELECT max(k) FROM o)) SELECT sample_id, ref_at::INTEGER AS ref_at, last::INTEGER AS own_at, round(r, 6) AS r FROM f WHERE took")
+def _(spark, d):
+    """The peaks that match those of the run with the smallest id, in rising order."""
+    return A.matched_peaks(_peak_candidates(spark, d), 0.2).select("sample_id", "ref_at", "own_at", F.round("r", 6).alias("r"))
+
+
 _SCORE = {"corr": "sum(x.z * y.z)", "l1": "-sum(abs(x.z - y.z))", "l2": "-sqrt(sum((x.z - y.z) * (x.z - y.z)))", "mse": "-avg((x.z - y.z) * (x.z - y.z))"}
 _SIDE = "SELECT sample_id, lo, k, CASE WHEN stddev_pop(tic) OVER (PARTITION BY sample_id, lo) > 0 THEN (tic - avg(tic) OVER (PARTITION BY sample_id, lo)) / stddev_pop(tic) OVER (PARTITION BY sample_id, lo) ELSE 0 END AS z FROM (SELECT sample_id, lo, scan_idx - lo AS k, tic FROM trace, (SELECT unnest(range(0, 181)) AS lo) WHERE scan_idx - lo BETWEEN 0 AND 19)"
 
@@ -440,19 +499,27 @@ def _(spark, d):
 
 @query("embedding_quality")
 def _(spark, d):
-    f = features(spark, d)
-    q = J.combined_quality(X.pca(_rows(spark, d), components=1), _labels(spark, d), T.gram(f.select("sample_id", "pos", "value")), 10)
-    return _rounded(q, digits=5)
+    return _rounded(J.combined_quality(X.pca(_rows(spark, d), components=1), _labels(spark, d), _rows(spark, d), 10), digits=5)
+
+
+_PAIRS = "WITH e AS (SELECT vec_id AS i, label AS l, embedding AS x FROM embeddings), d AS (SELECT a.i, a.l, b.l AS o, sqrt(list_sum(list_transform(range(1, 65), lambda k: pow(a.x[k]::DOUBLE - b.x[k]::DOUBLE, 2)))) AS d FROM e a JOIN e b ON a.i <> b.i), m AS (SELECT i, l, o, avg(d) AS m FROM d GROUP BY ALL), p AS (SELECT i, max(m) FILTER (l = o) AS own, min(m) FILTER (l <> o) AS apart FROM m GROUP BY i), "
+
+
+@query("silhouette", _PAIRS + "s AS (SELECT avg(CASE WHEN own IS NULL OR greatest(own, apart) = 0 THEN 0 ELSE (apart - own) / greatest(own, apart) END) AS s FROM p), f AS (SELECT i, l, unnest(range(1, 65)) AS k, unnest(x)::DOUBLE AS v FROM e), t AS (SELECT sum((v - g) * (v - g)) AS t FROM (SELECT v, avg(v) OVER (PARTITION BY k) AS g FROM f)), w AS (SELECT sum((v - g) * (v - g)) AS w FROM (SELECT v, avg(v) OVER (PARTITION BY k, l) AS g FROM f)), n AS (SELECT count(*) AS n, count(DISTINCT l) AS c FROM e) SELECT round(s, 6) AS silhouette, round(((t - w) / (c - 1)) / (w / (n - c)), 4) AS calinski_harabasz FROM s, t, w, n")
+def _(spark, d):
+    """Silhouette and Calinski-Harabasz index of the labels, without pairs."""
+    q = J.embedding_quality(_rows(spark, d), _labels(spark, d))
+    return q.select(F.round("silhouette", 6).alias("silhouette"), F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
 
 
 @query("ranked_channel_addition")
 def _(spark, d):
     """Channels by their own accuracy, added one after the other."""
-    binned, lab = _binned(spark, d)
-    g = V.channel_grams(binned)
-    own = V.cell_map(g, lab)
-    sets = J.ranked_channels(own, list(range(41, 48)))
-    return V.score_sets(g, lab, sets).select("k", F.round("accuracy", 6).alias("accuracy"))
+    rows, lab = _spectra(spark, d)
+    own = G.set_scores(rows, lab, [(c, [c]) for c in range(CHANNELS)]).select(F.lit(0).alias("rt_bin"), F.col("set_id").alias("mz_bin"), "accuracy")
+    sets = J.ranked_channels(own, list(range(CHANNELS)))
+    scored = G.set_scores(rows, lab, [(r.set_id, list(r.channels)) for r in sets.collect()])  # one row for each channel
+    return scored.select(F.col("set_id").alias("k"), F.round("accuracy", 6).alias("accuracy"))
 
 
 BINS, CHANNELS = 4, 7

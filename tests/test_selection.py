@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from retort.operators import selection as G
 from retort.operators import signals as S
 from retort.operators import splits as P
+from retort.operators import survival as V
 
 R = np.random.default_rng(5)
 N, CLASSES = 36, 3
@@ -143,3 +144,42 @@ def test_weighted_peak_distance(spark):
     assert got == {1: ((0.5 * 0 + 1.0 * 5 + 0.5 * 20) / 2.0, 3), 2: (10.0, 1)}
     assert {r.sample_id: r.distance for r in S.weighted_peak_distance(peaks, ref, square=True).collect()}[1] == (25 + 200) / 2
     assert S.weighted_peak_distance(peaks, ref.limit(0)).count() == 0
+
+
+def grams_of(cubes):
+    return {c: X[:, p] @ X[:, p].T for c, p in cubes.items()}
+
+
+@pytest.mark.parametrize(("mode", "ahead"), [("remove", 0.0), ("add", 0.0), ("add", 0.5)])
+def test_survival_by_folds_is_that_of_gram_matrices(spark, rows, labels, monkeypatch, mode, ahead):
+    monkeypatch.setattr(G, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(G, "CHUNK", 2)
+    cubes = {10_001: [0, 1], 10_002: [2], 20_001: [3, 4], 20_002: [5]}
+    test = P.stratified_folds(labels, "label", 3)
+    got = {(r.fold, r.step): (r.cube, r.inner_accuracy, r.outer_accuracy) for r in G.survival(rows, labels, test, cubes, mode, look_ahead=ahead).collect()}
+    held = {(r.split_id, r.sample_id) for r in test.collect()}
+    order = np.array(sorted(range(len(X)), key=str))
+    names = np.array([r.label for r in sorted(labels.collect(), key=lambda r: str(r.sample_id))])
+    for f in range(3):
+        inside = np.array([(f, int(k)) in held for k in order])
+        m = {c: g[np.ix_(order, order)] for c, g in grams_of(cubes).items()}
+        want = V.greedy(m, names, np.flatnonzero(~inside), np.flatnonzero(inside), mode, 9, 3, 1.0, ahead)
+        assert len(want) == 4
+        for step, cube, inner, outer in want:
+            assert got[f, step][0] == cube and np.allclose(got[f, step][1:], (inner, outer))
+
+
+def test_scores_of_sets(spark, rows, labels):
+    sets = [(3, [0]), (9, [1, 4]), (10, [0, 1, 2, 3, 4, 5])]
+    got = {r.set_id: r.accuracy for r in G.set_scores(rows, labels, sets).collect()}
+    order = np.array(sorted(range(len(X)), key=str))
+    names = np.array([r.label for r in sorted(labels.collect(), key=lambda r: str(r.sample_id))])
+    for k, p in sets:
+        x = X[order][:, p]
+        assert abs(got[k] - V.cv_score(x @ x.T, names, np.arange(len(x)), 3, 1.0)) < 1e-12
+
+
+def test_cubes_become_places(spark):
+    f = spark.createDataFrame([("a", 7, 1, 2.0), ("a", 3, 5, 1.0), ("b", 7, 2, 4.0)], "sample_id string, cube int, pos long, value double")
+    rows, places = G.wide_cubes(f)
+    assert places == {3: [0], 7: [1, 2]} and {r.sample_id: r.x for r in rows.collect()} == {"a": [1.0, 2.0, 0.0], "b": [0.0, 0.0, 4.0]}

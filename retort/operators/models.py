@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retort.sources.shared import stored
+
 
 def centred(k: np.ndarray, train: np.ndarray) -> np.ndarray:
     """A Gram matrix as if features had their training means taken off."""
@@ -93,6 +95,50 @@ def gram_rows(gram: DataFrame) -> DataFrame:
     return full.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "dot"))).alias("row")).select("a", F.transform("row", lambda r: r.b).alias("cols"), F.transform("row", lambda r: r.dot).alias("dots"))
 
 
+#: Samples of one dual fit at most: its task holds a few matrices of this many rows and columns.
+DUAL_MOST = 8192
+
+
+def dual_folds(gram: DataFrame, labels: DataFrame, test: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(split_id, sample_id, y_true, y_pred): class ridge of each split, for few samples of however many features.
+
+    One task inverts the centred Gram matrix (``gram`` as a <= b) and writes the rows of
+    the matrix from targets to fitted values, with each row's residuals. A split's own
+    task then needs the rows of its test samples only: what they would be without
+    themselves is their residuals times the inverse of one less their block, so no model
+    is fitted again. Classes without training rows get no score.
+    """
+    kind, split_kind = dict(gram.dtypes)["a"], dict(test.dtypes)["split_id"]
+    named = labels.select("sample_id", F.col("label").cast("string").alias("label"))
+    rows = gram_rows(gram).withColumnRenamed("a", "sample_id").join(named, "sample_id")
+
+    def invert(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sample_id").reset_index(drop=True)
+        ids, n = part["sample_id"].to_numpy(), len(part)
+        if n > DUAL_MOST:
+            raise ValueError(f"{n} samples are too many for one matrix; use the models from moments")
+        k = np.array([np.asarray(d)[np.searchsorted(c, ids)] for c, d in zip(part["cols"], part["dots"], strict=True)])
+        c = centred(k, np.arange(n))
+        hat = np.eye(n) - alpha * np.linalg.inv(c + alpha * np.eye(n)) + 1 / n  # the mean fits itself
+        classes, place = np.unique(part["label"].to_numpy(str), return_inverse=True)
+        y = np.where(place[:, None] == np.arange(len(classes)), 1.0, -1.0)
+        return pd.DataFrame({"sample_id": ids, "label": part["label"], "_at": np.arange(n), "_hat": list(hat), "_off": list(y - hat @ y), "_y": list(y), "_classes": [list(classes)] * n})
+
+    fitted = stored(rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(invert, f"sample_id {kind}, label string, _at int, _hat array<double>, _off array<double>, _y array<double>, _classes array<string>"), "dual")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        at = part["_at"].to_numpy()
+        block = np.array(part["_hat"].tolist())[:, at]
+        y, classes = np.array(part["_y"].tolist()), np.array(part["_classes"].iloc[0])
+        scores = y - np.linalg.solve(np.eye(len(at)) - block, np.array(part["_off"].tolist()))
+        left = part["_n"].iloc[0] - (y > 0).sum(0)
+        scores[:, left < 1] = -np.inf
+        return pd.DataFrame({"split_id": part["split_id"], "sample_id": part["sample_id"], "y_true": part["label"], "y_pred": classes[scores.argmax(1)]})
+
+    sizes = named.join(fitted.select("sample_id"), "sample_id").groupBy("label").count().agg(F.array_sort(F.collect_list(F.struct("label", "count"))).alias("_s")).select(F.transform("_s", lambda s: s["count"]).alias("_n"))
+    return fitted.join(test, "sample_id").crossJoin(sizes).groupBy("split_id").applyInPandas(run, f"split_id {split_kind}, sample_id {kind}, y_true string, y_pred string")  # one row
+
+
 def classify_splits(gram: DataFrame, labels: DataFrame, test: DataFrame, model: str = "ridge", **options) -> DataFrame:
     """(split_id, sample_id, y_true, y_pred, scores) of a classifier fitted anew for each split.
 

@@ -153,6 +153,20 @@ def ridge_fit(s: Sums, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     return s.unscaled(np.linalg.solve(s.xx + alpha * np.eye(len(s.xx)), s.xy), s.y_mean)
 
 
+def reduced_ridge_fit(s: Sums, alpha: float, components: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ridge on so many principal components of the targets, brought back to the targets; all components give plain ridge.
+
+    Ridge is linear in its targets, so the scores need not be made: its weights are
+    projected on the leading axes of the targets' own products.
+    """
+    w, b = ridge_fit(s, alpha)
+    if components is None:
+        return w, b
+    v = np.linalg.eigh(s.yy)[1][:, ::-1][:, :components]
+    w = w @ v @ v.T
+    return w, s.y_mean - s.x_mean @ w
+
+
 def class_ridge_fit(s: Sums, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """One-versus-rest ridge on targets of plus and minus 1, from targets of 1 and 0; classes without rows get no score."""
     w, b = ridge_fit(s, alpha)
@@ -205,9 +219,13 @@ def scored(x: Column, weights: Column, intercepts: Column) -> Column:
     return F.zip_with(dot, intercepts, lambda a, b: a + b)
 
 
-def regress(rows: DataFrame, names: list[str], test: DataFrame, alpha: float = 1.0, scale: str | None = None) -> DataFrame:
-    """(split_id, sample_id, attribute, y_true, y_pred) of multi-target ridge; ``y`` holds the values of ``names``."""
-    models = fitted(training_sums(rows, test), lambda s: ridge_fit(s, alpha), "split_id", scale=scale)
+def regress(rows: DataFrame, names: list[str], test: DataFrame, alpha: float = 1.0, scale: str | None = None, components: int | None = None) -> DataFrame:
+    """(split_id, sample_id, attribute, y_true, y_pred) of multi-target ridge; ``y`` holds the values of ``names``.
+
+    With ``components`` the targets are reduced to so many principal components of the
+    training rows, and predictions brought back (:func:`reduced_ridge_fit`).
+    """
+    models = fitted(training_sums(rows, test), lambda s: reduced_ridge_fit(s, alpha, components), "split_id", scale=scale)
     out = rows.join(test, "sample_id").join(models, "split_id").withColumn("_p", scored(F.col("x"), F.col("weights"), F.col("intercepts")))
     each = F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("attribute"), F.col("y").alias("y_true"), F.col("_p").alias("y_pred"))).alias("e")
     return out.select("split_id", "sample_id", each).select("split_id", "sample_id", "e.attribute", "e.y_true", "e.y_pred")

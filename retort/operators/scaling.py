@@ -24,7 +24,13 @@ def apply_scaler(features: DataFrame, scaler: DataFrame, *keys: str) -> DataFram
     return features.join(scaler, [*keys, "pos"]).withColumn("value", (F.col("value") - F.col("centre")) / F.col("scale")).drop("centre", "scale")
 
 
-def taster_factors(pairs: DataFrame) -> DataFrame:
-    """(taster, attribute, factor): the non-negative factor of predictions with the least squared error; none below two rows."""
+def taster_factors(pairs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, taster, attribute, factor): the non-negative factor of predictions with the least squared error; none below two rows."""
     f = F.greatest(F.lit(0.0), F.sum(F.col("y_pred") * F.col("y_true")) / F.sum(F.col("y_pred") * F.col("y_pred")))
-    return pairs.groupBy("taster", "attribute").agg(f.alias("factor"), F.count("*").alias("_n")).where("_n >= 2").drop("_n")
+    return pairs.groupBy(*keys, "taster", "attribute").agg(f.alias("factor"), F.count("*").alias("_n")).where("_n >= 2").drop("_n")
+
+
+def apply_factors(predictions: DataFrame, factors: DataFrame, *keys: str) -> DataFrame:
+    """Predictions times their taster's factor; tasters without one keep theirs."""
+    joined = predictions.join(factors, [*keys, "taster", "attribute"], "left")
+    return joined.withColumn("y_pred", F.col("y_pred") * F.coalesce("factor", F.lit(1.0))).select(*predictions.columns)

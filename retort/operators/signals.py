@@ -109,11 +109,43 @@ def compound_mask(scans: DataFrame, compounds: DataFrame) -> DataFrame:
 
 
 def window_index(scans: DataFrame, starts: DataFrame) -> DataFrame:
-    """(name, idx): the first scan at or after each ``rt_ms`` of starts (name, at_ms); the scan count where none is."""
-    axis = scans.select("scan_idx", "rt_ms").distinct()
-    end = axis.agg((F.max("scan_idx") + 1).alias("_end"))
-    hit = starts.join(axis, F.col("rt_ms") >= F.col("at_ms"), "left").groupBy("name").agg(F.min("scan_idx").alias("_i"))
-    return hit.crossJoin(end).select("name", F.coalesce("_i", "_end").alias("idx"))  # one row
+    """(name, idx): the first scan at or after each ``rt_ms`` of starts (name, at_ms); the scan count where none is.
+
+    A scan number is first at or after all times from the latest time of the earlier
+    numbers, exclusive, to its own. These intervals, as many as scans at most, are cut
+    into equal stretches of time, and starts meet them by stretch, an equi join.
+    """
+    latest = F.max("_t").over(Window.orderBy("scan_idx").rowsBetween(Window.unboundedPreceding, 0))  # a row for each scan number
+    axis = scans.groupBy("scan_idx").agg(F.max("rt_ms").alias("_t")).withColumn("_to", latest)
+    steps = axis.groupBy("_to").agg(F.min("scan_idx").alias("_i")).withColumn("_from", F.lag("_to").over(Window.orderBy("_to")))
+    shape = axis.agg((F.max("scan_idx") + 1).alias("_end"), F.min("_to").alias("_low"), F.greatest((F.max("_to") - F.min("_to")) / F.count("*"), F.lit(1e-9)).alias("_width"))  # one row
+    stretch = lambda c: F.floor((c - F.col("_low")) / F.col("_width"))
+    cut = steps.crossJoin(shape).withColumn("_s", F.explode(F.sequence(F.coalesce(stretch(F.col("_from")), F.lit(0).cast("long")), stretch(F.col("_to")))))
+    own = starts.crossJoin(shape).withColumn("_s", F.greatest(F.lit(0).cast("long"), stretch(F.col("at_ms"))))
+    hit = own.join(cut.select("_s", "_i", "_from", "_to"), "_s", "left").withColumn("_hit", (F.col("_from").isNull() | (F.col("_from") < F.col("at_ms"))) & (F.col("at_ms") <= F.col("_to")))
+    found = hit.groupBy("name").agg(F.min(F.when(F.col("_hit"), F.col("_i"))).alias("_i"), F.first("_end").alias("_end"))
+    return found.select("name", F.coalesce("_i", "_end").alias("idx"))
+
+
+def replicate_average(traces: DataFrame, wines: DataFrame, *keys: str, value: str = "value") -> DataFrame:
+    """(wine, keys, value): the mean over all samples whose id begins with the wine's name; a mean that is not a number becomes 0.
+
+    ``traces`` is (sample_id, keys, value). Every prefix of a sample's id is looked up, an
+    equi join with one row for each letter; wines without a sample give no row
+    (:func:`without_replicates` counts them).
+    """
+    named = _prefixed(traces).join(wines.select("wine").distinct(), "wine")
+    return named.groupBy("wine", *keys).agg(F.nanvl(F.avg(F.col(value).cast("double")), F.lit(0.0)).alias(value))
+
+
+def without_replicates(traces: DataFrame, wines: DataFrame) -> DataFrame:
+    """(wine,) of the wines whose name begins no sample's id."""
+    return wines.select("wine").distinct().join(_prefixed(traces.select("sample_id").distinct()).select("wine").distinct(), "wine", "left_anti")
+
+
+def _prefixed(traces: DataFrame) -> DataFrame:
+    name = F.col("sample_id").cast("string")
+    return traces.withColumn("wine", F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(name, F.lit(1), n))))
 
 
 def pad_or_truncate(values: Column, n: int) -> Column:

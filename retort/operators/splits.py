@@ -28,6 +28,42 @@ def one_per_class(samples: DataFrame, label: str, repeats: int, seed: int = 0, u
     return chosen.join(samples.select("sample_id", F.col(unit).alias("_u"), label), ["_u", label]).select("split_id", "sample_id")
 
 
+def _units_by_class(samples: DataFrame, label: str, unit: str) -> DataFrame:
+    """(label, _u, _k, _n): each unit's place in the order of its class, and the class's size."""
+    units = samples.select(label, F.col(unit).alias("_u")).distinct()
+    w = Window.partitionBy(label)
+    return units.withColumn("_k", (F.row_number().over(w.orderBy("_u")) - 1).cast("long")).withColumn("_n", F.count("*").over(w))
+
+
+def _of_units(chosen: DataFrame, samples: DataFrame, label: str, unit: str) -> DataFrame:
+    return chosen.join(samples.select("sample_id", F.col(unit).alias("_u"), label), ["_u", label]).select("split_id", "sample_id")
+
+
+def drawn_one_per_class(samples: DataFrame, label: str, repeats: int, seed: int = 0, unit: str = "sample_id") -> DataFrame:
+    """Each repeat tests one unit of each class, drawn anew and independently by a hash of class, repeat and seed; all samples of the unit are tested."""
+    placed = _units_by_class(samples, label, unit).withColumn("split_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("/", F.col(label).cast("string"), F.col("split_id").cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+    return _of_units(placed.where(F.col("_k") == drawn % F.col("_n")), samples, label, unit)
+
+
+def all_one_per_class(samples: DataFrame, label: str, first: int = 0, count: int | None = None, unit: str = "sample_id") -> DataFrame:
+    """The splits that test one unit of each class, all of them or ``count`` from the number ``first`` on.
+
+    A split's number is read as digits, the first class in order the fastest, with the
+    classes' sizes as bases: split k tests the unit at place (k div product of the
+    earlier sizes) mod size. So any range of splits is computed without those before it.
+    """
+    placed = _units_by_class(samples, label, unit)
+    sizes = placed.groupBy(F.col(label).cast("string").alias("_l")).agg(F.max("_n").alias("_n"))
+    listed = sizes.agg(F.array_sort(F.collect_list(F.struct("_l", "_n"))).alias("_all"))  # one row, a value for each class
+    total = F.aggregate("_all", F.lit(1).cast("decimal(38,0)"), lambda t, x: (t * x["_n"]).cast("decimal(38,0)"))
+    last = total if count is None else F.least(total, F.lit(first + count).cast("decimal(38,0)"))
+    base = F.aggregate(F.filter("_all", lambda x: x["_l"] < F.col(label).cast("string")), F.lit(1).cast("decimal(38,0)"), lambda t, x: (t * x["_n"]).cast("decimal(38,0)"))
+    ranged = placed.crossJoin(listed).withColumn("_base", base).withColumn("_last", last.cast("long"))
+    each = ranged.where(F.col("_last") > first).withColumn("split_id", F.explode(F.sequence(F.lit(first).cast("long"), F.col("_last") - 1)))
+    return _of_units(each.where(F.expr("pmod(split_id div _base, _n) = _k")), samples, label, unit)
+
+
 def group_shuffle(samples: DataFrame, group: str, share: float, repeats: int, seed: int = 0, label: str | None = None) -> DataFrame:
     """int(groups * share) whole groups are the test set of each repeat.
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retort.operators import metrics as M
+from retort.operators import models as D
 from retort.operators import moments as X
+from retort.operators import scaling as Z
 from retort.operators import splits as P
 from retort.operators import statistics as T
 
@@ -19,6 +21,11 @@ def classification_job(rows: DataFrame, labels: DataFrame, test: DataFrame, mode
     return M.fold_metrics(X.classify(rows, labels, test, model, scale=scale), "split_id")
 
 
+def wide_classification_job(features: DataFrame, labels: DataFrame, test: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """Metrics of each split for few samples of many features (sample_id, pos, value), by ridge from one Gram matrix."""
+    return M.fold_metrics(D.dual_folds(T.gram(features), labels, test, alpha), "split_id")
+
+
 def per_origin(rows: DataFrame, labels: DataFrame, test: DataFrame, origins: DataFrame, model: str = "ridge", scale: str | None = None) -> DataFrame:
     """Metrics of a pooled model for each origin (sample_id, origin) of its test rows."""
     return M.fold_metrics(X.classify(rows, labels, test, model, scale=scale).join(origins, "sample_id"), "origin")
@@ -82,17 +89,53 @@ def exchanged(scores: DataFrame, seed: int = 0, buckets: int = 64) -> DataFrame:
     return a.join(dealt.select("_b", "y", place(F.xxhash64("row_id", F.lit(seed)), "row_id").alias("_k")), ["_b", "_k"]).select("row_id", "y")
 
 
-def sensory_model(wines: DataFrame, rows: DataFrame, names: list[str], tasters: list[str], folds: int = 5, alpha: float = 1.0, constant: bool = False, shuffled: bool = False, seed: int = 0) -> DataFrame:
+def sensory_model(wines: DataFrame, rows: DataFrame, names: list[str], tasters: list[str], folds: int = 5, alpha: float = 1.0, constant: bool = False, shuffled: bool = False, seed: int = 0, scale: str | None = None, components: int | None = None, centred: bool = False) -> DataFrame:
     """Held-out predictions (sample_id, attribute, y_true, y_pred) of scores by ridge; wines never straddle folds.
 
     ``wines`` is (wine, x), ``rows`` (row_id, wine, taster, y) with the scores of ``names``.
-    A row's features are its wine's, followed by the taster's one-hot.
+    A row's features are its wine's, followed by the taster's one-hot. ``scale`` standard
+    scales features by the training rows, ``components`` reduces the targets to principal
+    components and brings predictions back, ``centred`` takes each taster's mean score off.
     """
+    if centred:
+        rows = about_taster_means(rows, len(names))
     if shuffled:
         rows = rows.drop("y").join(exchanged(rows.select("row_id", "y"), seed), "row_id")
     full = rows.join(wines, "wine").select(F.col("row_id").alias("sample_id"), "wine", "y", F.concat("x", one_hot(F.col("taster"), tasters, constant)).alias("x"))
     test = P.group_folds(full.select("sample_id", "wine"), "wine", folds, seed)
-    return X.regress(full.drop("wine"), names, test, alpha).drop("split_id")
+    return X.regress(full.drop("wine"), names, test, alpha, scale, components).drop("split_id")
+
+
+def about_taster_means(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (taster, y) with the mean of each of the ``size`` scores over the taster's rows taken off."""
+    means = rows.groupBy("taster").agg(F.array(*[F.avg(F.col("y")[k]) for k in range(size)]).alias("_m"))
+    return rows.join(means, "taster").withColumn("y", F.zip_with("y", "_m", lambda a, b: a - b)).drop("_m")
+
+
+def scaled_taster_model(wines: DataFrame, rows: DataFrame, names: list[str], tasters: list[str], folds: int = 5, inner: int = 5, alpha: float = 1.0, seed: int = 0, scale: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Held-out predictions (split_id, row_id, taster, attribute, y_true, y_pred), plain and with each taster's factor.
+
+    Factors come from the training rows of each outer split alone: their wines are dealt to
+    inner folds, told by models of the other inner folds, and each (taster, attribute) gets
+    the non-negative factor that fits its told scores best. Inner models come from the
+    split's training moments less those of the fold; wines straddle neither kind of fold.
+    """
+    full = rows.join(wines, "wine").select("row_id", "wine", "taster", "y", F.concat("x", one_hot(F.col("taster"), tasters)).alias("x"))
+    each_wine = full.select(F.col("wine").alias("sample_id")).distinct().withColumn("wine", F.col("sample_id"))
+    outer = P.group_folds(each_wine, "wine", folds, seed).select(F.col("sample_id").alias("wine"), F.col("split_id").alias("_own"))
+    dealt = outer.withColumn("split_id", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("_test", F.col("_own") == F.col("split_id"))
+    k = F.row_number().over(Window.partitionBy("split_id", "_test").orderBy(F.xxhash64("wine", "split_id", F.lit(seed + 1)), "wine")) - 1
+    placed = dealt.withColumn("fold", F.when(~F.col("_test"), (k % inner).cast("int"))).select("wine", "split_id", "fold")
+    every = full.join(placed, "wine").withColumnRenamed("row_id", "sample_id")
+    named = full.select("row_id", "taster")
+
+    def told(t: DataFrame) -> DataFrame:
+        found = X.regress_folds(t.select("split_id", "fold", "sample_id", "x", "y"), names, "split_id", alpha=alpha, scale=scale)
+        return found.withColumnRenamed("sample_id", "row_id").join(named, "row_id").select("split_id", "row_id", "taster", "attribute", "y_true", "y_pred")
+
+    plain = told(every.withColumn("fold", F.when(F.col("fold").isNull(), 0)))
+    factors = Z.taster_factors(told(every.where("fold IS NOT NULL")), "split_id")
+    return plain, Z.apply_factors(plain, factors, "split_id")
 
 
 def _folded(rows: DataFrame, folds: int, seed: int) -> DataFrame:

@@ -170,6 +170,27 @@ def _(spark, d):
     return _rounded(J.fold_coefficients(told), "pos", digits=6)
 
 
+#: One feature, two targets, and the leading axis of the targets' products over the training rows.
+_REDUCED = f"WITH {FEATURES}, x AS (SELECT sample_id, sample_id % 5 AS fold, max(value) FILTER (pos = 0) AS x, max(value) FILTER (pos = 1) AS a, max(value) FILTER (pos = 2) * 3 AS b FROM features GROUP BY 1), t AS (SELECT f.fold, count(*) AS n, avg(x) AS mx, avg(a) AS ma, avg(b) AS mb, var_pop(x) * count(*) + 1 AS xx, covar_pop(x, a) * count(*) AS xa, covar_pop(x, b) * count(*) AS xb, atan2(2 * covar_pop(a, b), var_pop(a) - var_pop(b)) / 2 AS w FROM (SELECT DISTINCT fold FROM x) f JOIN x ON x.fold <> f.fold GROUP BY 1), p AS (SELECT x.fold, sample_id, a, b, ma, mb, (x.x - mx) * (xa * cos(w) + xb * sin(w)) / xx AS v, w FROM x JOIN t USING (fold)) SELECT fold AS split_id, sample_id, 'a' AS attribute, round(a, 6) AS y_true, round(ma + v * cos(w), 6) AS y_pred FROM p UNION ALL SELECT fold, sample_id, 'b', round(b, 6), round(mb + v * sin(w), 6) FROM p"
+
+
+@query("target_components", _REDUCED)
+def _(spark, d):
+    """Two targets told through their leading principal component."""
+    rows = _rows(spark, d).select("sample_id", F.array(F.col("x")[0]).alias("x"), F.array(F.col("x")[1], F.col("x")[2] * 3).alias("y"))
+    test = rows.select((F.col("sample_id") % 5).alias("split_id"), "sample_id")
+    return X.regress(rows, ["a", "b"], test, components=1).select("split_id", "sample_id", "attribute", F.round("y_true", 6).alias("y_true"), F.round("y_pred", 6).alias("y_pred"))
+
+
+@query("classify_ridge_concatenated")
+def _(spark, d):
+    """All suppliers by all their scans of all channels, many features for few samples."""
+    s = scans(spark, d)
+    lab = s.select("sample_id").distinct().withColumn("label", F.concat(F.lit("c"), (F.col("sample_id") % 4).cast("string")))
+    f = S.assemble(s, "concatenated").select("sample_id", ((F.col("a") - 41) * 200 + F.col("b")).cast("long").alias("pos"), "value")
+    return _rounded(J.wide_classification_job(f, lab, P.stratified_folds(lab, "label", 5)), "split_id", digits=6)
+
+
 @query("ridge_one_feature", f"WITH {FEATURES}, x AS (SELECT sample_id, label::DOUBLE AS y, value AS x, sample_id % 5 AS fold FROM features WHERE pos = 0), t AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, sum((x) * (y)) - count(*) * avg(x) * avg(y) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx FROM (SELECT DISTINCT fold FROM x) f JOIN x ON x.fold <> f.fold GROUP BY 1) SELECT x.fold AS split_id, sample_id, round(y, 6) AS y_true, round(my + (x.x - mx) * sxy / (sxx + 1), 5) AS y_pred FROM x JOIN t USING (fold)")
 def _(spark, d):
     rows = _rows(spark, d).select("sample_id", F.slice("x", 1, 1).alias("x")).join(_labels(spark, d), "sample_id").select("sample_id", "x", F.array(F.col("label").cast("double")).alias("y"))
@@ -386,6 +407,25 @@ for _control in ("", "_shuffled", "_constant"):
         return m.select("attribute", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2", "r")])
 
 
+for _option, _given in (("scaled", {"scale": "standard"}), ("component", {"components": 1}), ("centred", {"centred": True})):
+
+    @query(f"sensory_ridge_{_option}")
+    def _(spark, d, given=_given):
+        """The sensory model with scaled features, one component of the targets, or scores about each taster's mean."""
+        rows = _scores(spark, d).select(F.concat_ws("/", "wine", "taster").alias("row_id"), "wine", "taster", "y")
+        m = M.regression_metrics(J.sensory_model(_wines(spark, d), rows, NAMES, TASTERS, **given), "attribute")
+        return m.select("attribute", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2", "r")])
+
+
+@query("taster_factors_held_out")
+def _(spark, d):
+    """Held-out R2 of scores without and with each taster's factor from inner folds."""
+    rows = _scores(spark, d).select(F.concat_ws("/", "wine", "taster").alias("row_id"), "wine", "taster", "y")
+    plain, scaled = J.scaled_taster_model(_wines(spark, d), rows, NAMES, TASTERS)
+    r2 = lambda t, name: M.regression_metrics(t, "attribute").select("attribute", F.round("r2", 5).alias(name))
+    return r2(plain, "r2_plain").join(r2(scaled, "r2_scaled"), "attribute")
+
+
 @query("self_versus_group", f"WITH {SENSORY}, m AS (SELECT wine, taster, avg(fruity) AS v FROM sensory GROUP BY ALL), o AS (SELECT a.taster, a.wine, any_value(a.v) AS t, avg(b.v) AS p FROM m a JOIN m b ON a.wine = b.wine AND a.taster <> b.taster GROUP BY 1, 2) SELECT taster, round(1 - sum((p - t) * (p - t)) / (var_pop(t) * count(*)), 4) AS r2_group, round(corr(t, p), 4) AS r FROM o GROUP BY 1")
 def _(spark, d):
     s = sensory(spark, d).groupBy("wine", "taster").agg(F.avg("fruity").alias("value")).withColumn("attribute", F.lit("fruity"))

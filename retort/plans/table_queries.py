@@ -146,10 +146,41 @@ def _(spark, d):
     return cut.join(wines, "_p").select("wine", "run")
 
 
-@query("replicate_average", f"WITH {SCANS}, w AS (SELECT DISTINCT left(sample_id::VARCHAR, 1) AS wine FROM scans) SELECT w.wine, s.scan_idx, round(avg(intensity), 6) AS value FROM w JOIN scans s ON starts_with(s.sample_id::VARCHAR, w.wine) GROUP BY ALL")
+#: Nations' keys as wines: a supplier belongs to each whose key begins its number.
+_WINES = "wines AS (SELECT DISTINCT n_nationkey::VARCHAR AS wine FROM nation)"
+
+
+@query("replicate_average", f"WITH {SCANS}, {_WINES} SELECT w.wine, s.scan_idx, s.mz, round(avg(CASE WHEN scan_idx % 97 = 0 THEN 'nan'::DOUBLE ELSE intensity END), 6) AS value FROM wines w JOIN scans s ON starts_with(s.sample_id::VARCHAR, w.wine) WHERE scan_idx % 97 <> 0 GROUP BY ALL UNION ALL SELECT w.wine, s.scan_idx, s.mz, 0.0 FROM wines w JOIN scans s ON starts_with(s.sample_id::VARCHAR, w.wine) WHERE scan_idx % 97 = 0 GROUP BY ALL")
+def _(spark, d):
+    """Means over the samples that begin with a wine's name; scans that are not numbers, here each 97th, become 0."""
+    s = scans(spark, d).select("sample_id", "scan_idx", "mz", F.when(F.col("scan_idx") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("intensity")).alias("value"))
+    wines = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("wine"))
+    return S.replicate_average(s, wines, "scan_idx", "mz").select("wine", "scan_idx", "mz", F.round("value", 6).alias("value"))
+
+
+@query("wines_without_replicates", f"WITH {SCANS}, {_WINES} SELECT wine FROM wines w WHERE NOT EXISTS (SELECT 1 FROM scans s WHERE starts_with(s.sample_id::VARCHAR, w.wine))")
+def _(spark, d):
+    """Wines whose name begins no sample's."""
+    return S.without_replicates(scans(spark, d), table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("wine")))
+
+
+_CLASSES = "u AS (SELECT s_suppkey AS sample_id, s_nationkey % 3 AS label, row_number() OVER (PARTITION BY s_nationkey % 3 ORDER BY s_suppkey) - 1 AS k, count(*) OVER (PARTITION BY s_nationkey % 3) AS n FROM supplier)"
+
+
+def _three(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample_id"), (F.col("s_nationkey") % 3).alias("label"))
+
+
+@query("drawn_one_per_class", f"WITH {_CLASSES}, r AS (SELECT unnest(range(0, 200))::INTEGER AS split_id) SELECT split_id, sample_id FROM u, r WHERE k = CAST('0x' || substr(md5(label || '/' || split_id || '/7'), 1, 15) AS BIGINT) % n")
+def _(spark, d):
+    """200 independent draws of one supplier of each class."""
+    return P.drawn_one_per_class(_three(spark, d), "label", 200, seed=7)
+
+
+@query("all_one_per_class", f"WITH {_CLASSES}, a AS (SELECT * FROM u WHERE label = 0), b AS (SELECT * FROM u WHERE label = 1), c AS (SELECT * FROM u WHERE label = 2), t AS (SELECT (a.k + coalesce(a.n, 1) * (b.k + b.n * c.k))::BIGINT AS split_id, [a.sample_id, b.sample_id, c.sample_id] AS s FROM a, b, c) SELECT split_id, unnest(s) AS sample_id FROM t WHERE split_id BETWEEN 5 AND 3004")
 def _(spark, d):
-    s = scans(spark, d)
-    return s.groupBy(F.left(F.col("sample_id").cast("string"), F.lit(1)).alias("wine"), "scan_idx").agg(F.round(F.avg("intensity"), 6).alias("value"))
+    """Three thousand of the splits that test one supplier of each class, from number 5 on."""
+    return P.all_one_per_class(_three(spark, d), "label", 5, 3000)
 
 
 #: A compound for each brand: the list stays short while parts grow in number.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retort.operators import align as A
+from retort.operators import boosting as B
 from retort.operators import metrics as M
 from retort.operators import models as D
 from retort.operators import moments as X
@@ -204,6 +205,13 @@ def _(spark, d):
     return X.pca(_rows(spark, d)).agg(F.round(F.sum(F.col("score") * F.col("score")), 2).alias("total"))
 
 
+@query("pca_scores_two_features", f"WITH {FEATURES}, x AS (SELECT sample_id, max(value) FILTER (pos = 0) AS a, max(value) FILTER (pos = 1) * 2 AS b FROM features GROUP BY 1), m AS (SELECT avg(a) AS ma, avg(b) AS mb, atan2(2 * covar_pop(a, b), var_pop(a) - var_pop(b)) / 2 AS w FROM x), v AS (SELECT ma, mb, cos(w) AS p, sin(w) AS q FROM m), s AS (SELECT *, CASE WHEN abs(p) >= abs(q) THEN sign(p) ELSE sign(q) END AS f, CASE WHEN abs(q) >= abs(p) THEN sign(-q) ELSE sign(p) END AS g FROM v) SELECT sample_id, unnest([0, 1])::INTEGER AS component, unnest([round(f * ((a - ma) * p + (b - mb) * q), 6), round(g * ((b - mb) * p - (a - ma) * q), 6)]) AS score FROM x, s")
+def _(spark, d):
+    """The scores of all vectors on both components of their first two features."""
+    rows = _rows(spark, d).select("sample_id", F.array(F.col("x")[0], F.col("x")[1] * 2).alias("x"))
+    return X.pca(rows).select("sample_id", "component", F.round("score", 6).alias("score"))
+
+
 @query("kmeans_best_k")
 def _(spark, d):
     p = X.pca(_rows(spark, d), components=2).groupBy("sample_id").pivot("component", [0, 1]).agg(F.first("score"))
@@ -507,6 +515,14 @@ def _(spark, d):
     return D.ml_evaluate(_vectors(spark, d), "gnb", "held")
 
 
+@query("classify_boosted")
+def _(spark, d):
+    """Boosted trees for all ten labels, a fifth of the vectors held out."""
+    rows, lab = _rows(spark, d), _labels(spark, d)
+    out = B.boosted_classes(rows, lab, rows.where("sample_id % 5 = 0"), rounds=10)
+    return _rounded(M.fold_metrics(out), digits=6)
+
+
 @query("classify_gbc")
 def _(spark, d):
     """Boosted trees for even and odd labels."""

@@ -70,9 +70,9 @@ def _(spark, d):
     return S.drop_dead_channels(z).select("sample_id", "scan_idx", "mz", "intensity")
 
 
-@query("valid_rows", "SELECT event_id, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND event_type IS NOT NULL AND value > 10")
+@query("valid_rows", "SELECT event_id, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND event_type IS NOT NULL")
 def _(spark, d):
-    return S.valid_rows(table(spark, d, "events").where("event_type IS NOT NULL"), "value").where("value > 10").select("event_id", "value")
+    return S.valid_rows(table(spark, d, "events").where("event_type IS NOT NULL"), "value").select("event_id", "value")
 
 
 @query("filter_singletons", "WITH n AS (SELECT p_partkey, p_brand || p_size::VARCHAR AS k, p_type FROM part), c AS (SELECT k FROM n GROUP BY 1 HAVING count(DISTINCT p_type) >= 2) SELECT p_partkey, k FROM n WHERE k IN (SELECT k FROM c)")

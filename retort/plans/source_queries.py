@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from retort.functions import labels as L
 from retort.session import table
 from retort.sources import runs as R
 from retort.sources.adapters import SCANS, SENSORY, scans, sensory
@@ -47,6 +48,12 @@ def _(spark, d):
     return r.groupBy(F.regexp_replace("sample_id", "^run=", "").alias("sample_id"), "dataset").agg(F.count_distinct("scan_idx").alias("scans"), F.coalesce(F.sum("intensity"), F.lit(0.0)).alias("total"))
 
 
+@query("run_margins", f"WITH {SCANS} SELECT count(DISTINCT rt_ms) + 1 AS rows, 1::INTEGER AS first, 7::INTEGER AS last FROM scans WHERE sample_id = (SELECT sample_id FROM scans ORDER BY sample_id::VARCHAR || '.D' LIMIT 1)")
+def _(spark, d):
+    """Lines and channel columns of the first run by name."""
+    return R.run_margins(spark, _run_files(spark, d))
+
+
 @query("read_sensory", f"WITH {SENSORY} SELECT wine, taster, count(*) AS n, round(sum(fruity), 3) AS fruity FROM sensory GROUP BY ALL")
 def _(spark, d):
     """Scores under a line of titles and a header row, which the lower-case file repeats."""
@@ -108,6 +115,14 @@ def _(spark, d):
     return R.read_paired_columns(spark, path, average=True).select("sample_id", "scan_idx", F.round("rt", 4).alias("rt"), F.round("value", 4).alias("value"))
 
 
+@query("read_ester_columns", f"WITH {TOTALS}, n AS (SELECT scan_idx, mz, 'V19' || (mz // 2)::VARCHAR AS sample_id, scan_idx * 100.0 AS rt, v FROM totals WHERE mz < 47), a AS (SELECT sample_id, scan_idx, avg(rt) AS rt, avg(v) AS v FROM n GROUP BY ALL) SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY scan_idx) - 1)::INTEGER AS scan_idx, round(rt, 4) AS rt, round(v, 4) AS value FROM a")
+def _(spark, d):
+    """Headers by letter and year in several spellings, replicates by letter; a column that does not parse is left out."""
+    name = {mz: [f"{kind} {('Bois', 'esters')[mz % 2]} {('V_', 'v ')[mz % 2]}19{mz // 2}{('', '-a')[mz % 2]}" for kind in ("Tr", "Ab")] for mz in CHANNELS}
+    path = _export(spark, d, "esters", [["junk"], [c for mz in CHANNELS for c in (name[mz] if mz < 47 else ["Tr Esters V1990x9", "other"])]])
+    return R.read_ester_columns(spark, path).select("sample_id", "scan_idx", F.round("rt", 4).alias("rt"), F.round("value", 4).alias("value"))
+
+
 @query("read_alternating_columns", f"WITH {TOTALS} SELECT 'V' || (mz // 2)::VARCHAR || CASE WHEN mz = 41 THEN '' ELSE '-' || (1 + mz % 2)::VARCHAR END AS sample_id, k AS scan_idx, rt, v AS value FROM totals")
 def _(spark, d):
     path = _export(spark, d, "alternating", [[c for mz in CHANNELS for c in (f"V{mz // 2}", None)]])
@@ -122,13 +137,13 @@ def _(spark, d):
     return R.sheet_to_vectors(named, "scan_idx").select("sample_id", F.posexplode("values").alias("pos", "value"))
 
 
-@query("read_acquisitions", "SELECT n_nationkey::VARCHAR AS sample_id, strftime(max(o_orderdate), '%Y-%m-%d') AS acquired FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@query("read_acquisitions", "SELECT chr((65 + n_nationkey)::INTEGER) || n_nationkey AS sample_id, strftime(max(o_orderdate), '%Y-%m-%d') || ' 08:15:' || lpad(n_nationkey::VARCHAR, 2, '0') AS acquired, CASE WHEN chr((65 + n_nationkey)::INTEGER) IN ('M', 'N') THEN 'Neuchâtel' WHEN chr((65 + n_nationkey)::INTEGER) IN ('J', 'L') THEN 'Geneva' WHEN chr((65 + n_nationkey)::INTEGER) = 'H' THEN 'Valais' WHEN chr((65 + n_nationkey)::INTEGER) = 'U' THEN 'California' WHEN chr((65 + n_nationkey)::INTEGER) = 'X' THEN 'Oregon' WHEN chr((65 + n_nationkey)::INTEGER) IN ('D', 'E', 'Q', 'P', 'R', 'Z') THEN 'Burgundy' WHEN chr((65 + n_nationkey)::INTEGER) IN ('C', 'K', 'W', 'Y') THEN 'Alsace' ELSE 'Unknown' END AS origin FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey")
 def _(spark, d):
-    """A sample_info file for each nation, with its last order's date as the time of acquisition."""
+    """A sample_info file for each nation, with its last order's date and a time in a zone as the time of acquisition; runs are named by a letter."""
     path = shared_path(spark, "acquisitions")
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     last = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("day"))
-    xml = last.select(F.concat(F.col("c_nationkey").cast("string"), F.lit(".D")).alias("run"), F.format_string("<a><DisplayName>AcqTime</DisplayName><Value>%sT08:00:00+01:00</Value></a>", "day").alias("value"))
+    xml = last.select(F.concat(F.chr(F.col("c_nationkey") + 65), F.col("c_nationkey").cast("string"), F.lit(".D")).alias("run"), F.format_string("<a><DisplayName>AcqTime</DisplayName><Value>%sT08:15:%02d+01:00</Value></a>", "day", F.col("c_nationkey").cast("int")).alias("value"))
     xml.repartition("run").write.partitionBy("run").text(path)
-    found = R.read_acquisitions(spark, f"{path}/*/*.txt")
-    return found.select(F.regexp_replace("sample_id", "^run=", "").alias("sample_id"), F.date_format("acquired", "yyyy-MM-dd").alias("acquired"))
+    found = R.read_acquisitions(spark, f"{path}/*/*.txt").withColumn("sample_id", F.regexp_replace("sample_id", "^run=", ""))
+    return found.select("sample_id", F.date_format("acquired", "yyyy-MM-dd HH:mm:ss").alias("acquired"), L.origin(F.col("sample_id")).alias("origin"))

@@ -325,6 +325,12 @@ def _(spark, d):
     return P.leave_one_out(samples(spark, d), "wine").groupBy(F.col("split_id").cast("long").alias("wine")).agg(F.count("*").alias("n"))
 
 
+@query("loo_rows", "SELECT (vec_id % 50)::VARCHAR AS split_id, vec_id AS sample_id FROM embeddings")
+def _(spark, d):
+    """A split for each wine, with its rows."""
+    return P.leave_one_out(samples(spark, d), "wine")
+
+
 @query("one_per_class_sizes", "SELECT unnest(range(0, 20))::INTEGER AS split_id, (SELECT count(DISTINCT label) FROM embeddings) AS n")
 def _(spark, d):
     return P.one_per_class(samples(spark, d), "label", 20).groupBy("split_id").agg(F.count("*").alias("n"))
@@ -414,11 +420,11 @@ def _(spark, d):
     return M.mode_per(table(spark, d, "lineitem"), "l_suppkey", "l_linenumber").select("l_suppkey", "l_linenumber", F.round("share", 6).alias("share"))
 
 
-SURVIVAL = "v AS (SELECT DISTINCT (l_suppkey % 20)::INTEGER AS fold, (l_partkey % 12)::INTEGER AS step, (l_orderkey % 9)::INTEGER AS rt_bin FROM lineitem WHERE l_quantity > 40), f AS (SELECT step, rt_bin, count(*) AS n FROM (SELECT fold, rt_bin, min(step) AS step FROM v GROUP BY 1, 2) GROUP BY 1, 2), dense AS (SELECT s.step, b.rt_bin, coalesce(f.n, 0)::BIGINT AS n FROM (SELECT unnest(range(0, 12))::INTEGER AS step) s CROSS JOIN (SELECT DISTINCT rt_bin FROM f) b LEFT JOIN f ON f.step = s.step AND f.rt_bin = b.rt_bin)"
+SURVIVAL = "v AS (SELECT DISTINCT (l_suppkey % 20)::INTEGER AS fold, (l_partkey % 12)::INTEGER AS step, (l_orderkey % 997)::INTEGER AS rt_bin FROM lineitem), f AS (SELECT step, rt_bin, count(*) AS n FROM (SELECT fold, rt_bin, min(step) AS step FROM v GROUP BY 1, 2) GROUP BY 1, 2), dense AS (SELECT s.step, b.rt_bin, coalesce(f.n, 0)::BIGINT AS n FROM (SELECT unnest(range(0, 12))::INTEGER AS step) s CROSS JOIN (SELECT DISTINCT rt_bin FROM f) b LEFT JOIN f ON f.step = s.step AND f.rt_bin = b.rt_bin)"
 
 
 def survival(spark, d):
-    return table(spark, d, "lineitem").where("l_quantity > 40").select((F.col("l_suppkey") % 20).cast("int").alias("fold"), (F.col("l_partkey") % 12).cast("int").alias("step"), (F.col("l_orderkey") % 9).cast("int").alias("rt_bin")).distinct()
+    return table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).cast("int").alias("fold"), (F.col("l_partkey") % 12).cast("int").alias("step"), (F.col("l_orderkey") % 997).cast("int").alias("rt_bin")).distinct()
 
 
 @query("first_hits", f"WITH {SURVIVAL} SELECT step, rt_bin, n, sum(n) OVER (PARTITION BY rt_bin ORDER BY step)::BIGINT AS cumulative FROM dense")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from retort.functions import labels as L
+
 
 def channel_columns(columns: list[str]) -> list[str]:
     """Columns whose names are all digits: the m/z channels."""
@@ -35,6 +37,21 @@ def read_runs(spark: SparkSession, directory: str, row_start: int = 1, row_end:
     return long if dataset is None else long.withColumn("dataset", F.lit(dataset))
 
 
+def run_margins(spark: SparkSession, directory: str) -> DataFrame:
+    """(rows, first, last) of the first run below a directory: its lines with the header, and the places of the first and last channel column.
+
+    A file of two columns is a chromatogram, whose one channel has place 1. No row comes
+    back where the first run has no channel column.
+    """
+    files = sorted(spark.read.option("header", True).csv(f"{directory}/*.D/*.csv").inputFiles())
+    if not files:
+        raise ValueError(f"no run below {directory}")
+    run = spark.read.option("header", True).csv(files[0])
+    at = [1] if len(run.columns) == 2 else [k for k, c in enumerate(run.columns) if c.isdigit()]
+    counted = run.agg((F.count("*") + 1).alias("rows"), F.lit(at[0] if at else None).cast("int").alias("first"), F.lit(at[-1] if at else None).cast("int").alias("last"))
+    return counted.where(F.lit(bool(at)))
+
+
 def centroids_to_grid(centroids: DataFrame, mz_min: int = 40, mz_max: int = 220, dense: bool = False) -> DataFrame:
     """Centroids (sample_id, scan_idx, rt_ms, mz, intensity) to unit masses: half-even rounding, sums of what meets.
 
@@ -48,7 +65,7 @@ def centroids_to_grid(centroids: DataFrame, mz_min: int = 40, mz_max: int = 220,
 
 
 def read_paired_columns(spark: SparkSession, path: str, header: str = r"^(Tr|Ab) Bois (\S+)", look: int = 100, average: bool = False) -> DataFrame:
-    """(sample_id, scan_idx, rt, value) of a headerless export with Tr and Ab columns side by side.
+    """(sample_id, scan_idx, rt, value) of a headerless export with Tr and Ab columns side by side; one file, as its rows are told by their order.
 
     The header is the first of ``look`` rows that matches. Rows empty in both columns are
     dropped. With ``average`` replicates (ids that differ in a final -n) are averaged by
@@ -71,6 +88,35 @@ def read_paired_columns(spark: SparkSession, path: str, header: str = r"^(Tr|Ab)
     return out.select("sample_id", "scan_idx", "rt", "value")
 
 
+#: Headers of exports by letter and year, with an optional letter of the replicate.
+_ESTER = r"(?i)^\s*(Tr|Ab)\s*(?:Bois|Esters)\s*[_\-\s]*([A-Za-z])[_\-\s]*(\d{2,4})(?:[_\-\s]*([A-Za-z]))?\s*$"
+
+
+def ester_name(header: Column) -> Column:
+    """(kind, base, replicate) of a header such as ``Tr Esters V_1990-A``: Tr, V1990 and A; null where it does not parse, replicate null where there is none."""
+    group = lambda k: F.regexp_extract(header, _ESTER, k)
+    parsed = F.struct(F.initcap(group(1)).alias("kind"), F.concat(F.upper(group(2)), group(3)).alias("base"), F.nullif(F.upper(group(4)), F.lit("")).alias("replicate"))
+    return F.when(header.rlike(_ESTER), parsed)
+
+
+def read_ester_columns(spark: SparkSession, path: str, look: int = 200) -> DataFrame:
+    """(sample_id, scan_idx, rt, value) of a headerless export whose headers name letter and year: replicates are averaged line by line.
+
+    The header is the first of ``look`` lines with a cell that parses (:func:`ester_name`).
+    Samples without both Tr and Ab columns are left out; cells that are no numbers do not
+    count, and lines without any number of a sample are dropped from it.
+    """
+    raw = spark.read.csv(path).withColumn("_row", F.monotonically_increasing_id())
+    cells = raw.unpivot(["_row"], [c for c in raw.columns if c != "_row"], "col", "cell").withColumn("_name", ester_name(F.col("cell")))
+    heads = cells.where(F.col("_name").isNotNull() & (F.col("_row") < look))
+    first = heads.agg(F.min("_row").alias("_head"))
+    named = heads.join(first, F.col("_row") == F.col("_head")).select("col", "_head", "_name.kind", F.col("_name.base").alias("sample_id"))
+    both = named.groupBy("sample_id").agg(F.count_distinct("kind").alias("_k")).where("_k = 2").select("sample_id")
+    body = cells.drop("_name").join(named.join(both, "sample_id"), "col").where("_row > _head").withColumn("v", F.expr("try_cast(cell AS DOUBLE)"))
+    mean = body.groupBy("sample_id", "_row").agg(F.avg(F.when(F.col("kind") == "Tr", F.col("v"))).alias("rt"), F.avg(F.when(F.col("kind") == "Ab", F.col("v"))).alias("value")).where("rt IS NOT NULL OR value IS NOT NULL")
+    return mean.select("sample_id", (F.row_number().over(Window.partitionBy("sample_id").orderBy("_row")) - 1).alias("scan_idx"), "rt", "value")
+
+
 def read_alternating_columns(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, scan_idx, rt, value): names in row 1 over pairs of (RT, TIC) columns; repeated names are numbered -1, -2."""
     raw = spark.read.csv(path).withColumn("_row", F.monotonically_increasing_id())
@@ -109,10 +155,14 @@ def read_sensory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_acquisitions(spark: SparkSession, glob: str) -> DataFrame:
-    """(sample_id, acquired): the AcqTime of every sample_info.xml, its time zone dropped, in the order of time."""
-    text = spark.read.option("wholetext", True).text(glob).withColumn("_p", F.col("_metadata.file_path"))
-    at = F.regexp_extract("value", r"(?s)<DisplayName>AcqTime</DisplayName>.*?<Value>(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)", 1)
-    return text.select(F.regexp_extract("_p", r"([^/]+)\.D/", 1).alias("sample_id"), F.to_timestamp(F.nullif(at, F.lit("")), "yyyy-MM-dd'T'HH:mm:ss").alias("acquired")).orderBy("acquired", "sample_id")
+    """(sample_id, acquired, origin): the AcqTime of every sample_info.xml, its time zone dropped, in the order of time; runs without one come first.
+
+    ``origin`` is the region that the first letter of the run's name stands for, or Unknown.
+    """
+    text = spark.read.option("wholetext", True).text(glob).withColumn("_p", F.url_decode(F.col("_metadata.file_path")))
+    at = F.regexp_extract("value", r"(?s)<DisplayName>AcqTime</DisplayName>.*?<Value>\s*(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)", 1)
+    found = text.select(F.regexp_extract("_p", r"([^/]+)\.D/", 1).alias("sample_id"), F.to_timestamp(F.nullif(at, F.lit("")), "yyyy-MM-dd'T'HH:mm:ss").alias("acquired"))
+    return found.withColumn("origin", L.origin(F.col("sample_id"))).orderBy("acquired", "sample_id")
 
 
 def join_datasets(parts: list[DataFrame]) -> DataFrame:

@@ -118,6 +118,21 @@ def test_readers(spark, tmp_path):
     assert {(r.mz, r.intensity) for r in R.centroids_to_grid(c, 40, 42).collect()} == {(40, 3.0), (42, 4.0)}
 
 
+def test_ester_names_and_margins(spark, tmp_path):
+    names = ["Tr Esters V_1990-A", "ab bois v 1990 b", "Ab Esters F_85", "Tr Bois D2018", "Tr Esters V1990x9", "Esters V_1990", "", None]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string")
+    got = [r.e and tuple(r.e) for r in df.select(R.ester_name(F.col("n")).alias("e"), "k").orderBy("k").collect()]
+    assert got == [("Tr", "V1990", "A"), ("Ab", "V1990", "B"), ("Ab", "F85", None), ("Tr", "D2018", None), None, None, None, None]
+    (tmp_path / "e.csv").write_text("x,,,,\nTr Esters V_1990-A,Ab Esters V_1990-A,Tr Esters V_1990-B,Ab Esters V_1990-B,Tr Bois D2018\n1,10,3,20,5\n2,12,,,6\n,,,,7\n")
+    assert sorted(tuple(r) for r in R.read_ester_columns(spark, str(tmp_path / "e.csv")).collect()) == [("V1990", 0, 2.0, 15.0), ("V1990", 1, 2.0, 12.0)]
+    for name, head, n in (("B", "t,40,41,x", 3), ("A", "t,note,40,41,42,y", 2)):
+        (tmp_path / "runs" / f"{name}.D").mkdir(parents=True)
+        (tmp_path / "runs" / f"{name}.D" / f"{name}.csv").write_text("\n".join([head, *[",".join(["1"] * len(head.split(",")))] * n]))
+    assert [tuple(r) for r in R.run_margins(spark, str(tmp_path / "runs")).collect()] == [(3, 2, 4)]
+    with pytest.raises(Exception):
+        R.run_margins(spark, str(tmp_path / "none"))
+
+
 def test_sheet(spark):
     sheet = spark.createDataFrame([(1, 5.0, 7.0), (2, 6.0, 8.0)], "`row` int, `Ab Bois_D2018` double, `other` double")
     assert [(r.sample_id, r["values"]) for r in R.sheet_to_vectors(sheet, "row").collect()] == [("D2018", [5.0, 6.0])]

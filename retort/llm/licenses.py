@@ -9,6 +9,8 @@ match, so prose that mentions a licence does not.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,7 @@ SPELLINGS = {
 }
 
 # Known notices and short licence texts.
-KNOWN = (
+_NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -47,6 +49,10 @@ KNOWN = (
 )
 
 
+#: Notices, and the whole texts of the files beside this module, named by their licence.
+KNOWN = (*_NOTICES, *((f.stem, f.read_text(encoding="utf-8")) for f in sorted(Path(__file__).with_name("known_licenses").glob("*.txt"))))
+
+
 def canonical(text: Column) -> Column:
     """The form in which texts are compared; empty for a text of copyright lines and marks alone."""
     text = F.regexp_replace(F.lower(text), r"(?dm)^[^\p{L}\p{N}\n]*(copyright\b|©|\(c\)\s*(copyright\b|\d{4}))[^\n]*$", " ")

@@ -98,13 +98,10 @@ def shares(stats: DataFrame) -> DataFrame:
     return stats.withColumns({name: F.expr(f"CASE WHEN n_words > 0 THEN ceil({rule} * {GRID}) / {GRID}D ELSE 0D END") for name, rule in RULES.items()})
 
 
-def _lookup(frame: DataFrame, value: str) -> DataFrame:
-    """One row with the map ``_by`` from stratum to ``value``; strata, rules and steps of the ladder bound its size."""
-    return frame.agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("stratum", F.lit(_NONE)), F.col(value)))).alias("_by"))
-
-
-def _own(stratum: str) -> Column:
-    return F.element_at("_by", F.coalesce(F.col(stratum), F.lit(_NONE)))
+def _with(rows: DataFrame, stratum: str, values: DataFrame, value: str, how: str) -> DataFrame:
+    """Rows with ``value`` of their stratum; a null stratum is one of its own. The optimiser knows the sizes of both sides."""
+    found = values.select(F.coalesce("stratum", F.lit(_NONE)).alias("_key"), F.col(value).alias(f"_{value}"))
+    return rows.withColumn("_key", F.coalesce(F.col(stratum), F.lit(_NONE))).join(found, "_key", how).drop("_key")
 
 
 def ladders(proposing: DataFrame) -> DataFrame:
@@ -123,15 +120,15 @@ def risk_cutoffs(labelled: DataFrame, risk: float = 0.02, error: float = 0.05) -
     ``rejected`` how many of them the set rejects. Only counts by stratum are shuffled.
     """
     ladder = written(ladders(labelled.where("NOT holdout")), "ladders")
-    known = labelled.where("holdout").crossJoin(_lookup(ladder, "ladder")).withColumn("_ladder", _own("stratum")).where("_ladder IS NOT NULL")
+    known = _with(labelled.where("holdout"), "stratum", ladder, "ladder", "inner")
     hit = lambda k: F.expr(" OR ".join(f"{r} > _ladder[{k}][{j}]" for j, r in enumerate(RULES))).cast("long")
     n_steps = len(ABOVE) + len(QUANTILES)
     tested = known.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[F.sum(hit(k)) for k in range(n_steps)]).alias("counts"))
     tests = ladder.agg(F.count("*").alias("tests"))
     limit = tested.crossJoin(tests).withColumn("allowed", F.expr(_largest_allowed(risk, error)))
     steps = F.expr("aggregate(counts, struct(0 AS steps, true AS on), (s, c) -> struct(s.steps + int(s.on AND c <= allowed) AS steps, s.on AND c <= allowed AS on), s -> s.steps)")
-    found = limit.withColumn("steps", steps).crossJoin(_lookup(ladder, "ladder"))
-    return found.select("stratum", F.when(F.col("steps") > 0, F.get(_own("stratum"), F.col("steps") - 1)).alias("cutoffs"), "steps", "n", F.when(F.col("steps") > 0, F.get("counts", F.col("steps") - 1)).alias("rejected"))
+    found = _with(limit.withColumn("steps", steps), "stratum", ladder, "ladder", "inner")
+    return found.select("stratum", F.when(F.col("steps") > 0, F.get("_ladder", F.col("steps") - 1)).alias("cutoffs"), "steps", "n", F.when(F.col("steps") > 0, F.get("counts", F.col("steps") - 1)).alias("rejected"))
 
 
 def _largest_allowed(risk: float, error: float) -> str:
@@ -168,8 +165,8 @@ def _judged(docs: DataFrame, labels: DataFrame, stratum: str, risk: float, error
     known = stats.where("NOT base_failed").select(F.col("_id").alias("doc_id"), F.struct(F.col("_stratum").alias("stratum"), *RULES).alias("v")).join(truth, "doc_id")
     once = known.groupBy("doc_id").agg(F.min("v").alias("v")).select(F.expr(holdout_fold()).alias("holdout"), "v.*")
     cutoffs = written(risk_cutoffs(written(once, "labelled"), risk, error).where("cutoffs IS NOT NULL"), "cutoffs")
-    hits = [F.when(F.col(r) > F.get(_own("_stratum"), F.lit(j)), F.lit(r)) for j, r in enumerate(RULES)]
-    out = stats.crossJoin(_lookup(cutoffs, "cutoffs")).withColumn("rejected_by", F.array_compact(F.array(*hits)))
+    hits = [F.when(F.col(r) > F.get("_cutoffs", F.lit(j)), F.lit(r)) for j, r in enumerate(RULES)]
+    out = _with(stats, "_stratum", cutoffs, "cutoffs", "left").withColumn("rejected_by", F.array_compact(F.array(*hits)))
     return out.select("_row", "_s", "base_failed", "rejected_by", F.expr("NOT base_failed AND size(rejected_by) = 0").alias("kept"))
 
 

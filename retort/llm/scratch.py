@@ -2,43 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where a local session names none (tests) a temporary folder is made and recorded in
-    the session, so that one session uses one folder. On a cluster executors would not
-    share such a folder, so there the setting has to be given.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="retort-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below :func:`shared_dir`."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it as Parquet to the shared folder and reread it.
-
-    The result survives lost executors, because it no longer depends on shuffle files.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from retort.sources.shared import shared_path as new_path
+from retort.sources.shared import stored as written
 
 
 #: Keys that :func:`with_values` calls hot: those with more rows than this and more than one in HOT_MOST of all rows.

@@ -94,7 +94,8 @@ def write_token_files(coded: DataFrame, path: str, kind: str) -> None:
             yield close()
 
     schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("long", pa.bool_()), ("segments", pa.list_(pa.binary()))])
-    ordered = coded.repartitionByRange(int(files), "doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows of one doc_id, null ones too, are parted by their first ids, in the order of which they are written
+    ordered = coded.repartitionByRange(int(files), F.col("doc_id"), F.substring("ids", 1, 32)).sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 

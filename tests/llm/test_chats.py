@@ -82,3 +82,29 @@ def test_a_long_turn_spans_blocks(spark):
     lines = C.as_lines(spark.createDataFrame(rows, SCHEMA).withColumn("turn", C.F.coalesce("turn", C.F.lit(-1))))
     assert lines.select("block").distinct().count() == 5 and lines.groupBy("block").count().agg({"count": "max"}).collect()[0][0] == 1024
     assert sum(x.n_lines for x in C.format_chats(spark.createDataFrame(rows, SCHEMA)).collect()) == 5003
+
+
+def test_query_against_a_plain_parser(spark, data):
+    """The registered query: each half of the conversations is parsed by the model of the other half."""
+    turns = C.transcripts(spark.read.parquet(f"{data}/conversations.parquet"))
+    lines = C.as_lines(turns).withColumn("fold", C.F.expr("pmod(xxhash64(conv_id), 2)"))
+    models = [C.fit(lines.where(f"fold <> {k}").drop("fold")) for k in (0, 1)]
+    texts, fold = {}, {}
+    for x in sorted(lines.select("conv_id", "n", "line", "fold").collect(), key=lambda x: (x.conv_id, x.n)):
+        texts.setdefault(x.conv_id, []).append(x.line)
+        fold[x.conv_id] = x.fold
+    rows = {c: "\n".join(r.text for r in sorted(g, key=lambda r: r.turn)) for c, g in _grouped(turns.collect()).items()}
+    assert {c: "\n".join(t) for c, t in texts.items()} == rows
+    got = {}
+    for x in C.query(spark, data).collect():
+        got.setdefault(x.conv_id, {})[x.turn_no] = (x.role, x.n_lines, x.rendered)
+    assert got.keys() == texts.keys()
+    for c, t in texts.items():
+        assert [got[c][k] for k in range(len(got[c]))] == brute(t, models[fold[c]])
+
+
+def _grouped(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.conv_id, []).append(r)
+    return out

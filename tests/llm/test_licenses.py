@@ -48,3 +48,16 @@ def test_whole_texts_from_files(spark, tmp_path):
     docs = spark.createDataFrame([(1, "YOU MAY USE this license")], "doc_id long, text string")
     assert [r.license for r in L.scan_licenses(docs, L.read_known(spark, str(tmp_path))).collect()] == ["My-License 1.0"]
     assert L.scan_licenses(docs.limit(0), L.read_known(spark, str(tmp_path))).collect() == []
+
+
+def test_whole_licence_texts_are_known_however_they_are_wrapped(spark):
+    """Documents that are a licence's text under a copyright line, wrapped anew, in capitals, or within other paragraphs."""
+    whole = {n: t for n, t in L.KNOWN if len(t) > 600}
+    assert {"Apache-2.0", "MPL-2.0", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "MIT", "ISC"} <= whole.keys()
+    rows, want = [], set()
+    for k, (n, t) in enumerate(sorted(whole.items())):
+        rows += [(10 * k, "Copyright (c) 2020 Some One\n" + t), (10 * k + 1, " ".join(t.upper().replace("LICENSE", "LICENCE").split())), (10 * k + 2, t + " One more clause.")]
+        want |= {(10 * k, n)} | ({(10 * k + 1, n)} if not re.search(r"(?im)^\W*copyright", t) else set())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in L.scan_licenses(docs, L.default_known(spark)).where("unit = 'document'").collect()}
+    assert got == want and len(want) > len(whole)

@@ -142,3 +142,15 @@ def test_many_rows_of_one_labelled_id_are_one_training_row(spark):
     got = sorted((r.doc_id, r.text) for r in Q._sample(docs, labels, 100).collect())
     known = {k for k in (6, 7, 8) if zlib.crc32(str(k).encode()) % 3 != 1}
     assert known and [i for i, _ in got] == sorted(known)
+
+
+def test_ten_thousand_strata(spark):
+    """Strata are joined, not held in one map: one with labels enough gets cutoffs, the others and a null one reject nothing."""
+    body = "plain words of some length here and there " * 8
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(body), F.col("id")).alias("text"), F.when(F.col("id") % 3 == 0, "big").when(F.col("id") % 97 == 0, None).otherwise(F.concat(F.lit("host"), F.col("id"))).alias("host"))
+    docs = docs.withColumn("text", F.concat_ws(" ", F.lit(" ".join(f"w{k}" for k in range(60))), F.col("doc_id"), F.when(F.col("doc_id") % 900 == 3, F.lit(" ".join(f"#{k}$%" for k in range(80))))))
+    labels = spark.range(10_000).select(F.col("id").alias("doc_id"), (F.col("id") % 900 != 3).cast("int").alias("quality"))
+    out = R.quality_rules(docs, labels, stratum="host", columns=["doc_id", "host"]).select("doc_id", "host", "base_failed", "kept").collect()
+    assert len(out) == 10_000
+    gone = {r.doc_id for r in out if not r.kept and not r.base_failed}
+    assert gone and all(r.host == "big" for r in out if r.doc_id in gone) and {k for k in range(10_000) if k % 900 == 3} >= gone

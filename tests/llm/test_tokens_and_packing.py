@@ -108,6 +108,31 @@ def test_packed_pieces(spark, coder):
     assert P.pack(docs.limit(0)).collect() == []
 
 
+def test_query_holds_every_id_of_every_document_once(spark, coder, data):
+    """All pieces of the registered query against plain encoding: start, length, checksum, doc_tokens and places in sequences."""
+    want = {r.doc_id: plain(coder, r.text, 2) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    rows, used = P.query(spark, data).collect(), {}
+    by_doc, by_sequence = {}, {}
+    for x in rows:
+        by_doc.setdefault(x.doc_id, []).append(x)
+        by_sequence.setdefault(x.sequence_id, []).append(x)
+    assert by_doc.keys() == want.keys()
+    for i, pieces in by_doc.items():
+        at = 0
+        for x in sorted(pieces, key=lambda x: x.start):
+            assert x.start == at and x.length > 0 and x.doc_tokens == len(want[i])
+            assert x.ids_crc32 == zlib.crc32(np.array(want[i][at : at + x.length], "<u4").tobytes())
+            at += x.length
+        assert at == len(want[i])
+    for name, pieces in by_sequence.items():
+        at = 0
+        for x in sorted(pieces, key=lambda x: x.offset):
+            assert x.offset == at
+            at += x.length
+        used[name] = at
+    assert max(used.values()) <= 4096 and sum(used.values()) > 0.95 * 4096 * (len(used) - 1)
+
+
 def test_differencing_holds_no_empty_windows():
     sizes = np.random.default_rng(1).integers(1, 3, 40_000)
     tracemalloc.start()

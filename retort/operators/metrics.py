@@ -124,3 +124,31 @@ def average_by(rows: DataFrame, key: str, value: str, *more: str) -> DataFrame:
 def mean_predictions(predictions: DataFrame, *keys: str) -> DataFrame:
     """(keys, y_true, y_pred, repeats): means over the repeats of (repeat, keys, y_true, y_pred)."""
     return predictions.groupBy(*keys).agg(F.avg("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred"), F.count_distinct("repeat").alias("repeats"))
+
+
+def mean_scores(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(keys, values): the mean of each value over all rows of the keys."""
+    return rows.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
+
+
+def spread_by_attribute(rows: DataFrame, values: list[str]) -> DataFrame:
+    """(attribute, std, least, most) of each named column, with the sample deviation."""
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(v).alias("attribute"), F.col(v).cast("double").alias("v")) for v in values])).alias("e")).select("e.*")
+    return each.groupBy("attribute").agg(F.stddev_samp("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+
+def centred_by(rows: DataFrame, key: str, *values: str) -> DataFrame:
+    """Rows with the mean over their key taken off each value, from one aggregation that is joined back."""
+    means = rows.groupBy(key).agg(*[F.avg(v).alias(f"_m_{v}") for v in values]).withColumnRenamed(key, "_key")
+    joined = rows.join(means, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    return joined.withColumns({v: F.col(v) - F.col(f"_m_{v}") for v in values}).drop(*[f"_m_{v}" for v in values])
+
+
+def numbered_replicates(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows with ``replicate``, their number from 1 within the keys."""
+    return rows.withColumn("replicate", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def step_curve(scores: DataFrame, step: str, value: str) -> DataFrame:
+    """(step, mean, std, n) of a score over repeats, with the population deviation."""
+    return scores.groupBy(step).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("n"))

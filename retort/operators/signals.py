@@ -108,6 +108,17 @@ def compound_mask(scans: DataFrame, compounds: DataFrame) -> DataFrame:
     return out.withColumn("intensity", F.when(F.col("_hit"), 0.0).otherwise(F.col("intensity"))).drop("_hit")
 
 
+def emphasised(tics: DataFrame, power: float = 1.5, value: str = "tic") -> DataFrame:
+    """The signal raised to a power, so that tall peaks weigh more; negative values keep their sign."""
+    return tics.withColumn(value, F.signum(value) * F.pow(F.abs(value), F.lit(power)))
+
+
+def shifted_scans(tics: DataFrame, by: int, value: str = "tic") -> DataFrame:
+    """(sample_id, scan_idx, value) moved by so many scans on the same axis: 0 where nothing came from, what leaves the axis is dropped."""
+    moved = tics.select("sample_id", (F.col("scan_idx") + by).alias("scan_idx"), value)
+    return tics.select("sample_id", "scan_idx").join(moved, ["sample_id", "scan_idx"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+
+
 def window_index(scans: DataFrame, starts: DataFrame) -> DataFrame:
     """(name, idx): the first scan at or after each ``rt_ms`` of starts (name, at_ms); the scan count where none is.
 
@@ -127,25 +138,30 @@ def window_index(scans: DataFrame, starts: DataFrame) -> DataFrame:
     return found.select("name", F.coalesce("_i", "_end").alias("idx"))
 
 
+def prefix_matches(wines: DataFrame, runs: DataFrame) -> DataFrame:
+    """(wine, sample_id) of the runs whose id begins with a wine's name: every prefix of a run's id is looked up, an equi join."""
+    named = wines.select("wine").distinct().withColumn("_p", F.col("wine").cast("string"))
+    return _prefixed(runs.select("sample_id").distinct()).join(named, "_p").select("wine", "sample_id")
+
+
 def replicate_average(traces: DataFrame, wines: DataFrame, *keys: str, value: str = "value") -> DataFrame:
     """(wine, keys, value): the mean over all samples whose id begins with the wine's name; a mean that is not a number becomes 0.
 
-    ``traces`` is (sample_id, keys, value). Every prefix of a sample's id is looked up, an
-    equi join with one row for each letter; wines without a sample give no row
-    (:func:`without_replicates` counts them).
+    ``traces`` is (sample_id, keys, value). Wines without a sample give no row
+    (:func:`without_replicates` lists them).
     """
-    named = _prefixed(traces).join(wines.select("wine").distinct(), "wine")
+    named = traces.join(prefix_matches(wines, traces), "sample_id")
     return named.groupBy("wine", *keys).agg(F.nanvl(F.avg(F.col(value).cast("double")), F.lit(0.0)).alias(value))
 
 
 def without_replicates(traces: DataFrame, wines: DataFrame) -> DataFrame:
     """(wine,) of the wines whose name begins no sample's id."""
-    return wines.select("wine").distinct().join(_prefixed(traces.select("sample_id").distinct()).select("wine").distinct(), "wine", "left_anti")
+    return wines.select("wine").distinct().join(prefix_matches(wines, traces), "wine", "left_anti")
 
 
-def _prefixed(traces: DataFrame) -> DataFrame:
+def _prefixed(runs: DataFrame) -> DataFrame:
     name = F.col("sample_id").cast("string")
-    return traces.withColumn("wine", F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(name, F.lit(1), n))))
+    return runs.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(name, F.lit(1), n))))
 
 
 def pad_or_truncate(values: Column, n: int) -> Column:

@@ -141,7 +141,7 @@ def _(spark, d):
 
 @query("emphasise_peaks", f"WITH {TIC} SELECT sample_id, scan_idx, round(pow(tic, 1.5), 4) AS tic FROM tic")
 def _(spark, d):
-    return S.tic(scans(spark, d)).select("sample_id", "scan_idx", F.round(F.pow("tic", F.lit(1.5)), 4).alias("tic"))
+    return S.emphasised(S.tic(scans(spark, d))).select("sample_id", "scan_idx", F.round("tic", 4).alias("tic"))
 
 
 @query("merge_renamed", "WITH a AS (SELECT c_custkey::VARCHAR AS sample_id, c_acctbal AS v FROM customer), b AS (SELECT p_partkey::VARCHAR AS sample_id, p_retailprice AS v FROM part) SELECT * FROM a UNION ALL SELECT CASE WHEN sample_id IN (SELECT sample_id FROM a) THEN sample_id || 'b' ELSE sample_id END, v FROM b")

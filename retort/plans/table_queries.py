@@ -110,9 +110,7 @@ for _by, _pick in ((5, "greatest(pos - 5, 0)"), (-7, "least(pos + 7, 63)")):
 @query("shift_scans", f"WITH {TIC}, a AS (SELECT DISTINCT sample_id, scan_idx FROM tic) SELECT a.sample_id, a.scan_idx, coalesce(t.tic, 0) AS tic FROM a LEFT JOIN tic t ON t.sample_id = a.sample_id AND t.scan_idx = a.scan_idx - 3")
 def _(spark, d):
     """Signals moved by three scans, zeros where nothing came from."""
-    t = S.tic(scans(spark, d))
-    moved = t.withColumn("scan_idx", F.col("scan_idx") + 3)
-    return t.select("sample_id", "scan_idx").join(moved, ["sample_id", "scan_idx"], "left").withColumn("tic", F.coalesce("tic", F.lit(0.0)))
+    return S.shifted_scans(S.tic(scans(spark, d)), 3)
 
 
 @query("natural_order", "SELECT source, (row_number() OVER (ORDER BY regexp_replace(source, '[0-9]+', ''), coalesce(try_cast(regexp_extract(source, '[0-9]+') AS BIGINT), -1)))::INTEGER AS place FROM (SELECT DISTINCT source FROM documents)")
@@ -139,11 +137,9 @@ def _(spark, d):
 
 @query("prefix_join", "SELECT s.s_suppkey AS wine, p.p_partkey AS run FROM supplier s JOIN part p ON starts_with(p.p_partkey::VARCHAR, s.s_suppkey::VARCHAR)")
 def _(spark, d):
-    """Runs whose id begins with a wine's code: an equi join on every prefix of the run's id."""
-    wines = table(spark, d, "supplier").select(F.col("s_suppkey").alias("wine"), F.col("s_suppkey").cast("string").alias("_p"))
-    runs = table(spark, d, "part").select(F.col("p_partkey").alias("run"), F.col("p_partkey").cast("string").alias("_r"))
-    cut = runs.select("run", F.explode(F.transform(F.sequence(F.lit(1), F.length("_r")), lambda n: F.left(F.col("_r"), n))).alias("_p"))
-    return cut.join(wines, "_p").select("wine", "run")
+    """Runs whose id begins with a wine's code."""
+    wines = table(spark, d, "supplier").select(F.col("s_suppkey").alias("wine"))
+    return S.prefix_matches(wines, table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"))).withColumnRenamed("sample_id", "run")
 
 
 #: Nations' keys as wines: a supplier belongs to each whose key begins its number.
@@ -267,18 +263,17 @@ def _(spark, d):
 
 @query("score_means", f"WITH {SENSORY} SELECT wine, taster, round(avg(fruity), 6) AS fruity, round(avg(citrus), 6) AS citrus FROM sensory GROUP BY ALL")
 def _(spark, d):
-    return sensory(spark, d).groupBy("wine", "taster").agg(F.round(F.avg("fruity"), 6).alias("fruity"), F.round(F.avg("citrus"), 6).alias("citrus"))
+    return M.mean_scores(sensory(spark, d), ["wine", "taster"], ["fruity", "citrus"]).select("wine", "taster", F.round("fruity", 6).alias("fruity"), F.round("citrus", 6).alias("citrus"))
 
 
 @query("attribute_spread", f"WITH {SENSORY}, u AS (SELECT 'fruity' AS attribute, fruity AS v FROM sensory UNION ALL SELECT 'citrus', citrus FROM sensory) SELECT attribute, round(stddev_samp(v), 4) AS std, min(v) AS least, max(v) AS most FROM u GROUP BY 1")
 def _(spark, d):
-    u = sensory(spark, d).unpivot(["wine"], ["fruity", "citrus"], "attribute", "v")
-    return u.groupBy("attribute").agg(F.round(F.stddev_samp("v"), 4).alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
+    return M.spread_by_attribute(sensory(spark, d), ["fruity", "citrus"]).select("attribute", F.round("std", 4).alias("std"), "least", "most")
 
 
 @query("centre_by_taster", f"WITH {SENSORY} SELECT o_orderkey, round(fruity - avg(fruity) OVER (PARTITION BY taster), 5) AS fruity FROM sensory")
 def _(spark, d):
-    return sensory(spark, d).select("o_orderkey", F.round(F.col("fruity") - F.avg("fruity").over(Window.partitionBy("taster")), 5).alias("fruity"))
+    return M.centred_by(sensory(spark, d), "taster", "fruity").select("o_orderkey", F.round("fruity", 5).alias("fruity"))
 
 
 @query("taster_scaling", f"WITH {SENSORY} SELECT taster, round(greatest(0, sum(fruity * citrus) / sum(fruity * fruity)), 6) AS factor FROM sensory GROUP BY 1 HAVING count(*) >= 2")
@@ -289,7 +284,7 @@ def _(spark, d):
 
 @query("replicate_numbers", "SELECT c_custkey, (row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey))::INTEGER AS replicate FROM customer")
 def _(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")).alias("replicate"))
+    return M.numbered_replicates(table(spark, d, "customer"), ["c_nationkey", "c_mktsegment"], "c_custkey").select("c_custkey", "replicate")
 
 
 # Scaling
@@ -538,12 +533,12 @@ def _(spark, d):
 @query("step_curves", "WITH s AS (SELECT l_suppkey AS rep, l_partkey % 30 AS step, avg(l_discount) AS acc FROM lineitem GROUP BY ALL) SELECT step, round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS std, count(*) AS n FROM s GROUP BY 1")
 def _(spark, d):
     s = table(spark, d, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % 30).alias("step")).agg(F.avg("l_discount").alias("acc"))
-    return s.groupBy("step").agg(F.round(F.avg("acc"), 6).alias("mean"), F.round(F.stddev_pop("acc"), 6).alias("std"), F.count("*").alias("n"))
+    return M.step_curve(s, "step", "acc").select("step", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
 @query("mean_scores_per_sample", f"WITH {FEATURES} SELECT label, pos, round(avg(value), 6) AS value FROM features GROUP BY ALL")
 def _(spark, d):
-    return features(spark, d).groupBy("label", "pos").agg(F.round(F.avg("value"), 6).alias("value"))
+    return M.mean_scores(features(spark, d), ["label", "pos"], ["value"]).select("label", "pos", F.round("value", 6).alias("value"))
 
 
 @query("fold_weights", f"WITH {FEATURES}, m AS (SELECT pos, avg(value) AS w FROM features GROUP BY 1), t AS (SELECT max(abs(w)) AS t FROM m) SELECT pos, round(w / t, 6) AS w, abs(w / t) >= 0.5 AS strong FROM m, t")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 
 def _draw(*parts: str | int) -> Column:
-    return F.xxhash64(*[F.lit(p) if isinstance(p, int) else F.col(p) for p in parts])
+    """A number of 60 bits that is fixed by the columns and the numbers given, on any engine."""
+    text = F.concat_ws("/", *[F.lit(str(p)) if isinstance(p, int) else F.col(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def leave_one_out(samples: DataFrame, unit: str = "sample_id") -> DataFrame:
@@ -42,8 +44,7 @@ def _of_units(chosen: DataFrame, samples: DataFrame, label: str, unit: str) -> D
 def drawn_one_per_class(samples: DataFrame, label: str, repeats: int, seed: int = 0, unit: str = "sample_id") -> DataFrame:
     """Each repeat tests one unit of each class, drawn anew and independently by a hash of class, repeat and seed; all samples of the unit are tested."""
     placed = _units_by_class(samples, label, unit).withColumn("split_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    drawn = F.conv(F.substring(F.md5(F.concat_ws("/", F.col(label).cast("string"), F.col("split_id").cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
-    return _of_units(placed.where(F.col("_k") == drawn % F.col("_n")), samples, label, unit)
+    return _of_units(placed.where(F.col("_k") == _draw(label, "split_id", seed) % F.col("_n")), samples, label, unit)
 
 
 def all_one_per_class(samples: DataFrame, label: str, first: int = 0, count: int | None = None, unit: str = "sample_id") -> DataFrame:
@@ -70,7 +71,7 @@ def group_shuffle(samples: DataFrame, group: str, share: float, repeats: int, se
     With a label, a class that got no group adds its first one by the same draw.
     """
     groups = samples.select(F.col(group).alias("_g"), *([label] if label else [])).distinct()
-    each = groups.withColumn("split_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_d", F.xxhash64("_g", "split_id", F.lit(seed)))
+    each = groups.withColumn("split_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_d", _draw("_g", "split_id", seed))
     w = Window.partitionBy("split_id")
     ranked = each.withColumn("_k", F.row_number().over(w.orderBy("_d", "_g"))).withColumn("_n", F.count("*").over(w))
     test = F.col("_k") <= F.floor(F.col("_n") * share)
@@ -84,7 +85,7 @@ def group_shuffle(samples: DataFrame, group: str, share: float, repeats: int, se
 def stratified_folds(samples: DataFrame, label: str, folds: int, repeats: int = 1, seed: int = 0) -> DataFrame:
     """Each class is dealt round-robin to the folds in a seeded order; split_id counts repeats times folds."""
     each = samples.select("sample_id", label).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    k = F.row_number().over(Window.partitionBy("_r", label).orderBy(F.xxhash64("sample_id", "_r", F.lit(seed)), "sample_id")) - 1
+    k = F.row_number().over(Window.partitionBy("_r", label).orderBy(_draw("sample_id", "_r", seed), "sample_id")) - 1
     return each.withColumn("_k", k).select((F.col("_r") * folds + F.col("_k") % folds).cast("int").alias("split_id"), "sample_id")
 
 
@@ -99,7 +100,7 @@ def train_val_test(samples: DataFrame, label: str, val: float, test: float, seed
 def group_folds(samples: DataFrame, group: str, folds: int, seed: int = 0, repeats: int = 1) -> DataFrame:
     """Whole groups are dealt round-robin to folds in a seeded order, so that folds differ by one group at most; split_id counts repeats times folds."""
     groups = samples.select(F.col(group).alias("_g")).distinct().withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    k = F.row_number().over(Window.partitionBy("_r").orderBy(F.xxhash64("_g", "_r", F.lit(seed)), "_g")) - 1
+    k = F.row_number().over(Window.partitionBy("_r").orderBy(_draw("_g", "_r", seed), "_g")) - 1
     dealt = groups.withColumn("split_id", (F.col("_r") * folds + k % folds).cast("int"))
     return samples.select("sample_id", F.col(group).alias("_g")).join(dealt, "_g").select("split_id", "sample_id")
 

@@ -326,6 +326,40 @@ def _(spark, d):
     return P.leave_one_out(samples(spark, d), "wine")
 
 
+def _drawn(*parts: str) -> str:
+    """The draw of the splits as SQL."""
+    return "CAST('0x' || substr(md5(" + " || '/' || ".join(parts) + "), 1, 15) AS BIGINT)"
+
+
+_E = "e AS (SELECT vec_id AS sample_id, label, vec_id % 50 AS wine FROM embeddings)"
+
+
+@query("one_per_class_rows", f"WITH {_E}, k AS (SELECT sample_id, row_number() OVER (PARTITION BY label ORDER BY {_drawn('sample_id', '3')}, sample_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM e) SELECT r::INTEGER AS split_id, sample_id FROM k, (SELECT unnest(range(0, 20)) AS r) WHERE k = r % n")
+def _(spark, d):
+    return P.one_per_class(samples(spark, d), "label", 20, seed=3)
+
+
+@query("group_shuffle_rows", f"WITH {_E}, g AS (SELECT DISTINCT wine FROM e), k AS (SELECT r, wine, row_number() OVER (PARTITION BY r ORDER BY {_drawn('wine', 'r', '0')}, wine) AS k, count(*) OVER (PARTITION BY r) AS n FROM g, (SELECT unnest(range(0, 20)) AS r)) SELECT r::INTEGER AS split_id, sample_id FROM k JOIN e USING (wine) WHERE k <= floor(n * 0.2)")
+def _(spark, d):
+    """A fifth of the wines, whole, in each of twenty repeats."""
+    return P.group_shuffle(samples(spark, d), "wine", 0.2, 20)
+
+
+@query("stratified_fold_rows", f"WITH {_E} SELECT (r * 5 + (row_number() OVER (PARTITION BY r, label ORDER BY {_drawn('sample_id', 'r', '1')}, sample_id) - 1) % 5)::INTEGER AS split_id, sample_id FROM e, (SELECT unnest(range(0, 3)) AS r)")
+def _(spark, d):
+    return P.stratified_folds(samples(spark, d), "label", 5, 3, seed=1)
+
+
+@query("three_way_split_rows", f"WITH {_E}, k AS (SELECT sample_id, row_number() OVER (PARTITION BY label ORDER BY {_drawn('sample_id', '0')}, sample_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM e) SELECT sample_id, CASE WHEN k <= floor(n * 0.3) THEN 'test' WHEN k <= floor(n * 0.3) + floor(n * 0.2) THEN 'val' ELSE 'train' END AS role FROM k")
+def _(spark, d):
+    return P.train_val_test(samples(spark, d), "label", 0.2, 0.3)
+
+
+@query("group_fold_rows", f"WITH {_E}, g AS (SELECT DISTINCT wine FROM e), k AS (SELECT r, wine, (r * 4 + (row_number() OVER (PARTITION BY r ORDER BY {_drawn('wine', 'r', '2')}, wine) - 1) % 4)::INTEGER AS split_id FROM g, (SELECT unnest(range(0, 2)) AS r)) SELECT split_id, sample_id FROM k JOIN e USING (wine)")
+def _(spark, d):
+    return P.group_folds(samples(spark, d), "wine", 4, seed=2, repeats=2)
+
+
 @query("one_per_class_sizes", "SELECT unnest(range(0, 20))::INTEGER AS split_id, (SELECT count(DISTINCT label) FROM embeddings) AS n")
 def _(spark, d):
     return P.one_per_class(samples(spark, d), "label", 20).groupBy("split_id").agg(F.count("*").alias("n"))

@@ -78,7 +78,7 @@ def folded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def candidate_scores(tests: DataFrame, sums: DataFrame, sets: list[tuple[int, int, list[list[int]]]], alpha: float = 1.0) -> DataFrame:
     """(group, candidate, fold, score): balanced accuracy over each fold's test rows of each set (group, candidate, places).
 
-    A task has a block of a fold's test rows, the fold's sums and a chunk of the sets; it
+    A fold that leaves no row to train on gives no score. A task has a block of a fold's test rows, the fold's sums and a chunk of the sets; it
     fits each set and returns hits by class, so no row is joined to a model.
     """
     wanted = tests.sparkSession.createDataFrame([(g, k // CHUNK, c, places) for k, (g, c, places) in enumerate(sets)], "group int, chunk int, candidate int, places array<array<int>>")
@@ -93,6 +93,8 @@ def candidate_scores(tests: DataFrame, sums: DataFrame, sets: list[tuple[int, in
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
         m = model.iloc[0]
         s, x = X.Sums(int(m["p"]), m["m"], m["c"]), np.array(rows["x"].tolist(), float)
+        if s.n < 0.5:  # nothing to train on
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
         classes = np.array(list(rows["classes"].iloc[0]), object)
         label, place = np.unique(rows["label"].to_numpy(object), return_inverse=True)
         n, out = np.bincount(place), []
@@ -212,7 +214,7 @@ def survival(rows: DataFrame, labels: DataFrame, test: DataFrame, cubes: dict[in
         sets = [(g, j * len(names) + k, at(own)) for (g, j, k), own in trials.items() if own]
         mean = candidate_scores(inner_tests, inner_sums, sets, alpha).groupBy("group", "candidate").agg(F.avg("score").alias("score")) if sets else None
         told = {(r["group"], *divmod(r["candidate"], len(names))): r["score"] for r in mean.collect()} if sets else {}  # candidates times folds, which are few
-        told |= {t: 1 / n_classes for t, own in trials.items() if not own}
+        told |= {t: 0.0 if own else 1 / n_classes for t, own in trials.items() if t not in told}
         for g in groups:
             def score(k: int, g: int = g) -> float:
                 more = max([told[g, k, j] - told[g, k, k] for j in range(len(names)) if j != k and (g, k, j) in told], default=0.0) if look_ahead else 0.0
@@ -235,7 +237,8 @@ def set_scores(rows: DataFrame, labels: DataFrame, sets: list[tuple[int, list[in
     dealt = named.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int")).withColumn("group", F.lit(0)).withColumn("trains", F.lit(True))
     tests, sums = folded(dealt.select("group", "fold", "trains", "sample_id", "x", "y", "label", "classes"))
     scores = candidate_scores(tests, sums, [(0, k, [[p] for p in places]) for k, places in sets], alpha)
-    return scores.groupBy(F.col("candidate").alias("set_id")).agg(F.avg("score").alias("accuracy"))
+    every = rows.sparkSession.createDataFrame([(k,) for k, _ in sets], "set_id int")
+    return every.join(scores.groupBy(F.col("candidate").alias("set_id")).agg(F.avg("score").alias("accuracy")), "set_id", "left").na.fill(0.0, ["accuracy"])
 
 
 def by_signal(baseline: dict[int, float], least: int) -> Callable[[DataFrame], DataFrame]:

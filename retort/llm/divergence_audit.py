@@ -28,6 +28,8 @@ _TABLE = byte_table("abcdefghijklmnopqrstuvwxyz")
 TILE_TERMS, TILE_SOURCES = 1024, 128
 #: Split digests that a task is sent at most; if there are more, every digest is as wide as a split one.
 MOST_SPLIT = 10_000
+#: Bytes of text that are counted at once.
+SLICE = 6 << 20
 #: The unit of shares.
 UNIT = 1_000_000_000
 
@@ -60,7 +62,7 @@ def _counter(splits: Splits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words = _terms(part)
                 if not len(words.codes):
                     continue
@@ -88,7 +90,7 @@ def _speller(splits: Splits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 distinct = _terms(part).distinct
                 low, high = splits.digests(distinct.to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), distinct], ["low", "high", "term"])

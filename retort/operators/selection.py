@@ -81,9 +81,12 @@ def candidate_scores(tests: DataFrame, sums: DataFrame, sets: list[tuple[int, in
     A fold that leaves no row to train on gives no score. A task has a block of a fold's test rows, the fold's sums and a chunk of the sets; it
     fits each set and returns hits by class, so no row is joined to a model.
     """
-    wanted = tests.sparkSession.createDataFrame([(g, k // CHUNK, c, places) for k, (g, c, places) in enumerate(sets)], "group int, chunk int, candidate int, places array<array<int>>")
-    chunks = wanted.groupBy("group", "chunk").agg(F.collect_list(F.struct("candidate", "places")).alias("sets"))
-    every = tests.sparkSession.createDataFrame(sorted({(g, k // CHUNK) for k, (g, _, _) in enumerate(sets)}), "group int, chunk int")
+    dealt: dict[tuple[int, int], list] = {}
+    for k, (g, c, places) in enumerate(sets):
+        dealt.setdefault((g, k // CHUNK), []).append((c, places))
+    spark = tests.sparkSession
+    chunks = spark.createDataFrame([(*key, held) for key, held in dealt.items()], "group int, chunk int, sets array<struct<candidate: int, places: array<array<int>>>>")
+    every = spark.createDataFrame(sorted(dealt), "group int, chunk int")
     own = tests.join(F.broadcast(every), "group").select("group", "fold", "block", "chunk", "x", "label", "classes")
     models = sums.join(F.broadcast(chunks), "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
@@ -106,7 +109,8 @@ def candidate_scores(tests: DataFrame, sums: DataFrame, sets: list[tuple[int, in
 
     keys = ["group", "fold", "block", "chunk"]
     hits = own.groupBy(*keys).cogroup(models.groupBy(*keys)).applyInPandas(run, "group int, candidate int, fold int, label string, hits long, n long")
-    each = hits.groupBy("group", "candidate", "fold", "label").agg((F.sum("hits") / F.sum("n")).alias("_r"))
+    # one shuffle serves this sum and the means by fold and by candidate
+    each = hits.repartition("group", "candidate").groupBy("group", "candidate", "fold", "label").agg((F.sum("hits") / F.sum("n")).alias("_r"))
     return each.groupBy("group", "candidate", "fold").agg(F.avg("_r").alias("score"))
 
 

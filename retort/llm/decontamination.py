@@ -1,14 +1,14 @@
 """Benchmark decontamination: word n-gram and rare-word seeds, then Smith-Waterman alignment.
 
-One pass over the documents, in which each task aligns its own texts with the test items.
-Every n-gram of an item that a text holds is a seed. A copy at the limit that shares no
-n-gram has at most n - 1 equal words on end, so it must hold so many words of the item
-that one of the item's few rarest words is among them; those are seeds too. Which words
-are rare is counted in the texts at hand and only sets how many passages are tried.
-Passages that reach as far from a seed as an alignment at the limit can are dropped if
-their words cannot reach the limit in any order, and aligned word by word otherwise. So
-the result is that of aligning every document with every item. Test items are taken in
-blocks of bounded size, which are broadcast.
+One pass over the documents, in which each task joins its own texts with the test items by
+seeds and aligns them. Seeds are the rarest n-grams of an item, and its rarest words for
+copies that are edited so often that few n-grams are left; how many of them, and how many
+have to lie close together, follows from a counting bound (:func:`_chosen`), so that every
+copy at the limit is met. How rare they are is counted in the texts at hand and only sets how
+many passages are tried. Passages that reach as far from a seed as an alignment at the limit
+can are dropped if their words cannot reach the limit in any order, and aligned word by word
+otherwise. So the result is that of aligning every document with every item. Test items are
+taken in blocks of bounded size, which are broadcast.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ from retort.llm.words import Words, slices, split_words, window_hashes
 BLOCK_GRAMS = 1 << 21
 #: Seed hits, and places of alignment tables, that are worked on at once.
 CHUNK = 1 << 20
+#: Numbers of seeds that may be needed together, and of common n-grams that may be left out.
+NEEDED, SKIPPED = (1, 2, 3, 4, 6, 8), (0, 1, 2, 4, 8)
+#: Cost of a passage, as occurrences of seeds.
+PASSAGE = 400
 #: Alignment scores of a word that is equal, replaced, or missing on one side.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -59,24 +63,12 @@ class Items(NamedTuple):
     bounds: np.ndarray
     codes: np.ndarray
     vocabulary: pa.Array
-    #: Sorted distinct n-grams, and the items of n-gram g: owners[starts[g]:starts[g + 1]].
+    #: Sorted distinct n-grams, and the number of the one that begins at each word of an item, -1 at its last n - 1 words.
     grams: np.ndarray
-    starts: np.ndarray
-    owners: np.ndarray
-    #: Least score of a copy, words of a text it may span, and rarest words of which a copy without a common n-gram holds one.
+    gram_at: np.ndarray
+    #: Least score of a copy, and words of a text it may span.
     least: np.ndarray
     span: np.ndarray
-    rare: np.ndarray
-
-
-def _listed(keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, starts, items): the distinct items of each key lie together."""
-    order = np.lexsort((items, keys))
-    keys, items = keys[order], items[order]
-    new = np.r_[True, (np.diff(keys.view(np.int64)) != 0) | (np.diff(items) != 0)][: len(keys)]
-    keys, items = keys[new], items[new]
-    found, starts = np.unique(keys, return_index=True)
-    return found, np.r_[starts, len(keys)], items
 
 
 def prepared(rows: list[tuple[int | None, str]], n: int, similarity: float, long_score: int) -> Items:
@@ -87,47 +79,132 @@ def prepared(rows: list[tuple[int | None, str]], n: int, similarity: float, long
     ends = np.repeat(bounds[1:], size)
     hashes = window_hashes(codes.astype(np.uint64), n)
     at = np.flatnonzero(np.arange(len(hashes)) + n <= ends[: len(hashes)])
+    grams, number = np.unique(hashes[at], return_inverse=True)
+    gram_at = np.full(len(codes), -1)
+    gram_at[at] = number
     least = np.maximum(1, np.ceil(np.minimum(MATCH * size * similarity, long_score) - 1e-9)).astype(np.int64)
-    # Of m equal words without n on end at least m / (n - 1) - 1 edits part the stretches, so the score is at most m (2 - 1 / (n - 1)) + 1.
-    few = -(-least // MATCH)
-    if n > 1:
-        few = np.maximum(few, -(-(least - 1) * (n - 1) // (2 * n - 3)))
-    rare = np.maximum(0, size - few + 1) if n > 1 else np.zeros(len(size), np.int64)
-    return Items([i for i, _ in rows], bounds, codes, texts.distinct, *_listed(hashes[at], np.searchsorted(bounds, at, side="right") - 1), least, size + np.maximum(0, MATCH * size - least), rare)
-
-
-def _expanded(places: np.ndarray, key: np.ndarray, starts: np.ndarray, owners: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, items): each place with each item of its key, about ``CHUNK`` at a time."""
-    many = starts[key + 1] - starts[key]
-    for own in np.split(np.arange(len(places)), np.flatnonzero(np.diff(np.cumsum(many) // CHUNK)) + 1):
+    return Items([i for i, _ in rows], bounds, codes, texts.distinct, grams, gram_at, least, size + np.maximum(0, MATCH * size - least))
+
+
+class Seeds(NamedTuple):
+    """Words or n-grams of the items that may be seeds, rarest first within each item."""
+
+    #: Item and key of each, and where those of an item begin.
+    owner: np.ndarray
+    key: np.ndarray
+    starts: np.ndarray
+    #: ``sums[k]``: how often the first k occur in the texts.
+    sums: np.ndarray
+
+    def occurrences(self, many: np.ndarray) -> np.ndarray:
+        """How often the ``many`` rarest of each item occur."""
+        return (self.sums[self.starts[:-1] + many] - self.sums[self.starts[:-1]]).astype(float)
+
+    def rarest(self, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, items) of the ``many`` rarest of each item."""
+        own = np.arange(len(self.key)) - self.starts[self.owner] < many[self.owner]
+        return self.key[own], self.owner[own]
+
+
+def _ranked(items: Items, keys: np.ndarray, count: int, places: np.ndarray) -> Seeds:
+    """The items' ``keys``, without those below 0, by how often they are among the texts' ``places``."""
+    seen = np.bincount(places[places >= 0], minlength=count)
+    at = np.flatnonzero(keys >= 0)
+    owner = np.searchsorted(items.bounds, at, side="right") - 1
+    order = np.lexsort((seen[keys[at]], owner))
+    key = keys[at][order]
+    return Seeds(owner, key, np.searchsorted(owner, np.arange(len(items.ids) + 1)), np.r_[0, np.cumsum(seen[key])])
+
+
+def _chosen(items: Items, words: Seeds, grams: Seeds, n: int, places: int) -> tuple[np.ndarray, ...]:
+    """(n-grams, n-grams needed, words, words needed) of each item: seeds that every copy holds, and fewest passages.
+
+    Let a copy have k equal words in r stretches, so at most 2 k - r + 1 as its score and at
+    least k - (n - 1) r equal n-grams. Then it has either ``needed`` of the n-grams that are
+    left without the ``skipped`` commonest, or fewer than both together in all; in that case
+    its score tells how many equal words it must have at least, and all but that many of the
+    item's words, the commonest left out, hold one. With ``needed`` - 1 words more they hold
+    ``needed``. Among some such choices the one is taken that has the fewest occurrences in
+    the texts, and passages counted as if they fell anywhere.
+    """
+    size, runs = np.diff(items.bounds), np.diff(grams.starts)
+    rate = items.span / max(1, places)
+    least_cost, best = np.full(len(size), np.inf), np.zeros((4, len(size)), np.int64)
+    for needed in NEEDED if n > 1 else (1,):
+        for skipped in SKIPPED if n > 1 else (0,):
+            if n > 1:
+                equal = np.maximum(-(-items.least // MATCH), -(-((items.least - 1) * (n - 1) - (needed + skipped - 1)) // (2 * n - 3)))
+            else:
+                equal = size + 1
+            left = np.maximum(0, runs - skipped)
+            of_grams = grams.occurrences(left)
+            cost_grams = of_grams + PASSAGE * of_grams * np.minimum(1, of_grams * rate) ** (needed - 1)
+            for some in NEEDED:
+                some = np.minimum(some, equal)
+                many = np.where(equal > size, 0, size - equal + some)
+                of_words = words.occurrences(many)
+                cost = cost_grams + of_words + PASSAGE * of_words * np.minimum(1, of_words * rate) ** (some - 1)
+                better = cost < least_cost
+                least_cost = np.where(better, cost, least_cost)
+                for row, value in zip(best, (left, needed, many, some), strict=True):
+                    row[better] = np.broadcast_to(value, len(size))[better]
+    return tuple(best)
+
+
+def _met(keys: np.ndarray, items: np.ndarray, count: int, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, items): the texts' ``places`` joined to the items by key, about ``CHUNK`` at a time in order of places."""
+    order = np.lexsort((items, keys))
+    keys, items = keys[order], items[order]
+    new = np.r_[True, (np.diff(keys) != 0) | (np.diff(items) != 0)][: len(keys)]
+    keys, items = keys[new], items[new]
+    starts = np.searchsorted(keys, np.arange(count + 1))
+    many = np.where(places >= 0, np.diff(starts)[places], 0) if count else np.zeros(len(places), np.int64)
+    at = np.flatnonzero(many)
+    for own in np.split(at, np.flatnonzero(np.diff(np.cumsum(many[at]) // CHUNK)) + 1):
         if len(own):
             each = np.repeat(own, many[own])
             nth = np.arange(len(each)) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
-            yield places[each], owners[starts[key[each]] + nth]
+            yield each, items[starts[places[each]] + nth]
 
 
-def _seeds(items: Items, n: int, code: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, items): where the texts hold n-grams or rare words of items; ``ends`` is where a place's text ends."""
+def _together(found: Iterator[tuple[np.ndarray, np.ndarray]], needed: np.ndarray, span: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those (places, items) that have ``needed`` places of one item within its span of one text.
+
+    Places near the end of a part are looked at again with the next part.
+    """
+    place = item = np.zeros(0, np.int64)
+    for new_place, new_item in found:
+        place, item = np.r_[place, new_place], np.r_[item, new_item]
+        order = np.lexsort((place, item))
+        place, item = place[order], item[order]
+        last = np.arange(len(place)) + needed[item] - 1
+        end = np.minimum(last, len(place) - 1)
+        full = (last < len(place)) & (item[end] == item) & (text[place[end]] == text[place]) & (place[end] - place < span[item])
+        edges = np.bincount(np.flatnonzero(full), minlength=len(place) + 1) - np.bincount(end[full] + 1, minlength=len(place) + 1)
+        kept = np.cumsum(edges)[:-1] > 0
+        if kept.any():
+            yield place[kept], item[kept]
+        again = (place > new_place[-1] - span[item]) & (needed[item] > 1)
+        place, item = place[again], item[again]
+
+
+def _seeds(items: Items, n: int, code: np.ndarray, text: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, items): where the texts hold enough rare n-grams or words of items; ``ends`` is where a place's text ends."""
     known = code >= 0
     whole = known[: max(0, len(code) - n + 1)].copy()
     for k in range(1, n):
         whole &= known[k : k + len(whole)]
     place = np.flatnonzero(whole)
     place = place[place + n <= ends[place]]
+    gram = np.full(len(code), -1)
     if len(place) and len(items.grams):
         hashes = window_hashes(np.maximum(code, 0).astype(np.uint64), n)[place]
         at = np.minimum(np.searchsorted(items.grams, hashes), len(items.grams) - 1)
-        hit = items.grams[at] == hashes
-        yield from _expanded(place[hit], at[hit], items.starts, items.owners)
-    seen = np.bincount(code[known], minlength=len(items.vocabulary))
-    owner = np.repeat(np.arange(len(items.ids)), np.diff(items.bounds))
-    order = np.lexsort((seen[items.codes], owner))
-    rare = order[np.arange(len(order)) - items.bounds[owner] < items.rare[owner]]
-    words, starts, owners = _listed(items.codes[rare], owner[rare])
-    number = np.full(len(items.vocabulary) + 1, -1)
-    number[words] = np.arange(len(words))
-    place = np.flatnonzero(number[code] >= 0)
-    yield from _expanded(place, number[code[place]], starts, owners)
+        gram[place] = np.where(items.grams[at] == hashes, at, -1)
+    words, grams = _ranked(items, items.codes, len(items.vocabulary), code), _ranked(items, items.gram_at, len(items.grams), gram)
+    many_grams, needed_grams, many_words, needed_words = _chosen(items, words, grams, n, len(code))
+    yield from _together(_met(*grams.rarest(many_grams), len(items.grams), gram), needed_grams, items.span, text)
+    yield from _together(_met(*words.rarest(many_words), len(items.vocabulary), code), needed_words, items.span, text)
 
 
 def _best_sum(gains: np.ndarray) -> np.ndarray:
@@ -148,7 +225,7 @@ def _finder(wanted, n: int):
                 code = pc.fill_null(pc.index_in(words.distinct, value_set=items.vocabulary), -1).to_numpy().astype(np.int64)[words.codes]
                 text = np.repeat(np.arange(len(part)), np.diff(words.bounds))
                 ids = part.column("doc_id").to_pylist()
-                for place, item in _seeds(items, n, code, words.bounds[1:][text]):
+                for place, item in _seeds(items, n, code, text, words.bounds[1:][text]):
                     order = np.lexsort((place, item))
                     place, item = place[order], item[order]
                     span = items.span[item]

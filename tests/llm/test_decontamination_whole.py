@@ -1,9 +1,13 @@
 """The decontamination query on whole tables against alignment of every document with every item."""
 
+import random
 import re
 import unicodedata
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from retort.llm import decontamination as D
 
@@ -25,30 +29,83 @@ def best_score(item, text):
     return best
 
 
-def all_pairs(docs, items):
+def all_pairs(docs, items, n=3):
     number = {}
     code = lambda t: np.array([number.setdefault(w, len(number)) for w in words(t)], int)
     texts = [(i, code(t)) for i, t in docs if t]
-    found = {}
+    scores = {}
     for j, t in items:
         item = code(t)
         for i, text in texts:
-            if len(item) >= 3 and len(text):
+            if len(item) >= n and len(text):
                 s = best_score(item, text)
                 if s >= 2 * len(item) * 0.5 or s >= 100:
-                    found[i, j] = max(s, found.get((i, j), 0))
-    return found
+                    scores[i, j] = max(s, scores.get((i, j), 0))
+    return scores
+
+
+def found(docs, items, n=3, similarity=0.5, long_score=100):
+    """Scores by the operator's task on its own, so that its constants can be set."""
+    kept = [(i, " ".join(words(t))) for i, t in items if len(words(t)) >= n]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    best = {}
+    for part in D._finder(SimpleNamespace(value=D.prepared(kept, n, similarity, long_score)), n)([batch]):
+        for r in part.to_pylist():
+            if r["score"] >= min(2 * r["item_words"] * similarity, long_score):
+                key = r["doc_id"], r["item_id"]
+                best[key] = max(best.get(key, 0), r["score"])
+    return best
 
 
 def test_recall_on_the_given_tables_is_that_of_all_pairs(spark, data):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").limit(120).collect()]
-    short = [(i, " ".join((t or "").split()[:600])) for i, t in docs]
-    got = {(r.doc_id, r.item_id): r.score for r in D.contaminated(spark.createDataFrame(short, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = all_pairs(short, items)
-    assert want and got == want
-    whole = {(r.doc_id, r.item_id): r.score for r in D.query(spark, data).collect()}
-    assert all(whole.get(k, 0) >= s for k, s in want.items())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
+    want = all_pairs(docs, items)
+    assert want and {(r.doc_id, r.item_id): r.score for r in D.query(spark, data).collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+@pytest.mark.parametrize("chunk", [100, 1 << 20])
+@pytest.mark.parametrize("needed, skipped", [(D.NEEDED, D.SKIPPED), ((4,), (3,)), ((8,), (0,)), ((1,), (20,))])
+def test_any_choice_of_seeds_meets_every_copy(monkeypatch, n, chunk, needed, skipped):
+    """Copies with every kind of edit, near the limit, for choices of seeds however dear."""
+    monkeypatch.setattr(D, "CHUNK", chunk)
+    monkeypatch.setattr(D, "NEEDED", needed)
+    monkeypatch.setattr(D, "SKIPPED", skipped)
+    r = random.Random(n)
+    word = lambda: f"v{int(r.paretovariate(0.5)) % 300}"
+    items = [(k, " ".join(word() for _ in range(r.choice((4, 5, 12, 25, 60))))) for k in range(15)] + [(20, "a b " * 9), (21, "same " * 12)]
+    docs = [(k, " ".join(word() for _ in range(80))) for k in range(8)] + [(8, ""), (9, "a b a b x b a"), (10, "same other " * 30)]
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        for e, every in enumerate((2, 3, 4)):
+            docs.append((100 + 10 * k + e, " ".join(f"{x} y{j}" if j % every == 1 else x for j, x in enumerate(w))))
+            docs.append((400 + 10 * k + e, " ".join("z" if j % every == 1 else x for j, x in enumerate(w))))
+            docs.append((700 + 10 * k + e, f"{word()} " * 9 + " ".join(x for j, x in enumerate(w) if r.random() > 0.13 * every)))
+    want = all_pairs(docs, items, n)
+    assert len(want) > 60 and found(docs, items, n) == want
+
+
+def test_passages_of_a_large_benchmark(spark, data, monkeypatch):
+    """10,000 items cut from the given texts: few of the pairs of text and item are even looked at."""
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect() if r.text and len(r.text.split()) > 40]
+    r, tried = random.Random(4), []
+    own = [t.split() for _, t in texts]
+    items = []
+    for k in range(10_000):
+        w = own[r.randrange(len(own))]
+        at = r.randrange(len(w) - 30)
+        items.append((k, " ".join(f"u{r.randrange(10**6)}" if r.random() < 0.7 else x for x in w[at : at + 30])))
+    for k in range(0, 10_000, 500):
+        items[k] = (k, " ".join(own[k % len(own)][5:35]))
+    docs = [(i, " ".join(t.split()[:3000])) for i, t in texts[:100]]
+    bound = D._best_sum
+    monkeypatch.setattr(D, "_best_sum", lambda gains: tried.append(len(gains)) or bound(gains))
+    got = found(docs, items)
+    exact = {k for k in range(0, 10_000, 500) if k % len(own) < 100}
+    assert exact <= {k for _, k in got}
+    # Each passage is bounded twice. All pairs would be a million.
+    assert sum(tried) / 2 < 20_000
 
 
 def test_huge_items_common_grams_and_repeated_ids(spark):

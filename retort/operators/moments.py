@@ -22,6 +22,8 @@ from retort.sources.shared import stored
 
 #: Rows of one side of a neighbour search tile.
 TILE_ROWS = 2048
+#: Blocks of both sides that a task holds when all pairs of blocks are met.
+LEFT_BLOCKS, RIGHT_BLOCKS = 1, 16
 #: Rows that one task scores beside a leave-one-out model, and numbers of its batch of systems.
 LOO_ROWS, LOO_CELLS = 4096, 1 << 22
 
@@ -362,63 +364,114 @@ def units(rows: DataFrame, test: DataFrame, scale: str | None = "standard") -> D
     return train.mapInPandas(run, _key_schema(train, ("split_id",)) + "by array<double>")
 
 
+def block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each row of ``left`` beside each of ``right``, two small written tables of packed blocks of rows.
+
+    A task holds about LEFT_BLOCKS by RIGHT_BLOCKS of them. Blocks are dealt once, and a
+    task reads those that it needs: no block is copied for its pairs, so what is shuffled
+    grows with the rows, only the work with their square.
+    """
+    left, right = (t.repartition(max(1, -(-t.count() // most))) for t, most in ((left, LEFT_BLOCKS), (right, RIGHT_BLOCKS)))
+    return left.crossJoin(right.hint("shuffle_replicate_nl"))  # all pairs of blocks: the definition of an exact search
+
+
+def dealt_blocks(rows: DataFrame, size: int, *keys: str) -> DataFrame:
+    """Rows with ``_g``, a block of about ``size`` rows by the hash of the keys."""
+    n = rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("_n"))
+    return rows.crossJoin(n).withColumn("_g", F.pmod(F.xxhash64(*keys), F.col("_n")).cast("int")).drop("_n")  # one row
+
+
+def floats(rows: pd.Series) -> np.ndarray:
+    """A matrix of the arrays of a column."""
+    return np.array(rows.tolist(), float)
+
+
+def unpacked(x: bytes, n: int) -> np.ndarray:
+    """The matrix of n rows that a block holds as bytes."""
+    return np.frombuffer(x, float).reshape(n, -1)
+
+
+def _candidates(x: np.ndarray, y: np.ndarray, by: np.ndarray, neighbours: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(t, j, d): the rows of y that may be among the nearest of each row of x, all at one distance included, and squared distances.
+
+    Products only sort out; the distances of what is left are summed from differences, so
+    that equal rows have equal distances.
+    """
+    middle = y.mean(0)
+    near, far = (x - middle) / by, (y - middle) / by
+    q, r = (near * near).sum(1), (far * far).sum(1)
+    k, out = min(neighbours, len(y)), []
+    for at in range(0, len(x), 256):
+        d = near[at : at + 256] @ far.T
+        d *= -2
+        d += r
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1] + 1e-11 * (q[at : at + 256] + r.max())
+        t, j = np.nonzero(d <= edge[:, None])
+        for part in range(0, len(t), 1 << 16):
+            own, other = t[part : part + (1 << 16)] + at, j[part : part + (1 << 16)]
+            gap = (x[own] - y[other]) / by
+            out.append((own, other, (gap * gap).sum(1)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def nearest_rows(named: DataFrame, test: DataFrame, neighbours: int, scales: DataFrame | None = None) -> DataFrame:
     """(split_id, sample_id, y_true, t): the labels (t.vote) of the nearest training rows of each test row, as a short array.
 
-    ``scales`` (split_id, by) are the units of each split's features; a split's tiles are
-    then its own. A tile picks the best few of all training rows of a split at once.
-
-    Rows are dealt to blocks by hash; each pair of blocks is a tile that returns the best
-    few of each test row only, so distances are never stored. Rows at one distance count
-    in the order of their ids.
+    ``scales`` (split_id, by) are the units of each split's features. Rows are dealt to
+    blocks by hash, test rows once for each of their splits; a pair of blocks keeps the
+    best few of each test row only, so distances are never stored. Rows at one distance
+    count in the order of their ids.
     """
     kinds, split_kind = dict(named.dtypes), dict(test.dtypes)["split_id"]
     held = test.groupBy("sample_id").agg(F.array_sort(F.collect_set("split_id")).alias("splits"))
-    every = test.select("split_id").distinct().agg(F.collect_list("split_id").alias("every"))
-    blocks = named.agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("_n"))
-    dealt = named.join(held, "sample_id", "left").crossJoin(blocks)  # a row each
-    if scales is None:
-        dealt = dealt.crossJoin(every).withColumn("_s", F.lit(None).cast(split_kind))  # one row
-    else:
-        own = scales.select(F.col("split_id").alias("_s"), "by")
-        dealt = dealt.crossJoin(own).withColumn("x", F.zip_with("x", "by", lambda a, b: a / b)).withColumn("every", F.array("_s")).drop("by")  # splits times samples: each has its own units
-    dealt = dealt.withColumn("_g", F.pmod(F.xxhash64("sample_id"), F.greatest("_n", F.lit(1))).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.greatest("_n", F.lit(1)) - 1))
-    base = ["_s", "sample_id", "x", "label", "splits", "every"]
-    tested = F.size(F.array_intersect("splits", "every")) > 0
-    sent = dealt.where(tested).select(*base, F.col("_g").alias("_r"), each.alias("_c"), F.lit(True).alias("_test")).unionByName(dealt.select(*base, each.alias("_r"), F.col("_g").alias("_c"), F.lit(False).alias("_test")))
-
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        a, b = tile[tile["_test"]], tile[~tile["_test"]].sort_values("sample_id")
-        found = []
-        if len(a) and len(b):
-            x, y = np.array(a["x"].tolist()), np.array(b["x"].tolist())
-            middle = y.mean(0)
-            x, y = x - middle, y - middle
-            d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
-            tests_of, own = ([set(s) if s is not None else set() for s in t["splits"]] for t in (a, b))
-            a_id, a_label, b_id, b_label = a["sample_id"].to_numpy(), a["label"].to_numpy(), b["sample_id"].to_numpy(), b["label"].to_numpy()
-            for split in a["every"].iloc[0]:
-                tests = np.flatnonzero([split in s for s in tests_of])
-                train = np.flatnonzero([split not in s for s in own])
-                if len(tests) and len(train):
-                    dist = d[np.ix_(tests, train)]
-                    k = min(neighbours, len(train))
-                    # all rows at the k-th distance come along, so that ties are cut by id
-                    edge = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
-                    t, j = np.nonzero(dist <= edge)
-                    order = np.lexsort((j, dist[t, j], t))
-                    t, j = t[order], j[order]
-                    first = np.r_[0, np.flatnonzero(np.diff(t)) + 1]
+    every = named.select("sample_id", "x", "label").join(held, "sample_id", "left")
+    tests = every.select(F.explode("splits").alias("split_id"), "sample_id", "x", "label")
+    tests = tests.withColumn("by", F.array().cast("array<double>")) if scales is None else tests.join(scales, "split_id")
+
+    def pack_tests(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["split_id", "sample_id"])
+        units_of = floats(part["by"][~part["split_id"].duplicated()])
+        return pd.DataFrame({"a": part["_g"].iloc[:1].to_numpy(), "a_split": [part["split_id"].to_numpy()], "a_id": [part["sample_id"].to_numpy()], "a_label": [part["label"].to_numpy()], "a_x": [floats(part["x"]).tobytes()], "a_by": [units_of.tobytes()]})
+
+    def pack_trains(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sample_id")
+        splits = [list(s) if s is not None else [] for s in part["splits"]]
+        at = np.repeat(np.arange(len(part)), [len(s) for s in splits])
+        return pd.DataFrame({"b_split": [[v for s in splits for v in s]], "b_at": [at], "b_id": [part["sample_id"].to_numpy()], "b_label": [part["label"].to_numpy()], "b_x": [floats(part["x"]).tobytes()]})
+
+    a = stored(dealt_blocks(tests, TILE_ROWS, "sample_id", "split_id").groupBy("_g").applyInPandas(pack_tests, f"a int, a_split array<{split_kind}>, a_id array<{kinds['sample_id']}>, a_label array<{kinds['label']}>, a_x binary, a_by binary"), "test-blocks")
+    b = stored(dealt_blocks(every, TILE_ROWS, "sample_id").groupBy("_g").applyInPandas(pack_trains, f"b_split array<{split_kind}>, b_at array<int>, b_id array<{kinds['sample_id']}>, b_label array<{kinds['label']}>, b_x binary"), "train-blocks")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple] = {}
+        names: dict[int, tuple] = {}
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                x, y, split, ids, label = unpacked(r.a_x, len(r.a_id)), unpacked(r.b_x, len(r.b_id)), np.asarray(r.a_split), np.asarray(r.b_id), np.asarray(r.b_label)
+                held_by, held_at = np.asarray(r.b_split), np.asarray(r.b_at, int)
+                names[r.a] = (split, r.a_id, r.a_label)
+                ends = np.r_[0, np.flatnonzero(split[1:] != split[:-1]) + 1, len(split)]
+                by = unpacked(r.a_by, len(ends) - 1)
+                found = [best[r.a]] if r.a in best else []
+                for s, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    train = np.ones(len(y), bool)
+                    train[held_at[held_by == split[low]]] = False
+                    train = np.flatnonzero(train)
+                    if len(train):
+                        t, j, d = _candidates(x[low:high], y[train], by[s] if by.shape[1] else np.ones(x.shape[1]), neighbours)
+                        found.append((t + low, d, ids[train[j]], label[train[j]]))
+                if found:
+                    t, d, other, vote = (np.concatenate(c) for c in zip(*found, strict=True))
+                    order = np.lexsort((np.unique(other, return_inverse=True)[1], d, t))
+                    first = np.r_[0, np.flatnonzero(np.diff(t[order])) + 1]
                     place = np.arange(len(t)) - np.repeat(first, np.diff(np.r_[first, len(t)]))
-                    t, j = t[place < k], j[place < k]
-                    found.append((np.full(len(t), split), a_id[tests[t]], a_label[tests[t]], dist[t, j], b_id[train[j]], b_label[train[j]]))
-        columns = ["split_id", "sample_id", "y_true", "distance", "other", "vote"]
-        if not found:
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
-        return pd.DataFrame({c: np.concatenate([f[k] for f in found]) for k, c in enumerate(columns)})
-
-    near = sent.groupBy("_s", "_r", "_c").applyInPandas(run, f"split_id {split_kind}, sample_id {kinds['sample_id']}, y_true {kinds['label']}, distance double, other {kinds['sample_id']}, vote {kinds['label']}")
+                    keep = order[place < neighbours]
+                    best[r.a] = (t[keep], d[keep], other[keep], vote[keep])
+        for block, (t, d, other, vote) in best.items():
+            split, ids, label = names[block]
+            yield pd.DataFrame({"split_id": split[t], "sample_id": ids[t], "y_true": label[t], "distance": d, "other": other, "vote": vote})
+
+    near = block_pairs(a, b).mapInPandas(run, f"split_id {split_kind}, sample_id {kinds['sample_id']}, y_true {kinds['label']}, distance double, other {kinds['sample_id']}, vote {kinds['label']}")
     return near.groupBy("split_id", "sample_id", "y_true").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other", "vote"))), 1, neighbours).alias("t"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,15 +144,23 @@ def sheet_to_vectors(sheet: DataFrame, order: str, pattern: str = r"Ab \S*[_ ]?(
 
 
 def read_sensory(spark: SparkSession, path: str) -> DataFrame:
-    """Scores per (wine, taster): the first line is passed over, a repeated header row dropped, names made lower case."""
-    lines = spark.read.csv(path).withColumn("_row", F.monotonically_increasing_id())
+    """Scores per (wine, taster): the first line is passed over, a repeated header row dropped, names made lower case.
+
+    In a folder the first file by name has the lines above the scores; the others go on
+    with scores, so that an export may be written and read in parts.
+    """
+    files = sorted(map(unquote, spark.read.text(path).inputFiles()))
+    lines = spark.read.csv(files[:1] or path).withColumn("_row", F.monotonically_increasing_id())
     found = lines.where("_row > 0").orderBy("_row").limit(1).collect()
     if not found:
         raise ValueError(f"no header row in {path}")
     head = found[0]
     names = {c: (head[c] or f"unnamed {c}").strip().lower() for c in lines.columns if c != "_row"}
     keep = [c for c in names if not names[c].startswith("unnamed")]
-    body = lines.where((F.col("_row") > head["_row"]) & ~F.lower(F.trim(F.col(keep[0]))).eqNullSafe(names[keep[0]]))
+    every = lines.where(F.col("_row") > head["_row"]).drop("_row")
+    if files[1:]:
+        every = every.unionByName(spark.read.schema(every.schema).csv(files[1:]))
+    body = every.where(~F.lower(F.trim(F.col(keep[0]))).eqNullSafe(names[keep[0]]))
     return body.select(*[F.col(c).alias(names[c]) for c in keep])
 
 

@@ -40,14 +40,14 @@ def test_gram_shuffles_no_pairs(spark, points):
     want = points @ points.T
     assert len(got) == 90 * 91 // 2 and all(r.a <= r.b for r in got)
     assert np.allclose([r.dot for r in got], [want[r.a, r.b] for r in got])
-    assert moved < len(got) / 10
+    assert 0 < moved < len(got) / 2
 
 
 def test_distance_sums_of_many_blocks(spark, points):
     rows = rows_of(spark, points)
     moved, got = shuffled_rows(spark, T.distance_sums(rows.select("sample_id", "x"), rows.select("sample_id", "label"), tile=10))
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
-    assert len(got) == 270
+    assert len(got) == 270 and moved > 0
     for r in got:
         other = [k for k in range(90) if k % 3 == int(r.other[1]) and k != r.sample_id]
         assert r.n == len(other) and abs(r.d - d[r.sample_id, other].sum()) < 1e-6 and r.label == f"c{r.sample_id % 3}"

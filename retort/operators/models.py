@@ -116,7 +116,7 @@ def dual_folds(gram: DataFrame, labels: DataFrame, test: DataFrame, alpha: float
         part = part.sort_values("sample_id").reset_index(drop=True)
         ids, n = part["sample_id"].to_numpy(), len(part)
         if n > DUAL_MOST:
-            raise ValueError(f"{n} samples are too many for one matrix; use the models from moments")
+            raise ValueError(f"{n} samples are too many for one matrix of samples; use wide.primal_folds or the models from moments")
         k = np.array([np.asarray(d)[np.searchsorted(c, ids)] for c, d in zip(part["cols"], part["dots"], strict=True)])
         c = centred(k, np.arange(n))
         hat = np.eye(n) - alpha * np.linalg.inv(c + alpha * np.eye(n)) + 1 / n  # the mean fits itself

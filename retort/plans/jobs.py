@@ -14,6 +14,7 @@ from retort.operators import moments as X
 from retort.operators import scaling as Z
 from retort.operators import splits as P
 from retort.operators import statistics as T
+from retort.operators import wide as W
 from retort.sources.shared import stored
 
 
@@ -23,8 +24,17 @@ def classification_job(rows: DataFrame, labels: DataFrame, test: DataFrame, mode
 
 
 def wide_classification_job(features: DataFrame, labels: DataFrame, test: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """Metrics of each split for few samples of many features (sample_id, pos, value), by ridge from one Gram matrix."""
-    return M.fold_metrics(D.dual_folds(T.gram(features), labels, test, alpha), "split_id")
+    """Metrics of each split for samples of many features (sample_id, pos, value), by ridge.
+
+    The model is told from one Gram matrix where samples are not more than features, else
+    from matrices of the features; both give the same predictions.
+    """
+    rows = W.sparse_rows(features)
+    found = W.places(rows)
+    if found is not None and len(found[0]) < rows.count():
+        return M.fold_metrics(W.primal_folds(rows, labels, test, *found, alpha), "split_id")
+    cells = rows.select("sample_id", F.explode(F.arrays_zip("pos", "value")).alias("c")).select("sample_id", "c.pos", "c.value")
+    return M.fold_metrics(D.dual_folds(T.gram(cells), labels, test, alpha), "split_id")
 
 
 def per_origin(rows: DataFrame, labels: DataFrame, test: DataFrame, origins: DataFrame, model: str = "ridge", scale: str | None = None) -> DataFrame:

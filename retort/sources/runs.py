@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,23 +16,67 @@ def channel_columns(columns: list[str]) -> list[str]:
     return [c for c in columns if c.isdigit()]
 
 
-def read_runs(spark: SparkSession, directory: str, row_start: int = 1, row_end: int | None = None, dataset: str | None = None) -> DataFrame:
-    """Long scans of every ``<name>.D/<name>.csv`` below a directory.
+def pack_runs(lines: DataFrame, path: str, columns: list[str]) -> None:
+    """Write an archive of run files, a row (path, content) for each: ``<name>.D/<name>.csv`` and its whole text, from (name, order, columns).
+
+    A file system that keeps a folder and a file for each of very many runs costs more
+    than their bytes; an archive has as many files as tasks wrote.
+    """
+    rows = lines.select("name", F.struct("order", F.to_csv(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("line")).alias("_l"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("_l")), lambda x: x["line"]), "\n")
+    packed = rows.groupBy("name").agg(text.alias("_t"))
+    packed.select(F.concat("name", F.lit(".D/"), "name", F.lit(".csv")).alias("path"), F.concat(F.lit(",".join(columns) + "\n"), "_t", F.lit("\n")).alias("content")).write.parquet(path)
+
+
+def _lines(content: Column) -> Column:
+    """The lines of a run's text that are not blank."""
+    return F.filter(F.split(content, r"\r?\n"), lambda x: F.trim(x) != "")
+
+
+def _names(header: str) -> list[str]:
+    return next(csv.reader([header]))
+
+
+def _packed_rows(spark: SparkSession, directory: str, row_start: int, row_end: int | None) -> tuple[DataFrame, list[str]]:
+    """((sample_id, scan_idx, rt_ms, a column for each channel), the channels) of an archive of run files; a run is one row until its scans are numbered."""
+    files = spark.read.parquet(directory).select("path", _lines(F.col("content")).alias("_l"))
+    heads = files.agg(F.min(F.get("_l", F.lit(0))).alias("low"), F.max(F.get("_l", F.lit(0))).alias("high")).collect()[0]  # one row
+    if heads.low is None:
+        raise ValueError(f"no run in {directory}")
+    if heads.low != heads.high:
+        raise ValueError(f"headers of runs differ: {heads.low} and {heads.high}")
+    names = _names(heads.low)
+    mz = channel_columns(names[1:]) or names[1:2]
+    cells = ", ".join(f"_c{k} string" for k in range(len(names)))
+    number = lambda x, k: x[f"_c{k}"].try_cast("double")
+    parsed = F.transform(F.slice("_l", F.lit(2), F.size("_l")), lambda x, k: F.struct(F.from_csv(x, cells).alias("c"), k.alias("k")))
+    timed = F.transform(parsed, lambda x: F.struct(number(x["c"], 0).alias("rt_ms"), x["k"].alias("k"), *[number(x["c"], names.index(c)).alias(c) for c in mz]))
+    ordered = F.array_sort(F.filter(timed, lambda x: x["rt_ms"].isNotNull()))
+    kept = F.slice(ordered, F.lit(row_start + 1), F.size(ordered) if row_end is None else F.lit(max(0, row_end - row_start)))
+    each = files.select(F.regexp_extract("path", r"([^/]+)\.D/[^/]+\.csv$", 1).alias("sample_id"), F.posexplode(kept).alias("scan_idx", "_r"))
+    return each.select("sample_id", "scan_idx", "_r.rt_ms", *[F.col(f"_r.`{c}`").alias(c) for c in mz]), mz
+
+
+def read_runs(spark: SparkSession, directory: str, row_start: int = 1, row_end: int | None = None, dataset: str | None = None, packed: bool = False) -> DataFrame:
+    """Long scans of every ``<name>.D/<name>.csv`` below a directory, or in an archive of :func:`pack_runs` if ``packed``.
 
     Column 0 is the retention time in ms; a file of two columns is a chromatogram, kept
     as channel 0. ``row_start`` data rows are passed over. Scans are numbered in the
     order of their retention time. Rows whose time is not a number are dropped. Runs whose
     headers differ, and so their channels, raise an error.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(f"{directory}/*.D/*.csv").withColumn("_path", F.col("_metadata.file_path"))
-    names = [c for c in raw.columns if c != "_path"]
-    rt, mz = names[0], channel_columns(names[1:]) or names[1:2]
-    rows = raw.select(F.regexp_extract(F.url_decode("_path"), r"([^/]+)\.D/[^/]+\.csv$", 1).alias("sample_id"), F.expr(f"try_cast(`{rt}` AS DOUBLE)").alias("rt_ms"), *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) for c in mz]).where("rt_ms IS NOT NULL")
-    k = F.row_number().over(Window.partitionBy("sample_id").orderBy("rt_ms")) - 1
-    kept = rows.withColumn("_k", k).where(F.col("_k") >= row_start)
-    if row_end is not None:
-        kept = kept.where(F.col("_k") < row_end)
-    kept = kept.withColumn("scan_idx", F.col("_k") - row_start)
+    if packed:
+        kept, mz = _packed_rows(spark, directory, row_start, row_end)
+    else:
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(f"{directory}/*.D/*.csv").withColumn("_path", F.col("_metadata.file_path"))
+        names = [c for c in raw.columns if c != "_path"]
+        rt, mz = names[0], channel_columns(names[1:]) or names[1:2]
+        rows = raw.select(F.regexp_extract(F.url_decode("_path"), r"([^/]+)\.D/[^/]+\.csv$", 1).alias("sample_id"), F.expr(f"try_cast(`{rt}` AS DOUBLE)").alias("rt_ms"), *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) for c in mz]).where("rt_ms IS NOT NULL")
+        k = F.row_number().over(Window.partitionBy("sample_id").orderBy("rt_ms")) - 1
+        kept = rows.withColumn("_k", k).where(F.col("_k") >= row_start)
+        if row_end is not None:
+            kept = kept.where(F.col("_k") < row_end)
+        kept = kept.withColumn("scan_idx", F.col("_k") - row_start)
     if len(mz) == 1 and not mz[0].isdigit():
         kept = kept.withColumnRenamed(mz[0], "0")
         mz = ["0"]
@@ -39,18 +84,26 @@ def read_runs(spark: SparkSession, directory: str, row_start: int = 1, row_end:
     return long if dataset is None else long.withColumn("dataset", F.lit(dataset))
 
 
-def run_margins(spark: SparkSession, directory: str) -> DataFrame:
-    """(rows, first, last) of the first run below a directory: its lines with the header, and the places of the first and last channel column.
+def run_margins(spark: SparkSession, directory: str, packed: bool = False) -> DataFrame:
+    """(rows, first, last) of the first run below a directory, or in an archive: its lines with the header, and the places of the first and last channel column.
 
     A file of two columns is a chromatogram, whose one channel has place 1. No row comes
     back where the first run has no channel column.
     """
-    files = sorted(spark.read.option("header", True).csv(f"{directory}/*.D/*.csv").inputFiles())
-    if not files:
-        raise ValueError(f"no run below {directory}")
-    run = spark.read.option("header", True).csv(files[0])
-    at = [1] if len(run.columns) == 2 else [k for k, c in enumerate(run.columns) if c.isdigit()]
-    counted = run.agg((F.count("*") + 1).alias("rows"), F.lit(at[0] if at else None).cast("int").alias("first"), F.lit(at[-1] if at else None).cast("int").alias("last"))
+    if packed:
+        run = spark.read.parquet(directory).agg(F.min_by("content", "path").alias("_t")).select(_lines(F.col("_t")).alias("_l")).where("_l IS NOT NULL")
+        head = run.select(F.get("_l", F.lit(0))).collect()  # the header of one run
+        if not head:
+            raise ValueError(f"no run in {directory}")
+        columns, count = _names(head[0][0] or ""), F.max(F.size("_l")).cast("long")
+    else:
+        files = sorted(spark.read.option("header", True).csv(f"{directory}/*.D/*.csv").inputFiles())
+        if not files:
+            raise ValueError(f"no run below {directory}")
+        run = spark.read.option("header", True).csv(files[0])
+        columns, count = run.columns, F.count("*") + 1
+    at = [1] if len(columns) == 2 else [k for k, c in enumerate(columns) if c.isdigit()]
+    counted = run.agg(count.alias("rows"), F.lit(at[0] if at else None).cast("int").alias("first"), F.lit(at[-1] if at else None).cast("int").alias("last"))
     return counted.where(F.lit(bool(at)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from retort.operators import signals as S
 from retort.session import table
 from retort.sources.adapters import DSCANS, SCANS, scans
+from retort.sources.shared import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -276,7 +277,7 @@ PROMINENCES = "b AS (SELECT p.sample_id, p.scan_idx, p.tic, coalesce(max(t.scan_
 @query("weighted_peak_distance", f"WITH {WITH_MEAN}, {PROMINENCES}, near AS (SELECT p.sample_id, p.scan_idx, p.prominence AS u, r.prominence AS v, abs(p.scan_idx - r.scan_idx) AS d, row_number() OVER (PARTITION BY p.sample_id, p.scan_idx ORDER BY abs(p.scan_idx - r.scan_idx), r.scan_idx) AS k FROM prominences p JOIN prominences r ON r.sample_id = -1 AND p.sample_id <> -1) SELECT sample_id, round(sum(least(u, v) / greatest(u, v) * d) / sum(least(u, v) / greatest(u, v)), 6) AS distance, count(*) AS n FROM near WHERE k = 1 GROUP BY 1")
 def _(spark, d):
     """Peaks of each sample against those of the mean chromatogram."""
-    tics = S.tic(scans(spark, d))
+    tics = stored(S.tic(scans(spark, d)), "tics")
     mean = tics.groupBy("scan_idx").agg(F.avg("tic").alias("tic")).select(F.lit(-1).cast("long").alias("sample_id"), "scan_idx", "tic")
-    out = S.weighted_peak_distance(S.peak_prominences(tics), S.peak_prominences(mean))
+    out = S.weighted_peak_distance(stored(S.peak_prominences(tics).select("sample_id", "scan_idx", "prominence"), "prominences"), S.peak_prominences(mean))
     return out.select("sample_id", *_r("distance"), "n")

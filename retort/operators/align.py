@@ -132,23 +132,25 @@ def peak_candidates(peaks: DataFrame, reference: DataFrame, scans: DataFrame, to
 
     ``peaks`` is (sample_id, scan_idx), ``reference`` (scan_idx), the reference's peaks with
     their spectra (scan_idx, mz, intensity). Peaks meet by stretches of the tolerance, an
-    equi join. r is over all channels of the table, missing cells as 0; a flat spectrum
+    equi join of each peak's whole spectrum with those of the reference. r is over all channels of the table, missing cells as 0; a flat spectrum
     has none and its pairs are left out.
     """
     channels = scans.agg(F.count_distinct("mz").alias("_m"))
-    spectrum = lambda t, *keys: t.groupBy(*keys, "mz").agg(F.sum("intensity").alias("v"))
-    own = spectrum(scans.join(peaks.select("sample_id", "scan_idx").distinct(), ["sample_id", "scan_idx"], "left_semi"), "sample_id", "scan_idx")
-    ref = spectrum(reference, "scan_idx").withColumnRenamed("scan_idx", "ref_at")
+
+    def spectrum(cells: DataFrame, *keys: str) -> DataFrame:
+        """Each scan's cells as one array, with their sum and sum of squares."""
+        v = cells.groupBy(*keys, "mz").agg(F.sum("intensity").alias("v"))
+        return v.groupBy(*keys).agg(F.collect_list(F.struct("mz", "v")).alias("_v"), F.sum("v").alias("_s"), F.sum(F.col("v") * F.col("v")).alias("_q"))
+
     width = max(1, tolerance)
-    near = reference.select(F.col("scan_idx").alias("ref_at")).distinct().withColumn("_s", F.explode(F.expr(f"sequence(ref_at div {width} - 1, ref_at div {width} + 1)")))
-    pairs = peaks.select("sample_id", F.col("scan_idx").alias("own_at"), F.expr(f"scan_idx div {width}").alias("_s")).distinct().join(near, "_s").where(F.abs(F.col("own_at") - F.col("ref_at")) <= tolerance).drop("_s")
-    total = lambda t, *keys: t.groupBy(*keys).agg(F.sum("v").alias("_sum"), F.sum(F.col("v") * F.col("v")).alias("_square"))
-    a = total(ref, "ref_at").toDF("ref_at", "_a", "_aa")
-    b = total(own, "sample_id", "scan_idx").toDF("sample_id", "own_at", "_b", "_bb")
-    both = pairs.join(ref.withColumnRenamed("v", "_x"), "ref_at").join(own.withColumnRenamed("scan_idx", "own_at").withColumnRenamed("v", "_y"), ["sample_id", "own_at", "mz"]).groupBy("sample_id", "ref_at", "own_at").agg(F.sum(F.col("_x") * F.col("_y")).alias("_ab"))
-    full = pairs.join(a, "ref_at").join(b, ["sample_id", "own_at"]).join(both, ["sample_id", "ref_at", "own_at"], "left").crossJoin(channels)  # one number
+    own = spectrum(scans.join(peaks.select("sample_id", "scan_idx").distinct(), ["sample_id", "scan_idx"], "left_semi"), "sample_id", "scan_idx").select("sample_id", F.col("scan_idx").alias("own_at"), F.expr(f"scan_idx div {width}").alias("_at"), F.col("_v").alias("_y"), F.col("_s").alias("_b"), F.col("_q").alias("_bb"))
+    x = F.map_from_entries(F.filter("_v", lambda e: e["mz"].isNotNull()))
+    ref = spectrum(reference, "scan_idx").select(F.col("scan_idx").alias("ref_at"), x.alias("_x"), F.col("_s").alias("_a"), F.col("_q").alias("_aa"))
+    near = ref.withColumn("_at", F.explode(F.expr(f"sequence(ref_at div {width} - 1, ref_at div {width} + 1)")))
+    full = own.join(F.broadcast(near), "_at").where(F.abs(F.col("own_at") - F.col("ref_at")) <= tolerance).crossJoin(channels)  # the peaks of one run, and one number
+    both = F.aggregate("_y", F.lit(0.0), lambda t, e: t + F.coalesce(e["v"] * F.try_element_at("_x", e["mz"]), F.lit(0.0)).cast("double"))
     norm = F.sqrt((F.col("_m") * F.col("_aa") - F.col("_a") * F.col("_a")) * (F.col("_m") * F.col("_bb") - F.col("_b") * F.col("_b")))
-    r = (F.col("_m") * F.coalesce("_ab", F.lit(0.0)) - F.col("_a") * F.col("_b")) / norm
+    r = (F.col("_m") * both - F.col("_a") * F.col("_b")) / norm
     return full.where(norm > 0).select("sample_id", "ref_at", "own_at", r.alias("r"))
 
 

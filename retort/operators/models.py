@@ -11,11 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retort.operators.clustering import Points, kmeans
 from retort.sources.shared import stored
 
 
@@ -246,11 +246,7 @@ def ml_regress(vectors: DataFrame, kind: str, held: str, alpha: float = 1.0, rat
 
 def kmeans_best(points: DataFrame, columns: list[str], most: int = 9) -> DataFrame:
     """(k, silhouette, best): k-means for k from 2 on, marked at the largest silhouette."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-
-    data = VectorAssembler(inputCols=columns, outputCol="features").transform(points).select("features").cache()
-    found = [(k, float(ClusteringEvaluator().evaluate(KMeans(k=k, seed=0).fit(data).transform(data)))) for k in range(2, most + 1)]
-    data.unpersist()
+    held = Points(points, columns)
+    found = sorted(held.silhouettes(kmeans(held, list(range(2, most + 1)))).items())
     best = max(found, key=lambda x: (x[1], -x[0]))[0]
     return points.sparkSession.createDataFrame([(k, s, k == best) for k, s in found], "k int, silhouette double, best boolean")

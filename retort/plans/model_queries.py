@@ -17,7 +17,8 @@ from retort.operators import survival as V
 from retort.plans import jobs as J
 from retort.plans.signal_queries import PEAKS
 from retort.session import table
-from retort.sources.adapters import FEATURES, SCANS, SENSORY, features, scans, sensory
+from retort.sources.adapters import FEATURES, SCANS, SENSORY, features, readings, scans, sensory
+from retort.sources.shared import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -187,7 +188,7 @@ def _(spark, d):
 def _(spark, d):
     """All suppliers by all their scans of all channels, many features for few samples."""
     s = scans(spark, d)
-    lab = s.select("sample_id").distinct().withColumn("label", F.concat(F.lit("c"), (F.col("sample_id") % 4).cast("string")))
+    lab = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("sample_id")).distinct().withColumn("label", F.concat(F.lit("c"), (F.col("sample_id") % 4).cast("string")))
     f = S.assemble(s, "concatenated").select("sample_id", ((F.col("a") - 41) * 200 + F.col("b")).cast("long").alias("pos"), "value")
     return _rounded(J.wide_classification_job(f, lab, P.stratified_folds(lab, "label", 5)), "split_id", digits=6)
 
@@ -225,9 +226,9 @@ def _(spark, d):
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
-def _binned(spark, d):
+def _binned(spark, d, read=scans):
     """The scans of all suppliers in 4 x 2 cubes, and four classes."""
-    s = scans(spark, d)
+    s = read(spark, d)
     lab = s.select("sample_id").distinct().withColumn("label", F.concat(F.lit("c"), (F.col("sample_id") % 4).cast("string")))
     return S.with_cubes(s, 200, 4, 41, 7, 2), lab
 
@@ -582,13 +583,13 @@ BINS, CHANNELS = 4, 7
 
 
 def _cells(spark, d):
-    """(rows, labels): each supplier's sums by 4 retention bins and 7 channels, bin by bin, and four classes."""
-    binned, lab = _binned(spark, d)
+    """(rows, labels): each supplier's sums by 4 retention bins and 7 channels, bin by bin, and four classes; written, as every step reads them."""
+    binned, lab = _binned(spark, d, readings)
     place = F.col("rt_bin") * CHANNELS + F.col("mz") - 41
     sums = binned.groupBy("sample_id", place.cast("int").alias("pos")).agg(F.sum("intensity").cast("double").alias("value"))
     found = sums.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("_m"))
     x = F.transform(F.sequence(F.lit(0), F.lit(BINS * CHANNELS - 1)), lambda p: F.coalesce(F.try_element_at("_m", p), F.lit(0.0)))
-    return found.select("sample_id", x.alias("x")), lab
+    return stored(found.select("sample_id", x.alias("x")), "cells"), stored(lab, "labels")
 
 
 def _spectra(spark, d):

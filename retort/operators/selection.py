@@ -20,8 +20,10 @@ from retort.operators import moments as X
 from retort.operators import splits as P
 from retort.sources.shared import stored
 
-#: Test rows of one task, and sets that it scores.
+#: Test rows of one block, and sets that are fitted and scored together.
 BLOCK_ROWS, CHUNK = 4096, 256
+#: Pairs of a block and a part of the sets that a fold's work is cut in, where it has fewer blocks; scores that are held at once.
+PAIRS, SCORES = 16, 1 << 17
 
 
 def channel_places(chosen: list[int], width: int = 1, how: str = "concat") -> list[list[int]]:
@@ -42,6 +44,40 @@ def subset_ridge(s: X.Sums, places: list[list[int]], alpha: float) -> tuple[np.n
     return 2 * w, np.where(s.y_sum > 0.5, 2 * (s.y_mean - s.x_mean @ w) - 1, -np.inf)
 
 
+def subset_ridges(s: X.Sums, sets: list[list[list[int]]], alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """subset_ridge of many sets, as weights (place, class, set) and intercepts (class, set); sets of single places of one size are solved together."""
+    weights = np.zeros((*s.xy.shape, len(sets)))
+    alike: dict[int, list[int]] = {}
+    for j, places in enumerate(sets):
+        if places and len({p for q in places for p in q}) == len(places) == sum(map(len, places)):
+            alike.setdefault(len(places), []).append(j)
+        else:
+            weights[:, :, j] = subset_ridge(s, places, alpha)[0] / 2
+    for k, own in alike.items():
+        at = np.array([[q[0] for q in sets[j]] for j in own])
+        w = np.linalg.solve(s.xx[at[:, :, None], at[:, None, :]] + alpha * np.eye(k), s.xy[at])
+        weights[at, :, np.array(own)[:, None]] = w
+    offset = s.y_mean[:, None] - np.tensordot(s.x_mean, weights, 1)
+    return 2 * weights, np.where(s.y_sum[:, None] > 0.5, 2 * offset - 1, -np.inf)
+
+
+def hits_by_class(x: np.ndarray, label: np.ndarray, weights: np.ndarray, intercepts: np.ndarray) -> np.ndarray:
+    """(class, set): rows whose own class has the best score, and is the first of those that have; ``label`` is each row's class."""
+    out = np.zeros(intercepts.shape, np.int64)
+    flat, size = weights.reshape(len(weights), -1), max(1, SCORES // intercepts.size)
+    for c in np.unique(label):
+        own = x[label == c]
+        for at in range(0, len(own), size):
+            score = (own[at : at + size] @ flat).reshape(-1, *intercepts.shape) + intercepts
+            right = np.ones((len(score), score.shape[2]), bool)
+            if c:
+                right &= score[:, :c].max(1) < score[:, c]
+            if c + 1 < score.shape[1]:
+                right &= score[:, c + 1 :].max(1) <= score[:, c]
+            out[c] += right.sum(0)
+    return out
+
+
 def standardised(rows: DataFrame, train: DataFrame) -> DataFrame:
     """Rows (group, x) with the means and deviations of their group's training rows taken off; constant places become 0."""
 
@@ -60,7 +96,8 @@ def standardised(rows: DataFrame, train: DataFrame) -> DataFrame:
 def folded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tests, sums) of rows (group, fold, x, y, label, classes): rows that a fold tests, and the sums of all its group's other rows.
 
-    Rows that train have ``trains`` set. A row that several folds test is there once for
+    Tests are written once in blocks of rows (group, fold, block, x, label) as bytes,
+    each label as its place among the classes. Rows that train have ``trains`` set. A row that several folds test is there once for
     each and once more, with a null fold, to train; rows of a fold below 0 never train.
     """
     kept = stored(rows, "selection-rows")
@@ -72,43 +109,46 @@ def folded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = X.sums(tests, "group", "fold", centre=whole).select("group", "fold", F.col("m").alias("_held"))
     # a fold whose rows are not among the training rows (an outer test) leaves the sums whole
     left = F.when(F.col("fold") < 0, F.col("_all")).otherwise(F.zip_with("_all", "_held", lambda a, b: a - b))
-    return tests, stored(held.join(whole, "group").select("group", "fold", "p", "c", left.alias("m"), F.lit(blocks).alias("blocks")), "selection-sums")
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        return part[["group", "fold", "block"]].iloc[:1].assign(x=[np.array(part["x"].tolist(), float).tobytes()], label=[part["label"].to_numpy(np.int32).tobytes()])
+
+    coded = tests.select("group", "fold", "block", "x", (F.array_position("classes", F.col("label")) - 1).cast("int").alias("label"))
+    packed = stored(coded.groupBy("group", "fold", "block").applyInPandas(pack, "group int, fold int, block int, x binary, label binary"), "selection-blocks")
+    return packed, stored(held.join(whole, "group").select("group", "fold", "p", "c", left.alias("m"), F.lit(blocks).alias("blocks")), "selection-sums")
 
 
 def candidate_scores(tests: DataFrame, sums: DataFrame, sets: list[tuple[int, int, list[list[int]]]], alpha: float = 1.0) -> DataFrame:
     """(group, candidate, fold, score): balanced accuracy over each fold's test rows of each set (group, candidate, places).
 
-    A fold that leaves no row to train on gives no score. A task has a block of a fold's test rows, the fold's sums and a chunk of the sets; it
-    fits each set and returns hits by class, so no row is joined to a model.
+    A fold that leaves no row to train on gives no score. A task has blocks of a fold's test rows, the fold's sums and a part of the sets; it
+    fits the sets and returns hits by class, so no row is joined to a model. Only where blocks are few is one copied, for parts of the sets.
     """
-    dealt: dict[tuple[int, int], list] = {}
-    for k, (g, c, places) in enumerate(sets):
-        dealt.setdefault((g, k // CHUNK), []).append((c, places))
-    spark = tests.sparkSession
-    chunks = spark.createDataFrame([(*key, held) for key, held in dealt.items()], "group int, chunk int, sets array<struct<candidate: int, places: array<array<int>>>>")
-    every = spark.createDataFrame(sorted(dealt), "group int, chunk int")
-    own = tests.join(F.broadcast(every), "group").select("group", "fold", "block", "chunk", "x", "label", "classes")
-    models = sums.join(F.broadcast(chunks), "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    def run(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        columns = ["group", "candidate", "fold", "label", "hits", "n"]
-        if not len(rows) or not len(model):
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
-        m = model.iloc[0]
-        s, x = X.Sums(int(m["p"]), m["m"], m["c"]), np.array(rows["x"].tolist(), float)
-        if s.n < 0.5:  # nothing to train on
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
-        classes = np.array(list(rows["classes"].iloc[0]), object)
-        label, place = np.unique(rows["label"].to_numpy(object), return_inverse=True)
-        n, out = np.bincount(place), []
-        for one in m["sets"]:
-            w, b = subset_ridge(s, [list(q) for q in one["places"]], alpha)
-            right = classes[(x @ w + b).argmax(1)] == label[place]
-            out.append(pd.DataFrame({"group": int(m["group"]), "candidate": int(one["candidate"]), "fold": int(m["fold"]), "label": label, "hits": np.bincount(place, right).astype(np.int64), "n": n}))
-        return pd.concat(out)[columns]
-
-    keys = ["group", "fold", "block", "chunk"]
-    hits = own.groupBy(*keys).cogroup(models.groupBy(*keys)).applyInPandas(run, "group int, candidate int, fold int, label string, hits long, n long")
+    dealt: dict[int, list[tuple[int, list[list[int]]]]] = {}
+    for g, c, places in sets:
+        dealt.setdefault(g, []).append((c, places))
+    most = tests.sparkSession.createDataFrame([(g, -(-len(own) // CHUNK)) for g, own in dealt.items()], "group int, most int")
+    parts = F.least("most", F.ceil(F.lit(PAIRS) / F.col("blocks")).cast("int"))
+    cut = sums.select("group", "fold", "blocks").join(F.broadcast(most), "group").select("group", "fold", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    pairs = tests.join(F.broadcast(cut), ["group", "fold"]).repartition("group", "fold", "block", "part").join(F.broadcast(sums.select("group", "fold", "p", "c", "m")), ["group", "fold"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                s, label = X.Sums(int(r.p), r.m, r.c), np.frombuffer(r.label, np.int32)
+                if s.n < 0.5:  # nothing to train on
+                    continue
+                x, own = X.unpacked(r.x, len(label)), [places for _, places in dealt[r.group][r.part :: r.parts]]
+                hits = np.concatenate([hits_by_class(x, label, *subset_ridges(s, own[at : at + CHUNK], alpha)) for at in range(0, len(own), CHUNK)], 1)
+                n, key = np.bincount(label, minlength=len(hits)), (r.group, r.fold, r.part, r.parts)
+                held[key] = (held[key][0] + hits, held[key][1] + n) if key in held else (hits, n)
+        for (g, fold, part, parts), (hits, n) in held.items():
+            names = np.array([c for c, _ in dealt[g][part::parts]])
+            for c in np.flatnonzero(n):
+                yield pd.DataFrame({"group": g, "candidate": names, "fold": fold, "label": c, "hits": hits[c], "n": n[c]})
+
+    hits = pairs.mapInPandas(run, "group int, candidate int, fold int, label int, hits long, n long")
     # one shuffle serves this sum and the means by fold and by candidate
     each = hits.repartition("group", "candidate").groupBy("group", "candidate", "fold", "label").agg((F.sum("hits") / F.sum("n")).alias("_r"))
     return each.groupBy("group", "candidate", "fold").agg(F.avg("_r").alias("score"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retort.operators.moments import block_pairs, dealt_blocks, floats, sums, unpacked, wide
@@ -238,6 +238,12 @@ def linear_attribution(features: DataFrame, coef: DataFrame) -> DataFrame:
     return features.join(mean, "pos").join(coef, "pos").select("sample_id", "pos", (F.col("coef") * (F.col("value") - F.col("_m"))).alias("attribution"))
 
 
+def mean_in_order(value: str, *order: Column | str) -> Column:
+    """The mean of a group's values, added one by one in the given order, so that partitions do not change its last digit."""
+    rows = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).cast("double").alias("_v")))))
+    return F.aggregate(rows, F.lit(0.0), lambda t, r: t + r["_v"]) / F.nullif(F.size(rows), F.lit(0))
+
+
 def best_decile_channels(sets: DataFrame) -> DataFrame:
     """(channel, n): how often channels occur in the sets at or above the 90th percentile of accuracy."""
     q = sets.agg(F.percentile("accuracy", 0.9).alias("_q"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from retort.sources.shared import stored
 
 #: Rows of one side of a neighbour search tile.
-TILE_ROWS = 2048
+TILE_ROWS = 4096
 #: Blocks of both sides that a task holds when all pairs of blocks are met.
 LEFT_BLOCKS, RIGHT_BLOCKS = 1, 16
 #: Rows that one task scores beside a leave-one-out model, and numbers of its batch of systems.
@@ -391,36 +391,60 @@ def unpacked(x: bytes, n: int) -> np.ndarray:
     return np.frombuffer(x, float).reshape(n, -1)
 
 
-def _candidates(x: np.ndarray, y: np.ndarray, by: np.ndarray, neighbours: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(t, j, d): the rows of y that may be among the nearest of each row of x, all at one distance included, and squared distances.
+def _centred(x: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, the squares of their features about ``middle``, and these features as 32-bit shares of the largest of each."""
+    c = x - middle
+    largest = np.abs(c).max(0)
+    largest[largest == 0] = 1
+    return x, c * c, (c / largest).astype(np.float32), largest
 
-    Products only sort out; the distances of what is left are summed from differences, so
-    that equal rows have equal distances.
+
+def _candidates(own: tuple, low: int, high: int, others: tuple, train: np.ndarray, by: np.ndarray, neighbours: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(t, j, d): the ``train`` rows that may be among the nearest of each own row from low to high, all at one distance included, and squared distances.
+
+    ``most`` is the squared distance of each row beyond which nothing counts. Products in 32
+    bits only sort out, with more slack than their error; the distances of what is left are
+    summed from differences, so that equal rows have equal distances.
     """
-    middle = y.mean(0)
-    near, far = (x - middle) / by, (y - middle) / by
-    q, r = (near * near).sum(1), (far * far).sum(1)
-    k, out = min(neighbours, len(y)), []
-    for at in range(0, len(x), 256):
-        d = near[at : at + 256] @ far.T
-        d *= -2
-        d += r
-        edge = np.partition(d, k - 1, axis=1)[:, k - 1] + 1e-11 * (q[at : at + 256] + r.max())
-        t, j = np.nonzero(d <= edge[:, None])
+    p, k, out = len(by), min(neighbours, len(train)), []
+    q, r = own[1][low:high] @ by**-2.0, (others[1] @ by**-2.0)[train]
+    unit = max(q.max(), r.max()) or 1.0
+    q, r = q / unit, r / unit
+    slack = 2.0**-23 * (p + 8) * (2 * np.sqrt(q * r.max()) + r.max()) + 1e-11 * q + 1e-37
+    limit = most / unit - q + slack
+    near, far = np.ones((high - low, p + 1), np.float32), np.empty((len(train), p + 1), np.float32)
+    near[:, :p] = own[2][low:high] * (own[3] * (-2 / np.sqrt(unit)) / by).astype(np.float32)
+    far[:, :p], far[:, p] = others[2][train] * (others[3] / np.sqrt(unit) / by).astype(np.float32), r
+    products, hits = np.empty((128, len(train)), np.float32), np.empty((128, len(train)), bool)
+    for at in range(0, high - low, 128):
+        n, edge = min(128, high - low - at), limit[at : at + 128]
+        d, hit = products[:n], hits[:n]
+        np.matmul(near[at : at + n], far.T, out=d)
+        if np.isinf(edge).any():
+            edge = np.minimum(edge, np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * slack[at : at + n])
+        np.less_equal(d, np.nextafter(edge.astype(np.float32), np.float32(np.inf))[:, None], out=hit)
+        t, j = np.divmod(np.flatnonzero(hit), len(train))
         for part in range(0, len(t), 1 << 16):
-            own, other = t[part : part + (1 << 16)] + at, j[part : part + (1 << 16)]
-            gap = (x[own] - y[other]) / by
-            out.append((own, other, (gap * gap).sum(1)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+            one, other = t[part : part + (1 << 16)] + (low + at), train[j[part : part + (1 << 16)]]
+            gap = (own[0][one] - others[0][other]) / by
+            out.append((one, other, (gap * gap).sum(1)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def _places(groups: np.ndarray) -> np.ndarray:
+    """The place of each element in its run of equal elements."""
+    first = np.r_[True, groups[1:] != groups[:-1]]
+    return np.arange(len(groups)) - np.flatnonzero(first)[np.cumsum(first) - 1]
 
 
 def nearest_rows(named: DataFrame, test: DataFrame, neighbours: int, scales: DataFrame | None = None) -> DataFrame:
     """(split_id, sample_id, y_true, t): the labels (t.vote) of the nearest training rows of each test row, as a short array.
 
     ``scales`` (split_id, by) are the units of each split's features. Rows are dealt to
-    blocks by hash, test rows once for each of their splits; a pair of blocks keeps the
-    best few of each test row only, so distances are never stored. Rows at one distance
-    count in the order of their ids.
+    blocks by hash, test rows once for each of their splits; a task keeps the best few of
+    each test row only, so distances are never stored, and looks closer at nothing beyond
+    them. Rows at one distance count in the order of their ids, so of a block's equal rows
+    only the first few can.
     """
     kinds, split_kind = dict(named.dtypes), dict(test.dtypes)["split_id"]
     held = test.groupBy("sample_id").agg(F.array_sort(F.collect_set("split_id")).alias("splits"))
@@ -437,41 +461,54 @@ def nearest_rows(named: DataFrame, test: DataFrame, neighbours: int, scales: Dat
         part = part.sort_values("sample_id")
         splits = [list(s) if s is not None else [] for s in part["splits"]]
         at = np.repeat(np.arange(len(part)), [len(s) for s in splits])
-        return pd.DataFrame({"b_split": [[v for s in splits for v in s]], "b_at": [at], "b_id": [part["sample_id"].to_numpy()], "b_label": [part["label"].to_numpy()], "b_x": [floats(part["x"]).tobytes()]})
+        x = floats(part["x"])
+        same = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1]
+        return pd.DataFrame({"b_split": [[v for s in splits for v in s]], "b_at": [at], "b_same": [same.astype(np.int32)], "b_id": [part["sample_id"].to_numpy()], "b_label": [part["label"].to_numpy()], "b_x": [x.tobytes()]})
 
     a = stored(dealt_blocks(tests, TILE_ROWS, "sample_id", "split_id").groupBy("_g").applyInPandas(pack_tests, f"a int, a_split array<{split_kind}>, a_id array<{kinds['sample_id']}>, a_label array<{kinds['label']}>, a_x binary, a_by binary"), "test-blocks")
-    b = stored(dealt_blocks(every, TILE_ROWS, "sample_id").groupBy("_g").applyInPandas(pack_trains, f"b_split array<{split_kind}>, b_at array<int>, b_id array<{kinds['sample_id']}>, b_label array<{kinds['label']}>, b_x binary"), "train-blocks")
+    b = stored(dealt_blocks(every, TILE_ROWS, "sample_id").groupBy("_g").applyInPandas(pack_trains, f"b_split array<{split_kind}>, b_at array<int>, b_same array<int>, b_id array<{kinds['sample_id']}>, b_label array<{kinds['label']}>, b_x binary"), "train-blocks")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, tuple] = {}
+        most: dict[int, np.ndarray] = {}
         names: dict[int, tuple] = {}
         for frame in frames:
             for r in frame.itertuples(index=False):
                 x, y, split, ids, label = unpacked(r.a_x, len(r.a_id)), unpacked(r.b_x, len(r.b_id)), np.asarray(r.a_split), np.asarray(r.b_id), np.asarray(r.b_label)
-                held_by, held_at = np.asarray(r.b_split), np.asarray(r.b_at, int)
+                held_by, held_at, same = np.asarray(r.b_split), np.asarray(r.b_at, int), np.asarray(r.b_same)
                 names[r.a] = (split, r.a_id, r.a_label)
+                limit = most.setdefault(r.a, np.full(len(x), np.inf))
                 ends = np.r_[0, np.flatnonzero(split[1:] != split[:-1]) + 1, len(split)]
-                by = unpacked(r.a_by, len(ends) - 1)
-                found = [best[r.a]] if r.a in best else []
+                by, found, middle = unpacked(r.a_by, len(ends) - 1), [], y.mean(0)
+                own, others = _centred(x, middle), _centred(y, middle)
                 for s, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
                     train = np.ones(len(y), bool)
                     train[held_at[held_by == split[low]]] = False
                     train = np.flatnonzero(train)
+                    if same.max() + 1 < len(same):
+                        order = np.argsort(same[train], kind="stable")
+                        train = np.sort(train[order[_places(same[train][order]) < neighbours]])
                     if len(train):
-                        t, j, d = _candidates(x[low:high], y[train], by[s] if by.shape[1] else np.ones(x.shape[1]), neighbours)
-                        found.append((t + low, d, ids[train[j]], label[train[j]]))
-                if found:
-                    t, d, other, vote = (np.concatenate(c) for c in zip(*found, strict=True))
+                        t, j, d = _candidates(own, low, high, others, train, by[s] if by.shape[1] else np.ones(x.shape[1]), neighbours, limit[low:high])
+                        found.append((t, d, ids[j], label[j]))
+                if any(len(c[0]) for c in found):
+                    new = np.zeros(len(x), bool)
+                    new[np.concatenate([c[0] for c in found])] = True
+                    kept = best.get(r.a, (np.empty(0, int), np.empty(0), ids[:0], label[:0]))
+                    again = new[kept[0]]
+                    rest = [c[~again] for c in kept]
+                    t, d, other, vote = (np.concatenate(c) for c in zip([c[again] for c in kept], *found, strict=True))
                     order = np.lexsort((np.unique(other, return_inverse=True)[1], d, t))
-                    first = np.r_[0, np.flatnonzero(np.diff(t[order])) + 1]
-                    place = np.arange(len(t)) - np.repeat(first, np.diff(np.r_[first, len(t)]))
-                    keep = order[place < neighbours]
-                    best[r.a] = (t[keep], d[keep], other[keep], vote[keep])
+                    place = _places(t[order])
+                    last, keep = order[place == neighbours - 1], order[place < neighbours]
+                    limit[t[last]] = d[last]
+                    best[r.a] = tuple(np.concatenate(c) for c in zip(rest, (t[keep], d[keep], other[keep], vote[keep]), strict=True))
         for block, (t, d, other, vote) in best.items():
             split, ids, label = names[block]
             yield pd.DataFrame({"split_id": split[t], "sample_id": ids[t], "y_true": label[t], "distance": d, "other": other, "vote": vote})
 
-    near = block_pairs(a, b).mapInPandas(run, f"split_id {split_kind}, sample_id {kinds['sample_id']}, y_true {kinds['label']}, distance double, other {kinds['sample_id']}, vote {kinds['label']}")
+    # written, as metrics read the predictions more than once
+    near = stored(block_pairs(a, b).mapInPandas(run, f"split_id {split_kind}, sample_id {kinds['sample_id']}, y_true {kinds['label']}, distance double, other {kinds['sample_id']}, vote {kinds['label']}"), "near")
     return near.groupBy("split_id", "sample_id", "y_true").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other", "vote"))), 1, neighbours).alias("t"))
 
 
